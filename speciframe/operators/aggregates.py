@@ -19,52 +19,69 @@ def _schema_of(df: DataFrame, by: Sequence[str]) -> str:
     return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
 
 
-def _partial_sums(by: list[str], vec: str):
-    def emit(held, types):
-        keys = list(held)
-        columns = [pa.array([k[i] for k in keys], type=t) for i, t in enumerate(types)]
-        counts = pa.array([held[k][0] for k in keys], pa.int64())
-        sums = vectors(np.stack([held[k][1] for k in keys]))
-        return pa.RecordBatch.from_arrays([*columns, counts, sums], names=[*by, "_n", "_s"])
-
+class PartialSums:
+    """Counts and vector sums by key inside one task, handed on when they grow too many."""
+
+    def __init__(self, names: Sequence[str]):
+        self.names, self.held, self.types, self.width = list(names), {}, None, 0
+
+    def add(self, key: tuple, x: np.ndarray) -> None:
+        total = x.sum(axis=0)
+        self.width = len(total)
+        if key in self.held:
+            self.held[key][0] += len(x)
+            self.held[key][1] += total
+        else:
+            self.held[key] = [len(x), total]
+
+    def full(self) -> bool:
+        return len(self.held) * self.width > PARTIAL_NUMBERS
+
+    def flush(self):
+        if not self.held:
+            return
+        keys = list(self.held)
+        columns = [pa.array([k[i] for k in keys], type=t) for i, t in enumerate(self.types)]
+        counts = pa.array([self.held[k][0] for k in keys], pa.int64())
+        sums = vectors(np.stack([self.held[k][1] for k in keys]))
+        self.held = {}
+        yield pa.RecordBatch.from_arrays([*columns, counts, sums], names=[*self.names, "_n", "_s"])
+
+
+def _sum_kernel(by: list[str], vec: str):
     def run(batches):
-        held, types = {}, None
+        sums = PartialSums(by)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            types = [batch.schema.field(c).type for c in by]
-            x = matrix(batch.column(batch.schema.get_field_index(vec)))
+            sums.types = [batch.schema.field(c).type for c in by]
+            x = matrix(batch.column(vec))
             for key, rows in row_groups(batch, by):
-                total = x[rows].sum(axis=0)
-                if key in held:
-                    held[key][0] += len(rows)
-                    held[key][1] += total
-                else:
-                    held[key] = [len(rows), total]
-            if len(held) * x.shape[1] > PARTIAL_NUMBERS:
-                yield emit(held, types)
-                held = {}
-        if held:
-            yield emit(held, types)
+                sums.add(key, x[rows])
+            if sums.full():
+                yield from sums.flush()
+        yield from sums.flush()
 
     return run
 
 
+def merge_partials(partial: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by..., n, total) from partial rows; the sum is keyed by (group, dimension)."""
+    per_dim = partial.select(*by, "_n", F.posexplode("_s").alias("_i", "_x"))
+    dims = per_dim.groupBy(*by, "_i").agg(F.sum("_n").alias("_n"), F.sum("_x").alias("_x"))
+    packed = F.array_sort(F.collect_list(F.struct("_i", "_x")))
+    return dims.groupBy(*by).agg(F.max("_n").alias("n"), F.transform(packed, lambda p: p["_x"]).alias("total"))
+
+
 def vector_sums(df: DataFrame, vec: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., n, total) with the element-wise sum of a vector column.
 
     Every task adds up its rows before anything is shuffled; what travels is one vector per group
-    and task, and the final sum is keyed by (group, dimension), so no group sits in one task.
+    and task, so no group sits in one task.
     """
     by = list(by)
     rows = df.select(*by, F.col(vec).cast("array<double>").alias(vec)).filter(F.col(vec).isNotNull())
-    partial = rows.mapInArrow(_partial_sums(by, vec), _schema_of(df, by) + "_n bigint, _s array<double>")
-    per_dim = partial.select(*by, "_n", F.posexplode("_s").alias("_i", "_x"))
-    dims = per_dim.groupBy(*by, "_i").agg(F.sum("_n").alias("_n"), F.sum("_x").alias("_x"))
-    packed = F.array_sort(F.collect_list(F.struct("_i", "_x")))
-    return dims.groupBy(*by).agg(
-        F.max("_n").alias("n"), F.transform(packed, lambda p: p["_x"]).alias("total")
-    )
+    return merge_partials(rows.mapInArrow(_sum_kernel(by, vec), _schema_of(df, by) + "_n bigint, _s array<double>"), by)
 
 
 def vector_mean(df: DataFrame, vec: str, by: Sequence[str] = (), out: str = "mean") -> DataFrame:

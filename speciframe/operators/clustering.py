@@ -15,13 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import seeded_key
+from ..functions.hashing import seeded_key, seeded_uniform
 from ..session import SHIP_LIMIT_BYTES, cut_lineage
-from .aggregates import vector_mean, vector_sums
-from .dense import best_hits, matrix, own_closeness, vectors
+from .aggregates import PartialSums, merge_partials, vector_mean, vector_sums
+from .dense import best_hits, matrix, own_closeness
 from .metrics import contingency
-from .ranking import BUCKET_DIGITS
-from .sampling import seeded_uniform
+from .ranking import BUCKET_DIGITS, row_index
 from .scoring import match_prototypes
 
 # Largest number of clusters whose assignment is solved inside one task.
@@ -83,18 +82,20 @@ def _step(points: DataFrame, centers: DataFrame, vec: str, pinned: str | None, s
         w = matrix(shipped.column("center"))[order]
         rows = points.select(F.col(vec).cast("array<double>").alias("_v"),
                              (F.lit(None) if pinned is None else F.col(pinned)).cast("bigint").alias("_pin"))
-        tagged = rows.mapInArrow(_assign_kernel(labels, w), "cluster bigint, _x array<double>")
+        partial = rows.mapInArrow(_assign_kernel(labels, w), "cluster bigint, _n bigint, _s array<double>")
+        sums = merge_partials(partial, ["cluster"])
     else:
         near = assign(points, centers, vec, [vec], pinned, ship_limit)
-        tagged = near.select(
-            "cluster", F.concat(F.col(vec).cast("array<double>"), F.array("sq_dist")).alias("_x")
-        )
-    return cut_lineage(_moved(centers, vector_sums(tagged, "_x", ["cluster"])))
+        measured = F.concat(F.col(vec).cast("array<double>"), F.array("sq_dist"))
+        sums = vector_sums(near.select("cluster", measured.alias("_x")), "_x", ["cluster"])
+    return cut_lineage(_moved(centers, sums))
 
 
 def _assign_kernel(labels: np.ndarray, w: np.ndarray):
-    """Per batch: sum and squared distance of the points of each cluster, as ready partial rows."""
+    """Nearest centre and the sums per centre in one pass over a task's batches."""
     def run(batches):
+        sums = PartialSums(["cluster"])
+        sums.types = [pa.int64()]
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -105,12 +106,16 @@ def _assign_kernel(labels: np.ndarray, w: np.ndarray):
             if pin.null_count < len(pin):
                 is_pinned = pin.is_valid().to_numpy(zero_copy_only=False)
                 to = pin.fill_null(0).to_numpy()[is_pinned]
-                at = np.searchsorted(labels, to)
                 cluster[is_pinned] = to
-                dist[is_pinned] = -own_closeness(x[is_pinned], w[at], "l2")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cluster), vectors(np.column_stack([x, dist]))], names=["cluster", "_x"]
-            )
+                dist[is_pinned] = -own_closeness(x[is_pinned], w[np.searchsorted(labels, to)], "l2")
+            measured = np.column_stack([x, dist])
+            order = np.argsort(cluster, kind="stable")
+            names, starts = np.unique(cluster[order], return_index=True)
+            for name, rows in zip(names, np.split(order, starts[1:])):
+                sums.add((int(name),), measured[rows])
+            if sums.full():
+                yield from sums.flush()
+        yield from sums.flush()
 
     return run
 
@@ -217,8 +222,6 @@ def semi_kmeans(points: DataFrame, vec: str, key: str, label: str, k: int, max_i
     """
     labelled, free = points.filter(F.col(label).isNotNull()), points.filter(F.col(label).isNull())
     means = cut_lineage(vector_mean(labelled, vec, [label], "center"))
-    from .ranking import row_index
-
     classes = row_index(means, [label], "cluster").select(label, F.col("cluster").cast("bigint").alias("cluster"), "center")
     classes = cut_lineage(classes)
     # One row per class: joined by size, the adaptive skew join splits a hot class.
@@ -311,7 +314,7 @@ def auction_mapping(counts: DataFrame, pred: str, true: str, by: Sequence[str],
     sizes = cells.groupBy(*by).agg(
         (F.lit(0.5) / (F.countDistinct("_p") + F.countDistinct("_t"))).alias("_eps")
     )
-    cells = cut_lineage(cells.join(sizes, by) if by else cells.crossJoin(F.broadcast(sizes)))
+    cells = cut_lineage(cells.join(sizes, by))
     prices = cut_lineage(cells.select(*by, "_t").distinct().select(*by, "_t", F.lit(0.0).alias("_price"), F.lit(None).cast(counts.schema[pred].dataType).alias("_holder")))
     retired = None
     for _ in range(max_rounds):
