@@ -1,3 +1,10 @@
 """Embedding evaluation and dataset curation as Spark DataFrame programs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel to Python workers by value, so a cluster needs no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # White space as the reference language's ``str.split`` sees it, the ASCII
 # punctuation class, and the pre-token pattern (contractions, letter runs, single digits,
@@ -55,7 +56,7 @@ def _repair(match: re.Match) -> str:
         return match.group()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     def clean(text):
         if text is None:

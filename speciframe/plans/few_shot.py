@@ -11,7 +11,7 @@ from ..functions import vectors as V
 from ..operators.aggregates import class_centroids, vector_mean
 from ..operators.metrics import fold_summary, label_accuracy
 from ..operators.sampling import kshot_picks
-from ..operators.scoring import collect_means, nearest_prototype
+from ..operators.scoring import collect_means, match_prototypes, nearest_prototype
 from ..session import cut_lineage
 
 KSHOTS, FOLDS = (1, 5), 5
@@ -81,7 +81,8 @@ def simpleshot_scores(train: DataFrame, test: DataFrame, key: str = "id", vec: s
     """(key, label, pred, score) of separate train and test tables; score is 1 for a hit."""
     mean = cut_lineage(vector_mean(train, vec))
     shipped = collect_means(mean, [])
-    centred = train.crossJoin(F.broadcast(mean.select("mean"))).withColumn("_x", V.cl2n(vec, "mean"))
+    # One vector, so a constant.
+    centred = train.withColumn("_x", V.cl2n(vec, F.lit([float(v) for v in shipped[()]])))
     centroids = class_centroids(centred, "_x", cls)
     predicted = nearest_prototype(
         test, centroids, vec=vec, proto_vec="centroid", label=cls, metric="l2", means=shipped, keep=[key, cls]
@@ -109,8 +110,6 @@ def simpleshot_repeats(
 
 def knn_vote(train: DataFrame, test: DataFrame, n: int = 1, key: str = "id", vec: str = "features", cls: str = "target") -> DataFrame:
     """(key, pred): most frequent class among the n nearest train rows."""
-    from ..operators.scoring import match_prototypes
-
     # Train rows are the prototypes; their ids lead back to the classes.
     protos = train.select(F.col(key).alias("_train_id"), vec)
     near = match_prototypes(test, protos, vec=vec, proto_vec=vec, label="_train_id", k=n, metric="l2", keep=[key])
