@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("naming", "text", "sampling", "evaluation")
+MODULES = ("naming", "text", "sampling", "evaluation", "sources", "streams")
 
 
 def load():

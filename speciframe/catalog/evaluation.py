@@ -133,21 +133,21 @@ def ensemble_prototypes(spark, sf):
     return spread(prototypes(spark, sf), ["class_idx"], "w")
 
 
-@query("topk_classes", RANKED + " SELECT id, rank, CAST(class_idx AS BIGINT) AS label, round(score * 100, 6) AS score FROM r WHERE rank <= 3")
+@query("topk_classes", RANKED + " SELECT id, rank, CAST(class_idx AS BIGINT) AS label, round(score * 100, 7) AS score FROM r WHERE rank <= 3")
 def topk_classes(spark, sf):
     top = scoring.topk_classes(features(spark, sf), prototypes(spark, sf), 3, scale=100.0, **HOW)
-    return top.select("id", F.col("rank").cast("bigint").alias("rank"), "label", r6("score", "score"))
+    return top.select("id", F.col("rank").cast("bigint").alias("rank"), "label", F.round("score", 7).alias("score"))
 
 
 @query(
     "cross_scores",
-    RANKED + """ SELECT o.id, round(o.score * 100, 6) AS own_score, o.rank - 1 AS n_better, CAST(b.class_idx AS BIGINT) AS best, round(b.score * 100, 6) AS best_score
+    RANKED + """ SELECT o.id, round(o.score * 100, 7) AS own_score, o.rank - 1 AS n_better, CAST(b.class_idx AS BIGINT) AS best, round(b.score * 100, 7) AS best_score
  FROM r o JOIN r b ON b.id = o.id AND b.rank = 1 WHERE o.class_idx = o.target""",
 )
 def cross_scores(spark, sf):
     matched = scoring.match_prototypes(features(spark, sf), prototypes(spark, sf), truth="target", scale=100.0, keep=["id"], **HOW)
     best = F.col("hits")[0]
-    return matched.select("id", r6("own_score", "own_score"), "n_better", best["label"].alias("best"), r6(best["score"], "best_score"))
+    return matched.select("id", F.round("own_score", 7).alias("own_score"), "n_better", best["label"].alias("best"), F.round(best["score"], 7).alias("best_score"))
 
 
 @query(
@@ -482,10 +482,11 @@ def kmeans_fixed_init(spark, sf):
 )
 def kmeans_inertia(spark, sf):
     rows = features(spark, sf)
-    moved = clustering._step(rows, clustering.first_k(rows, "features", "id", 6), "features", None, 1 << 26)
-    gap = F.sqrt(F.aggregate(F.zip_with("center", "old", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    return moved.agg(
-        F.round(F.sum("inertia"), 5).alias("inertia"), F.round(F.sum(gap), 5).alias("shift"), (F.sum(gap) * F.sum(gap) < 1e-4).alias("settled")
+    start = scoring.ship(clustering.first_k(rows, "features", "id", 6), [], "cluster", "center")
+    sums = clustering.cluster_sums(rows, start, "features")
+    _, _, shift = clustering.lloyd_round(rows, start, "features")
+    return sums.agg(F.round(F.sum(F.element_at("total", -1)), 5).alias("inertia")).select(
+        "inertia", F.round(F.lit(shift), 5).alias("shift"), F.lit(shift * shift < 1e-4).alias("settled")
     )
 
 

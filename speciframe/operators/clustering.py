@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_key, seeded_uniform
+from ..functions.vectors import euclidean_distance
 from ..session import SHIP_LIMIT_BYTES, cut_lineage
 from .aggregates import PartialSums, merge_partials, vector_mean, vector_sums
-from .dense import best_hits, matrix, own_closeness
+from .dense import best_hits, matrix, own_closeness, vectors
 from .metrics import contingency
 from .ranking import BUCKET_DIGITS, row_index
-from .scoring import match_prototypes
+from .scoring import match_prototypes, ship
 
 # Largest number of clusters whose assignment is solved inside one task.
 ASSIGN_LIMIT = 2048
@@ -29,7 +30,7 @@ ASSIGN_LIMIT = 2048
 
 @dataclass
 class Clustering:
-    centers: DataFrame  # cluster, center
+    centers: DataFrame | dict  # (cluster, center), or the shipped form
     inertia: float
     iterations: int
     points: DataFrame
@@ -42,7 +43,7 @@ class Clustering:
         return assign(self.points, self.centers, self.vec, [self.key], self.pinned).select(self.key, "cluster")
 
 
-def assign(points: DataFrame, centers: DataFrame, vec: str, keep: Sequence[str], pinned: str | None = None,
+def assign(points: DataFrame, centers: DataFrame | dict, vec: str, keep: Sequence[str], pinned: str | None = None,
            ship_limit: int = SHIP_LIMIT_BYTES) -> DataFrame:
     """(keep..., cluster, sq_dist) under the given centres."""
     rows = points if pinned is None else points.withColumn("_truth", F.coalesce(F.col(pinned), F.lit(-1)).cast("bigint"))
@@ -57,38 +58,50 @@ def assign(points: DataFrame, centers: DataFrame, vec: str, keep: Sequence[str],
     return matched.select(*keep, near.alias("cluster"), (dist * dist).alias("sq_dist"))
 
 
-def _moved(centers: DataFrame, sums: DataFrame) -> DataFrame:
-    """New centres; the last number of a total is the squared distance, not a coordinate. A
+def cluster_sums(points: DataFrame, centers: dict, vec: str, pinned: str | None = None) -> DataFrame:
+    """(cluster, n, total) in one map-side pass; the last number of ``total`` is the sum of the
+    squared distances, the others are the coordinates."""
+    labels, w = centers[()]
+    pin = F.lit(None) if pinned is None else F.col(pinned)
+    rows = points.select(F.col(vec).cast("array<double>").alias("_v"), pin.cast("bigint").alias("_pin"))
+    return merge_partials(rows.mapInArrow(_assign_kernel(labels, w), "cluster bigint, _n bigint, _s array<double>"), ["cluster"])
+
+
+def shift_of(old: np.ndarray, new: np.ndarray) -> float:
+    """Sum of the distances the centres moved."""
+    return float(np.sqrt(((new - old) ** 2).sum(axis=1)).sum())
+
+
+def lloyd_round(points: DataFrame, centers: dict, vec: str, pinned: str | None = None) -> tuple[dict, float, float]:
+    """New centres, the inertia under the old ones, and the shift. One job; k sums come back. A
     cluster without points keeps its centre."""
-    d = F.size("total") - 1
-    mean = F.transform(F.slice("total", F.lit(1), d), lambda x: x / F.col("n"))
-    fresh = sums.select("cluster", mean.alias("_c"), F.element_at("total", -1).alias("_i"))
+    labels, old = centers[()]
+    sums = cluster_sums(points, centers, vec, pinned).toArrow()
+    new, total = old.copy(), matrix(sums.column("total"))
+    at = np.searchsorted(labels, sums.column("cluster").to_numpy())
+    new[at] = total[:, :-1] / sums.column("n").to_numpy()[:, None]
+    return {(): (labels, new)}, float(total[:, -1].sum()), shift_of(old, new)
+
+
+def _table_round(points: DataFrame, centers: DataFrame, vec: str, pinned: str | None, ship_limit: int):
+    """The same with the centres as a table."""
+    near = assign(points, centers, vec, [vec], pinned, ship_limit)
+    measured = F.concat(F.col(vec).cast("array<double>"), F.array("sq_dist"))
+    sums = vector_sums(near.select("cluster", measured.alias("_x")), "_x", ["cluster"])
+    mean = F.transform(F.slice("total", F.lit(1), F.size("total") - 1), lambda x: x / F.col("n"))
+    fresh = sums.select("cluster", mean.alias("_c"), F.element_at("total", -1).alias("inertia"))
     old = F.col("center").cast("array<double>")
-    return centers.join(fresh, "cluster", "left").select(
-        "cluster",
-        F.coalesce("_c", old).alias("center"),
-        old.alias("old"),
-        F.coalesce("_i", F.lit(0.0)).alias("inertia"),
+    moved = cut_lineage(
+        centers.join(fresh, "cluster", "left").select("cluster", F.coalesce("_c", old).alias("center"), old.alias("_old"), "inertia")
     )
+    inertia, shift = moved.agg(F.sum("inertia"), F.sum(euclidean_distance("center", "_old"))).first()
+    return moved.select("cluster", "center"), inertia, shift
 
 
-def _step(points: DataFrame, centers: DataFrame, vec: str, pinned: str | None, ship_limit: int) -> DataFrame:
-    """One round: (cluster, center, old, inertia), written to the shared folder."""
-    count, numbers = centers.agg(F.count("*"), F.sum(F.size("center"))).first()
-    if numbers * 8 <= ship_limit:
-        shipped = centers.select("cluster", F.col("center").cast("array<double>").alias("center")).toArrow()
-        order = np.argsort(shipped.column("cluster").to_numpy(), kind="stable")
-        labels = shipped.column("cluster").to_numpy().astype(np.int64)[order]
-        w = matrix(shipped.column("center"))[order]
-        rows = points.select(F.col(vec).cast("array<double>").alias("_v"),
-                             (F.lit(None) if pinned is None else F.col(pinned)).cast("bigint").alias("_pin"))
-        partial = rows.mapInArrow(_assign_kernel(labels, w), "cluster bigint, _n bigint, _s array<double>")
-        sums = merge_partials(partial, ["cluster"])
-    else:
-        near = assign(points, centers, vec, [vec], pinned, ship_limit)
-        measured = F.concat(F.col(vec).cast("array<double>"), F.array("sq_dist"))
-        sums = vector_sums(near.select("cluster", measured.alias("_x")), "_x", ["cluster"])
-    return cut_lineage(_moved(centers, sums))
+def centers_table(spark, centers: dict) -> DataFrame:
+    labels, w = centers[()]
+    rows = pa.table({"cluster": pa.array(labels), "center": vectors(w)})
+    return spark.createDataFrame(rows, "cluster bigint, center array<double>")
 
 
 def _assign_kernel(labels: np.ndarray, w: np.ndarray):
@@ -120,19 +133,22 @@ def _assign_kernel(labels: np.ndarray, w: np.ndarray):
     return run
 
 
-def lloyd(points: DataFrame, centers: DataFrame, vec: str, max_iterations: int = 100, tolerance: float = 1e-4,
+def lloyd(points: DataFrame, centers: DataFrame | dict, vec: str, max_iterations: int = 100, tolerance: float = 1e-4,
           pinned: str | None = None, ship_limit: int = SHIP_LIMIT_BYTES):
     """Rounds until the squared total shift is below ``tolerance``. Returns the centres of lowest
     inertia (those that produced it), that inertia, and the number of rounds."""
-    centers = cut_lineage(centers.select(F.col("cluster").cast("bigint").alias("cluster"), "center"))
+    if not isinstance(centers, dict):
+        table = cut_lineage(centers.select(F.col("cluster").cast("bigint").alias("cluster"), "center"))
+        centers = ship(table, [], "cluster", "center", ship_limit) or table
     best, best_inertia, rounds = centers, None, 0
     for rounds in range(1, max_iterations + 1):
-        moved = _step(points, centers, vec, pinned, ship_limit)
-        gap = F.sqrt(F.aggregate(F.zip_with("center", "old", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-        inertia, shift = moved.agg(F.sum("inertia"), F.sum(gap)).first()
+        if isinstance(centers, dict):
+            moved, inertia, shift = lloyd_round(points, centers, vec, pinned)
+        else:
+            moved, inertia, shift = _table_round(points, centers, vec, pinned, ship_limit)
         if best_inertia is None or inertia < best_inertia:
             best, best_inertia = centers, inertia
-        centers = moved.select("cluster", "center")
+        centers = moved
         if shift * shift < tolerance:
             break
     return best, best_inertia, rounds
@@ -175,24 +191,31 @@ def d2_pick(distances: DataFrame, key: str, sq_dist: str, r: float, seed) -> Dat
     return inside.orderBy(F.desc(reached), F.when(reached, F.col("_h")).asc(), F.desc("_h"), key).limit(1).select(key, sq_dist)
 
 
-def d2_seeds(points: DataFrame, vec: str, key: str, k: int, seed, centers: DataFrame | None = None) -> DataFrame:
+def d2_seeds(points: DataFrame, vec: str, key: str, k: int, seed, centers: DataFrame | None = None,
+             ship_limit: int = SHIP_LIMIT_BYTES) -> DataFrame | dict:
     """Centres grown to ``k`` by drawing points with probability proportional to their squared
     distance from the centres so far (or from one random point)."""
     spark = points.sparkSession
     if centers is None:
         centers = random_k(points, vec, key, 1, seed)
-    centers = cut_lineage(centers.select(F.col("cluster").cast("bigint").alias("cluster"), F.col("center").cast("array<double>").alias("center")))
-    have = centers.count()
-    while have < k:
-        r = spark.range(1).select(seeded_uniform(seed, F.lit("d2"), F.lit(have))).first()[0]
-        near = assign(points, centers, vec, [key])
-        pick = d2_pick(near, key, "sq_dist", r, seed)
+    table = cut_lineage(centers.select(F.col("cluster").cast("bigint").alias("cluster"), F.col("center").cast("array<double>").alias("center")))
+    have = table.count()
+    shares = spark.range(have, k).select(seeded_uniform(seed, F.lit("d2"), "id")).collect() if have < k else []
+    grown = ship(table, [], "cluster", "center", ship_limit) or table
+    for number, (share,) in enumerate(shares, have):
+        near = assign(points, grown, vec, [key], ship_limit=ship_limit)
+        pick = d2_pick(near, key, "sq_dist", share, seed)
         fresh = points.join(F.broadcast(pick.select(key)), key).select(
-            F.lit(have).cast("bigint").alias("cluster"), F.col(vec).cast("array<double>").alias("center")
+            F.lit(number).cast("bigint").alias("cluster"), F.col(vec).cast("array<double>").alias("center")
         )
-        centers = cut_lineage(centers.unionByName(fresh))
-        have += 1
-    return centers
+        if isinstance(grown, dict):
+            labels, w = grown[()]
+            grown = {(): (np.append(labels, number), np.vstack([w, fresh.first()["center"]]))}
+            if grown[()][1].nbytes > ship_limit:
+                grown = centers_table(spark, grown)
+        else:
+            grown = cut_lineage(grown.unionByName(fresh))
+    return grown
 
 
 def kmeans(points: DataFrame, vec: str, key: str, k: int, init: str = "k-means++", max_iterations: int = 100,

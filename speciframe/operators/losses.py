@@ -70,7 +70,7 @@ def in_batch_rows(
     each = F.explode(F.sequence(F.lit(0), (F.col("_nb") - 1).cast("int")))
     left = rows.select(*batch, home.alias("_ib"), each.alias("_tb"), "_id", *[c for c in vec if c in ("_im", "_tim")])
     right = rows.select(
-        *[F.col(b).alias(f"_r_{b}") for b in batch], each.alias("_ib"), home.alias("_tb"), "_id",
+        *[F.col(b).alias(f"_r_{b}") for b in batch], each.alias("_ib"), home.alias("_tb"), F.col("_id").alias("_rid"),
         *[c for c in vec if c in ("_tx", "_ttx")],
     )
     id_type = pairs.schema[key].dataType.simpleString()
@@ -82,7 +82,7 @@ def in_batch_rows(
         pieces = []
         if images.num_rows and texts.num_rows:
             i_ids = images.column("_id").to_numpy()
-            t_ids = texts.column("_id").to_numpy()
+            t_ids = texts.column("_rid").to_numpy()
             x, y = matrix(images.column("_im")), matrix(texts.column("_tx"))
             p, q = (matrix(images.column("_tim")), matrix(texts.column("_ttx"))) if teacher else (None, None)
             tall = max(1, BLOCK_CELLS // max(len(t_ids), 1))

@@ -14,10 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import vectors as V
 from ..session import SHIP_LIMIT_BYTES, cut_lineage
-from .dense import best_hits, centred, matrix, own_closeness, row_groups
+from .dense import best_hits, centred, matrix, own_closeness, row_groups, vectors
 
 HITS = "array<struct<label:bigint,score:double>>"
 # Rows per side of a grid cell.
@@ -41,16 +43,19 @@ def _hit_lists(labels: np.ndarray, scores: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, entries)
 
 
-def _collect_prototypes(protos: DataFrame, group: list[str], label: str, vec: str):
-    """{group key: (labels ascending, matrix)}; the caller has checked the size."""
+def ship(protos: DataFrame, group: Sequence[str], label: str, vec: str, ship_limit: int = SHIP_LIMIT_BYTES) -> dict | None:
+    """{group key: (labels ascending, matrix)} if the table is within the limit, else None. The
+    table is read twice, so it should be cheap to read."""
+    numbers = protos.agg(F.sum(F.size(vec))).first()[0] or 0
+    if numbers * 8 > ship_limit:
+        return None
     rows = protos.select(*group, F.col(label).cast("bigint").alias("_l"), F.col(vec).cast("array<double>").alias("_w"))
-    table = rows.toArrow()
-    if table.num_rows == 0:
+    collected = rows.toArrow()
+    if collected.num_rows == 0:
         return {}
-    labels = table.column("_l").to_numpy()
-    weights = matrix(table.column("_w"))
+    labels, weights = collected.column("_l").to_numpy(), matrix(collected.column("_w"))
     shipped = {}
-    for key, at in row_groups(table, group):
+    for key, at in row_groups(collected, list(group)):
         at = at[np.argsort(labels[at], kind="stable")]
         shipped[key] = (labels[at], weights[at])
     return shipped
@@ -63,7 +68,7 @@ def collect_means(means: DataFrame, group: Sequence[str], vec: str = "mean") ->
 
 def match_prototypes(
     samples: DataFrame,
-    protos: DataFrame,
+    protos: DataFrame | dict,
     *,
     vec: str,
     proto_vec: str,
@@ -80,7 +85,7 @@ def match_prototypes(
     """(keep..., group..., hits[, own_score, n_better]) for every sample.
 
     ``hits`` are the k best (label, score): dot product times ``scale``, or distance for
-    ``metric='l2'``. With ``truth``, ``n_better`` labels rank before the true one (NULL if it has
+    ``metric='l2'``. ``protos`` may be prototypes already collected by ``ship``. With ``truth``, ``n_better`` labels rank before the true one (NULL if it has
     no prototype). ``means`` centres and normalises the samples of a group first. ``keep`` must
     identify a sample within its group.
     """
@@ -88,17 +93,18 @@ def match_prototypes(
     columns = list(dict.fromkeys([*keep, *group, *([truth] if truth else [])]))
     rows = samples.select(*columns, F.col(vec).cast("array<float>").alias("_v") if _type(samples, vec) == "array<float>"
                           else F.col(vec).cast("array<double>").alias("_v"))
-    protos = cut_lineage(protos.select(*group, F.col(label).cast("bigint").alias(label), proto_vec))
-    count, numbers = protos.agg(F.count("*"), F.sum(F.size(proto_vec))).first()
     out_columns = list(dict.fromkeys([*keep, *group]))
     schema = ", ".join([f"`{c}` {_type(samples, c)}" for c in out_columns] + [f"hits {HITS}"])
     if truth:
         schema += ", own_score double, n_better bigint"
-    if (numbers or 0) * 8 <= ship_limit:
-        shipped = _collect_prototypes(protos, group, label, proto_vec)
+    shipped = protos if isinstance(protos, dict) else None
+    if shipped is None:
+        protos = cut_lineage(protos.select(*group, F.col(label).cast("bigint").alias(label), proto_vec))
+        shipped = ship(protos, group, label, proto_vec, ship_limit)
+    if shipped is not None:
         run = _shipped_kernel(shipped, out_columns, group, k, metric, scale, truth, means)
         return rows.mapInArrow(run, schema)
-    return _grid_match(rows, protos, proto_vec, label, group, k, metric, scale, truth, out_columns, means, schema, count)
+    return _grid_match(rows, protos, proto_vec, label, group, k, metric, scale, truth, out_columns, means, schema)
 
 
 def _shipped_kernel(shipped, columns, group, k, metric, scale, truth, means):
@@ -132,8 +138,7 @@ def _shipped_kernel(shipped, columns, group, k, metric, scale, truth, means):
     return run
 
 
-def _grid_match(rows, protos, proto_vec, label, group, k, metric, scale, truth, columns, means, schema, count):
-    spark = rows.sparkSession
+def _grid_match(rows, protos, proto_vec, label, group, k, metric, scale, truth, columns, means, schema):
     if means:
         rows = _centre_frame(rows, group, means)
     if truth:
@@ -141,8 +146,8 @@ def _grid_match(rows, protos, proto_vec, label, group, k, metric, scale, truth,
         rows = rows.withColumn(truth, F.col(truth).cast("bigint")).join(own, [*group, truth], "left")
         plain = V.dot("_v", "_own_w") if metric == "dot" else -V.squared_distance("_v", "_own_w")
         rows = rows.withColumn("_own", F.round(plain, 9)).drop("_own_w")
-    # The number of samples only steers how finely the grid is cut.
-    n_rows = rows.count()
+    # The numbers of rows only steer how finely the grid is cut.
+    n_rows, count = rows.count(), protos.count()
     s_blocks, p_blocks = -(-n_rows // CELL_ROWS) or 1, -(-count // CELL_ROWS) or 1
     left = rows.select(
         "*",
@@ -180,11 +185,7 @@ def _grid_match(rows, protos, proto_vec, label, group, k, metric, scale, truth,
             arrays.append(pa.array(better, pa.int64(), mask=unknown))
         return pa.Table.from_arrays(arrays, names=names).cast(target)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    from pyspark.sql.types import _parse_datatype_string
-
-    target = to_arrow_schema(_parse_datatype_string(schema))
+    target = to_arrow_schema(T._parse_datatype_string(schema))
     cells = left.groupBy(*left_keys).cogroup(right.groupBy(*right_keys)).applyInArrow(cell, schema)
     cells = cut_lineage(cells)
     flat = cells.select(*columns, F.inline("hits"))
@@ -203,8 +204,6 @@ def _grid_match(rows, protos, proto_vec, label, group, k, metric, scale, truth,
 
 
 def _centre_frame(rows: DataFrame, group: list[str], means: dict) -> DataFrame:
-    from .dense import vectors
-
     def run(batches):
         for batch in batches:
             if batch.num_rows == 0:

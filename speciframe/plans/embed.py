@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as V
 
@@ -35,7 +36,7 @@ def hashing_embedder(dim: int = 32) -> Embedder:
 
 def embed(df: DataFrame, column: str, embedder: Embedder, keep: Sequence[str], out: str = "vector", batch_size: int = 512) -> DataFrame:
     """(keep..., out): unit vectors of a column, batch by batch inside the tasks."""
-    run = predict_batch_udf(embedder, return_type="array<float>", batch_size=batch_size)
+    run = predict_batch_udf(embedder, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
     return df.select(*keep, run(F.col(column)).alias("_v")).select(*keep, V.l2_normalize("_v").cast("array<float>").alias(out))
 
 

@@ -52,7 +52,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the files, so that losing an executor
-    neither recomputes the past nor changes an order that was already fixed."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and go on from the files: losing an executor
+    neither recomputes the past nor changes an order that was already fixed, and later joins are
+    planned with the true size."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -71,3 +71,27 @@ def retried_jdbc(url: str, table: str, attempts: int = 5, first_wait: float = 0.
         return retried(lambda: writer.write.mode("append").options(**options).jdbc(url, table), attempts, first_wait)
 
     return write
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Write (path, content) rows as files below ``root``; the number written. The tasks write
+    through the file system of ``root``, a file at a time."""
+    import pyarrow as pa
+
+    def run(batches):
+        from pyarrow import fs
+
+        if root.startswith("file:"):
+            system, base = fs.LocalFileSystem(), "/" + root[len("file:") :].lstrip("/")
+        else:
+            system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                target = f"{base}/{path}"
+                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(target) as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    rows = files.select("path", F.col("content").cast("binary").alias("content"))
+    return rows.mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.scoring import _collect_prototypes, _shipped_kernel
+from ..operators.scoring import match_prototypes, ship
 from ..session import SHIP_LIMIT_BYTES, cut_lineage
 from ..sources.sinks import idempotent_parquet
 from ..sources.tar import tar_samples
@@ -54,18 +54,20 @@ def stream_scores(
     k: int = 1, metric: str = "dot", scale: float = 1.0, ship_limit: int = SHIP_LIMIT_BYTES,
 ) -> DataFrame:
     """Arriving features against fixed prototypes, map-side. The prototypes must be within the
-    ship limit; larger tables are matched per micro-batch with ``foreach_batch``."""
+    ship limit; for larger tables use ``score_batches``."""
     fixed = cut_lineage(prototypes.select(F.col(label).cast("bigint").alias(label), proto_vec))
-    numbers = fixed.agg(F.sum(F.size(proto_vec))).first()[0] or 0
-    if numbers * 8 > ship_limit:
-        raise ValueError("prototypes exceed the ship limit: use foreach_batch with match_prototypes")
-    shipped = _collect_prototypes(fixed, [], label, proto_vec)
-    rows = stream.select(*dict.fromkeys([*keep, *([truth] if truth else [])]), F.col(vec).cast("array<double>").alias("_v"))
-    types = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in keep)
-    schema = types + ", hits array<struct<label:bigint,score:double>>"
-    if truth:
-        schema += ", own_score double, n_better bigint"
-    return rows.mapInArrow(_shipped_kernel(shipped, list(keep), [], k, metric, scale, truth, None), schema)
+    shipped = ship(fixed, [], label, proto_vec, ship_limit)
+    if shipped is None:
+        raise ValueError("prototypes exceed the ship limit: use score_batches")
+    return match_prototypes(
+        stream, shipped, vec=vec, proto_vec=proto_vec, label=label, keep=keep, truth=truth, k=k, metric=metric, scale=scale
+    )
+
+
+def score_batches(stream: DataFrame, prototypes: DataFrame, path: str, checkpoint: str, **how) -> StreamingQuery:
+    """The same for prototypes of any size: each micro-batch is matched as a table and written."""
+    write = idempotent_parquet(path)
+    return foreach_batch(stream, lambda batch, number: write(match_prototypes(batch, prototypes, **how), number), checkpoint)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", fmt: str = "parquet") -> StreamingQuery:
