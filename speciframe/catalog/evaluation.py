@@ -584,29 +584,74 @@ def multilabel_probe(spark, sf):
     return f1.join(exact, "_k").select("n", r6("accuracy", "accuracy"), "n_labels", r6("macro_f1", "macro_f1"))
 
 
-@query("embed_batch")
+# A model that SQL can follow: how often each of some letters occurs.
+LETTERS = "aeinorst"
+
+
+def letter_model():
+    import numpy as np
+
+    def predict(texts):
+        return np.array([[str(t).lower().count(c) for c in LETTERS] for t in texts], dtype=np.float32)
+
+    return predict
+
+
+def letters_sql(text):
+    counts = ", ".join(f"(length({text}) - length(replace(lower({text}), '{c}', '')))::DOUBLE" for c in LETTERS)
+    return f"[{counts}]"
+
+
+def embedded_sql(vec):
+    """Unit vectors as the model hands them over, in single precision."""
+    return f"{unit(vec)}::FLOAT[]::DOUBLE[]"
+
+
+@query("embed_batch", f"WITH e AS (SELECT doc_id, {letters_sql('text')} AS c FROM documents), u AS (SELECT doc_id, {embedded_sql('c')} AS v FROM e) " + spread_sql("doc_id", "v", "u").replace("round(x, 6)", "round(x, 5)"))
 def embed_batch(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    out = embed.embed(docs, "text", embed.hashing_embedder(16), ["doc_id"])
-    return out.select("doc_id", r6(V.norm("vector"), "length"))
+    out = embed.embed(docs, "text", letter_model, ["doc_id"])
+    return out.select("doc_id", F.posexplode("vector").alias("pos", "x")).select("doc_id", "pos", F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
-@query("shared_features")
+NAMED = (
+    ctes("taxa")
+    + f""", names AS (SELECT id, {naming.TAX} AS text, dense_rank() OVER (ORDER BY family) - 1 AS target FROM taxa),
+ e AS (SELECT id, target, {letters_sql('text')} AS c FROM names), f AS (SELECT id, target, {embedded_sql('c')} AS v FROM e)"""
+)
+
+
+def _on_names(sql):
+    return sql.replace(DOUBLES, NAMED).replace("FROM features,", "FROM f,").replace("UNNEST([0, 1, 2, 3, 4]) AS f(fold)", "UNNEST([0, 1]) AS folds(fold)").replace("UNNEST([1, 5]) AS kk(k)", "UNNEST([1, 3]) AS kk(k)")
+
+
+@query(
+    "shared_features",
+    _on_names(FEW) + (RANKED.replace(PROTOS.split(", p AS")[0], "", 1)) + """, z AS (SELECT 'zero-shot' AS task, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS score FROM r WHERE class_idx = target)
+ SELECT task, score FROM z UNION ALL SELECT 'few-shot-' || k, round(avg(accuracy), 6) FROM acc GROUP BY k""",
+)
 def shared_features(spark, sf):
     names = naming.taxonomy_texts(spark, sf)
-    shared = embed.shared_features(names, "text", embed.hashing_embedder(32), ["id", "target"], scratch_path(spark, "shared"))
+    shared = embed.shared_features(names, "text", letter_model, ["id", "target"], scratch_path(spark, "shared"))
     zero = zero_shot.zero_shot_eval(shared, zero_shot.ensemble_prototypes(shared, "target", "features").withColumnRenamed("target", "class_idx"))
-    few = few_shot.few_shot_eval(shared, ks=(1, 3), folds=2, check=False)
+    few = few_shot.few_shot_eval(shared, ks=(1, 3), folds=2)
     return zero.select(F.lit("zero-shot").alias("task"), r6("top1", "score")).unionByName(
         few.select(F.concat(F.lit("few-shot-"), F.col("k").cast("string")).alias("task"), r6("mean", "score"))
     )
 
 
-@query("text_prototypes")
+_PROMPTS = (
+    f"WITH n AS (SELECT DISTINCT p_brand AS name FROM part), t(template_id, template) AS (VALUES {naming.TEMPLATE_VALUES}),"
+    f" c AS (SELECT dense_rank() OVER (ORDER BY name) - 1 AS class_idx, replace(template, '{{}}', name) AS prompt FROM n CROSS JOIN t),"
+    f" e AS (SELECT class_idx, {letters_sql('prompt')} AS c FROM c), u AS (SELECT class_idx, {embedded_sql('c')} AS v0 FROM e),"
+    f" w AS (SELECT class_idx, {unit('v0')} AS v FROM u), m AS ({mean_sql('class_idx', 'w')}), p AS (SELECT class_idx, {unit('m')} AS v FROM m) "
+)
+
+
+@query("text_prototypes", _PROMPTS + spread_sql("class_idx", "v", "p").replace("round(x, 6)", "round(x, 5)"))
 def text_prototypes(spark, sf):
-    names = taxa(spark, sf).select(F.col("phylum").alias("name")).distinct()
     from ..operators.sampling import class_index_sorted
 
-    classes = class_index_sorted(names, "name")
-    protos = zero_shot.text_prototypes(classes, embed.hashing_embedder(32))
-    return protos.select("class_idx", r6(V.norm("w"), "length"))
+    classes = class_index_sorted(table(spark, sf, "part").select(F.col("p_brand").alias("name")), "name")
+    protos = zero_shot.text_prototypes(classes, letter_model)
+    return protos.select("class_idx", F.posexplode("w").alias("pos", "x")).select("class_idx", "pos", F.round("x", 5).alias("x"))

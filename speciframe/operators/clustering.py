@@ -173,22 +173,20 @@ def random_k(points: DataFrame, vec: str, key: str, k: int, seed) -> DataFrame:
 def d2_pick(distances: DataFrame, key: str, sq_dist: str, r: float, seed) -> DataFrame:
     """The first row, in seeded order, whose running share of the squared distance reaches ``r``.
 
-    Sums by hash bucket find the bucket with the point; only that bucket is sorted.
+    Sums per hash bucket (at most 16^BUCKET_DIGITS numbers) tell which bucket holds the point;
+    only that bucket is sorted.
     """
-    keyed = distances.select(key, sq_dist, seeded_key(seed, key).alias("_h"))
-    keyed = keyed.withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
-    sums = keyed.groupBy("_b").agg(F.sum(sq_dist).alias("_t"))
-    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    line = sums.select("_b", "_t", F.sum("_t").over(upto).alias("_cum"), F.sum("_t").over(Window.partitionBy()).alias("_all"))
-    # Rounding may leave the last running sum a hair below r times the total.
-    bucket = line.select(
-        "_b", (F.col("_cum") - F.col("_t")).alias("_before"), (F.lit(r) * F.col("_all")).alias("_goal"),
-        (F.col("_cum") >= F.lit(r) * F.col("_all")).alias("_reached"),
-    ).orderBy(F.desc("_reached"), F.when(F.col("_reached"), F.col("_b")).asc(), F.desc("_b")).limit(1)
+    keyed = distances.withColumn("_h", seeded_key(seed, key)).withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
+    sums = sorted(keyed.groupBy("_b").agg(F.sum(sq_dist)).collect())
+    upto = np.cumsum([s for _, s in sums])
+    goal = r * upto[-1]
+    # Rounding may leave the last running sum a hair below the goal.
+    at = min(int(np.searchsorted(upto, goal)), len(sums) - 1)
     order = Window.partitionBy("_b").orderBy("_h", key).rowsBetween(Window.unboundedPreceding, 0)
-    inside = keyed.join(F.broadcast(bucket), "_b").withColumn("_cum", F.col("_before") + F.sum(sq_dist).over(order))
-    reached = F.col("_cum") >= F.col("_goal")
-    return inside.orderBy(F.desc(reached), F.when(reached, F.col("_h")).asc(), F.desc("_h"), key).limit(1).select(key, sq_dist)
+    inside = keyed.filter(F.col("_b") == sums[at][0]).withColumn("_cum", F.sum(sq_dist).over(order))
+    reached = F.col("_cum") >= float(goal - (upto[at - 1] if at else 0.0))
+    chosen = inside.orderBy(F.desc(reached), F.when(reached, F.col("_h")).asc(), F.desc("_h"), key).limit(1)
+    return chosen.drop("_h", "_b", "_cum")
 
 
 def d2_seeds(points: DataFrame, vec: str, key: str, k: int, seed, centers: DataFrame | None = None,
@@ -203,11 +201,9 @@ def d2_seeds(points: DataFrame, vec: str, key: str, k: int, seed, centers: DataF
     shares = spark.range(have, k).select(seeded_uniform(seed, F.lit("d2"), "id")).collect() if have < k else []
     grown = ship(table, [], "cluster", "center", ship_limit) or table
     for number, (share,) in enumerate(shares, have):
-        near = assign(points, grown, vec, [key], ship_limit=ship_limit)
+        near = assign(points, grown, vec, [key, vec], ship_limit=ship_limit)
         pick = d2_pick(near, key, "sq_dist", share, seed)
-        fresh = points.join(F.broadcast(pick.select(key)), key).select(
-            F.lit(number).cast("bigint").alias("cluster"), F.col(vec).cast("array<double>").alias("center")
-        )
+        fresh = pick.select(F.lit(number).cast("bigint").alias("cluster"), F.col(vec).cast("array<double>").alias("center"))
         if isinstance(grown, dict):
             labels, w = grown[()]
             grown = {(): (np.append(labels, number), np.vstack([w, fresh.first()["center"]]))}
