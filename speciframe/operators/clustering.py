@@ -83,9 +83,9 @@ def lloyd_round(points: DataFrame, centers: dict, vec: str, pinned: str | None =
     return {(): (labels, new)}, float(total[:, -1].sum()), shift_of(old, new)
 
 
-def _table_round(points: DataFrame, centers: DataFrame, vec: str, pinned: str | None, ship_limit: int):
+def _table_round(points: DataFrame, centers: DataFrame, vec: str, key: str, pinned: str | None, ship_limit: int):
     """The same with the centres as a table."""
-    near = assign(points, centers, vec, [vec], pinned, ship_limit)
+    near = points.select(key, vec).join(assign(points, centers, vec, [key], pinned, ship_limit), key)
     measured = F.concat(F.col(vec).cast("array<double>"), F.array("sq_dist"))
     sums = vector_sums(near.select("cluster", measured.alias("_x")), "_x", ["cluster"])
     mean = F.transform(F.slice("total", F.lit(1), F.size("total") - 1), lambda x: x / F.col("n"))
@@ -133,7 +133,7 @@ def _assign_kernel(labels: np.ndarray, w: np.ndarray):
     return run
 
 
-def lloyd(points: DataFrame, centers: DataFrame | dict, vec: str, max_iterations: int = 100, tolerance: float = 1e-4,
+def lloyd(points: DataFrame, centers: DataFrame | dict, vec: str, key: str, max_iterations: int = 100, tolerance: float = 1e-4,
           pinned: str | None = None, ship_limit: int = SHIP_LIMIT_BYTES):
     """Rounds until the squared total shift is below ``tolerance``. Returns the centres of lowest
     inertia (those that produced it), that inertia, and the number of rounds."""
@@ -145,7 +145,7 @@ def lloyd(points: DataFrame, centers: DataFrame | dict, vec: str, max_iterations
         if isinstance(centers, dict):
             moved, inertia, shift = lloyd_round(points, centers, vec, pinned)
         else:
-            moved, inertia, shift = _table_round(points, centers, vec, pinned, ship_limit)
+            moved, inertia, shift = _table_round(points, centers, vec, key, pinned, ship_limit)
         if best_inertia is None or inertia < best_inertia:
             best, best_inertia = centers, inertia
         centers = moved
@@ -201,9 +201,10 @@ def d2_seeds(points: DataFrame, vec: str, key: str, k: int, seed, centers: DataF
     shares = spark.range(have, k).select(seeded_uniform(seed, F.lit("d2"), "id")).collect() if have < k else []
     grown = ship(table, [], "cluster", "center", ship_limit) or table
     for number, (share,) in enumerate(shares, have):
-        near = assign(points, grown, vec, [key, vec], ship_limit=ship_limit)
+        near = assign(points, grown, vec, [key], ship_limit=ship_limit)
         pick = d2_pick(near, key, "sq_dist", share, seed)
-        fresh = pick.select(F.lit(number).cast("bigint").alias("cluster"), F.col(vec).cast("array<double>").alias("center"))
+        # One row, found by its key.
+        fresh = points.join(F.broadcast(pick.select(key)), key).select(F.lit(number).cast("bigint").alias("cluster"), F.col(vec).cast("array<double>").alias("center"))
         if isinstance(grown, dict):
             labels, w = grown[()]
             grown = {(): (np.append(labels, number), np.vstack([w, fresh.first()["center"]]))}
@@ -226,7 +227,7 @@ def kmeans(points: DataFrame, vec: str, key: str, k: int, init: str = "k-means++
         raise ValueError(f"init must be one of {', '.join(starts)}, not {init!r}")
     best = None
     for restart in range(1 if init == "first" else n_init):
-        centers, inertia, rounds = lloyd(points, starts[init](seed + restart), vec, max_iterations, tolerance)
+        centers, inertia, rounds = lloyd(points, starts[init](seed + restart), vec, key, max_iterations, tolerance)
         if best is None or inertia < best.inertia:
             best = Clustering(centers, inertia, rounds, points, vec, key, None)
     return best
@@ -248,7 +249,7 @@ def semi_kmeans(points: DataFrame, vec: str, key: str, label: str, k: int, max_i
     best = None
     for restart in range(n_init):
         start = d2_seeds(free, vec, key, k, seed + restart, classes.select("cluster", "center"))
-        centers, inertia, rounds = lloyd(pinned, start, vec, max_iterations, tolerance, "_pin")
+        centers, inertia, rounds = lloyd(pinned, start, vec, key, max_iterations, tolerance, "_pin")
         if best is None or inertia < best.inertia:
             best = Clustering(centers, inertia, rounds, pinned, vec, key, "_pin")
     return best

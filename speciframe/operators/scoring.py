@@ -149,17 +149,18 @@ def _grid_match(rows, protos, proto_vec, label, group, k, metric, scale, truth,
     # The numbers of rows only steer how finely the grid is cut.
     n_rows, count = rows.count(), protos.count()
     s_blocks, p_blocks = -(-n_rows // CELL_ROWS) or 1, -(-count // CELL_ROWS) or 1
+    zero = F.lit(0).cast("bigint")
     left = rows.select(
         "*",
         F.pmod(F.xxhash64(*columns), F.lit(s_blocks)).alias("_sb"),
-        F.explode(F.sequence(F.lit(0), F.lit(p_blocks - 1))).cast("bigint").alias("_pb"),
+        F.explode(F.sequence(zero, F.lit(p_blocks - 1).cast("bigint"))).alias("_pb"),
     )
     right = protos.select(
         *[F.col(g).alias(f"_g_{g}") for g in group],
         F.col(label).alias("_label"),
         F.col(proto_vec).cast("array<double>").alias("_w"),
         F.pmod(F.xxhash64(label), F.lit(p_blocks)).alias("_pb"),
-        F.explode(F.sequence(F.lit(0), F.lit(s_blocks - 1))).cast("bigint").alias("_sb"),
+        F.explode(F.sequence(zero, F.lit(s_blocks - 1).cast("bigint"))).alias("_sb"),
     )
     left_keys = [*group, "_sb", "_pb"]
     right_keys = [*[f"_g_{g}" for g in group], "_sb", "_pb"]
