@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import tokens as K
-from .base import ctes, lexicon, query, table
+from .base import ctes, lexicon, query, spread, table
 
 PUNCT = r"[!-/:-@\[-`{-~]"
 WORDS = (
@@ -35,7 +35,7 @@ def basic_clean(spark, sf):
 
 @query("whitespace_clean", f"SELECT doc_id, {collapse('text')} AS text FROM documents")
 def whitespace_clean(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.whitespace_clean("text").alias("text"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", X.whitespace_clean("text").alias("text"))
 
 
 def canonical(expr):
@@ -45,7 +45,7 @@ def canonical(expr):
 
 @query("canonicalize_text", f"SELECT doc_id, {canonical('text')} AS text FROM documents")
 def canonicalize_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.canonicalize_text("text").alias("text"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", X.canonicalize_text("text").alias("text"))
 
 
 _KEPT = f"array_to_string(list_transform(string_split(replace(html, '_', ' '), '</p>'), lambda p: regexp_replace(p, '{PUNCT}', '', 'g')), '</p>')"
@@ -74,7 +74,7 @@ def clean_modes(spark, sf):
     f"SELECT doc_id, len({WORDS.format('text')}) AS n_words, md5(array_to_string({WORDS.format('text')}, '|')) AS words FROM documents",
 )
 def pretokenize(spark, sf):
-    words = table(spark, sf, "documents").select("doc_id", X.pretokenize("text").alias("w"))
+    words = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", X.pretokenize("text").alias("w"))
     return words.select("doc_id", F.size("w").alias("n_words"), F.md5(F.array_join("w", "|")).alias("words"))
 
 
@@ -120,13 +120,13 @@ _ENCODE_SQL = f"""WITH words AS (SELECT doc_id, unnest(w) AS word, generate_subs
 def _encoded(spark, sf):
     # The documents hold no entities, so the cleaning without the Python step gives the same.
     words = X.pretokenize(F.lower(X.whitespace_clean("text")))
-    docs = table(spark, sf, "documents").select("doc_id", words.alias("w"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", words.alias("w"))
     return docs.withColumn("t", K.encode_words("w", VOCABULARY))
 
 
 @query("encode_corpus", _ENCODE_SQL)
 def encode_corpus(spark, sf):
-    return _encoded(spark, sf).filter(F.size("w") > 0).select(
+    return _encoded(spark, sf).select(
         "doc_id",
         F.size("t").cast("bigint").alias("n_tokens"),
         F.md5(F.array_join(F.transform("t", lambda x: x.cast("string")), " ")).alias("tokens"),
@@ -183,7 +183,7 @@ _EACH_WORD = f"SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 A
 
 
 def _doc_words(spark, sf):
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", F.regexp_extract_all(F.col("text"), F.lit(r"[^\s]+"), F.lit(0)).alias("w")
     )
 

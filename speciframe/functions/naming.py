@@ -40,21 +40,28 @@ class TaxonColumns:
 
     def __init__(self, **columns):
         self._columns = columns
+        self._known: dict[str, Column] = {}
 
     @classmethod
     def of_struct(cls, struct) -> "TaxonColumns":
         s = F.col(struct) if isinstance(struct, str) else struct
         return cls(**{name: s[name] for name in NAME_FIELDS + ("common_name",)})
 
+    def _once(self, name: str, make) -> Column:
+        if name not in self._known:
+            self._known[name] = make()
+        return self._known[name]
+
     def __getitem__(self, name: str) -> Column:
         c = self._columns.get(name)
         if c is None:
             return F.lit("")
-        return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+        return self._once(name, lambda: F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
 
     def written(self, name: str) -> Column:
         """The rank in canonical case: species and subspecies lower, the others capitalised."""
-        return F.lower(self[name]) if name in ("species", "subspecies") else capitalize(self[name])
+        lower = name in ("species", "subspecies")
+        return self._once(f"written {name}", lambda: F.lower(self[name]) if lower else capitalize(self[name]))
 
 
 def taxon_ranks(taxon: TaxonColumns) -> list[Column]:

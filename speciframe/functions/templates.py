@@ -120,6 +120,10 @@ def expand_prompts(
 ) -> DataFrame:
     """One row per class and template. The templates are a short literal list, so this is a
     row-wise generator without join or shuffle."""
+    templates = list(templates)
+    if not any(callable(t) for t in templates):
+        listed = classes.select("*", F.posexplode(F.lit(templates)).alias("template_id", "prompt"))
+        return listed.withColumn("prompt", F.replace("prompt", F.lit("{}"), F.col(name)))
     entries = [
         F.struct(F.lit(i).alias("template_id"), fill(t, F.col(name)).alias("prompt"))
         for i, t in enumerate(templates)

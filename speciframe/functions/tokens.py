@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,25 +79,38 @@ class Vocabulary:
         return encode
 
     def decoder(self):
+        """A function from ids to text; bytes that are not UTF-8 become replacement marks."""
         to_byte = {s: b for b, s in enumerate(byte_symbols())}
-        entries = self.entries
+        raw = [bytes(to_byte[ch] for ch in entry) for entry in self.entries]
 
         def decode(tokens) -> str:
-            joined = "".join(entries[t] for t in tokens)
-            raw = bytes(to_byte[ch] for ch in joined)
-            return raw.decode("utf-8", errors="replace").replace(WORD_END, " ")
+            return b"".join(map(raw.__getitem__, tokens)).decode("utf-8", errors="replace").replace(WORD_END, " ")
 
         return decode
 
 
 def encode_words(words, vocabulary: Vocabulary) -> Column:
-    """Array of words to array of token ids. Map-side: no shuffle of word occurrences, and each
-    Python worker encodes a distinct word once."""
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Array of words to array of token ids. Map-side: no shuffle of word occurrences; each batch
+    encodes its distinct words once and puts the ids together by index."""
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = vocabulary.encoder()
         for batch in batches:
-            yield batch.map(lambda ws: None if ws is None else [t for w in ws for t in encode(w)])
+            coded = batch.flatten().dictionary_encode()
+            pieces = [np.asarray(encode(w), dtype=np.int32) for w in coded.dictionary.to_pylist()]
+            sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+            word = coded.indices.to_numpy()
+            if len(word):
+                starts = np.cumsum(sizes) - sizes
+                ends = np.cumsum(sizes[word])
+                shift = np.repeat(starts[word] - (ends - sizes[word]), sizes[word])
+                ids = np.concatenate(pieces)[np.arange(ends[-1]) + shift]
+            else:
+                ends, ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
+            last_word = np.cumsum(batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            offsets = np.concatenate([[0], np.concatenate([[0], ends])[last_word]]).astype(np.int32)
+            missing = pa.array(batch.is_null()) if batch.null_count else None
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=missing)
 
     return run(F.col(words) if isinstance(words, str) else words)
 

@@ -241,9 +241,9 @@ def semi_kmeans(points: DataFrame, vec: str, key: str, label: str, k: int, max_i
     order, started at the class means; further centres come from the unlabelled rows.
     """
     labelled, free = points.filter(F.col(label).isNotNull()), points.filter(F.col(label).isNull())
-    means = cut_lineage(vector_mean(labelled, vec, [label], "center"))
-    classes = row_index(means, [label], "cluster").select(label, F.col("cluster").cast("bigint").alias("cluster"), "center")
-    classes = cut_lineage(classes)
+    # Written inside the numbering.
+    means = vector_mean(labelled, vec, [label], "center").select(label, "center")
+    classes = row_index(means, [label], "cluster")
     # One row per class: joined by size, the adaptive skew join splits a hot class.
     pinned = points.join(classes.select(label, F.col("cluster").alias("_pin")), label, "left")
     best = None

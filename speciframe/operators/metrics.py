@@ -91,24 +91,3 @@ def cluster_purity(df: DataFrame, pred: str, true: str, by: Sequence[str] = ())
     """Share of rows that carry the majority label of their cluster."""
     largest = contingency(df, pred, true, by).groupBy(*by, pred).agg(F.max("n").alias("top"), F.sum("n").alias("n"))
     return largest.groupBy(*by).agg((F.sum("top") / F.sum("n")).alias("purity"), F.sum("n").alias("n"))
-
-
-def neighbour_vote(hits: DataFrame, n: int, keep: Sequence[str], labels: str = "hits") -> DataFrame:
-    """Most frequent label of the first ``n`` neighbours; the smallest one on ties."""
-    votes = F.transform(F.slice(labels, 1, n), lambda h: h["label"])
-    tally = F.transform(
-        F.array_distinct(votes),
-        lambda v: F.struct((-F.size(F.filter(votes, lambda w: w == v))).alias("c"), v.alias("v")),
-    )
-    return hits.select(*keep, F.array_min(tally)["v"].alias("pred"))
-
-
-def rank_summary(ranked: DataFrame, direction: str, n_better: str = "n_better") -> DataFrame:
-    """Mean rank, median rank and recall at 1, 5, 10; ranks start at 1."""
-    recall = lambda k: F.avg(F.when(F.col(n_better) < k, 1.0).otherwise(0.0))
-    return ranked.agg(
-        F.lit(direction).alias("direction"),
-        (F.avg(n_better) + 1).alias("mean_rank"),
-        (F.floor(F.percentile(n_better, F.lit(0.5))) + 1).cast("double").alias("median_rank"),
-        *[recall(k).alias(f"r_at_{k}") for k in (1, 5, 10)],
-    )

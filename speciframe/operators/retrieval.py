@@ -25,28 +25,30 @@ def match_rank(pairs: DataFrame, query: str, target: str, key: str = "id", **how
     return ranked.select(key, "n_better")
 
 
-def exact_median(df: DataFrame, value: str) -> DataFrame:
-    """One-row frame with the exact median, from counts per value and their running sum."""
-    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    line = running_sum(counts, [value], "_n", "_lo", "_hi")
-    n = line.agg(F.max("_hi")).first()[0] or 0
-    middle = [(n - 1) // 2, n // 2]
-    hits = [F.when((F.col("_lo") <= m) & (F.col("_hi") > m), F.col(value)) for m in middle]
-    return line.agg(((F.max(hits[0]) + F.max(hits[1])) / 2).alias("median"))
-
-
 def retrieval_metrics(pairs: DataFrame, image: str, text: str, key: str = "id", **how) -> DataFrame:
     """Mean rank, floor(median) + 1 rank and recall at 1, 5, 10 for both directions."""
     out = None
     for direction, query, target in (("image_to_text", image, text), ("text_to_image", text, image)):
-        ranks = match_rank(pairs, query, target, key, **how)
-        recall = lambda k: F.avg(F.when(F.col("n_better") < k, 1.0).otherwise(0.0))
-        means = ranks.agg(
-            (F.avg("n_better") + 1).alias("mean_rank"), *[recall(k).alias(f"r_at_{k}") for k in (1, 5, 10)]
-        ).withColumn("direction", F.lit(direction))
-        median = exact_median(ranks, "n_better").select(
-            F.lit(direction).alias("direction"), (F.floor("median") + 1).cast("double").alias("median_rank")
-        )
-        both = means.join(median, "direction")
-        out = both if out is None else out.unionByName(both)
+        one = rank_summary(match_rank(pairs, query, target, key, **how), "n_better")
+        one = one.select(F.lit(direction).alias("direction"), "*")
+        out = one if out is None else out.unionByName(one)
     return out
+
+
+def rank_summary(ranks: DataFrame, rank: str, ks=(1, 5, 10)) -> DataFrame:
+    """(mean_rank, median_rank, r_at_k...) from 0-based ranks.
+
+    The ranks are looked at once: everything follows from the number of rows per rank and their
+    running sum, which also gives the exact median without bringing the ranks together.
+    """
+    counts = ranks.groupBy(rank).agg(F.count("*").alias("_n"))
+    line = running_sum(counts, [rank], "_n", "_lo", "_hi")
+    n = line.agg(F.max("_hi")).first()[0] or 0
+    at = lambda place: F.max(F.when((F.col("_lo") <= place) & (F.col("_hi") > place), F.col(rank)))
+    median = (at((n - 1) // 2) + at(n // 2)) / 2
+    within = lambda k: F.sum(F.when(F.col(rank) < k, F.col("_n")).otherwise(0)) / F.lit(float(n))
+    return line.agg(
+        (F.sum(F.col(rank) * F.col("_n")) / F.lit(float(n)) + 1).alias("mean_rank"),
+        (F.floor(median) + 1).cast("double").alias("median_rank"),
+        *[within(k).alias(f"r_at_{k}") for k in ks],
+    )

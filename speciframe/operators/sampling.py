@@ -8,18 +8,33 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_key, seeded_uniform
-from .ranking import rank_by_hash, row_index, running_sum
+from .ranking import BUCKET_DIGITS, rank_by_hash, row_index, running_sum
 
 
-def first_per_class(df: DataFrame, k: int, seed, cls: Sequence[str], key: str, rank: str = "pick") -> DataFrame:
+# Largest k for which Spark cuts a ranking window before the shuffle (its own default).
+WINDOW_LIMIT = 1000
+
+
+def first_per_class(
+    df: DataFrame, k: int, seed, cls: Sequence[str], key: str, rank: str = "pick", window_limit: int = WINDOW_LIMIT
+) -> DataFrame:
     """The first ``k`` rows of each class in seeded order, numbered from 1.
 
-    A row limit on a window lets every map task keep only its own first k per class, so a class
-    holding a third of the table sends k rows per task, not its rows.
+    Up to ``window_limit`` a row limit on a window lets every map task keep only its own first k
+    per class, so a class holding a third of the table sends k rows per task, not its rows. Beyond
+    it, rows are numbered inside (class, hash bucket), which spreads a large class evenly.
     """
-    seed_col = F.col(seed) if isinstance(seed, str) and seed in df.columns else seed
-    order = Window.partitionBy(*cls).orderBy(seeded_key(seed_col, key), key)
-    return df.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= k)
+    order_key = seeded_key(F.col(seed) if isinstance(seed, str) and seed in df.columns else seed, key)
+    if k <= window_limit:
+        order = Window.partitionBy(*cls).orderBy(order_key, key)
+        return df.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= k)
+    keyed = df.withColumn("_h", order_key).withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
+    before = Window.partitionBy(*cls).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = keyed.groupBy(*cls, "_b").agg(F.count("*").alias("_n"))
+    buckets = buckets.withColumn("_lo", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter(F.col("_lo") < k).drop("_n")
+    inside = Window.partitionBy(*cls, "_b").orderBy("_h", key)
+    ranked = keyed.join(buckets, [*cls, "_b"]).withColumn(rank, F.col("_lo") + F.row_number().over(inside))
+    return ranked.filter(F.col(rank) <= k).select(*df.columns, F.col(rank).cast("int").alias(rank))
 
 
 def k_per_class(df: DataFrame, k: int, seed, cls: str, key: str) -> DataFrame:

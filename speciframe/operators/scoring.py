@@ -24,6 +24,8 @@ from .dense import best_hits, centred, matrix, own_closeness, row_groups, vector
 HITS = "array<struct<label:bigint,score:double>>"
 # Rows per side of a grid cell.
 CELL_ROWS = 8192
+# Rows of a prototype table that are read before its size is known: a few megabytes at most.
+HEAD_ROWS = 1024
 
 
 def _type(df: DataFrame, name: str) -> str:
@@ -44,16 +46,23 @@ def _hit_lists(labels: np.ndarray, scores: np.ndarray) -> pa.Array:
 
 
 def ship(protos: DataFrame, group: Sequence[str], label: str, vec: str, ship_limit: int = SHIP_LIMIT_BYTES) -> dict | None:
-    """{group key: (labels ascending, matrix)} if the table is within the limit, else None. The
-    table is read twice, so it should be cheap to read."""
-    numbers = protos.agg(F.sum(F.size(vec))).first()[0] or 0
-    if numbers * 8 > ship_limit:
-        return None
+    """{group key: (labels ascending, matrix)} if the table is within the limit, else None.
+
+    ``protos`` is read up to three times, so it should be a written table. A short table is known
+    to be within the limit after reading its head; otherwise the numbers are counted first.
+    """
     rows = protos.select(*group, F.col(label).cast("bigint").alias("_l"), F.col(vec).cast("array<double>").alias("_w"))
-    collected = rows.toArrow()
+    collected = rows.limit(HEAD_ROWS + 1).toArrow() if ship_limit else None
+    if collected is None or collected.num_rows > HEAD_ROWS:
+        numbers = protos.agg(F.sum(F.size(vec))).first()[0] or 0
+        if numbers * 8 > ship_limit:
+            return None
+        collected = rows.toArrow()
     if collected.num_rows == 0:
         return {}
     labels, weights = collected.column("_l").to_numpy(), matrix(collected.column("_w"))
+    if weights.nbytes > ship_limit:
+        return None
     shipped = {}
     for key, at in row_groups(collected, list(group)):
         at = at[np.argsort(labels[at], kind="stable")]
@@ -66,6 +75,12 @@ def collect_means(means: DataFrame, group: Sequence[str], vec: str = "mean") ->
     return {tuple(r[g] for g in group): np.array(r[vec], dtype=np.float64) for r in means.select(*group, vec).collect()}
 
 
+def centre_rows(rows: DataFrame, vec: str, group: Sequence[str], means: dict, out: str) -> DataFrame:
+    """Rows with ``out``: the vector less the mean of its group, scaled to unit length."""
+    named = rows.withColumnRenamed(vec, "_v") if vec != "_v" else rows
+    return _centre_frame(named, list(group), means).withColumnRenamed("_v", out)
+
+
 def match_prototypes(
     samples: DataFrame,
     protos: DataFrame | dict,
@@ -81,11 +96,13 @@ def match_prototypes(
     keep: Sequence[str] = ("id",),
     means: dict | None = None,
     ship_limit: int = SHIP_LIMIT_BYTES,
+    fixed: bool = False,
 ) -> DataFrame:
     """(keep..., group..., hits[, own_score, n_better]) for every sample.
 
     ``hits`` are the k best (label, score): dot product times ``scale``, or distance for
-    ``metric='l2'``. ``protos`` may be prototypes already collected by ``ship``. With ``truth``, ``n_better`` labels rank before the true one (NULL if it has
+    ``metric='l2'``. ``protos`` may be prototypes already collected by ``ship``; ``fixed``
+    tells that they are a written table already. With ``truth``, ``n_better`` labels rank before the true one (NULL if it has
     no prototype). ``means`` centres and normalises the samples of a group first. ``keep`` must
     identify a sample within its group.
     """
@@ -99,7 +116,8 @@ def match_prototypes(
         schema += ", own_score double, n_better bigint"
     shipped = protos if isinstance(protos, dict) else None
     if shipped is None:
-        protos = cut_lineage(protos.select(*group, F.col(label).cast("bigint").alias(label), proto_vec))
+        protos = protos.select(*group, F.col(label).cast("bigint").alias(label), proto_vec)
+        protos = protos if fixed else cut_lineage(protos)
         shipped = ship(protos, group, label, proto_vec, ship_limit)
     if shipped is not None:
         run = _shipped_kernel(shipped, out_columns, group, k, metric, scale, truth, means)

@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
 from ..operators.aggregates import class_centroids, vector_mean
 from ..operators.metrics import fold_summary, label_accuracy
 from ..operators.sampling import kshot_picks
-from ..operators.scoring import collect_means, match_prototypes, nearest_prototype
+from ..operators.scoring import centre_rows, collect_means, match_prototypes, nearest_prototype
 from ..session import cut_lineage
 
 KSHOTS, FOLDS = (1, 5), 5
@@ -45,11 +44,9 @@ def few_shot_accuracy(
         require_k(picks, features, cls, max(ks))
     chosen = picks.join(features.select(key, vec), key)
     train = chosen.select("*", _explode_ints(ks, "k")).filter("pick <= k")
-    means = cut_lineage(vector_mean(train, vec, ["k", "fold"]))
-    shipped = collect_means(means, ["k", "fold"])
-    # One mean per (k, fold): a fixed handful of rows.
-    centred = train.join(F.broadcast(means.select("k", "fold", "mean")), ["k", "fold"])
-    centred = centred.withColumn("_x", V.cl2n(vec, "mean"))
+    # One mean per (k, fold): a fixed handful of vectors.
+    shipped = collect_means(vector_mean(train, vec, ["k", "fold"]), ["k", "fold"])
+    centred = centre_rows(train.select("k", "fold", cls, vec), vec, ["k", "fold"], shipped, "_x")
     centroids = class_centroids_by(centred, ["k", "fold"], cls)
     # Which folds use a row for training, and at which pick.
     used = picks.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("fold", "pick"))).alias("_used"))
@@ -79,10 +76,8 @@ def few_shot_eval(features: DataFrame, **how) -> DataFrame:
 
 def simpleshot_scores(train: DataFrame, test: DataFrame, key: str = "id", vec: str = "features", cls: str = "target") -> DataFrame:
     """(key, label, pred, score) of separate train and test tables; score is 1 for a hit."""
-    mean = cut_lineage(vector_mean(train, vec))
-    shipped = collect_means(mean, [])
-    # One vector, so a constant.
-    centred = train.withColumn("_x", V.cl2n(vec, F.lit([float(v) for v in shipped[()]])))
+    shipped = collect_means(vector_mean(train, vec), [])
+    centred = centre_rows(train.select(cls, vec), vec, [], shipped, "_x")
     centroids = class_centroids(centred, "_x", cls)
     predicted = nearest_prototype(
         test, centroids, vec=vec, proto_vec="centroid", label=cls, metric="l2", means=shipped, keep=[key, cls]
@@ -97,9 +92,8 @@ def simpleshot_repeats(
     ids = list(range(repeats))
     picks = cut_lineage(kshot_picks(train.select(key, cls), k, ids, cls, key))
     chosen = picks.join(train.select(key, vec), key)
-    means = cut_lineage(vector_mean(chosen, vec, ["fold"]))
-    shipped = collect_means(means, ["fold"])
-    centred = chosen.join(F.broadcast(means.select("fold", "mean")), "fold").withColumn("_x", V.cl2n(vec, "mean"))
+    shipped = collect_means(vector_mean(chosen, vec, ["fold"]), ["fold"])
+    centred = centre_rows(chosen.select("fold", cls, vec), vec, ["fold"], shipped, "_x")
     centroids = class_centroids_by(centred, ["fold"], cls)
     every = test.select(key, vec, cls, _explode_ints(ids, "fold"))
     predicted = nearest_prototype(

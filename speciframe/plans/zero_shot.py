@@ -12,6 +12,7 @@ from ..functions.templates import EVALUATION_TEMPLATES, Template, expand_prompts
 from ..operators.aggregates import vector_mean
 from ..operators.metrics import accuracy_ks, topk_accuracy
 from ..operators.scoring import match_prototypes
+from ..session import cut_lineage
 from .embed import Embedder, embed
 
 LOGIT_SCALE = 100.0
@@ -37,9 +38,10 @@ def zero_shot_eval(
     class_idx: str = "class_idx", proto_vec: str = "w", scale: float = LOGIT_SCALE, ks: Sequence[int] | None = None,
 ) -> DataFrame:
     """One row: n and the accuracy at 1, 3 and 5 (at most the number of classes)."""
-    ks = accuracy_ks(prototypes.count()) if ks is None else list(ks)
+    written = cut_lineage(prototypes.select(F.col(class_idx).cast("bigint").alias(class_idx), proto_vec))
+    ks = accuracy_ks(written.count()) if ks is None else list(ks)
     ranked = match_prototypes(
-        features, prototypes, vec=vec, proto_vec=proto_vec, label=class_idx, k=1, metric="dot", scale=scale,
+        features, written, fixed=True, vec=vec, proto_vec=proto_vec, label=class_idx, k=1, metric="dot", scale=scale,
         truth=target, keep=[key],
     )
     # A sample whose class has no prototype can never be right.

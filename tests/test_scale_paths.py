@@ -196,3 +196,22 @@ def test_hot_class_keeps_all_rows(spark):
     assert split.count() == 3000 * 4
     train = split.filter("role = 'train' AND k = 5").groupBy("fold", "c").count()
     assert {r["count"] for r in train.collect()} == {5}
+
+
+@pytest.mark.parametrize("k", [1, 40, 700])
+def test_large_k_per_class(spark, k):
+    df = spark.range(3000).withColumn("c", F.when(F.col("id") < 1500, 0).otherwise(F.col("id") % 7)).repartition(6)
+    short = sampling.first_per_class(df, k, 4, ["c"], "id")
+    spread = sampling.first_per_class(df, k, 4, ["c"], "id", window_limit=0)
+    assert collected(short) == collected(spread)
+
+
+def test_rank_summary(spark):
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 7, 100):
+        ranks = rng.integers(0, 20, n)
+        df = spark.createDataFrame([(int(r),) for r in ranks], "r bigint")
+        got = retrieval.rank_summary(df, "r").first()
+        assert abs(got["mean_rank"] - (ranks.mean() + 1)) < 1e-9
+        assert got["median_rank"] == np.floor(np.median(ranks)) + 1
+        assert abs(got["r_at_5"] - (ranks < 5).mean()) < 1e-12
