@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -56,19 +57,34 @@ def _repair(match: re.Match) -> str:
         return match.group()
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
-    def clean(text):
-        if text is None:
-            return None
-        return html.unescape(html.unescape(_MOJIBAKE.sub(_repair, text))).strip()
+# What a repaired text no longer contains, and what stands for it.
+LINE_BREAKS = re.compile("\r\n|\r|\u2028|\u2029|\x85")
+TERMINAL_ESCAPES = re.compile(r"\x1b\[[0-9;]*[a-zA-Z]")
+REPLACED = {
+    **dict.fromkeys(map(ord, "\u2018\u2019\u201a\u201b"), "'"),
+    **dict.fromkeys(map(ord, "\u201c\u201d\u201e\u201f"), '"'),
+    0x0132: "IJ", 0x0133: "ij", 0x0149: "\u02bcn", 0xFB00: "ff", 0xFB01: "fi", 0xFB02: "fl", 0xFB03: "ffi", 0xFB04: "ffl",
+    0xFB05: "\u017ft", 0xFB06: "st", 0x3000: " ",
+    **{c: unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF01, 0xFFEF)},
+    **dict.fromkeys([*range(0x00, 0x09), 0x0B, *range(0x0E, 0x20), 0x7F, *range(0x206A, 0x2070), 0xFEFF, *range(0xFFF9, 0xFFFD)]),
+}
+
 
-    return texts.map(clean)
+def repair(text: str) -> str:
+    """Text decoded with the wrong code page put right; plain quotes, letters and line breaks in
+    place of typographic, joined or wide ones; no control characters; composed form."""
+    text = _MOJIBAKE.sub(_repair, TERMINAL_ESCAPES.sub("", text))
+    return unicodedata.normalize("NFC", LINE_BREAKS.sub("\n", text).translate(REPLACED))
+
+
+@F.pandas_udf(T.StringType())
+def _clean(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: html.unescape(html.unescape(repair(t))).strip(), na_action="ignore")
 
 
 def basic_clean(text) -> Column:
-    """Repair of text decoded with the wrong code page, HTML entities resolved twice, trim."""
-    return _unescape(_col(text))
+    """Repaired text with HTML entities resolved twice, trimmed."""
+    return _clean(_col(text))
 
 
 def whitespace_clean(text) -> Column:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import class_centroids, vector_mean
+from ..operators.dense import best_hits, centred, matrix
 from ..operators.metrics import fold_summary, label_accuracy
 from ..operators.sampling import kshot_picks
-from ..operators.scoring import centre_rows, collect_means, match_prototypes, nearest_prototype
-from ..session import cut_lineage
+from ..operators.scoring import centre_rows, collect_means, match_prototypes, nearest_prototype, ship
+from ..session import SHIP_LIMIT_BYTES, cut_lineage
 
 KSHOTS, FOLDS = (1, 5), 5
 
@@ -29,14 +31,14 @@ def require_k(picks: DataFrame, features: DataFrame, cls: str, k: int) -> None:
 
 def few_shot_accuracy(
     features: DataFrame, ks: Sequence[int] = KSHOTS, folds: int = FOLDS, key: str = "id", vec: str = "features",
-    cls: str = "target", check: bool = True,
+    cls: str = "target", check: bool = True, ship_limit: int = SHIP_LIMIT_BYTES,
 ) -> DataFrame:
     """(k, fold, n, accuracy) for all pairs of k and fold in one plan.
 
     Per fold, k rows per class in seeded order are the train rows. Their mean is subtracted from
     train and test rows, which are then scaled to unit length; the nearest class centroid wins.
-    Only the picks (at most max(k) rows per class and fold) are shuffled; the test pass over the
-    features is map-side.
+    Only the picks (at most max(k) rows per class and fold) are shuffled; the test pass reads the
+    features once for all pairs and hands on counts.
     """
     ks, fold_ids = list(ks), list(range(folds))
     picks = cut_lineage(kshot_picks(features.select(key, cls), max(ks), fold_ids, cls, key))
@@ -48,19 +50,57 @@ def few_shot_accuracy(
     shipped = collect_means(vector_mean(train, vec, ["k", "fold"]), ["k", "fold"])
     centred = centre_rows(train.select("k", "fold", cls, vec), vec, ["k", "fold"], shipped, "_x")
     centroids = class_centroids_by(centred, ["k", "fold"], cls)
-    # Which folds use a row for training, and at which pick.
+    centroids = cut_lineage(centroids.select("k", "fold", F.col(cls).cast("bigint").alias(cls), "centroid"))
+    # At which pick each fold uses a row for training; 0 where it does not.
     used = picks.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("fold", "pick"))).alias("_used"))
+    place = F.transform(F.lit(fold_ids), lambda f: F.coalesce(F.try_element_at("_used", f), F.lit(0)))
+    rows = features.select(key, vec, cls).join(used, key, "left").withColumn("_picks", place).drop("_used")
+    prototypes = ship(centroids, ["k", "fold"], cls, "centroid", ship_limit)
+    if prototypes is None:
+        return _by_configuration(rows, centroids, ks, fold_ids, shipped, key, vec, cls, ship_limit)
+    kernel = _count_hits(ks, fold_ids, shipped, prototypes)
+    counts = rows.select(F.col(vec).alias("_v"), F.col(cls).cast("bigint").alias("_y"), "_picks").mapInArrow(
+        kernel, "k int, fold int, n bigint, hits bigint"
+    )
+    return counts.groupBy("k", "fold").agg(
+        F.sum("n").alias("n"), (F.sum("hits") / F.sum("n")).alias("accuracy")
+    )
+
+
+def _count_hits(ks: list[int], folds: list[int], means: dict, prototypes: dict):
+    """Test rows and right answers of each (k, fold), all in one pass over a task's rows."""
+    def run(batches):
+        counts = {(k, f): [0, 0] for k in ks for f in folds}
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x, y = matrix(batch.column("_v")), batch.column("_y").to_numpy()
+            picks = matrix(batch.column("_picks"))
+            for (k, fold), count in counts.items():
+                pick = picks[:, folds.index(fold)]
+                test = (pick == 0) | (pick > k)
+                labels, w = prototypes[(k, fold)]
+                top, _, _ = best_hits(centred(x[test], means[(k, fold)]), labels, w, 1, "l2")
+                count[0] += int(test.sum())
+                count[1] += int((top[:, 0] == y[test]).sum())
+        if any(n for n, _ in counts.values()):
+            table = [(k, f, n, hits) for (k, f), (n, hits) in counts.items()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*table), (pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "fold", "n", "hits"])
+
+    return run
+
+
+def _by_configuration(rows, centroids, ks, folds, means, key, vec, cls, ship_limit):
+    """The same for centroid tables that cannot be shipped: a row per test row and (k, fold)."""
     test = (
-        features.select(key, vec, cls)
-        .join(used, key, "left")
-        .select("*", _explode_ints(fold_ids, "fold"))
-        .withColumn("_pick", F.col("_used")[F.col("fold")])
+        rows.select(key, vec, cls, F.posexplode("_picks").alias("fold", "_pick"))
         .select("*", _explode_ints(ks, "k"))
-        .filter("_pick IS NULL OR _pick > k")
+        .filter("_pick = 0 OR _pick > k")
     )
     predicted = nearest_prototype(
         test, centroids, vec=vec, proto_vec="centroid", label=cls, group=["k", "fold"], metric="l2",
-        means=shipped, keep=[key, cls],
+        means=means, keep=[key, cls], fixed=True, ship_limit=ship_limit,
     )
     return label_accuracy(predicted, "pred", cls, ["k", "fold"])
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from speciframe.operators import clustering as C
 from speciframe.operators import losses, ranking, retrieval, samples, sampling, scoring
 from speciframe.operators.aggregates import class_centroids
+from speciframe.plans import few_shot
 
 
 def collected(df, *order):
@@ -215,3 +216,12 @@ def test_rank_summary(spark):
         assert abs(got["mean_rank"] - (ranks.mean() + 1)) < 1e-9
         assert got["median_rank"] == np.floor(np.median(ranks)) + 1
         assert abs(got["r_at_5"] - (ranks < 5).mean()) < 1e-12
+
+
+def test_few_shot_by_configuration(spark, points, monkeypatch):
+    monkeypatch.setattr(scoring, "CELL_ROWS", 100)
+    table = points.select("id", F.col("v").alias("features"), F.col("label").alias("target"))
+    how = dict(ks=(1, 5), folds=2)
+    short = {(r["k"], r["fold"]): (r["n"], round(r["accuracy"], 9)) for r in few_shot.few_shot_accuracy(table, **how).collect()}
+    wide = {(r["k"], r["fold"]): (r["n"], round(r["accuracy"], 9)) for r in few_shot.few_shot_accuracy(table, ship_limit=0, **how).collect()}
+    assert short == wide and len(short) == 4

@@ -76,7 +76,7 @@ def test_templates(spark):
 
 
 @pytest.mark.parametrize("raw,clean", [
-    ("  a &amp;amp; b ", "a & b"), ("&lt;p&gt;", "<p>"), ("cafÃ© crÃ¨me", "café crème"), ("itâ€™s", "it’s"),
+    ("  a &amp;amp; b ", "a & b"), ("&lt;p&gt;", "<p>"), ("cafÃ© crÃ¨me", "café crème"), ("itâ€™s", "it's"), ("\u201cﬁne\u201d\r\nｏｋ\x00", '"fine"\nok'), ("e\u0301", "é"), ("\x1b[1;31mred\x1b[0m", "red"),
     ("plain Ã text", "plain Ã text"), ("naïve", "naïve"), (None, None),
 ])
 def test_basic_clean(spark, raw, clean):
