@@ -150,10 +150,10 @@ def replay_pairing(spark, sf):
 # -- relational pieces -------------------------------------------------------------------------
 
 
-@query("filter_classes", "SELECT p_partkey, p_brand FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY p_brand HAVING count(*) > 80)")
+@query("filter_classes", "SELECT p_partkey, p_brand FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY p_brand HAVING count(*) * 25 > (SELECT count(*) FROM part))")
 def filter_classes(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_brand")
-    big = sampling.class_sizes(part, "p_brand").filter("n > 80")
+    big = sampling.class_sizes(part, "p_brand").filter(F.col("n") * 25 > part.count())
     return joins.keep_classes(part, big, "p_brand")
 
 

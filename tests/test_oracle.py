@@ -22,8 +22,9 @@ def con(sf):
 def test_query(spark, sf, con, name):
     df = QUERIES[name](spark, sf)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
-    assert got
-    if name in ORACLES:
+    if name not in ORACLES:
+        assert got
+    else:
         cur = con.execute(ORACLES[name])
         names = [d[0] for d in cur.description]
         assert sorted(names) == sorted(df.columns)
