@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.hashing import seeded_key
 from ..operators import aggregates, clustering, losses, metrics, retrieval, scoring
+from ..operators.sampling import class_index_sorted
 from ..plans import discovery, embed, few_shot, probes, zero_shot
 from ..session import scratch_path
 from . import naming
-from .base import ctes, features, meter, pairs, query, r6, table, tasks, traits, taxa
+from .base import ctes, features, meter, pairs, query, r6, samples, table, tasks, traits
 from .sampling import _FOLD_RANK, order
 
 # A vector column is compared value by value: (keys..., pos, x).
@@ -228,8 +230,6 @@ _SIMPLE_SPLIT = ", parts AS (SELECT *, substr(md5(concat_ws(':', 't', id)), 1, 1
 
 
 def _train_test(spark, sf):
-    from ..functions.hashing import seeded_key
-
     rows = features(spark, sf).withColumn("_h", F.substring(seeded_key("t", "id"), 1, 1))
     return rows.filter("_h < '8'").drop("_h"), rows.filter("_h >= '8'").drop("_h")
 
@@ -343,8 +343,6 @@ def throughput(spark, sf):
  FROM (SELECT lang, url, count(*) AS n, count(txt) AS a, count(coalesce(jpg, png)) AS b FROM samples GROUP BY lang, url)""",
 )
 def count_samples(spark, sf):
-    from .base import samples
-
     rows = samples(spark, sf).select(F.struct("lang", "url").alias("batch"), "txt", F.coalesce("jpg", "png").alias("image"))
     return metrics.count_samples(rows, "batch", "txt", "image")
 
@@ -536,8 +534,6 @@ def _semi_round(i):
     SEMI + ", " + ", ".join(_semi_round(i) for i in range(3)) + " SELECT cluster, count(*) AS n, round((SELECT inertia FROM t2), 5) AS inertia FROM a2 GROUP BY cluster",
 )
 def semi_kmeans(spark, sf):
-    from ..functions.hashing import seeded_key
-
     known = (F.col("target") < 9) & (F.substring(seeded_key("l", "id"), 1, 1) < "8")
     points = features(spark, sf).withColumn("label", F.when(known, F.col("target")))
     fitted = clustering.semi_kmeans(points, "features", "id", "label", 10, max_iterations=3, tolerance=0.0, n_init=1, seed=2)
@@ -650,8 +646,6 @@ _PROMPTS = (
 
 @query("text_prototypes", _PROMPTS + spread_sql("class_idx", "v", "p").replace("round(x, 6)", "round(x, 5)"))
 def text_prototypes(spark, sf):
-    from ..operators.sampling import class_index_sorted
-
     classes = class_index_sorted(table(spark, sf, "part").select(F.col("p_brand").alias("name")), "name")
     protos = zero_shot.text_prototypes(classes, letter_model)
     return protos.select("class_idx", F.posexplode("w").alias("pos", "x")).select("class_idx", "pos", F.round("x", 5).alias("x"))

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.tokens import Vocabulary
-from ..operators import joins, samples as S
+from ..operators import joins
+from ..operators import samples as S
+from ..operators.ranking import row_index
+from ..operators.sampling import class_index_sorted
 from ..plans import training_mix as M
 from ..session import scratch_path
 from ..sources import shards as H
@@ -143,8 +146,6 @@ def _sum(vec):
 
 @query("feature_roundtrip", _FEATURE_ROWS)
 def feature_roundtrip(spark, sf):
-    from ..operators.sampling import class_index_sorted
-
     rows = _feature_rows(spark, sf)
     path = sinks.write_features(rows, scratch_path(spark, "bundle"), class_index_sorted(rows, "target"))
     back, classes = sinks.load_bundle(spark, path)
@@ -394,8 +395,6 @@ def _named(spark, sf):
 
 @query("natural_sort", f"SELECT path, row_number() OVER (ORDER BY s_suppkey % 13, s_suppkey) - 1 AS position FROM ({_NAMES_SQL})")
 def natural_sort(spark, sf):
-    from ..operators.ranking import row_index
-
     keyed = _named(spark, sf).select("path", paths.natural_key("path").alias("_k"))
     return row_index(keyed, ["_k", "path"], "position").select("path", "position")
 

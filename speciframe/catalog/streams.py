@@ -58,7 +58,9 @@ def stream_meter_by_time(spark, sf):
     out, checkpoint = _paths(spark, "stream-time")
     log = _stream(spark, sf, "events").selectExpr("event_type AS metric", "value AS val", "1 + event_id % 8 AS n", "ts")
     streams.run_available(streams.stream_meter_by_time(log, "val", "n", ["metric"], "ts", "1 hour"), out, checkpoint)
-    return _metered(spark.read.parquet(out).withColumn("window_start", F.unix_timestamp("window_start")), "window_start", "metric")
+    # Seconds of the wall clock, whatever the session's zone is.
+    seconds = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast(window_start AS timestamp_ntz))")
+    return _metered(spark.read.parquet(out).withColumn("window_start", seconds), "window_start", "metric")
 
 
 @query("stream_results", "SELECT conv_id, turn, role, length(text) AS n FROM conversations")

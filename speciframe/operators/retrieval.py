@@ -27,28 +27,28 @@ def match_rank(pairs: DataFrame, query: str, target: str, key: str = "id", **how
 
 def retrieval_metrics(pairs: DataFrame, image: str, text: str, key: str = "id", **how) -> DataFrame:
     """Mean rank, floor(median) + 1 rank and recall at 1, 5, 10 for both directions."""
-    out = None
-    for direction, query, target in (("image_to_text", image, text), ("text_to_image", text, image)):
-        one = rank_summary(match_rank(pairs, query, target, key, **how), "n_better")
-        one = one.select(F.lit(direction).alias("direction"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    forth = match_rank(pairs, image, text, key, **how).withColumn("direction", F.lit("image_to_text"))
+    back = match_rank(pairs, text, image, key, **how).withColumn("direction", F.lit("text_to_image"))
+    return rank_summary(forth.unionByName(back), "n_better", "direction")
 
 
-def rank_summary(ranks: DataFrame, rank: str, ks=(1, 5, 10)) -> DataFrame:
-    """(mean_rank, median_rank, r_at_k...) from 0-based ranks.
+def rank_summary(ranks: DataFrame, rank: str, by: str, ks=(1, 5, 10)) -> DataFrame:
+    """(by, mean_rank, median_rank, r_at_k...) from 0-based ranks.
 
     The ranks are looked at once: everything follows from the number of rows per rank and their
     running sum, which also gives the exact median without bringing the ranks together.
     """
-    counts = ranks.groupBy(rank).agg(F.count("*").alias("_n"))
-    line = running_sum(counts, [rank], "_n", "_lo", "_hi")
-    n = line.agg(F.max("_hi")).first()[0] or 0
-    at = lambda place: F.max(F.when((F.col("_lo") <= place) & (F.col("_hi") > place), F.col(rank)))
-    median = (at((n - 1) // 2) + at(n // 2)) / 2
-    within = lambda k: F.sum(F.when(F.col(rank) < k, F.col("_n")).otherwise(0)) / F.lit(float(n))
-    return line.agg(
-        (F.sum(F.col(rank) * F.col("_n")) / F.lit(float(n)) + 1).alias("mean_rank"),
+    counts = ranks.groupBy(by, rank).agg(F.count("*").alias("_n"))
+    line = running_sum(counts, [by, rank], "_n", "_lo", "_hi")
+    spans = line.groupBy(by).agg(F.min("_lo").alias("_start"), F.sum("_n").alias("_all"))
+    placed = line.join(spans, by)
+    low, high = F.col("_lo") - F.col("_start"), F.col("_hi") - F.col("_start")
+    at = lambda place: F.max(F.when((low <= place) & (high > place), F.col(rank)))
+    n = F.max("_all")
+    median = (at(F.floor((F.col("_all") - 1) / 2)) + at(F.floor(F.col("_all") / 2))) / 2
+    within = lambda k: F.sum(F.when(F.col(rank) < k, F.col("_n")).otherwise(0)) / n
+    return placed.groupBy(by).agg(
+        (F.sum(F.col(rank) * F.col("_n")) / n + 1).alias("mean_rank"),
         (F.floor(median) + 1).cast("double").alias("median_rank"),
         *[within(k).alias(f"r_at_{k}") for k in ks],
     )

@@ -51,9 +51,7 @@ def mark_samples(
     lasts = lasts.select("_p", F.lag("_t").over(Window.orderBy("_p")).alias("_carry"))
     before = F.when(F.row_number().over(here) == 1, F.col("_carry")).otherwise(F.lag(tag).over(here))
     flagged = placed.join(F.broadcast(lasts), "_p").withColumn("_prev", before)
-    flagged = cut_lineage(
-        flagged.withColumn("_new", (~F.col("_prev").eqNullSafe(tag)).cast("bigint")).drop("_carry", "_prev")
-    )
+    flagged = flagged.withColumn("_new", (~F.col("_prev").eqNullSafe(tag)).cast("bigint")).drop("_carry", "_prev")
     runs = flagged.join(F.broadcast(_offsets(flagged, F.col("_new"))), "_p").withColumn(
         "_run", F.col("_before") + F.sum("_new").over(here.rowsBetween(Window.unboundedPreceding, 0))
     )

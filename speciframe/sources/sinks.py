@@ -5,6 +5,8 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,8 +69,7 @@ def idempotent_parquet(path: str, attempts: int = 5, first_wait: float = 0.5) ->
 def retried_jdbc(url: str, table: str, attempts: int = 5, first_wait: float = 0.5, **options) -> Callable[[DataFrame], int]:
     """Append a table over JDBC, tried again with a growing pause."""
     def write(df: DataFrame) -> int:
-        writer = df.withColumn("written_at", F.current_timestamp()) if options.pop("stamp", False) else df
-        return retried(lambda: writer.write.mode("append").options(**options).jdbc(url, table), attempts, first_wait)
+        return retried(lambda: df.write.mode("append").options(**options).jdbc(url, table), attempts, first_wait)
 
     return write
 
@@ -76,11 +77,7 @@ def retried_jdbc(url: str, table: str, attempts: int = 5, first_wait: float = 0.
 def write_files(files: DataFrame, root: str) -> int:
     """Write (path, content) rows as files below ``root``; the number written. The tasks write
     through the file system of ``root``, a file at a time."""
-    import pyarrow as pa
-
     def run(batches):
-        from pyarrow import fs
-
         if root.startswith("file:"):
             system, base = fs.LocalFileSystem(), "/" + root[len("file:") :].lstrip("/")
         else:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import re
 import tarfile
 import warnings
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 # Key and suffix of a member name, and the names of shard-level members.
@@ -25,8 +27,6 @@ def split_name(name: str) -> tuple[str | None, str | None]:
 
 
 def _open(path: str):
-    from pyarrow import fs
-
     if path.startswith("file:"):
         system, inner = fs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
     else:
@@ -95,8 +95,6 @@ def _paths(batch):
 
 
 def _contents(batch):
-    import io
-
     paths, contents = batch.column("path").to_pylist(), batch.column("content")
     for i, path in enumerate(paths):
         yield path, lambda i=i: io.BytesIO(contents[i].as_py())

@@ -209,13 +209,14 @@ def test_large_k_per_class(spark, k):
 
 def test_rank_summary(spark):
     rng = np.random.default_rng(0)
-    for n in (1, 2, 7, 100):
-        ranks = rng.integers(0, 20, n)
-        df = spark.createDataFrame([(int(r),) for r in ranks], "r bigint")
-        got = retrieval.rank_summary(df, "r").first()
-        assert abs(got["mean_rank"] - (ranks.mean() + 1)) < 1e-9
-        assert got["median_rank"] == np.floor(np.median(ranks)) + 1
-        assert abs(got["r_at_5"] - (ranks < 5).mean()) < 1e-12
+    ranks = {n: rng.integers(0, 20, n) for n in (1, 2, 7, 100)}
+    df = spark.createDataFrame([(n, int(r)) for n, rs in ranks.items() for r in rs], "g int, r bigint")
+    got = {r["g"]: r for r in retrieval.rank_summary(df, "r", "g").collect()}
+    assert got.keys() == ranks.keys()
+    for n, rs in ranks.items():
+        assert abs(got[n]["mean_rank"] - (rs.mean() + 1)) < 1e-9
+        assert got[n]["median_rank"] == np.floor(np.median(rs)) + 1
+        assert abs(got[n]["r_at_5"] - (rs < 5).mean()) < 1e-12
 
 
 def test_few_shot_by_configuration(spark, points, monkeypatch):
