@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import naming as N
 from ..functions import templates as P
-from ..functions.hashing import seeded_key
 from ..operators import joins, sampling
 from .base import class_strings, ctes, query, table, taxa
 

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tools.check_oracle import TABLES, plain, rows
+from tools.check_oracle import TABLES, rows
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
