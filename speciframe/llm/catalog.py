@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, quality, toxicity
+from . import bpe, neardup, packing, pii, quality, toxicity
 from .common import documents, held_out, span_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,28 @@ def op9(spark, sf):
 @query("op10_residual_packing")
 def op10(spark, sf):
     return packing.pack(documents(spark, sf), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op7_near_duplicates", """
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+shingled AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+one AS (SELECT min(doc_id) AS id, list_sort(s) AS s FROM shingled WHERE len(s) > 0 GROUP BY list_sort(s)),
+flat AS (SELECT id, len(s) AS n, unnest(s) AS g FROM one),
+pairs AS (
+  SELECT a.id AS x, b.id AS y FROM flat a JOIN flat b ON a.g = b.g AND a.id < b.id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY a.id, b.id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+links AS (SELECT x, y FROM pairs UNION SELECT y, x FROM pairs),
+reach AS (
+  WITH RECURSIVE r(id, c) AS (SELECT id, id FROM one UNION SELECT l.y, r.c FROM r JOIN links l ON l.x = r.id AND r.c < l.y)
+  SELECT id, min(c) AS c FROM r GROUP BY id),
+named AS (SELECT one.s, reach.c FROM one JOIN reach USING (id))
+SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(n.c, d.doc_id) AS component_id, coalesce(n.c, d.doc_id) = d.doc_id AS kept
+FROM shingled d LEFT JOIN named n ON list_sort(d.s) = n.s
+""")
+def op7(spark, sf):
+    return neardup.groups(documents(spark, sf)).select(
+        "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

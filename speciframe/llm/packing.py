@@ -132,10 +132,10 @@ def merge_round(bins: DataFrame, tasks: int, level: int, length: int = LENGTH) -
         import numpy as np
         from pyspark import TaskContext
 
-        table = pa.Table.from_batches(list(batches), schema)
-        if not table.num_rows:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
             return
-        table = table.sort_by("bin")  # the same bins for the same rows, whatever order they came in
+        table = pa.Table.from_batches(rows).sort_by("bin")  # the same bins for the same rows, whatever order they came in
         into, at, fills = best_fit(table.column("fill").to_pylist(), length)
         own = np.array(into, "i8")
         base = (level << 58) + (TaskContext.get().partitionId() << 34)
@@ -144,7 +144,6 @@ def merge_round(bins: DataFrame, tasks: int, level: int, length: int = LENGTH) -
             ["bin", "into", "at", "fill"],
         ).to_batches()
 
-    schema = pa.schema([("bin", pa.int64()), ("fill", pa.int64())])
     dealt = bins.select("bin", "fill").repartition(tasks, F.xxhash64("bin", F.lit(level)))
     return dealt.mapInArrow(run, "bin bigint, into bigint, at bigint, fill bigint")
 
