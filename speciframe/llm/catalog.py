@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, neardup, packing, pii, quality, toxicity
+from . import bpe, fingerprints, neardup, packing, pii, quality, toxicity
 from .common import documents, held_out, span_text
+from .native import let
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +110,17 @@ FROM shingled d LEFT JOIN named n ON list_sort(d.s) = n.s
 def op7(spark, sf):
     return neardup.groups(documents(spark, sf)).select(
         "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+@query("op1_order_minhash")
+def op1(spark, sf):
+    pairs = fingerprints.with_next(documents(spark, sf))
+    changed = fingerprints.edited(F.col("text"), F.col("next_text"))
+    told = let(changed, lambda e: let(fingerprints.fingerprint(e), lambda g: F.struct(
+        F.sha2(e.cast("binary"), 256).alias("edited_sha256"), fingerprints.spelled(g).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("f"), g).alias("near_edited"))))
+    return pairs.withColumn("told", told).select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), "told.edited_sha256",
+        fingerprints.spelled(F.col("f")).alias("fingerprint"), "told.edited_fingerprint", "told.near_edited",
+        fingerprints.likeness(F.col("f"), F.col("next_f")).alias("near_next"),
+    )
