@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, neardup, packing, pii, quality, toxicity
+from . import bpe, fingerprints, neardup, packing, pii, quality, secret_scan, toxicity
 from .common import documents, held_out, span_text
 from .native import let
 
@@ -124,3 +124,11 @@ def op1(spark, sf):
         fingerprints.spelled(F.col("f")).alias("fingerprint"), "told.edited_fingerprint", "told.near_edited",
         fingerprints.likeness(F.col("f"), F.col("next_f")).alias("near_next"),
     )
+
+
+@query("op2_secret_scan")
+def op2(spark, sf):
+    base = F.col("base")
+    return secret_scan.scan(documents(spark, sf)).select(
+        "doc_id", *[of_kind(base, k).alias(f"n_{k}") for k in secret_scan.KINDS],
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), "n_live", "n_example")
