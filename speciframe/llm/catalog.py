@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, neardup, packing, pii, quality, secret_scan, toxicity
+from . import bpe, fingerprints, language_model, neardup, packing, pii, quality, secret_scan, toxicity
 from .common import documents, held_out, span_text
 from .native import let
 
@@ -132,3 +132,30 @@ def op2(spark, sf):
     return secret_scan.scan(documents(spark, sf)).select(
         "doc_id", *[of_kind(base, k).alias(f"n_{k}") for k in secret_scan.KINDS],
         F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), "n_live", "n_example")
+
+
+@query("op4_stupid_backoff", """
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+tokens AS (SELECT doc_id, len(w) AS n, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS t, unnest(list_concat([NULL], w)[1:len(w)]) AS p FROM words),
+one AS (SELECT t, count(*) AS c FROM tokens GROUP BY t), two AS (SELECT p, t, count(*) AS c FROM tokens WHERE p IS NOT NULL GROUP BY p, t),
+own1 AS (SELECT doc_id, t, count(*) AS c FROM tokens GROUP BY doc_id, t),
+own2 AS (SELECT doc_id, p, t, count(*) AS c FROM tokens WHERE p IS NOT NULL GROUP BY doc_id, p, t),
+size AS (SELECT count(*) AS n FROM tokens),
+rated AS (
+  SELECT k.doc_id, coalesce(b.c - ob.c, 0) AS c2, a.c - oa.c AS c1, q.c - oq.c AS cp, size.n - k.n AS others, k.p
+  FROM tokens k CROSS JOIN size JOIN one a ON a.t = k.t JOIN own1 oa ON oa.doc_id = k.doc_id AND oa.t = k.t
+  LEFT JOIN two b ON b.p = k.p AND b.t = k.t LEFT JOIN own2 ob ON ob.doc_id = k.doc_id AND ob.p = k.p AND ob.t = k.t
+  LEFT JOIN one q ON q.t = k.p LEFT JOIN own1 oq ON oq.doc_id = k.doc_id AND oq.t = k.p),
+summed AS (
+  SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (WHERE c2 > 0) AS n_seen, sum(
+    CASE WHEN c2 > 0 THEN ln(c2 / cp) ELSE (CASE WHEN p IS NULL THEN 0 ELSE ln(0.4) END)
+      + (CASE WHEN c1 > 0 THEN ln(c1 / greatest(others, 1)) ELSE -ln(others + 1) END) END) AS s FROM rated GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n_tokens, 0) AS n_tokens, coalesce(n_seen, 0) AS n_seen,
+  round(coalesce(s / n_tokens, 0), 6) AS mean_log_score FROM words w LEFT JOIN summed USING (doc_id)
+""")
+def op4(spark, sf):
+    rated = language_model.score(documents(spark, sf))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")).otherwise(0.0)
+    return rated.select("doc_id", "n_tokens", "n_seen", F.round(mean, 6).alias("mean_log_score"))
