@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language_model, neardup, packing, pii, quality, secret_scan, toxicity
+from . import bpe, fingerprints, language_model, licenses, neardup, packing, pii, quality, secret_scan, toxicity
 from .common import documents, held_out, span_text
 from .native import let
 
@@ -159,3 +159,13 @@ def op4(spark, sf):
     rated = language_model.score(documents(spark, sf))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")).otherwise(0.0)
     return rated.select("doc_id", "n_tokens", "n_seen", F.round(mean, 6).alias("mean_log_score"))
+
+
+@query("op8_license_scan")
+def op8(spark, sf):
+    docs = documents(spark, sf)
+    found = licenses.scan(docs, licenses.fit(docs))
+    told = F.transform("_licences", lambda r: F.concat_ws(":", r["paragraph"].cast("string"), r["family"], r["probability"].cast("string")))
+    return found.select("doc_id", F.size("_licences").cast("long").alias("n_notices"),
+                        F.array_join(F.array_sort(F.array_distinct(F.col("_licences.family"))), ",").alias("families"),
+                        F.array_join(told, ",").alias("notices"))
