@@ -26,10 +26,11 @@ from .common import lowered_words_of
 ORDER = 2
 BACKOFF = 0.4
 #: Bytes of text in a block on average. Tables are as many as blocks.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
 
 _MIX = np.uint64(0x9FB21C651E98DF25)
 _COUNTS = "block int, part int, level int, keys binary, counts binary"
+_TOTALS = "block int, part int, level int, totals binary"
 _SCORES = "doc_id bigint, n_tokens bigint, n_seen bigint, log_score double"
 
 
@@ -71,6 +72,16 @@ class Stream:
         return ends, value
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte, lowest bytes of all first: the zeros of small numbers lie together and
+    vanish when the exchange is compressed."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
 def _count(parts: int, order: int):
     def run(key, table):
         stream = Stream(table.column("text").to_pylist())
@@ -82,7 +93,7 @@ def _count(parts: int, order: int):
             for part, (k, c) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts))):
                 if len(k):
                     gaps = np.diff(k, prepend=np.uint64(0))  # small numbers compress
-                    rows.append((key[0].as_py(), part, level, gaps.tobytes(), c.astype("<i4").tobytes()))
+                    rows.append((key[0].as_py(), part, level, _planes(gaps), _planes(c.astype(np.uint64))))
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["block", "part", "level", "keys", "counts"])
 
@@ -90,31 +101,28 @@ def _count(parts: int, order: int):
 
 
 def _totals(key, table):
-    """Adds up the counts of one range of hashes; the same rows with the totals in place of the counts."""
+    """Adds up the counts of one range of hashes; each block gets the totals in the order of its n-grams."""
     levels = table.column("level").to_pylist()
-    keys = [np.cumsum(np.frombuffer(k, np.uint64), dtype=np.uint64) for k in table.column("keys").to_pylist()]
-    counts = [np.frombuffer(c, "<i4") for c in table.column("counts").to_pylist()]
+    keys = [np.cumsum(_numbers(k), dtype=np.uint64) for k in table.column("keys").to_pylist()]
+    counts = [_numbers(c) for c in table.column("counts").to_pylist()]
     out: list[bytes] = [b""] * len(levels)
     for level in set(levels):
         rows = [i for i, x in enumerate(levels) if x == level]
         _, place = np.unique(np.concatenate([keys[i] for i in rows]), return_inverse=True)
-        total = np.bincount(place, weights=np.concatenate([counts[i] for i in rows])).astype("<i8")
+        total = np.bincount(place, weights=np.concatenate([counts[i] for i in rows])).astype(np.uint64)
         found = np.split(total[place], np.cumsum([len(keys[i]) for i in rows])[:-1])
         for i, t in zip(rows, found):
-            out[i] = t.tobytes()
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    columns = [table.column("block"), table.column("part"), table.column("level"), table.column("keys"), pa.array(out, pa.binary())]
-    return pa.table([c.cast(t) for c, t in zip(columns, kinds)], ["block", "part", "level", "keys", "counts"])
+            out[i] = _planes(t)
+    names = ["block", "part", "level"]
+    return pa.table([*[table.column(n).cast(pa.int32()) for n in names], pa.array(out, pa.binary())], [*names, "totals"])
 
 
 def _score(n_words: int, order: int):
     def run(key, docs, totals):
         stream = Stream(docs.column("text").to_pylist())
-        tables = {level: ([], []) for level in range(1, order + 1)}
-        answers = sorted(zip(*[totals.column(c).to_pylist() for c in ("level", "part", "keys", "counts")]), key=lambda r: r[:2])
-        for level, _, k, c in answers:
-            tables[level][0].append(np.cumsum(np.frombuffer(k, np.uint64), dtype=np.uint64))
-            tables[level][1].append(np.frombuffer(c, "<i8"))
+        tables: dict[int, list[np.ndarray]] = {level: [] for level in range(1, order + 1)}
+        for level, _, found in sorted(zip(*[totals.column(c).to_pylist() for c in ("level", "part", "totals")]), key=lambda r: r[:2]):
+            tables[level].append(_numbers(found))
         n = len(stream.words)
         others = (n_words - stream.sizes)[stream.doc]
         # counts elsewhere of the n-gram of each order that ends at each word
@@ -122,7 +130,8 @@ def _score(n_words: int, order: int):
         for level in range(1, order + 1):
             ends, value = stream.grams(level)
             if len(ends):
-                total = np.concatenate(tables[level][1])[np.searchsorted(np.concatenate(tables[level][0]), value)]
+                _, place = np.unique(value, return_inverse=True)  # ranges of hashes ascend, as the n-grams do
+                total = np.concatenate(tables[level])[place].astype(np.int64)
                 elsewhere[level, ends] = total - _within(value, stream.doc[ends])
         score = np.log(np.maximum(elsewhere[1], 0.0) / np.maximum(others, 1), where=elsewhere[1] > 0, out=-np.log(others + 1.0))
         depth = np.where(elsewhere[1] > 0, 1, 0)
@@ -165,5 +174,5 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     dealt = docs.select(
         F.col("doc_id").cast("bigint"), "text", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int").alias("block"))
     counts = dealt.groupBy("block").applyInArrow(_count(blocks, order), _COUNTS)
-    totals = counts.groupBy("part").applyInArrow(_totals, _COUNTS)
+    totals = counts.groupBy("part").applyInArrow(_totals, _TOTALS)
     return dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_score(int(words or 0), order), _SCORES)
