@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from speciframe.functions.tokens import byte_symbols
 
+from .common import in_small_batches
+
 #: Distinct chunks a task remembers; when it is full the memory starts anew, with the same results.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 _LATIN = re.compile("[!-~\u00a1-\u012f\u0132-\u024f]*")
 
 
@@ -162,7 +164,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "_ids") -
         for batch in texts:
             yield pa.array([np.frombuffer(b"".join(encoder.encode(t)[0]), "<i4") for t in batch.to_pylist()], pa.list_(pa.int32()))
 
-    return docs.withColumn(into, ids(F.col(text)))
+    return in_small_batches(docs).withColumn(into, ids(F.col(text)))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "_ids", into: str = "_decoded") -> DataFrame:
@@ -194,4 +196,4 @@ def digests(docs: DataFrame, path: str, text: str = "text", into: str = "_coded"
                              "decoded_sha256": sha256(" ".join(tokens).encode()).hexdigest()})
             yield pa.array(rows, kind)
 
-    return docs.withColumn(into, digest(F.col(text)))
+    return in_small_batches(docs).withColumn(into, digest(F.col(text)))

@@ -13,6 +13,20 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/documents.parquet")
 
 
+#: Rows of an Arrow batch that goes to Python. Texts are long; Spark's default of 10,000 rows would hold tens
+#: of megabytes in the JVM and again in each Python worker.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after holding the session's Arrow batches to ``BATCH_ROWS`` rows."""
+    session = docs.sparkSession
+    if not 0 < int(session.conf.get(_BATCH)) <= BATCH_ROWS:
+        session.conf.set(_BATCH, str(BATCH_ROWS))
+    return docs
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words of the whole text in UTF-8. ``bytes.split`` cuts at exactly the ASCII white space."""
     return text.encode().split() if text else []

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from speciframe.session import cut_lineage
 
-from .common import lowered_words_of
+from .common import in_small_batches, lowered_words_of
 
 SIZE = 3
 THRESHOLD = 85  # per cent
@@ -65,7 +65,7 @@ class Shingler:
         if len(words) < SIZE:
             return np.array([self.digest(b" ".join(words), len(words))], np.uint64)
         known, digest = self.known, self.digest
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         hashes = np.empty(len(words), np.uint64)
         for i, w in enumerate(words):
@@ -121,7 +121,7 @@ def _print(own: np.ndarray) -> tuple[int, int]:
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, f1, f2, a, b): set size, set fingerprint and half keys of every row."""
     kind = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, a array<bigint>, b array<bigint>"
-    return docs.select("doc_id", "text").mapInArrow(_sign, kind)
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(_sign, kind)
 
 
 def candidates(sets: DataFrame) -> DataFrame:

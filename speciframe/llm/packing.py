@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from speciframe.functions.tokens import byte_symbols
 from speciframe.session import cut_lineage
 
+from .common import in_small_batches
 
 LENGTH = 1024
 END = 2
@@ -122,7 +123,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
         table = pa.table(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "fill"])
         yield from table.to_batches(max_chunksize=65_536)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"{_PIECES}, bin bigint, offset bigint, fill bigint")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, f"{_PIECES}, bin bigint, offset bigint, fill bigint")
 
 
 def merge_round(bins: DataFrame, tasks: int, level: int, length: int = LENGTH) -> DataFrame:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 24
 MAX_WINDOWS = 1_000
@@ -297,7 +299,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
             )
 
     rows = (
-        docs.select(text).filter(F.col(text).rlike("[0-9@]"))
+        in_small_batches(docs).select(text).filter(F.col(text).rlike("[0-9@]"))
         .mapInArrow(cut, "window string, spans array<struct<kind:string,start:int,end:int>>").distinct()
         .orderBy(F.xxhash64("window"), "window").limit(MAX_WINDOWS).collect()
     )
@@ -322,7 +324,7 @@ def find(docs: DataFrame, model: Model, text: str = "text", into: str = "_person
         for batch in texts:
             yield pa.array([dict(zip(("base", "spans"), map(rows, own.find(t)))) for t in batch.to_pylist()], _RESULT)
 
-    return docs.withColumn(into, spans(F.col(text)))
+    return in_small_batches(docs).withColumn(into, spans(F.col(text)))
 
 
 def redacted(text: str, spans: list[Span]) -> str:

@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from speciframe.session import cut_lineage
 
-from .common import words_of
+from .common import in_small_batches, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Measures with a cutoff: name -> (judged from below too, allowance beyond the fence).
@@ -78,7 +78,7 @@ def _measures(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def measure(docs: DataFrame, text: str = "text", into: str = "_measures") -> DataFrame:
     """``docs`` with a struct of measures of the whole text; null or empty text measures 0 throughout."""
-    return docs.withColumn(into, _measures(F.col(text)))
+    return in_small_batches(docs).withColumn(into, _measures(F.col(text)))
 
 
 def _rated(m: Column) -> dict[str, Column]:

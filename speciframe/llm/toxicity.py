@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 MAX_LABELLED = 20_000
 MAX_TOKENS = 20_000
 MIN_Z = 4.0
@@ -184,7 +186,7 @@ def log_odds(texts: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Callable[[Column], Column]) -> Model:
     """Without labels of both kinds the model scores every text alike, below 0.5."""
-    texts = sample(docs, labels, allowed)
+    texts = sample(in_small_batches(docs), labels, allowed)
     top = log_odds(texts).filter(F.abs("z") >= MIN_Z).orderBy(F.desc(F.abs("z")), "token").limit(MAX_TOKENS).collect()
     model = Model({r["token"]: float(r["delta"]) for r in top})
     if not any(w > 0 for w in model.weights.values()):
@@ -254,7 +256,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "_toxic
         for batch in texts:
             yield pa.array([own.rate_text(t) for t in batch.to_pylist()], _ARROW)
 
-    return docs.withColumn(into, rated(F.col(text)))
+    return in_small_batches(docs).withColumn(into, rated(F.col(text)))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, allowed: Callable[[Column], Column]) -> DataFrame:
