@@ -221,7 +221,7 @@ def verified(members: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the least id reachable, for every id with an edge.
+    """(id, component): the least id reachable, for every id that is not itself the least.
 
     Alternating stars: each vertex hands its larger neighbours, then its smaller ones, to the least vertex
     it knows. Rounds are few (logarithmic in the size of a component); each is a written table of at most

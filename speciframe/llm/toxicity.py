@@ -30,8 +30,10 @@ from .common import in_small_batches
 MAX_LABELLED = 20_000
 MAX_TOKENS = 20_000
 MIN_Z = 4.0
+MIN_ODDS = 1.0  # common words that lean a little either way are no evidence
 PRIOR = 0.1  # weight of the prior against that of the sample
 STEM = 4
+MIN_TEXTS = 3  # a token that a single text repeats says nothing about others
 DRIFT = -0.1
 SIGNIFICANT = 0.05  # expected number of such segments in a clean text of that length
 _EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_/\\`~"
@@ -146,48 +148,48 @@ def sample(docs: DataFrame, labels: DataFrame, allowed: Callable[[Column], Colum
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from collections import Counter
 
-    counts = (Counter(), Counter())
+    counts = (Counter(), Counter(), Counter())  # in other texts, in toxic texts, texts
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            tokens = tokens_of(text)
-            counts[1 if toxic else 0].update(tokens)
-            counts[1 if toxic else 0].update(map(stem_of, tokens))
-        if sum(map(len, counts)) > 1_000_000:
+            own = Counter(tokens_of(text))
+            for token, n in list(own.items()):
+                own[stem_of(token)] += n
+            counts[1 if toxic else 0].update(own)
+            counts[2].update(own.keys())
+        if len(counts[2]) > 500_000:
             yield _counted(counts)
-            counts = (Counter(), Counter())
+            counts = (Counter(), Counter(), Counter())
     yield _counted(counts)
 
 
 def _counted(counts) -> pa.RecordBatch:
-    names = list(counts[0].keys() | counts[1].keys())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(names, pa.string()), pa.array([counts[1][n] for n in names], pa.int64()), pa.array([counts[0][n] for n in names], pa.int64())],
-        names=["token", "toxic", "other"],
-    )
+    names = list(counts[2])
+    columns = [pa.array([c[n] for n in names], pa.int64()) for c in counts]
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *columns], names=["token", "other", "toxic", "texts"])
 
 
 def log_odds(texts: DataFrame) -> DataFrame:
-    """(token, delta, z): log-odds of toxic against other texts with the Dirichlet prior, and their z-score."""
+    """(token, texts, delta, z): number of texts, log-odds of toxic against other texts with the Dirichlet prior, and their z-score."""
     counts = (
-        texts.mapInArrow(_count, "token string, toxic bigint, other bigint")
+        texts.mapInArrow(_count, "token string, other bigint, toxic bigint, texts bigint")
         .filter(F.col("token") != "")
-        .groupBy("token").agg(F.sum("toxic").alias("y"), F.sum("other").alias("x"))
+        .groupBy("token").agg(F.sum("toxic").alias("y"), F.sum("other").alias("x"), F.sum("texts").alias("texts"))
     )
     totals = counts.agg(F.sum("y"), F.sum("x")).first()
     ny, nx = float(totals[0] or 0), float(totals[1] or 0)
     if not ny or not nx:  # one class alone tells nothing
-        return counts.select("token", F.lit(0.0).alias("delta"), F.lit(0.0).alias("z"))
+        return counts.select("token", "texts", F.lit(0.0).alias("delta"), F.lit(0.0).alias("z"))
     prior = (F.col("x") + F.col("y")) * PRIOR
     side = lambda c, n: F.log((c + prior) / (F.lit(n + PRIOR * (nx + ny)) - c - prior))
     delta = side(F.col("y"), ny) - side(F.col("x"), nx)
     error = F.sqrt(1 / (F.col("y") + prior) + 1 / (F.col("x") + prior))
-    return counts.select("token", delta.alias("delta"), (delta / error).alias("z"))
+    return counts.select("token", "texts", delta.alias("delta"), (delta / error).alias("z"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Callable[[Column], Column]) -> Model:
     """Without labels of both kinds the model scores every text alike, below 0.5."""
     texts = sample(in_small_batches(docs), labels, allowed)
-    top = log_odds(texts).filter(F.abs("z") >= MIN_Z).orderBy(F.desc(F.abs("z")), "token").limit(MAX_TOKENS).collect()
+    top = log_odds(texts).filter((F.abs("z") >= MIN_Z) & (F.abs("delta") >= MIN_ODDS) & (F.col("texts") >= MIN_TEXTS)).orderBy(F.desc(F.abs("z")), "token").limit(MAX_TOKENS).collect()
     model = Model({r["token"]: float(r["delta"]) for r in top})
     if not any(w > 0 for w in model.weights.values()):
         return model
