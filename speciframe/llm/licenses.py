@@ -68,20 +68,19 @@ OTHERS = (
 
 
 def features(paragraph: Column) -> Column:
-    """Distinct slots of the paragraph's word unigrams and bigrams, in lower case and without punctuation."""
+    """Hashes of the paragraph's word unigrams and bigrams, in lower case and without punctuation."""
     split = F.array_remove(F.split(F.lower(paragraph), r"[^\p{L}\p{N}]+"), "")
-    slot = lambda *w: F.pmod(F.xxhash64(*w), F.lit(SLOTS)).cast("int")
-    none = F.array().cast("array<int>")
-    pairs = lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: slot(w[i], w[i + 1]))).otherwise(none)
-    return let(split, lambda w: F.concat(F.transform(w, lambda x: slot(x)), pairs(w)))
+    none = F.array().cast("array<bigint>")
+    pairs = lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(w[i], w[i + 1]))).otherwise(none)
+    return let(split, lambda w: F.concat(F.transform(w, lambda x: F.xxhash64(x)), pairs(w)))
 
 
 @dataclass
 class Model:
     weights: np.ndarray  # (slots in use, families)
     bias: np.ndarray
-    slots: list[int]  # the slot of each row of weights
-    templates: list[list[list[int]]]  # slots of each template of each family
+    slots: list[int]  # the feature (a hash) of each row of weights
+    templates: list[list[list[int]]]  # features of each template of each family
 
 
 def _others(docs: DataFrame) -> DataFrame:
@@ -119,7 +118,9 @@ def fit(docs: DataFrame, seed: int = 17) -> Model:
     # an ordinary paragraph that holds a whole template is a notice, not a counterexample
     covered = lambda s: any(len(set(t) & s) >= CONFIRMED * len(t) for own in templates for t in own)
     used = [i for i, r in enumerate(rows) if r[0] != unknown or not covered(set(found[i]))]
-    slots = sorted({s for i in used if rows[i][0] != unknown for s in found[i]} & {s for own in templates for t in own for s in t})
+    # the features of the templates; of two in one slot of the lookup table the smaller stays
+    slots = list({s % SLOTS: s for s in sorted({s for own in templates for t in own for s in t}, reverse=True)}.values())
+    templates = [[[s for s in t if s in set(slots)] for t in own] for own in templates]
     place = {s: j for j, s in enumerate(slots)}
     x = np.zeros((len(used), len(slots)))
     for n, i in enumerate(used):
@@ -165,8 +166,9 @@ def classify(paragraph: Column, model: Model) -> Column:
     and confirmed; a paragraph without any feature of the model is unknown with the bias alone."""
     rank = [0] * SLOTS
     for j, s in enumerate(model.slots):
-        rank[s] = j + 1
+        rank[s % SLOTS] = j + 1
     ranks = _literal(rank, "array<int>")
+    hashes = _literal(model.slots, "array<bigint>")
     table = _literal([round(float(v), 6) for row in model.weights for v in row], "array<double>")
     bias = _literal([round(float(v), 6) for v in model.bias], "array<double>")
     templates = _literal([[sorted({model.slots.index(s) + 1 for s in t}) for t in own] for own in model.templates], "array<array<array<int>>>")
@@ -188,7 +190,9 @@ def classify(paragraph: Column, model: Model) -> Column:
             F.round(r["p"], 4).alias("probability"), F.round(r["c"], 4).alias("coverage")))
 
     # features the model does not know add nothing to any class
-    known = lambda f: F.array_distinct(F.filter(F.transform(f, lambda s: F.get(ranks, s)), lambda r: r > 0))
+    place = lambda h: F.get(ranks, F.pmod(h, F.lit(SLOTS)).cast("int"))
+    same = lambda h: F.when(place(h) > 0, F.get(hashes, place(h) - 1) == h).otherwise(False)
+    known = lambda f: F.array_distinct(F.transform(F.filter(f, same), place))
     nothing = F.struct(F.lit(UNKNOWN).alias("family"), F.lit(0.0).alias("probability"), F.lit(0.0).alias("coverage"))
     return let(known(features(paragraph)), lambda hits: F.when(F.size(hits) > 0, rated(hits)).otherwise(nothing))
 
