@@ -128,11 +128,6 @@ def json_lookup(spark, sf):
     return rows.unionByName(missing).select("conv_id", "turn", "role", F.length("text").alias("n"))
 
 
-@query("synthetic_source", "SELECT doc_id - (SELECT min(doc_id) FROM documents) AS id, 'Dummy caption' AS caption FROM documents")
-def synthetic_source(spark, sf):
-    return tables.synthetic_source(spark, table(spark, sf, "documents").count())
-
-
 _FEATURE_ROWS = ctes("features") + " SELECT id, target, 'img/' || id || '.jpg' AS path, round(list_sum(features::DOUBLE[]), 6) AS total FROM features"
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted image suffixes in order of preference, and the width digit runs are
-# padded to in a natural key.
+# Fixed value: accepted image suffixes in order of preference.
 IMAGE_SUFFIXES = ("jpg", "png", "jpeg", "webp")
-KEY_WIDTH = 38
+# Digits of the length of a digit run: no string is longer than a 32-bit number says.
+LENGTH_DIGITS = 10
 
 
 def _col(c) -> Column:
@@ -29,14 +29,14 @@ def under_root(root, *parts) -> Column:
 
 def natural_key(text) -> Column:
     """Sort key in which digit runs compare as numbers: text runs in lower case alternating with
-    digit runs without leading zeros, padded to one width."""
+    digit runs without leading zeros, each behind its length, so that longer numbers are larger."""
     runs = F.regexp_extract_all(F.lower(_col(text)), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
-    padded = F.transform(
-        runs,
-        lambda r: F.when(
-            r.rlike("^[0-9]"), F.lpad(F.regexp_replace(r, "^0+(?=[0-9])", ""), KEY_WIDTH, "0")
-        ).otherwise(r),
-    )
+
+    def number(run):
+        digits = F.regexp_replace(run, "^0+(?=[0-9])", "")
+        return F.concat(F.lpad(F.length(digits).cast("string"), LENGTH_DIGITS, "0"), digits)
+
+    padded = F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), number(r)).otherwise(r))
     starts_with_digit = F.lower(_col(text)).rlike("^[0-9]")
     return F.when(starts_with_digit, F.concat(F.array(F.lit("")), padded)).otherwise(padded)
 

@@ -40,21 +40,26 @@ def centred(x: np.ndarray, mean) -> np.ndarray:
 
 
 def closeness(x: np.ndarray, w: np.ndarray, metric: str) -> np.ndarray:
-    """Larger is better: dot product, or negative squared distance."""
-    s = x @ w.T
-    if metric == "l2":
-        s *= 2.0
-        s -= np.einsum("ij,ij->i", x, x)[:, None]
-        s -= np.einsum("ij,ij->i", w, w)[None, :]
-        np.minimum(s, 0.0, out=s)
+    """Larger is better: dot product, or negative squared distance. Distances are sums of squared
+    differences, one coordinate at a time: the expanded product loses them far from the origin."""
+    if metric != "l2":
+        return np.round(x @ w.T, SCORE_DIGITS)
+    s = np.zeros((len(x), len(w)))
+    for j in range(x.shape[1]):
+        gap = np.subtract.outer(x[:, j], w[:, j])
+        gap *= gap
+        s -= gap
     return np.round(s, SCORE_DIGITS)
 
 
 def own_closeness(x: np.ndarray, w: np.ndarray, metric: str) -> np.ndarray:
     """Closeness of each row to its own partner."""
-    s = np.einsum("ij,ij->i", x, w)
-    if metric == "l2":
-        s = np.minimum(2.0 * s - np.einsum("ij,ij->i", x, x) - np.einsum("ij,ij->i", w, w), 0.0)
+    if metric != "l2":
+        return np.round(np.einsum("ij,ij->i", x, w), SCORE_DIGITS)
+    s = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        gap = x[:, j] - w[:, j]
+        s -= gap * gap
     return np.round(s, SCORE_DIGITS)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,7 +32,8 @@ def build_session(app_name: str = "speciframe", master: str | None = None, **con
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a session without that setting (tests on one machine) gets a temporary folder.
+    Only a session on one machine (tests) gets a temporary folder where it is unset; on a cluster that
+    would be a different disk for every executor, so there it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -41,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     current = context.getCheckpointDir()
     if current is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="speciframe-"))
         current = context.getCheckpointDir()
     return current

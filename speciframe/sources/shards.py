@@ -7,16 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_RANGE = r"^(.*?)\{([0-9]+)\.\.([0-9]+)\}(.*)$"
+_RANGE = r"^(.*?)\{(-?[0-9]+)\.\.(-?[0-9]+)(?:\.\.(-?[0-9]+))?\}(.*)$"
+_LETTERS = r"^(.*?)\{([A-Za-z])\.\.([A-Za-z])(?:\.\.(-?[0-9]+))?\}(.*)$"
 _CHOICE = r"^(.*?)\{([^{},]*(?:,[^{},]*)+)\}(.*)$"
 
 
-def expand_shards(df: DataFrame, urls: str = "urls", weights: str | None = None, max_braces: int = 4) -> DataFrame:
+def expand_shards(df: DataFrame, urls: str = "urls", weights: str | None = None) -> DataFrame:
     """(part_no, pattern, url[, weight]) for ``a-{000..123}.tar::b.tar`` lists.
 
-    Parts are separated by ``::``, digit ranges keep the zero padding of their first bound and
-    may run downwards, a weight goes to every shard of its part; part and weight counts must
-    match.
+    Parts are separated by ``::``, digit ranges keep the zero padding of a bound, letter ranges
+    follow the code points, both may run downwards and take a step (``{0..10..2}``, ``{a..e..2}``),
+    a weight goes to every shard of its part; part and weight counts must match. There are as many
+    passes as the list has braces, however many.
     """
     parts = F.split(F.col(urls), "::")
     if weights is not None:
@@ -34,27 +36,33 @@ def expand_shards(df: DataFrame, urls: str = "urls", weights: str | None = None,
     if weights is not None:
         rows = rows.withColumn("weight", F.col("_e.w").cast("double"))
     rows = rows.drop("_e", urls, *([weights] if weights else [])).withColumn("url", F.col("pattern"))
-    # One brace per pass; a pattern rarely has more than one.
-    for _ in range(max_braces):
+    braces = df.agg(F.max(F.regexp_count(F.col(urls), F.lit(r"\{")))).first()[0]
+    for _ in range(braces or 0):
         rows = rows.withColumn("url", F.explode(_expand_one(F.col("url"))))
-    left = F.col("url").rlike(_RANGE) | F.col("url").rlike(_CHOICE)
-    message = F.concat(F.lit(f"more than {max_braces} braces in "), F.col("pattern"))
-    return rows.withColumn("url", F.when(~left, F.col("url")).otherwise(F.raise_error(message).cast("string")))
+    return rows
 
 
 def _expand_one(url: Column) -> Column:
     """The first brace written out: ``{07..12}`` keeps its zero padding, ``{a,b}`` lists choices."""
     piece = lambda i: F.regexp_extract(url, _RANGE, i)
+    letter = lambda i: F.regexp_extract(url, _LETTERS, i)
     low, high = piece(2), piece(3)
-    padded = (low.startswith("0") & (low != "0")) | (high.startswith("0") & (high != "0"))
+
+    def steps(first: Column, last: Column, step: Column) -> Column:
+        size = F.greatest(F.abs(F.when(step != "", step.cast("bigint")).otherwise(F.lit(1))), F.lit(1))
+        return F.sequence(first, last, F.when(first <= last, size).otherwise(-size))
+
+    padded = low.rlike("^-?0[0-9]") | high.rlike("^-?0[0-9]")
     width = F.when(padded, F.greatest(F.length(low), F.length(high))).otherwise(F.lit(0))
     digits = lambda n: F.lpad(n.cast("string"), F.greatest(width, F.length(n.cast("string"))), F.lit("0"))
     numbered = F.transform(
-        F.sequence(low.cast("bigint"), high.cast("bigint")), lambda n: F.concat(piece(1), digits(n), piece(4))
+        steps(low.cast("bigint"), high.cast("bigint"), piece(4)), lambda n: F.concat(piece(1), digits(n), piece(5))
     )
+    code = lambda i: F.ascii(letter(i)).cast("bigint")
+    lettered = F.transform(steps(code(2), code(3), letter(4)), lambda n: F.concat(letter(1), F.char(n), letter(5)))
     choice = lambda i: F.regexp_extract(url, _CHOICE, i)
     chosen = F.transform(F.split(choice(2), ",", -1), lambda c: F.concat(choice(1), c, choice(3)))
-    return F.when(url.rlike(_RANGE), numbered).when(url.rlike(_CHOICE), chosen).otherwise(F.array(url))
+    return F.when(url.rlike(_RANGE), numbered).when(url.rlike(_LETTERS), lettered).when(url.rlike(_CHOICE), chosen).otherwise(F.array(url))
 
 
 def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators.ranking import row_index
 # Default file and column names.
 METADATA_FILE = "metadata.csv"
 IMAGE_COLUMN, CAPTION_COLUMN, CAPTION_SEPARATOR = "filepath", "title", "\t"
-IMAGE_EXTENSIONS = "{jpg,jpeg,png,ppm,bmp,pgm,tif,tiff,webp,JPG,JPEG,PNG,WEBP}"
+IMAGE_NAME = r"\.(jpg|jpeg|png|ppm|bmp|pgm|tif|tiff|webp)$"
 
 
 def number_lines(df: DataFrame, out: str = "row_id") -> DataFrame:
@@ -50,13 +50,13 @@ def scan_captions(
 
 
 def scan_image_folder(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """``root/<class>/.../<file>`` as (path, class[, content]). Without ``content`` only the file
+    """``root/<class>/.../<file>`` as (path, class[, content]), image extensions in any case. Without ``content`` only the file
     listing is read."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*.{IMAGE_EXTENSIONS}")
         .load(root)
+        .filter(F.lower("path").rlike(IMAGE_NAME))
     )
     below = F.split(F.substring_index("path", root.rstrip("/") + "/", -1), "/")
     return files.select("path", F.get(below, F.lit(0)).alias("class"), *(["content"] if content else []))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import itertools
+import operator
 import re
 import tarfile
 import warnings
@@ -46,23 +48,18 @@ def _members(stream) -> Iterator[tuple[int, str, bytes]]:
 
 
 def _samples(members, keys, lower: bool, suffixes):
-    """A new sample starts when the key changes or a suffix repeats."""
-    key, parts = None, {}
-    for _, name, data in members:
-        prefix, suffix = keys(name)
-        if prefix is None:
-            continue
-        if lower:
-            suffix = suffix.lower()
-        if key is not None and (prefix != key or suffix in parts):
-            yield key, parts
-            key, parts = None, {}
-        if key is None:
-            key = prefix
-        if suffixes is None or suffix in suffixes:
-            parts[suffix] = data
-    if key is not None:
-        yield key, parts
+    """Runs of members with one key; a stored suffix that comes again cuts its run in two."""
+    named = ((*keys(name), data) for _, name, data in members)
+    for key, run in itertools.groupby((m for m in named if m[0] is not None), key=operator.itemgetter(0)):
+        sample = {}
+        for _, given, data in run:
+            suffix = given.lower() if lower else given
+            if suffix in sample:
+                yield key, sample
+                sample = {}
+            if suffixes is None or suffix in suffixes:
+                sample[suffix] = data
+        yield key, sample
 
 
 def _read(open_rows, produce, schema: pa.Schema, on_error: str):

@@ -37,7 +37,7 @@ def test_entry(spark):
 
 def test_survey_names_are_registered():
     wanted = """scan_metadata scan_captions scan_image_folder scan_predicate_matrix scan_tar_shards group_samples
-    expand_shards dataset_size read_dataset synthetic_source json_lookup feature_roundtrip export_features metrics_sink
+    expand_shards dataset_size read_dataset json_lookup feature_roundtrip export_features metrics_sink
     retry_sink mirror_diff verify_checksums parse_taxon taxon_ranks scientific_name taxonomic_name common_name
     sci_common_name taxon_common_name text_types class_prompt_name prompt_expand random_text_type basic_clean
     whitespace_clean canonicalize_text canonicalize_keep clean_modes pretokenize encode_corpus decode_tokens frame_tokens

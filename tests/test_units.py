@@ -146,6 +146,19 @@ def test_vectors(spark):
     assert one(spark, V.threshold_labels(F.array(F.lit(0.4), F.lit(0.6)))) == [0, 1]
 
 
+def test_natural_key_of_long_numbers(spark):
+    names = ["9" * 40, "1" + "0" * 39 + "1", "1" + "0" * 39 + "2", "0" * 50 + "7"]
+    got = [r["n"] for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(paths.natural_key("n")).collect()]
+    assert got == [names[3], names[0], names[1], names[2]]
+
+
+def test_image_extensions_in_any_case(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    for name in ("a.TIF", "b.Jpg", "c.BMP", "d.txt"):
+        (tmp_path / "c" / name).write_bytes(b"x")
+    assert tables.scan_image_folder(spark, str(tmp_path)).count() == 3
+
+
 def test_natural_key(spark):
     names = ["epoch_10.pt", "epoch_9.pt", "Epoch_010b.pt", "epoch_1.pt", "2x"]
     df = spark.createDataFrame([(n,) for n in names], "n string").orderBy(paths.natural_key("n"), "n")
@@ -166,6 +179,9 @@ def test_expand_shards(spark):
         (1, "b-1x.tar", 0.5), (1, "b-1y.tar", 0.5), (1, "b-2x.tar", 0.5), (1, "b-2y.tar", 0.5), (1, "b-3x.tar", 0.5), (1, "b-3y.tar", 0.5),
         (2, "c.tar", 2.0),
     ]
+    more = spark.createDataFrame([("{a..c}{0..10..5}.tar",), ("{a,b}{a,b}{a,b}{a,b}{a,b}{a,b}",), ("x{3..1}-{e..a..2}",)], "u string")
+    found = [r["url"] for r in H.expand_shards(more, "u").collect()]
+    assert len(found) == 9 + 64 + 9 and {"c10.tar", "a0.tar", "bababa", "x1-c"} <= set(found)
     with pytest.raises(PySparkException):
         H.expand_shards(spark.createDataFrame([("a::b", "1")], "u string, w string"), "u", "w").collect()
 
@@ -315,3 +331,13 @@ def test_retried_batch_replaces_itself(spark, tmp_path):
     write(spark.range(3), 0)
     write(spark.range(2), 1)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_distances_far_from_the_origin():
+    import numpy as np
+
+    from speciframe.operators import dense
+
+    w = np.array([[1e8, 0.0], [1e8 + 0.3, 0.0]])
+    assert dense.closeness(w[1:], w, "l2").argmax() == 1
+    assert np.array_equal(dense.own_closeness(w, w[::-1], "l2"), np.diag(dense.closeness(w, w[::-1], "l2")))
