@@ -12,11 +12,15 @@ inside a chunk intersections of all sets are counted by one sparse product, and
 connected components as stars, so output is linear in the members and no pair list is made. A bucket that
 outgrows one chunk is dealt anew under each of the 16 half keys, so that its members meet in many
 combinations. A first pass takes a quarter of the half keys; the second only buckets whose members are not
-one component yet.
+one component yet. What these leave of the large buckets is finished exactly by a third: members in
+different components that share a bucket meet block by block, so no link depends on how a bucket was
+dealt. Blocks of one component never meet one another, and blocks meet only where set sizes allow a link;
+a group of copies of any size thus costs its size times the few strangers beside it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +37,8 @@ THRESHOLD = 85  # per cent
 HALVES = 16
 ROWS = 4
 CHUNK = 512
+#: Members of a block; two blocks meet in one task.
+BLOCK = CHUNK // 2
 FIRST = 4
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -211,6 +217,11 @@ def verified(members: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     sizes = members.groupBy("i", "ka").agg(F.count("*").alias("n"))
     dealt = members.join(sizes, ["i", "ka"]).select(
         "id", "i", "ka", F.pmod(F.xxhash64("id", "i"), F.ceil(F.col("n") / CHUNK)).alias("chunk"))
+    return compared(dealt, members, sets, docs)
+
+
+def compared(dealt: DataFrame, members: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Components of each (i, ka, chunk) of ``dealt``, whose ids are those of ``members``."""
     wanted = members.select("id").distinct().join(sets.select("id", "f1", "f2"), "id")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(wanted, "id")
     rows = dealt.join(texts, "id").select("i", "ka", "chunk", "id", "f1", "f2", "text")
@@ -220,6 +231,44 @@ def verified(members: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+def blocks(found: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, i, ka, size, own, parts, k): the block of each member of the buckets that outgrew a chunk and
+    are not one component. ``size`` is a class of set sizes (sets of a link lie in the same or in
+    neighbouring classes), ``own`` the component of a block that holds no other, else ''."""
+    size = F.floor(F.log(F.col("n_shingles").cast("double")) / (0.001 - math.log(THRESHOLD / 100))).cast("int")
+    named = found.join(label, "id", "left").select("id", "i", "ka", F.coalesce("component", "id").alias("c"))
+    open_ = named.groupBy("i", "ka").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
+    open_ = open_.filter((F.col("n") > CHUNK) & (F.col("low") < F.col("high"))).select("i", "ka")
+    left = cut_lineage(named.join(open_, ["i", "ka"]).join(sets.select("id", size.alias("size")), "id"))
+    counts = left.groupBy("i", "ka", "size", "c").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("own", F.when(F.col("n") >= BLOCK, F.col("c").cast("string")).otherwise(""))
+    parts = counts.groupBy("i", "ka", "size", "own").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+    owned = left.join(counts.select("i", "ka", "size", "c", "own"), ["i", "ka", "size", "c"])
+    return owned.join(parts, ["i", "ka", "size", "own"]).select(
+        "id", "i", "ka", "size", "own", "parts", F.pmod(F.xxhash64("id", "i"), F.col("parts")).alias("k"))
+
+
+def finished(found: DataFrame, label: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between the components that still share a large bucket, as edges (u, v) with u > v."""
+    placed = cut_lineage(blocks(found, label, sets))
+    kinds = placed.select("i", "ka", "size", "own", "parts").distinct()
+    side = lambda tag: kinds.select("i", "ka", *[F.col(c).alias(f"{tag}_{c}") for c in ("size", "own", "parts")])
+    ks = lambda parts: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(parts) - 1))
+    near = side("x").withColumn("y_size", F.explode(F.array(F.col("x_size"), F.col("x_size") + 1)))
+    same = F.col("x_size") == F.col("y_size")
+    met = near.join(side("y"), ["i", "ka", "y_size"]).filter(
+        ((F.col("x_own") != F.col("y_own")) & (~same | (F.col("x_own") < F.col("y_own"))))
+        | ((F.col("x_own") == "") & (F.col("y_own") == "")))
+    met = met.withColumn("x_k", ks("x_parts")).withColumn("y_k", ks("y_parts")).filter(
+        ~same | (F.col("x_own") != F.col("y_own")) | (F.col("x_k") <= F.col("y_k")))
+    cells = cut_lineage(met.withColumn("cell", F.monotonically_increasing_id()))
+    place = ["i", "ka", "size", "own", "k"]
+    end = lambda tag: cells.select("cell", "i", "ka", *[F.col(f"{tag}_{c}").alias(c) for c in place[2:]])
+    dealt = placed.join(end("x").union(end("y")).distinct(), place).select(
+        "id", F.lit(0).alias("i"), F.col("cell").alias("ka"), F.lit(0).alias("chunk"))
+    return compared(dealt, placed, sets, docs)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id reachable, for every id that is not itself the least.
 
@@ -253,8 +302,9 @@ def groups(docs: DataFrame) -> DataFrame:
     signed = cut_lineage(signatures(docs))
     first = F.min(F.struct("doc_id", "a", "b"))
     sets = cut_lineage(
-        signed.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(first.alias("r"))
-        .select(F.col("r.doc_id").alias("id"), "f1", "f2", "r.a", "r.b")
+        signed.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(
+            first.alias("r"), F.max("n_shingles").alias("n_shingles"))
+        .select(F.col("r.doc_id").alias("id"), "f1", "f2", "n_shingles", "r.a", "r.b")
     )
     found = cut_lineage(candidates(sets))
     edges = cut_lineage(verified(found.filter(F.col("i") < FIRST), sets, docs))
@@ -262,8 +312,10 @@ def groups(docs: DataFrame) -> DataFrame:
     # buckets whose members are not yet one component
     rest = found.filter(F.col("i") >= FIRST).join(known, "id", "left").withColumn("c", F.coalesce("component", "id"))
     mixed = rest.groupBy("i", "ka").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("i", "ka")
-    edges = edges.union(verified(rest.join(mixed, ["i", "ka"]).select("id", "i", "ka"), sets, docs))
-    label = cut_lineage(components(edges))
+    star = lambda named: named.select(F.col("id").alias("u"), F.col("component").alias("v"))
+    edges = star(known).union(verified(rest.join(mixed, ["i", "ka"]).select("id", "i", "ka"), sets, docs))
+    known = cut_lineage(components(edges))
+    label = cut_lineage(components(star(known).union(finished(found, known, sets, docs))))
     named = sets.select("id", "f1", "f2").join(label, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("_component"))
     return (
         signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")

@@ -278,6 +278,44 @@ def test_near_duplicates(spark, odd, empty):
     assert neardup.keep_one(empty).count() == 0
 
 
+def families_of(sets):
+    """Least index reachable over links between all pairs of sets, by brute force."""
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 100 * common >= 85 * (len(sets[i]) + len(sets[j]) - common):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(sets))]
+
+
+def test_single_links_into_a_large_family(spark, monkeypatch):
+    """Each stranger is linked with one member of a family of many chunks, and with nothing else."""
+    monkeypatch.setattr(neardup, "CHUNK", 16)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    base = [f"w{i}" for i in range(120)]
+
+    def changed(words, places, tag):
+        return [f"{tag}p{i}" if i in places else w for i, w in enumerate(words)]
+
+    found = [changed(base, {i % 120}, f"m{i}") for i in range(500)]
+    for n in range(20):
+        bridge = changed(base, {5, 35, 65}, f"b{n}")
+        found += [bridge, changed(bridge, {20, 50, 80}, f"s{n}")]
+    rows = [(i, " ".join(w), "en", "s", 0, "") for i, w in enumerate(found)]
+    expected = families_of([shingles(r[1]) for r in rows])
+    assert len(set(expected)) == 1
+    got = by_id(neardup.groups(spark.createDataFrame(rows, SCHEMA)))
+    assert [got[i]["component_id"] for i in range(len(rows))] == expected
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 103), (103, 101)]
     found = {r["id"]: r["component"] for r in neardup.components(spark.createDataFrame(chain, "u long, v long")).collect()}
