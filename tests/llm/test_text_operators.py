@@ -297,7 +297,8 @@ def families_of(sets):
 
 
 def test_single_links_into_a_large_family(spark, monkeypatch):
-    """Each stranger is linked with one member of a family of many chunks, and with nothing else."""
+    """Strangers that are linked with one member of a family of many chunks: the third pass alone finds
+    them, all in one bucket; the other families in the bucket stay apart."""
     monkeypatch.setattr(neardup, "CHUNK", 16)
     monkeypatch.setattr(neardup, "BLOCK", 8)
     base = [f"w{i}" for i in range(120)]
@@ -305,15 +306,23 @@ def test_single_links_into_a_large_family(spark, monkeypatch):
     def changed(words, places, tag):
         return [f"{tag}p{i}" if i in places else w for i, w in enumerate(words)]
 
-    found = [changed(base, {i % 120}, f"m{i}") for i in range(500)]
-    for n in range(20):
+    found = [changed(base, {i}, f"m{i}") for i in range(100)]
+    for n in range(10):
         bridge = changed(base, {5, 35, 65}, f"b{n}")
         found += [bridge, changed(bridge, {20, 50, 80}, f"s{n}")]
+    found += [[f"o{n}w{i}" for i in range(118 + n % 3)] + [f"t{n}"] for n in (1, 2, 3)] + [["o1w0"] * 9]
     rows = [(i, " ".join(w), "en", "s", 0, "") for i, w in enumerate(found)]
-    expected = families_of([shingles(r[1]) for r in rows])
-    assert len(set(expected)) == 1
-    got = by_id(neardup.groups(spark.createDataFrame(rows, SCHEMA)))
-    assert [got[i]["component_id"] for i in range(len(rows))] == expected
+    sets = [shingles(r[1]) for r in rows]
+    expected = families_of(sets)
+    assert len(set(expected)) == 5
+    docs = spark.createDataFrame(rows, SCHEMA)
+    keyed = neardup.signatures(docs).select(F.col("doc_id").alias("id"), "f1", "f2", "n_shingles")
+    bucket = keyed.select("id", F.lit(0).alias("i"), F.lit(7).cast("bigint").alias("ka"))
+    label = spark.createDataFrame([(i, 0) for i in range(1, 100)], "id long, component long")
+    edges = neardup.finished(bucket, label, keyed, docs)
+    stars = label.select(F.col("id").alias("u"), F.col("component").alias("v"))
+    got = {r["id"]: r["component"] for r in neardup.components(stars.union(edges)).collect()}
+    assert [got.get(i, i) for i in range(len(rows))] == expected
 
 
 def test_components(spark):
