@@ -148,7 +148,7 @@ def topk_classes(spark, sf):
 )
 def cross_scores(spark, sf):
     matched = scoring.match_prototypes(features(spark, sf), prototypes(spark, sf), truth="target", scale=100.0, keep=["id"], **HOW)
-    best = F.col("hits")[0]
+    best = F.get("hits", 0)
     return matched.select("id", F.round("own_score", 7).alias("own_score"), "n_better", best["label"].alias("best"), F.round(best["score"], 7).alias("best_score"))
 
 

@@ -76,7 +76,7 @@ def stream_scores(spark, sf):
     out, checkpoint = _paths(spark, "stream-scores")
     arriving = _stream(spark, sf, "embeddings").selectExpr("vec_id AS id", "embedding AS features")
     scored = streams.stream_scores(arriving, prototypes(spark, sf), keep=["id"], **HOW)
-    streams.run_available(scored.select("id", F.col("hits")[0]["label"].alias("pred"), F.col("hits")[0]["score"].alias("score")), out, checkpoint)
+    streams.run_available(scored.select("id", F.get("hits", 0)["label"].alias("pred"), F.get("hits", 0)["score"].alias("score")), out, checkpoint)
     return spark.read.parquet(out).select("id", "pred", F.round("score", 9).alias("score"))
 
 

@@ -52,7 +52,7 @@ def assign(points: DataFrame, centers: DataFrame | dict, vec: str, keep: Sequenc
         truth=None if pinned is None else "_truth", keep=list(keep) + ([] if pinned is None else [pinned]),
         ship_limit=ship_limit,
     )
-    near, dist = F.col("hits")[0]["label"], F.col("hits")[0]["score"]
+    near, dist = F.get("hits", 0)["label"], F.get("hits", 0)["score"]
     if pinned is not None:
         near, dist = F.coalesce(F.col(pinned).cast("bigint"), near), F.coalesce(F.col("own_score"), dist)
     return matched.select(*keep, near.alias("cluster"), (dist * dist).alias("sq_dist"))

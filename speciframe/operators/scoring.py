@@ -103,7 +103,8 @@ def match_prototypes(
     ``hits`` are the k best (label, score): dot product times ``scale``, or distance for
     ``metric='l2'``. ``protos`` may be prototypes already collected by ``ship``; ``fixed``
     tells that they are a written table already. With ``truth``, ``n_better`` labels rank before the true one (NULL if it has
-    no prototype). ``means`` centres and normalises the samples of a group first. ``keep`` must
+    no prototype). A sample without a vector, or whose group has no prototype, has empty ``hits`` and
+    NULL for the others. ``means`` centres and normalises the samples of a group first. ``keep`` must
     identify a sample within its group.
     """
     group, keep = list(group), list(keep)
@@ -130,12 +131,15 @@ def _shipped_kernel(shipped, columns, group, k, metric, scale, truth, means):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x_all = matrix(batch.column("_v"))
-            for key, rows in row_groups(batch, group):
-                if key not in shipped:
+            there = np.flatnonzero(batch.column("_v").is_valid().to_numpy(zero_copy_only=False))
+            given = batch.take(pa.array(there)) if len(there) < batch.num_rows else batch
+            x_all, left = matrix(given.column("_v")), np.ones(batch.num_rows, bool)
+            for key, rows in row_groups(given, group):
+                if key not in shipped or not len(rows):
                     continue
+                left[there[rows]] = False
                 labels, w = shipped[key]
-                part = batch.take(pa.array(rows)) if len(rows) < batch.num_rows else batch
+                part = given.take(pa.array(rows)) if len(rows) < given.num_rows else given
                 x = centred(x_all[rows], means[key] if means else None)
                 own = y = at = None
                 if truth:
@@ -152,11 +156,23 @@ def _shipped_kernel(shipped, columns, group, k, metric, scale, truth, means):
                     arrays.append(pa.array(better, pa.int64(), mask=~known))
                     names += ["own_score", "n_better"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+            if left.any():
+                yield unmatched(batch.filter(pa.array(left)))
+
+    def unmatched(part):
+        arrays = [*[part.column(c) for c in columns], _hit_lists(np.zeros((part.num_rows, 0), np.int64), np.zeros((part.num_rows, 0)))]
+        names = [*columns, "hits"]
+        if truth:
+            arrays += [pa.nulls(part.num_rows, pa.float64()), pa.nulls(part.num_rows, pa.int64())]
+            names += ["own_score", "n_better"]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
 
 
 def _grid_match(rows, protos, proto_vec, label, group, k, metric, scale, truth, columns, means, schema):
+    every = rows.select(*columns)
+    rows = rows.filter(F.col("_v").isNotNull())
     if means:
         rows = _centre_frame(rows, group, means)
     if truth:
@@ -215,11 +231,12 @@ def _grid_match(rows, protos, proto_vec, label, group, k, metric, scale, truth,
     lists = ranked.groupBy(*columns).agg(packed.alias("hits")).select(
         *columns, F.transform("hits", lambda h: F.struct(h["label"].alias("label"), h["score"].alias("score"))).alias("hits")
     )
-    if not truth:
-        return lists
-    own_shown = F.sqrt(-F.max("own_score")) if metric == "l2" else F.max("own_score") * scale
-    better = cells.groupBy(*columns).agg(own_shown.alias("own_score"), F.sum("n_better").alias("n_better"))
-    return lists.join(better, columns)
+    if truth:
+        own_shown = F.sqrt(-F.max("own_score")) if metric == "l2" else F.max("own_score") * scale
+        better = cells.groupBy(*columns).agg(own_shown.alias("own_score"), F.sum("n_better").alias("n_better"))
+        lists = lists.join(better, columns)
+    out = every.join(lists, columns, "left")
+    return out.withColumn("hits", F.coalesce("hits", F.array().cast(HITS)))
 
 
 def _centre_frame(rows: DataFrame, group: list[str], means: dict) -> DataFrame:
@@ -250,4 +267,5 @@ def nearest_prototype(samples: DataFrame, protos: DataFrame, **how) -> DataFrame
     """The best label per sample as ``pred``."""
     matched = match_prototypes(samples, protos, k=1, **how)
     extra = [c for c in matched.columns if c != "hits"]
-    return matched.select(*extra, F.col("hits")[0]["label"].alias("pred"), F.col("hits")[0]["score"].alias("score"))
+    best = F.get("hits", 0)
+    return matched.select(*extra, best["label"].alias("pred"), best["score"].alias("score"))

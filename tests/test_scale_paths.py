@@ -226,3 +226,18 @@ def test_few_shot_by_configuration(spark, points, monkeypatch):
     short = {(r["k"], r["fold"]): (r["n"], round(r["accuracy"], 9)) for r in few_shot.few_shot_accuracy(table, **how).collect()}
     wide = {(r["k"], r["fold"]): (r["n"], round(r["accuracy"], 9)) for r in few_shot.few_shot_accuracy(table, ship_limit=0, **how).collect()}
     assert short == wide and len(short) == 4
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_samples_without_a_match_stay(spark, limit):
+    """A group without prototypes and a null vector give empty hits on the shipped path and on the grid."""
+    samples = spark.createDataFrame([(1, 0, [1.0, 0.0], 3), (2, 1, [0.0, 1.0], 3), (3, 0, None, 3)], "id long, g int, v array<double>, y long")
+    protos = spark.createDataFrame([(0, 3, [1.0, 0.0]), (0, 4, [0.0, 1.0])], "g int, label long, w array<double>")
+    for truth in (None, "y"):
+        found = scoring.match_prototypes(
+            samples, protos, vec="v", proto_vec="w", label="label", group=["g"], truth=truth, ship_limit=limit).collect()
+        assert {r["id"]: [h["label"] for h in r["hits"]] for r in found} == {1: [3], 2: [], 3: []}
+        if truth:
+            assert {r["id"]: r["n_better"] for r in found} == {1: 0, 2: None, 3: None}
+    assert scoring.nearest_prototype(
+        samples, protos.limit(0), vec="v", proto_vec="w", label="label", group=["g"], ship_limit=limit).filter("pred IS NULL").count() == 3
