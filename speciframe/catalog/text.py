@@ -101,7 +101,7 @@ def _bpe_sql():
     return expr
 
 
-_CLEAN = f"lower({collapse('text')})"
+_CLEAN = f"lower({collapse(unescape(unescape('text')))})"
 _ENCODE_SQL = f"""WITH words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos
   FROM (SELECT doc_id, {WORDS.format(_CLEAN)} AS w FROM documents)),
  codes AS (SELECT word, list_transform(range(0, octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), (2 * i + 1)::INT, 2))::INT) AS b
@@ -118,10 +118,8 @@ _ENCODE_SQL = f"""WITH words AS (SELECT doc_id, unnest(w) AS word, generate_subs
 
 
 def _encoded(spark, sf):
-    # The documents hold no entities, so the cleaning without the Python step gives the same.
-    words = X.pretokenize(F.lower(X.whitespace_clean("text")))
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", words.alias("w"))
-    return docs.withColumn("t", K.encode_words("w", VOCABULARY))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", K.encode_text("text", VOCABULARY).alias("t"))
 
 
 @query("encode_corpus", _ENCODE_SQL)

@@ -77,14 +77,21 @@ def repair(text: str) -> str:
     return unicodedata.normalize("NFC", LINE_BREAKS.sub("\n", text).translate(REPLACED))
 
 
+#: What repair or unescaping could touch.
+UNUSUAL = r"[^\t\n\x20-\x7e]|&"
+
+
 @F.pandas_udf(T.StringType())
 def _clean(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: html.unescape(html.unescape(repair(t))).strip(), na_action="ignore")
 
 
 def basic_clean(text) -> Column:
-    """Repaired text with HTML entities resolved twice, trimmed."""
-    return _clean(_col(text))
+    """Repaired text with HTML entities resolved twice, trimmed. Only texts with an ampersand or a
+    character outside plain ASCII go through Python; nothing but the trim can change the others."""
+    c = _col(text)
+    plain = ~c.rlike(UNUSUAL)
+    return F.when(plain, F.btrim(c, F.lit(" \t\n"))).otherwise(_clean(F.when(~plain, c)))
 
 
 def whitespace_clean(text) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,15 +77,10 @@ class Vocabulary:
 
         return encode
 
-    def decoder(self):
-        """A function from ids to text; bytes that are not UTF-8 become replacement marks."""
+    def piece_bytes(self) -> list[bytes]:
+        """The bytes of every id."""
         to_byte = {s: b for b, s in enumerate(byte_symbols())}
-        raw = [bytes(to_byte[ch] for ch in entry) for entry in self.entries]
-
-        def decode(tokens) -> str:
-            return b"".join(map(raw.__getitem__, tokens)).decode("utf-8", errors="replace").replace(WORD_END, " ")
-
-        return decode
+        return [bytes(to_byte[ch] for ch in entry) for entry in self.entries]
 
 
 def encode_words(words, vocabulary: Vocabulary) -> Column:
@@ -120,13 +114,10 @@ def encode_text(text, vocabulary: Vocabulary, mode: str = "lower") -> Column:
 
 
 def decode_tokens(tokens, vocabulary: Vocabulary) -> Column:
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        decode = vocabulary.decoder()
-        for batch in batches:
-            yield batch.map(lambda ts: None if ts is None else decode(ts))
-
-    return run(F.col(tokens) if isinstance(tokens, str) else tokens)
+    """Ids to text; bytes that are not UTF-8 become replacement marks, unknown ids nothing."""
+    pieces = F.split(F.lit(" ".join(piece.hex() for piece in vocabulary.piece_bytes())), " ")
+    joined = F.unhex(F.array_join(F.transform(_ints(tokens), lambda t: F.get(pieces, t)), ""))
+    return F.replace(F.make_valid_utf8(joined.cast("string")), F.lit(WORD_END), F.lit(" "))
 
 
 def _ints(tokens) -> Column:
