@@ -8,7 +8,7 @@ from ..functions import paths
 from ..session import scratch_path
 from ..sources import sinks
 from ..streaming import streams
-from .base import ctes, members, query
+from .base import ctes, members, query, table
 from .evaluation import HOW, RANKED, WINDOWED, _metered, prototypes
 from .sources import TAR_SQL, _described, write_shards
 
@@ -75,22 +75,37 @@ def stream_results(spark, sf):
 def stream_scores(spark, sf):
     out, checkpoint = _paths(spark, "stream-scores")
     arriving = _stream(spark, sf, "embeddings").selectExpr("vec_id AS id", "embedding AS features")
-    scored = streams.stream_scores(arriving, prototypes(spark, sf), keep=["id"], **HOW)
-    streams.run_available(scored.select("id", F.get("hits", 0)["label"].alias("pred"), F.get("hits", 0)["score"].alias("score")), out, checkpoint)
-    return spark.read.parquet(out).select("id", "pred", F.round("score", 9).alias("score"))
+    streams.stream_scores(arriving, prototypes(spark, sf), out, checkpoint, keep=["id"], **HOW)
+    best = F.get("hits", F.lit(0))
+    return spark.read.parquet(out).select("id", best["label"].alias("pred"), F.round(best["score"], 9).alias("score"))
 
 
 @query("stream_resume", "SELECT doc_id, lang FROM documents")
 def stream_resume(spark, sf):
-    """Two runs on one checkpoint: the second finds nothing new and adds nothing."""
+    """Three runs on one checkpoint: the second finds what arrived since the first, the third nothing."""
     out, checkpoint = _paths(spark, "stream-resume")
-    for _ in range(2):
-        streams.run_available(_stream(spark, sf, "documents").select("doc_id", "lang"), out, checkpoint)
+    folder = scratch_path(spark, "arriving")
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    early = F.coalesce(F.col("lang") == "en", F.lit(False))
+    for part in (docs.filter(early), docs.filter(~early), None):
+        if part is not None:
+            part.write.mode("append").parquet(folder)
+        streams.run_available(streams.stream_table(spark, folder, docs.schema), out, checkpoint)
     return spark.read.parquet(out)
 
 
 @query("retry_sink", "SELECT o_orderkey, o_custkey FROM orders")
 def retry_sink(spark, sf):
+    """The first attempt breaks after it has written; the second replaces what it left."""
     out, checkpoint = _paths(spark, "retry")
-    streams.retry_sink(_stream(spark, sf, "orders").select("o_orderkey", "o_custkey"), out, checkpoint, first_wait=0.1)
+    store, broken = sinks.idempotent_parquet(out, attempts=1), []
+
+    def write(batch, number):
+        store(batch, number)
+        if not broken:
+            broken.append(number)
+            raise OSError("the connection was lost")
+
+    arriving = _stream(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    streams.retry_sink(arriving, out, checkpoint, first_wait=0.1, write=write)
     return spark.read.parquet(out).select("o_orderkey", "o_custkey")

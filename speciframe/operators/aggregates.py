@@ -6,13 +6,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dense import matrix, row_groups, vectors
 
 # Partial sums a task keeps (numbers, not groups) before it hands them on.
 PARTIAL_NUMBERS = 1 << 22
+# Shares of the tasks whose partial sums of a group are added apart at first.
+SHARES = 64
 
 
 def _schema_of(df: DataFrame, by: Sequence[str]) -> str:
@@ -66,11 +68,19 @@ def _sum_kernel(by: list[str], vec: str):
 
 
 def merge_partials(partial: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by..., n, total) from partial rows; the sum is keyed by (group, dimension)."""
-    per_dim = partial.select(*by, "_n", F.posexplode("_s").alias("_i", "_x"))
-    dims = per_dim.groupBy(*by, "_i").agg(F.sum("_n").alias("_n"), F.sum("_x").alias("_x"))
-    packed = F.array_sort(F.collect_list(F.struct("_i", "_x")))
-    return dims.groupBy(*by).agg(F.max("_n").alias("n"), F.transform(packed, lambda p: p["_x"]).alias("total"))
+    """(by..., n, total) from partial rows, at most a few per group and task. Whole vectors are added,
+    first by (group, share of the tasks), then by group, so a group in every task is still spread."""
+    spread = partial.select(*by, (F.spark_partition_id() % SHARES).alias("_share"), "_n", "_s")
+    for keys in ([*by, "_share"], list(by)):
+        spread = spread.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.collect_list("_s").alias("_s")).withColumn("_s", _added("_s"))
+    # Without keys an empty table still gives a row, of which nothing was added.
+    return spread.filter("_n IS NOT NULL").select(*by, F.col("_n").alias("n"), F.col("_s").alias("total"))
+
+
+def _added(vectors) -> Column:
+    """Element-wise sum of an array of vectors."""
+    rest = F.slice(vectors, 2, F.greatest(F.size(vectors), F.lit(1)))
+    return F.aggregate(rest, F.get(vectors, F.lit(0)), lambda total, v: F.zip_with(total, v, lambda a, b: a + b))
 
 
 def vector_sums(df: DataFrame, vec: str, by: Sequence[str] = ()) -> DataFrame:

@@ -178,8 +178,7 @@ def _grid_match(rows, protos, proto_vec, label, group, k, metric, scale, truth,
     if truth:
         own = protos.select(*group, F.col(label).alias(truth), F.col(proto_vec).alias("_own_w"))
         rows = rows.withColumn(truth, F.col(truth).cast("bigint")).join(own, [*group, truth], "left")
-        plain = V.dot("_v", "_own_w") if metric == "dot" else -V.squared_distance("_v", "_own_w")
-        rows = rows.withColumn("_own", F.round(plain, 9)).drop("_own_w")
+        rows = _own_scores(rows, metric)
     # The numbers of rows only steer how finely the grid is cut.
     n_rows, count = rows.count(), protos.count()
     s_blocks, p_blocks = -(-n_rows // CELL_ROWS) or 1, -(-count // CELL_ROWS) or 1
@@ -239,6 +238,22 @@ def _grid_match(rows, protos, proto_vec, label, group, k, metric, scale, truth,
     return out.withColumn("hits", F.coalesce("hits", F.array().cast(HITS)))
 
 
+def _own_scores(rows: DataFrame, metric: str) -> DataFrame:
+    """``_own``: closeness of a sample to the prototype beside it, in the arithmetic of the kernel."""
+    def run(batches):
+        for batch in batches:
+            known = batch.column("_own_w").is_valid().to_numpy(zero_copy_only=False)
+            own = np.zeros(batch.num_rows)
+            if known.any():
+                part = batch.filter(pa.array(known))
+                own[known] = own_closeness(matrix(part.column("_v")), matrix(part.column("_own_w")), metric)
+            yield batch.drop_columns(["_own_w"]).append_column("_own", pa.array(own, pa.float64(), mask=~known))
+
+    kept = [f for f in rows.schema if f.name != "_own_w"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", _own double"
+    return rows.select(*[f.name for f in kept], F.col("_own_w").cast("array<double>").alias("_own_w")).mapInArrow(run, schema)
+
+
 def _centre_frame(rows: DataFrame, group: list[str], means: dict) -> DataFrame:
     def run(batches):
         for batch in batches:

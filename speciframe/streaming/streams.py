@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.scoring import match_prototypes, ship
-from ..session import SHIP_LIMIT_BYTES, cut_lineage
-from ..sources.sinks import idempotent_parquet
+from ..operators.scoring import match_prototypes
+from ..session import cut_lineage
+from ..sources.sinks import idempotent_parquet, retried
 from ..sources.tar import tar_samples
 
 SHARD_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -49,25 +49,12 @@ def stream_meter_by_time(stream: DataFrame, value: str, weight: str, by: Sequenc
     return out.select(F.col("window.start").alias("window_start"), *by, "total", "weight", "avg")
 
 
-def stream_scores(
-    stream: DataFrame, prototypes: DataFrame, *, vec: str, proto_vec: str, label: str, keep: Sequence[str], truth: str | None = None,
-    k: int = 1, metric: str = "dot", scale: float = 1.0, ship_limit: int = SHIP_LIMIT_BYTES,
-) -> DataFrame:
-    """Arriving features against fixed prototypes, map-side. The prototypes must be within the
-    ship limit; for larger tables use ``score_batches``."""
-    fixed = cut_lineage(prototypes.select(F.col(label).cast("bigint").alias(label), proto_vec))
-    shipped = ship(fixed, [], label, proto_vec, ship_limit)
-    if shipped is None:
-        raise ValueError("prototypes exceed the ship limit: use score_batches")
-    return match_prototypes(
-        stream, shipped, vec=vec, proto_vec=proto_vec, label=label, keep=keep, truth=truth, k=k, metric=metric, scale=scale
-    )
-
-
-def score_batches(stream: DataFrame, prototypes: DataFrame, path: str, checkpoint: str, **how) -> StreamingQuery:
-    """The same for prototypes of any size: each micro-batch is matched as a table and written."""
+def stream_scores(stream: DataFrame, prototypes: DataFrame, path: str, checkpoint: str, **how) -> StreamingQuery:
+    """Arriving features against fixed prototypes of any size: the prototypes are written once, each
+    micro-batch is matched as a table and written below ``path`` by its id. ``how`` as in match_prototypes."""
+    fixed = cut_lineage(prototypes.select(*how.get("group", ()), F.col(how["label"]).cast("bigint").alias(how["label"]), how["proto_vec"]))
     write = idempotent_parquet(path)
-    return foreach_batch(stream, lambda batch, number: write(match_prototypes(batch, prototypes, **how), number), checkpoint)
+    return foreach_batch(stream, lambda batch, number: write(match_prototypes(batch, fixed, fixed=True, **how), number), checkpoint)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", fmt: str = "parquet") -> StreamingQuery:
@@ -90,6 +77,11 @@ def foreach_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], ch
     return query
 
 
-def retry_sink(stream: DataFrame, path: str, checkpoint: str, attempts: int = 5, first_wait: float = 0.5) -> StreamingQuery:
-    """Micro-batches written by id, tried again on failure; a repeated batch replaces itself."""
-    return foreach_batch(stream, idempotent_parquet(path, attempts, first_wait), checkpoint)
+def retry_sink(
+    stream: DataFrame, path: str, checkpoint: str, attempts: int = 5, first_wait: float = 0.5,
+    write: Callable[[DataFrame, int], None] | None = None,
+) -> StreamingQuery:
+    """Micro-batches written by id, tried again on failure; a repeated batch replaces itself. Another
+    ``write`` must do the same."""
+    once = write or idempotent_parquet(path, attempts=1)
+    return foreach_batch(stream, lambda batch, number: retried(lambda: once(batch, number), attempts, first_wait), checkpoint)

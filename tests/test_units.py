@@ -78,6 +78,7 @@ def test_templates(spark):
 @pytest.mark.parametrize("raw,clean", [
     ("  a &amp;amp; b ", "a & b"), ("&lt;p&gt;", "<p>"), ("cafÃ© crÃ¨me", "café crème"), ("itâ€™s", "it's"), ("\u201cﬁne\u201d\r\nｏｋ\x00", '"fine"\nok'), ("e\u0301", "é"), ("\x1b[1;31mred\x1b[0m", "red"),
     ("plain Ã text", "plain Ã text"), ("naïve", "naïve"), (None, None),
+    (" \t two\n lines \n", "two\n lines"), ("\x0b\x1c a\x85\xa0", "a"), ("", ""), (" a &amp b ", "a & b"),
 ])
 def test_basic_clean(spark, raw, clean):
     assert one(spark, X.basic_clean(F.lit(raw).cast("string"))) == clean
@@ -93,7 +94,8 @@ def test_cleaning(spark):
 
 def test_subwords(spark):
     v = K.Vocabulary([("a", "b"), ("ab", "c</w>"), ("a", "a")])
-    encode, decode = v.encoder(), v.decoder()
+    encode = v.encoder()
+    decode = lambda ids: one(spark, K.decode_tokens(F.array(*map(F.lit, ids)).cast("array<int>"), v))
     name = lambda word: [v.entries[i] for i in encode(word)]
     assert name("abc") == ["abc</w>"]
     assert name("aaaab") == ["aa", "aa", "b</w>"]
@@ -101,6 +103,10 @@ def test_subwords(spark):
     assert name("x") == ["x</w>"]
     assert encode("<start_of_text>") == [v.start_id]
     assert decode(encode("abc") + encode("é")) == "abc é "
+    assert decode([]) == "" and one(spark, K.decode_tokens(F.lit(None).cast("array<int>"), v)) is None
+    symbols = K.byte_symbols()
+    for raw in (b"\xc3", b"a\xe2\x82b", b"\xf0\x9f\x98", b"\xffz\x80", b"\xe2\x82\xac \xed\xa0\x80", b"\xc0\xaf"):
+        assert decode([v.ids[symbols[b]] for b in raw]) == raw.decode("utf-8", errors="replace"), raw
     assert len(v.entries) == 512 + 3 + 2 and v.end_id == 516
     df = spark.createDataFrame([(["abc", "x"],), (None,), ([],)], "w array<string>")
     got = [r["t"] for r in df.select(K.encode_words("w", v).alias("t")).collect()]
@@ -313,16 +319,16 @@ def test_stream_resume_reads_only_new_files(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(8))
 
 
-def test_stream_scores_limit(spark, tmp_path):
+@pytest.mark.parametrize("limit", [1, 1 << 20])
+def test_stream_scores_at_any_size(spark, tmp_path, limit):
     protos = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "label bigint, w array<double>")
-    rows = spark.createDataFrame([(5, [0.1, 0.9])], "id bigint, v array<double>")
+    rows = spark.createDataFrame([(5, [0.1, 0.9]), (6, None)], "id bigint, v array<double>")
     rows.write.parquet(str(tmp_path / "in"))
     stream = streams.stream_table(spark, str(tmp_path / "in"), rows.schema)
-    how = dict(vec="v", proto_vec="w", label="label", keep=["id"])
-    with pytest.raises(ValueError):
-        streams.stream_scores(stream, protos, ship_limit=1, **how)
-    streams.score_batches(stream, protos, str(tmp_path / "out"), str(tmp_path / "mark"), ship_limit=1, **how)
-    assert spark.read.parquet(str(tmp_path / "out")).first()["hits"][0]["label"] == 1
+    how = dict(vec="v", proto_vec="w", label="label", keep=["id"], ship_limit=limit)
+    streams.stream_scores(stream, protos, str(tmp_path / "out"), str(tmp_path / "mark"), **how)
+    found = {r["id"]: [h["label"] for h in r["hits"]] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert found == {5: [1], 6: []}
 
 
 def test_retried_batch_replaces_itself(spark, tmp_path):
