@@ -60,15 +60,16 @@ def kshot_guard(df: DataFrame, cls: str, k: int, margin: int = 5, strict: bool =
 def kshot_split(df: DataFrame, ks: Sequence[int], folds: Sequence[int], cls: str, key: str) -> DataFrame:
     """Every row once per (k, fold) with its role: k train rows per class, the rest test.
 
-    The picks are found first on narrow rows; the role is then a join on (key, fold), whose
-    build side holds at most max(k) rows per class and fold.
+    The picks are found first on narrow rows and gathered per key, so the table is joined once by key
+    and multiplied only afterwards, within its tasks.
     """
     picks = kshot_picks(df, max(ks), folds, cls, key)
-    fold_rows = df.select("*", F.explode(F.array(*[F.lit(f) for f in folds])).alias("fold"))
-    marked = fold_rows.join(picks.select(key, "fold", "pick"), [key, "fold"], "left")
-    each_k = marked.select("*", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
-    role = F.when(F.col("pick") <= F.col("k"), "train").otherwise("test")
-    return each_k.withColumn("role", role).drop("pick")
+    used = picks.groupBy(key).agg(F.collect_list(F.struct("fold", "pick")).alias("_used"))
+    marked = df.join(used, key, "left")
+    pairs = marked.select("*", F.explode(F.array(*[F.lit(f) for f in folds])).alias("fold"))
+    pairs = pairs.select("*", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+    train = F.exists("_used", lambda u: (u["fold"] == F.col("fold")) & (u["pick"] <= F.col("k")))
+    return pairs.withColumn("role", F.when(train, "train").otherwise("test")).drop("_used")
 
 
 def kshot_picks(df: DataFrame, k: int, folds: Sequence[int], cls: str, key: str) -> DataFrame:

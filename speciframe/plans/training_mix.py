@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.templates import random_text_type
-from ..functions.text import cleaner, pretokenize
-from ..functions.tokens import CONTEXT_LENGTH, Vocabulary, encode_words, frame_tokens
+from ..functions.tokens import CONTEXT_LENGTH, Vocabulary, encode_text, frame_tokens
 from ..operators.joins import replay_pairing
 from ..operators.ranking import assign_batches, assign_workers, epoch_shuffle
 from ..operators.samples import complete_samples, pick_parts
@@ -30,21 +29,27 @@ def shards_for_epoch(
     return assign_workers(drawn, ["position"], nodes, workers)
 
 
-def training_texts(
-    samples: DataFrame, vocabulary: Vocabulary, text_type: str = "", length: int = CONTEXT_LENGTH, mode: str = "lower"
-) -> DataFrame:
-    """Complete samples with their image part and framed tokens of one text type, or of a type
-    drawn per sample for ``random``."""
-    types = ["sci", "com", "taxon", "sci_com", "taxon_com"] if text_type == "random" else [text_type]
-    picked = pick_parts(complete_samples(samples), types)
-    names = [t or "text" for t in types]
-    text = random_text_type(F.col("key"), names) if text_type == "random" else F.col(names[0])
-    # Without its text part a sample cannot be used.
-    rows = picked.withColumn("_t", text.cast("string")).filter("_t IS NOT NULL AND image IS NOT NULL")
-    words = rows.withColumn("_w", pretokenize(cleaner(mode)("_t"), vocabulary.special))
-    tokens = words.withColumn("_ids", encode_words("_w", vocabulary))
+TEXT_TYPES = ["sci", "com", "taxon", "sci_com", "taxon_com"]
+
+
+def usable_samples(samples: DataFrame, text_type: str = "") -> DataFrame:
+    """Complete samples with their image part and the text column ``text``; for ``random`` with one column
+    for each text type, all of which a sample must have. Other parts go."""
+    types = TEXT_TYPES if text_type == "random" else [text_type]
+    picked = pick_parts(complete_samples(samples), types).drop("parts")
+    if text_type not in ("", "random"):
+        picked = picked.withColumnRenamed(text_type, "text")
+    there = F.col("image").isNotNull()
+    for name in types if text_type == "random" else ["text"]:
+        there &= F.col(name).isNotNull()
+    return picked.filter(there)
+
+
+def framed_texts(rows: DataFrame, text, vocabulary: Vocabulary, length: int = CONTEXT_LENGTH, mode: str = "lower") -> DataFrame:
+    """Rows with the framed ``tokens`` of a text in place of their text columns."""
+    coded = rows.withColumn("_ids", encode_text(text.cast("string"), vocabulary, mode))
     framed = frame_tokens("_ids", vocabulary.start_id, vocabulary.end_id, length)
-    return tokens.withColumn("tokens", framed).drop("_t", "_w", "_ids", *names)
+    return coded.withColumn("tokens", framed).drop("_ids", "text", *TEXT_TYPES)
 
 
 def training_batches(
@@ -58,12 +63,19 @@ def training_mix(
     main: DataFrame, replay: DataFrame | None, vocabulary: Vocabulary, size: int, replay_size: int, seed: int, epoch: int,
     keys: Sequence[str] = ("url", "key", "sample"), text_type: str = "", path: str | None = None, length: int = CONTEXT_LENGTH,
 ) -> DataFrame:
-    """Main batches, each followed by its replay batch. With ``path`` they are written, one
-    batch after the other, and read back."""
-    batches = training_batches(cut_lineage(training_texts(main, vocabulary, text_type, length)), size, seed, epoch, keys)
+    """Main batches, each followed by its replay batch. For the text type ``random`` every batch has one
+    type, drawn by epoch and batch number. With ``path`` they are written, one batch after the other, and
+    read back."""
+    def batched(samples, size):
+        rows = usable_samples(samples, text_type)
+        if text_type != "random":
+            return training_batches(cut_lineage(framed_texts(rows, F.col("text"), vocabulary, length)), size, seed, epoch, keys)
+        cut = training_batches(cut_lineage(rows), size, seed, epoch, keys)
+        return framed_texts(cut, random_text_type(F.col("batch_no"), TEXT_TYPES, seed + epoch), vocabulary, length)
+
+    batches = batched(main, size)
     if replay is not None:
-        again = training_batches(cut_lineage(training_texts(replay, vocabulary, text_type, length)), replay_size, seed, epoch, keys)
-        batches = replay_pairing(batches, again)
+        batches = replay_pairing(batches, batched(replay, replay_size))
     if path is None:
         return batches
     batches.repartitionByRange("batch_no").sortWithinPartitions("batch_no").write.mode("overwrite").parquet(path)

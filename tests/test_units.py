@@ -13,7 +13,7 @@ from speciframe.functions import text as X
 from speciframe.functions import tokens as K
 from speciframe.functions import vectors as V
 from speciframe.operators import joins, metrics, ranking, sampling
-from speciframe.plans import few_shot
+from speciframe.plans import few_shot, training_mix
 from speciframe.sources import shards as H
 from speciframe.sources import sinks, tables, tar
 from speciframe.streaming import streams
@@ -347,3 +347,38 @@ def test_distances_far_from_the_origin():
     w = np.array([[1e8, 0.0], [1e8 + 0.3, 0.0]])
     assert dense.closeness(w[1:], w, "l2").argmax() == 1
     assert np.array_equal(dense.own_closeness(w, w[::-1], "l2"), np.diag(dense.closeness(w, w[::-1], "l2")))
+
+
+def test_one_random_text_type_per_batch(spark):
+    types = training_mix.TEXT_TYPES
+    words = dict(zip(types, ("one", "two", "three", "four", "five")))
+    parts = {"jpg": bytearray(b"x"), **{f"{t}.txt": bytearray(w.encode()) for t, w in words.items()}}
+    lacking = {k: v for k, v in parts.items() if k != "taxon.txt"}
+    rows = [("a", str(i), i, parts) for i in range(40)] + [("a", "40", 40, lacking), ("a", "41", 41, None)]
+    samples = spark.createDataFrame(rows, "url string, key string, sample bigint, parts map<string,binary>")
+    vocabulary = K.Vocabulary()
+    drawn = set()
+    for epoch in (0, 1):
+        mixed = training_mix.training_mix(samples, None, vocabulary, 4, 4, 3, epoch, text_type="random", length=12)
+        body = F.filter("tokens", lambda t: ~t.isin(0, vocabulary.start_id, vocabulary.end_id))
+        found = mixed.select("key", "batch_no", K.decode_tokens(body, vocabulary).alias("text")).collect()
+        assert sorted(int(r["key"]) for r in found) == list(range(40))
+        by_batch = {}
+        for r in found:
+            by_batch.setdefault(r["batch_no"], set()).add(r["text"].strip())
+        assert len(by_batch) == 10 and all(len(texts) == 1 for texts in by_batch.values())
+        drawn.add(tuple(min(by_batch[b]) for b in sorted(by_batch)))
+    assert len(drawn) == 2 and all(len(set(d)) > 1 for d in drawn)
+
+
+def test_kshot_split_joins_once(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(30)] + [(30, 7)], "id int, c int")
+    rows = sampling.kshot_split(df, [1, 4], [0, 1], "c", "id").collect()
+    assert len(rows) == 31 * 4
+    for c, size in ((0, 10), (1, 10), (2, 10), (7, 1)):
+        for k in (1, 4):
+            for fold in (0, 1):
+                roles = [r["role"] for r in rows if (r["c"], r["k"], r["fold"]) == (c, k, fold)]
+                assert roles.count("train") == min(k, size) and len(roles) == size
+    train = {(r["k"], r["fold"], r["id"]) for r in rows if r["role"] == "train"}
+    assert all((4, fold, i) in train for k, fold, i in train if k == 1)
