@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dense import matrix, row_groups, vectors
+from .dense import group_totals, matrix, vectors
 
 # Partial sums a task keeps (numbers, not groups) before it hands them on.
 PARTIAL_NUMBERS = 1 << 22
@@ -28,13 +28,15 @@ class PartialSums:
         self.names, self.held, self.types, self.width = list(names), {}, None, 0
 
     def add(self, key: tuple, x: np.ndarray) -> None:
-        total = x.sum(axis=0)
+        self.put(key, len(x), x.sum(axis=0))
+
+    def put(self, key: tuple, n: int, total: np.ndarray) -> None:
         self.width = len(total)
         if key in self.held:
-            self.held[key][0] += len(x)
+            self.held[key][0] += n
             self.held[key][1] += total
         else:
-            self.held[key] = [len(x), total]
+            self.held[key] = [n, total.copy()]
 
     def full(self) -> bool:
         return len(self.held) * self.width > PARTIAL_NUMBERS
@@ -58,8 +60,8 @@ def _sum_kernel(by: list[str], vec: str):
                 continue
             sums.types = [batch.schema.field(c).type for c in by]
             x = matrix(batch.column(vec))
-            for key, rows in row_groups(batch, by):
-                sums.add(key, x[rows])
+            for key, n, total in group_totals(batch, by, x):
+                sums.put(key, n, total)
             if sums.full():
                 yield from sums.flush()
         yield from sums.flush()

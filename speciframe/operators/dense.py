@@ -119,3 +119,20 @@ def row_groups(batch: pa.RecordBatch | pa.Table, keys: list[str]):
     frame = pa.Table.from_batches([batch]) if isinstance(batch, pa.RecordBatch) else batch
     for key, rows in frame.select(keys).to_pandas().groupby(keys, sort=False).indices.items():
         yield (key if isinstance(key, tuple) else (key,)), rows
+
+
+def group_totals(batch: pa.RecordBatch, keys: list[str], x: np.ndarray):
+    """(key tuple, number of rows, sum of their vectors) for each distinct key in the batch; rows with a
+    null key are left out."""
+    if not keys:
+        yield (), len(x), x.sum(axis=0)
+        return
+    frame = batch.select(keys).to_pandas()
+    codes = frame.groupby(keys, sort=False).ngroup().to_numpy()
+    order = np.argsort(codes, kind="stable")[int((codes < 0).sum()) :]
+    if not len(order):
+        return
+    starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    totals = np.add.reduceat(x[order], starts, axis=0)
+    names = frame.iloc[order[starts]].itertuples(index=False, name=None)
+    yield from zip(names, np.diff(starts, append=len(order)).tolist(), totals)

@@ -12,7 +12,7 @@ from speciframe.functions import paths, templates
 from speciframe.functions import text as X
 from speciframe.functions import tokens as K
 from speciframe.functions import vectors as V
-from speciframe.operators import joins, metrics, ranking, sampling
+from speciframe.operators import aggregates, joins, metrics, ranking, sampling
 from speciframe.plans import few_shot, training_mix
 from speciframe.sources import shards as H
 from speciframe.sources import sinks, tables, tar
@@ -382,3 +382,13 @@ def test_kshot_split_joins_once(spark):
                 assert roles.count("train") == min(k, size) and len(roles) == size
     train = {(r["k"], r["fold"], r["id"]) for r in rows if r["role"] == "train"}
     assert all((4, fold, i) in train for k, fold, i in train if k == 1)
+
+
+def test_vector_means(spark):
+    rows = [("a", 1, [1.0, 2.0]), ("a", 1, [3.0, 4.0]), ("a", 2, [5.0, 6.0]), ("b", 1, None), ("b", 2, [7.0, 8.0])]
+    df = spark.createDataFrame(rows * 3, "g string, h int, v array<double>").repartition(4)
+    got = {(r["g"], r["h"]): (r["n"], r["mean"]) for r in aggregates.vector_mean(df, "v", ["g", "h"]).collect()}
+    assert got == {("a", 1): (6, [2.0, 3.0]), ("a", 2): (3, [5.0, 6.0]), ("b", 2): (3, [7.0, 8.0])}
+    assert [tuple(r) for r in aggregates.vector_mean(df, "v").collect()] == [(12, [4.0, 5.0])]
+    assert aggregates.vector_mean(df.limit(0), "v").collect() == []
+    assert aggregates.vector_mean(df.limit(0), "v", ["g"]).collect() == []
