@@ -1,11 +1,11 @@
 """Secrets and who owns them, in Spark's own expressions.
 
 Candidates are the base spans (assignments, access keys, long hexadecimal runs) and free tokens that mix
-letters of both cases with digits. Each distinct value of a document is counted once; counts by (value,
-source) are added up in the tasks, then by value: the number of documents that hold it (repositories) and
-of the sources they come from (owners). A value of ``SHARED`` or more owners is a widely copied example,
-one of fewer is owner-specific and looks live. Base spans always stay and carry the verdict; a free token
-becomes a span of kind ``live`` only if it is owner-specific and lies in no base span.
+letters of both cases with digits. A value has as many repositories as distinct texts hold it (copies of one
+text are one repository) and as many owners as sources have such a text. It is a widely copied example if
+several repositories of ``SHARED`` or more owners hold it, or if it has ``MANY`` or more repositories per
+owner; any other value is owner-specific and looks live. Base spans always stay and carry the verdict; a free
+token becomes a span of kind ``live`` only if it is owner-specific and lies in no base span.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: A run of this alphabet between other characters.
 FREE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}+(?![A-Za-z0-9+/_=-])"
-SHARED = 2
+SHARED = 3
+MANY = 8
 _SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string>>"
 
 
@@ -51,10 +52,11 @@ def _mixed(value: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, source, base, free): spans of every whole text, ordered; null text has none."""
+    """(row, doc_id, source, print, base, free): spans of every whole text, ordered; null text has none. A
+    text with spans has a fingerprint."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "source",
+        F.monotonically_increasing_id().alias("row"), "doc_id", "source", "text",
         located(text, ASSIGN, "assign", 0, 1, lambda v: F.length(v) >= 6).alias("a"),
         located(text, ACCESS, "access", 1, 0, lambda v: F.lit(True)).alias("k"),
         located(text, HEX, "hex", 2, 0, lambda v: F.lit(True)).alias("h"),
@@ -62,16 +64,26 @@ def candidates(docs: DataFrame) -> DataFrame:
     )
     base = F.sort_array(F.concat("a", "k", "h"))
     inside = lambda s: F.exists(F.col("base"), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
+    some = (F.size("base") > 0) | (F.size("free") > 0)
     return found.withColumn("base", base).withColumn("free", F.filter("free", lambda s: ~inside(s))).select(
-        "row", "doc_id", "source", "base", "free")
+        "row", "doc_id", "source", F.when(some, F.sha2("text", 256)).alias("print"), "base", "free")
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(value, repositories, owners): in how many rows and in how many distinct sources a value occurs."""
+    """(value, repositories, owners): in how many distinct texts and in how many distinct sources a value
+    occurs. Both are told apart by one exchange, then added up in the tasks before they go to the value."""
     values = F.array_distinct(F.transform(F.concat("base", "free"), lambda s: F.sha2(s["value"], 256)))
-    by_source = found.select(F.coalesce("source", F.lit("")).alias("source"), F.explode(values).alias("value")).groupBy(
-        "value", "source").agg(F.count("*").alias("n"))
-    return by_source.groupBy("value").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
+    holders = F.array(F.struct(F.lit("text").alias("kind"), F.col("print").alias("name")),
+                      F.struct(F.lit("source").alias("kind"), F.coalesce("source", F.lit("")).alias("name")))
+    held = found.select(F.explode(values).alias("value"), holders.alias("holders"))
+    each = held.select("value", F.inline("holders")).distinct()
+    count = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
+    return each.groupBy("value").agg(count("text").alias("repositories"), count("source").alias("owners"))
+
+
+def example(repositories: Column, owners: Column) -> Column:
+    """Whether a value is a widely copied example."""
+    return ((owners >= SHARED) & (repositories > 1)) | (repositories >= MANY * owners)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -81,7 +93,7 @@ def scan(docs: DataFrame) -> DataFrame:
     found = cut_lineage(candidates(docs))
     some = found.filter((F.size("base") > 0) | (F.size("free") > 0))
     spans = some.select("row", F.explode(F.concat("base", "free")).alias("s")).withColumn("value", F.sha2(F.col("s.value"), 256))
-    judged = spans.join(ownership(some), "value").withColumn("live", F.col("owners") < SHARED)
+    judged = spans.join(ownership(some), "value").withColumn("live", ~example(F.col("repositories"), F.col("owners")))
     rows = judged.filter((F.col("s.rank") < 3) | F.col("live")).groupBy("row").agg(
         F.sort_array(F.collect_list("s")).alias("spans"), F.count(F.when(F.col("live"), 1)).alias("n_live"),
         F.count(F.when(~F.col("live"), 1)).alias("n_example"))

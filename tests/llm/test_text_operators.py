@@ -110,6 +110,17 @@ def test_shared_tokens_are_examples_and_owned_ones_live(spark):
     assert [s["kind"] for s in found[1]["spans"]] == ["live"] and not found[0]["spans"]
 
 
+def test_examples_need_many_repositories_for_their_owners(spark):
+    copied, near, pasted, own = "Xy9kLmNoPqRsTuVwXyZ01", "Qw3rTyUiOpAsDfGhJkL7z", "Zx8cVbNmAsDfGhJkLqW2e", "Pl5oKmIjNuHbYgVtFcR4d"
+    rows = [(i, f"use {copied} here", "en", f"s{i}", 0, "") for i in range(4)]  # one repository, four owners
+    rows += [(10 + i, f"use {near} here" + " again" * i, "en", f"s{i}", 0, "") for i in range(2)]
+    rows += [(20 + i, f"use {pasted} here {i}", "en", "s0", 0, "") for i in range(40)]
+    rows += [(60 + i, f"use {own} here {i}", "en", "s0", 0, "") for i in range(3)]
+    found = by_id(secret_scan.scan(spark.createDataFrame(rows, SCHEMA)))
+    assert {i for i, r in found.items() if r["n_live"] == 1 and len(r["spans"]) == 1} == {0, 1, 2, 3, 10, 11, 60, 61, 62}
+    assert not any(found[i]["n_live"] or found[i]["spans"] for i in range(20, 60))
+
+
 def test_running_sums(spark):
     from speciframe.llm.native import running_sums
 
