@@ -22,8 +22,9 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: A run of this alphabet between other characters.
-FREE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}+(?![A-Za-z0-9+/_=-])"
+#: A run of this alphabet, of any length from 20, between other characters or after an equals sign, with its
+#: padding. A run before an equals sign and more is a name.
+FREE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
 SHARED = 3
 MANY = 8
 _SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string>>"

@@ -121,6 +121,15 @@ def test_examples_need_many_repositories_for_their_owners(spark):
     assert not any(found[i]["n_live"] or found[i]["spans"] for i in range(20, 60))
 
 
+def test_free_tokens_after_names_with_padding_and_of_any_length(spark):
+    token, long = "AbCdEf0123456789AbCdEf01", "Ab1" * 2_000
+    tokens = {f"auth={token}": (5, 29), f"AWS_SECRET_ACCESS_KEY={token}": (22, 46), f"x {token}== y": (2, 28), f"x {token}=": (2, 27),
+              f"a {long} b": (2, 6_002), f"My{token}=short": None, f"My{token}==1": None, f"{token[:19]} x": None}
+    for i, (text, at) in enumerate(tokens.items()):
+        (row,) = secret_scan.scan(spark.createDataFrame([(i, text, "en", "s", 0, "")], SCHEMA)).collect()
+        assert [(s["kind"], s["start"], s["end"]) for s in row["spans"]] == ([("live", *at)] if at else [])
+
+
 def test_running_sums(spark):
     from speciframe.llm.native import running_sums
 
