@@ -25,8 +25,8 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return neardup.keep_one(docs)
+    """One document of each group of near-duplicates: four fifths of their shingles of five words in common."""
+    return neardup.keep_one(docs, size=5, threshold=80)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

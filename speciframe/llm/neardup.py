@@ -1,9 +1,10 @@
 """Near-duplicates by MinHash with tensored banding.
 
-A text's set is its distinct shingles of ``SIZE`` words. Two collections A and B of ``HALVES`` half keys of
-``ROWS`` minhashes each give HALVES x HALVES table keys: a pair (A_i, B_j). So 2 * HALVES * ROWS minhashes
-stand in for HALVES * HALVES * 2 * ROWS, about its square root. A pair at the threshold shares no key with
-probability below 2e-5 (0.85 ** 4 for a half key; 16 of them each).
+A text's set is its distinct shingles of ``size`` words. Two collections A and B of ``HALVES`` half keys of
+``rows`` minhashes each give HALVES x HALVES table keys: a pair (A_i, B_j). So 2 * HALVES * rows minhashes
+stand in for HALVES * HALVES * 2 * rows, about its square root. Rows follow from the threshold: as many as
+leave a pair at the threshold without a shared key with probability below ``MISS`` (at 85 per cent four, as
+2 * (1 - 0.85 ** 4) ** 16 is 1.5e-5; at 80 per cent three, 2.1e-5).
 
 Candidates are verified on full sets. Texts with equal sets are one representative from the start. Key
 counts, not key members, are gathered; a representative keeps a half key A_i if one of its keys (A_i, B_j)
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,11 @@ from speciframe.session import cut_lineage
 
 from .common import in_small_batches, lowered_words_of
 
+# the values of op7; callers with another rule give their own
 SIZE = 3
 THRESHOLD = 85  # per cent
 HALVES = 16
-ROWS = 4
+MISS = 2.1e-5
 CHUNK = 512
 #: Members of a block; two blocks meet in one task.
 BLOCK = CHUNK // 2
@@ -54,21 +57,28 @@ def _odd(n: int, seed: int) -> np.ndarray:
     return _mixed(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 32)) | np.uint64(1)
 
 
+def rows_for(threshold: int) -> int:
+    """Minhashes of a half key: the most that keep the bound on missed pairs, one at least."""
+    missed = lambda rows: 2 * (1 - (threshold / 100) ** rows) ** HALVES
+    return max([rows for rows in range(1, 33) if missed(rows) < MISS], default=1)
+
+
 class Shingler:
     """Shingle sets of texts as sorted 64-bit hashes; remembers word hashes for a batch."""
 
-    def __init__(self):
+    def __init__(self, size: int = SIZE):
         import xxhash
 
+        self.size = size
         self.digest = xxhash.xxh3_64_intdigest
         self.known: dict[bytes, int] = {}
-        self.factors = _odd(SIZE, 7)
+        self.factors = _odd(size, 7)
 
     def of(self, text: str | None) -> np.ndarray:
         words = lowered_words_of(text)
         if not words:
             return np.empty(0, np.uint64)
-        if len(words) < SIZE:
+        if len(words) < self.size:
             return np.array([self.digest(b" ".join(words), len(words))], np.uint64)
         known, digest = self.known, self.digest
         if len(known) > 200_000:
@@ -79,9 +89,10 @@ class Shingler:
             if h is None:
                 h = known[w] = digest(w)
             hashes[i] = h
-        x = np.zeros(len(words) - SIZE + 1, np.uint64)
+        n = len(words) - self.size + 1
+        x = np.zeros(n, np.uint64)
         for i, f in enumerate(self.factors):
-            x += _mixed(hashes[i : len(words) - SIZE + 1 + i] * f)
+            x += _mixed(hashes[i : n + i] * f)
         return np.unique(_mixed(x))
 
 
@@ -90,12 +101,12 @@ def half_keys(sets: np.ndarray, functions: np.ndarray) -> np.ndarray:
     low = np.full(len(functions), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(sets), 2048):
         np.minimum(low, (functions[:, None] * sets[None, at : at + 2048]).min(axis=1), out=low)
-    rows = _mixed(low).reshape(2 * HALVES, ROWS)
-    return _mixed((rows * _odd(ROWS, 3)[None, :]).sum(axis=1, dtype=np.uint64)).view(np.int64)
+    rows = _mixed(low).reshape(2 * HALVES, -1)
+    return _mixed((rows * _odd(rows.shape[1], 3)[None, :]).sum(axis=1, dtype=np.uint64)).view(np.int64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingler, functions = Shingler(), _odd(2 * HALVES * ROWS, 1)
+def _sign(batches: Iterator[pa.RecordBatch], size: int, threshold: int) -> Iterator[pa.RecordBatch]:
+    shingler, functions = Shingler(size), _odd(2 * HALVES * rows_for(threshold), 1)
     longs = pa.list_(pa.int64())
     for batch in batches:
         n, prints, a, b = [], [], [], []
@@ -124,10 +135,10 @@ def _print(own: np.ndarray) -> tuple[int, int]:
     return int(f[0]), int(f[1])
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, f1, f2, a, b): set size, set fingerprint and half keys of every row."""
     kind = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, a array<bigint>, b array<bigint>"
-    return in_small_batches(docs).select("doc_id", "text").mapInArrow(_sign, kind)
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(partial(_sign, size=size, threshold=threshold), kind)
 
 
 def candidates(sets: DataFrame) -> DataFrame:
@@ -141,15 +152,15 @@ def candidates(sets: DataFrame) -> DataFrame:
     return keys.join(hit, "key").select("id", "i", "ka").distinct()
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stars(batches: Iterator[pa.RecordBatch], size: int, threshold: int) -> Iterator[pa.RecordBatch]:
     """Sorted rows (i, ka, chunk, id, f1, f2, text): the components of each chunk as (id, least id)."""
-    shingler = Shingler()
+    shingler = Shingler(size)
     group, key, out = {}, None, []
     for batch in batches:
         columns = [c.to_pylist() for c in batch.columns]
         for i, ka, chunk, doc, f1, f2, text in zip(*columns):
             if (i, ka, chunk) != key:
-                out += star(group)
+                out += star(group, threshold)
                 group, key = {}, (i, ka, chunk)
             if doc not in group:
                 own = shingler.of(text)
@@ -158,19 +169,19 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if out:
             yield _edges(out)
             out = []
-    yield _edges(out + star(group))
+    yield _edges(out + star(group, threshold))
 
 
 def _edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], names=["u", "v"])
 
 
-def star(group: dict[int, np.ndarray]) -> list[tuple[int, int]]:
+def star(group: dict[int, np.ndarray], threshold: int = THRESHOLD) -> list[tuple[int, int]]:
     """(id, least id) for the members of each component of the group's threshold graph."""
     ids = sorted(group)
     if len(ids) < 2:
         return []
-    linked = links([group[i] for i in ids])
+    linked = links([group[i] for i in ids], threshold)
     left, found = np.ones(len(ids), bool), []
     for root in range(len(ids)):
         if not left[root]:
@@ -186,7 +197,7 @@ def star(group: dict[int, np.ndarray]) -> list[tuple[int, int]]:
     return found
 
 
-def links(sets: list[np.ndarray]) -> np.ndarray:
+def links(sets: list[np.ndarray], threshold: int = THRESHOLD) -> np.ndarray:
     """Which pairs reach the threshold, from exact intersections."""
     sizes = np.array([len(s) for s in sets], np.int64)
     if len(sets) == 2:
@@ -208,34 +219,34 @@ def links(sets: list[np.ndarray]) -> np.ndarray:
             block[owner[a:b], column[a:b] - at] = 1
             common += (block @ block.T).astype(np.int64)
         np.fill_diagonal(common, sizes)
-    return 100 * common >= THRESHOLD * (sizes[:, None] + sizes[None, :] - common)
+    return 100 * common >= threshold * (sizes[:, None] + sizes[None, :] - common)
 
 
-def verified(members: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(members: DataFrame, sets: DataFrame, docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) -> DataFrame:
     """Components inside the chunks of candidate buckets, as edges (u, v) with u > v."""
     members = cut_lineage(members)
     sizes = members.groupBy("i", "ka").agg(F.count("*").alias("n"))
     dealt = members.join(sizes, ["i", "ka"]).select(
         "id", "i", "ka", F.pmod(F.xxhash64("id", "i"), F.ceil(F.col("n") / CHUNK)).alias("chunk"))
-    return compared(dealt, members, sets, docs)
+    return compared(dealt, members, sets, docs, size, threshold)
 
 
-def compared(dealt: DataFrame, members: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+def compared(dealt: DataFrame, members: DataFrame, sets: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
     """Components of each (i, ka, chunk) of ``dealt``, whose ids are those of ``members``."""
     wanted = members.select("id").distinct().join(sets.select("id", "f1", "f2"), "id")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(wanted, "id")
     rows = dealt.join(texts, "id").select("i", "ka", "chunk", "id", "f1", "f2", "text")
     return (
         rows.repartition("i", "ka", "chunk").sortWithinPartitions("i", "ka", "chunk", "id")
-        .mapInArrow(_stars, "u bigint, v bigint")
+        .mapInArrow(partial(_stars, size=size, threshold=threshold), "u bigint, v bigint")
     )
 
 
-def blocks(found: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
+def blocks(found: DataFrame, label: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(id, i, ka, size, own, parts, k): the block of each member of the buckets that outgrew a chunk and
     are not one component. ``size`` is a class of set sizes (sets of a link lie in the same or in
     neighbouring classes), ``own`` the component of a block that holds no other, else ''."""
-    size = F.floor(F.log(F.col("n_shingles").cast("double")) / (0.001 - math.log(THRESHOLD / 100))).cast("int")
+    size = F.floor(F.log(F.col("n_shingles").cast("double")) / (0.001 - math.log(threshold / 100))).cast("int")
     named = found.join(label, "id", "left").select("id", "i", "ka", F.coalesce("component", "id").alias("c"))
     open_ = named.groupBy("i", "ka").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
     open_ = open_.filter((F.col("n") > CHUNK) & (F.col("low") < F.col("high"))).select("i", "ka")
@@ -248,9 +259,10 @@ def blocks(found: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
         "id", "i", "ka", "size", "own", "parts", F.pmod(F.xxhash64("id", "i"), F.col("parts")).alias("k"))
 
 
-def finished(found: DataFrame, label: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+def finished(found: DataFrame, label: DataFrame, sets: DataFrame, docs: DataFrame, size: int = SIZE,
+             threshold: int = THRESHOLD) -> DataFrame:
     """Links between the components that still share a large bucket, as edges (u, v) with u > v."""
-    placed = cut_lineage(blocks(found, label, sets))
+    placed = cut_lineage(blocks(found, label, sets, threshold))
     kinds = placed.select("i", "ka", "size", "own", "parts").distinct()
     side = lambda tag: kinds.select("i", "ka", *[F.col(c).alias(f"{tag}_{c}") for c in ("size", "own", "parts")])
     ks = lambda parts: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(parts) - 1))
@@ -266,7 +278,7 @@ def finished(found: DataFrame, label: DataFrame, sets: DataFrame, docs: DataFram
     end = lambda tag: cells.select("cell", "i", "ka", *[F.col(f"{tag}_{c}").alias(c) for c in place[2:]])
     dealt = placed.join(end("x").union(end("y")).distinct(), place).select(
         "id", F.lit(0).alias("i"), F.col("cell").alias("ka"), F.lit(0).alias("chunk"))
-    return compared(dealt, placed, sets, docs)
+    return compared(dealt, placed, sets, docs, size, threshold)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -293,13 +305,13 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row.
+def groups(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row. Sets of ``size`` words link from ``threshold`` per cent.
 
     Null and blank texts have no shingles and stand alone; a null id stands alone and has a null component;
     rows that repeat an id share its component, the least among the components of its texts' sets.
     """
-    signed = cut_lineage(signatures(docs))
+    signed = cut_lineage(signatures(docs, size, threshold))
     first = F.min(F.struct("doc_id", "a", "b"))
     sets = cut_lineage(
         signed.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(
@@ -307,15 +319,15 @@ def groups(docs: DataFrame) -> DataFrame:
         .select(F.col("r.doc_id").alias("id"), "f1", "f2", "n_shingles", "r.a", "r.b")
     )
     found = cut_lineage(candidates(sets))
-    edges = cut_lineage(verified(found.filter(F.col("i") < FIRST), sets, docs))
+    edges = cut_lineage(verified(found.filter(F.col("i") < FIRST), sets, docs, size, threshold))
     known = cut_lineage(components(edges))
     # buckets whose members are not yet one component
     rest = found.filter(F.col("i") >= FIRST).join(known, "id", "left").withColumn("c", F.coalesce("component", "id"))
     mixed = rest.groupBy("i", "ka").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("i", "ka")
     star = lambda named: named.select(F.col("id").alias("u"), F.col("component").alias("v"))
-    edges = star(known).union(verified(rest.join(mixed, ["i", "ka"]).select("id", "i", "ka"), sets, docs))
+    edges = star(known).union(verified(rest.join(mixed, ["i", "ka"]).select("id", "i", "ka"), sets, docs, size, threshold))
     known = cut_lineage(components(edges))
-    label = cut_lineage(components(star(known).union(finished(found, known, sets, docs))))
+    label = cut_lineage(components(star(known).union(finished(found, known, sets, docs, size, threshold))))
     named = sets.select("id", "f1", "f2").join(label, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("_component"))
     return (
         signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
@@ -324,10 +336,10 @@ def groups(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) -> DataFrame:
     """One document of each group: the one with the least id. Rows that repeat an id count as copies of
     it, and the first in the order of their texts stays; rows without an id all stay."""
-    kept = groups(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    kept = groups(docs, size, threshold).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
     rows = docs.filter(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
     columns = docs.columns
     first = rows.groupBy(F.col("doc_id").alias("_id")).agg(

@@ -298,6 +298,19 @@ def test_near_duplicates(spark, odd, empty):
     assert neardup.keep_one(empty).count() == 0
 
 
+def test_near_duplicate_stage_takes_five_words_and_four_fifths(spark, sf):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(500)]
+    longer = [*words, *[f"a{i}" for i in range(115)]]  # 496 of 611 shingles of five words
+    other = [*words, *[f"b{i}" for i in range(130)]]  # 496 of 626
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 0, "") for i, w in enumerate((words, longer, other))], SCHEMA)
+    assert {r["doc_id"] for r in corpus_pipeline.distinct(spark, docs, sf).collect()} == {0, 2}
+    assert neardup.groups(docs).filter("doc_id = component_id").count() == 3
+    assert {r["n_shingles"] for r in neardup.groups(docs, 5, 80).collect()} == {496, 611, 626}
+    assert (neardup.rows_for(85), neardup.rows_for(80)) == (4, 3)
+
+
 def families_of(sets):
     """Least index reachable over links between all pairs of sets, by brute force."""
     root = list(range(len(sets)))
