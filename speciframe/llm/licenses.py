@@ -1,6 +1,7 @@
 """Licence notices by a trained paragraph classifier, scored in Spark's own expressions.
 
-A paragraph is a line of a document. Its features are hashed word unigrams and bigrams. A multinomial
+A paragraph is a line of a document; a line is also scored with the lines after it up to a blank one, as far as
+the longest template reaches, so that notices wrapped at any width are whole. Features are hashed word unigrams and bigrams. A multinomial
 logistic regression over licence families and an unknown class is fitted on the driver from the templates
 below, on passages cut from and put around them, and on at most ``MAX_OTHER`` ordinary paragraphs of the
 corpus (those of the ``MAX_DOCUMENTS`` documents with the smallest hash); a temperature fitted on passages
@@ -8,13 +9,15 @@ that training did not see calibrates its probabilities. The model is a few hundr
 plan as literals, so the scan is one projection: no join, no exchange, no Python.
 
 A prediction counts only if the family's probability reaches ``PROBABLE`` and one of its templates is
-confirmed, that is, at least ``CONFIRMED`` of the template's features are in the paragraph.
+confirmed, that is, at least ``CONFIRMED`` of the template's features are in the paragraph. SPDX tags are read
+as such: each identifier is a notice of its family, or of its own name if it belongs to none of them.
 """
 
 from __future__ import annotations
 
 import json
 import random
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,18 +38,24 @@ TEMPLATES = {
     "MIT": (
         "Released under the MIT License.", "Licensed under the MIT license.", "This project is licensed under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License)",
         "you may not use this file except in compliance with the License.",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     ),
     "BSD": (
         "Licensed under the BSD 3-Clause License.", "Licensed under the BSD license.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
     "GPL": (
         "This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License v2.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
+        "You should have received a copy of the GNU General Public License along with this program.",
     ),
     "LGPL": ("Licensed under the GNU Lesser General Public License.", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     "AGPL": ("Licensed under the GNU Affero General Public License.", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
@@ -59,6 +68,15 @@ TEMPLATES = {
     "Proprietary": ("All rights reserved.", "Unauthorized copying of this file is strictly prohibited. Proprietary and confidential."),
 }
 FAMILIES = (*TEMPLATES, UNKNOWN)
+#: Words of the longest template.
+REACH = max(len(re.findall(r"[^\W_]+", t)) for own in TEMPLATES.values() for t in own)
+_ID = r"[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
+SPDX = rf"(?i:SPDX-License-Identifier):\s*(\(*{_ID}\)*(?:\s+(?:AND|OR|WITH)\s+\(*{_ID}\)*)*)"
+# fixed values: identifiers of a family
+SPDX_FAMILIES = {
+    "MIT": "MIT(-.*)?", "Apache-2.0": "Apache-2\\.0", "BSD": "(0?BSD|BSD-.*)", "GPL": "GPL-.*", "LGPL": "LGPL-.*", "AGPL": "AGPL-.*",
+    "MPL-2.0": "MPL-2\\.0(-.*)?", "CC-BY": "CC-BY-[0-9].*", "CC-BY-SA": "CC-BY-SA-.*", "CC-BY-NC": "CC-BY-NC-[0-9].*", "CC0": "CC0-.*", "ISC": "ISC",
+}
 # fixed values: sentences near the subject that are no notices
 OTHERS = (
     "She renewed her driving license last week.", "The council granted a licence to sell food.", "Permission to enter was denied.",
@@ -67,12 +85,16 @@ OTHERS = (
 )
 
 
-def features(paragraph: Column) -> Column:
-    """Hashes of the paragraph's word unigrams and bigrams, in lower case and without punctuation."""
-    split = F.array_remove(F.split(F.lower(paragraph), r"[^\p{L}\p{N}]+"), "")
+def words_of(paragraph: Column) -> Column:
+    """Words in lower case and without punctuation."""
+    return F.array_remove(F.split(F.lower(paragraph), r"[^\p{L}\p{N}]+"), "")
+
+
+def features(words: Column) -> Column:
+    """Hashes of the unigrams and bigrams of a paragraph's words."""
     none = F.array().cast("array<bigint>")
     pairs = lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(w[i], w[i + 1]))).otherwise(none)
-    return let(split, lambda w: F.concat(F.transform(w, lambda x: F.xxhash64(x)), pairs(w)))
+    return let(words, lambda w: F.concat(F.transform(w, lambda x: F.xxhash64(x)), pairs(w)))
 
 
 @dataclass
@@ -90,7 +112,7 @@ def _others(docs: DataFrame) -> DataFrame:
 
 
 def _slots(lines: DataFrame) -> DataFrame:
-    return lines.select("*", F.array_distinct(features(F.col("line"))).alias("slots"))
+    return lines.select("*", F.array_distinct(features(words_of(F.col("line")))).alias("slots"))
 
 
 def fit(docs: DataFrame, seed: int = 17) -> Model:
@@ -161,8 +183,8 @@ def _literal(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def classify(paragraph: Column, model: Model) -> Column:
-    """struct(family, probability, coverage) of a paragraph. The family is ``unknown`` unless it is probable
+def classify(words: Column, model: Model) -> Column:
+    """struct(family, probability, coverage) of a paragraph's words. The family is ``unknown`` unless it is probable
     and confirmed; a paragraph without any feature of the model is unknown with the bias alone."""
     rank = [0] * SLOTS
     for j, s in enumerate(model.slots):
@@ -194,15 +216,60 @@ def classify(paragraph: Column, model: Model) -> Column:
     same = lambda h: F.when(place(h) > 0, F.get(hashes, place(h) - 1) == h).otherwise(False)
     known = lambda f: F.array_distinct(F.transform(F.filter(f, same), place))
     nothing = F.struct(F.lit(UNKNOWN).alias("family"), F.lit(0.0).alias("probability"), F.lit(0.0).alias("coverage"))
-    return let(known(features(paragraph)), lambda hits: F.when(F.size(hits) > 0, rated(hits)).otherwise(nothing))
+    return let(known(features(words)), lambda hits: F.when(F.size(hits) > 0, rated(hits)).otherwise(nothing))
+
+
+def joined(words: Column, i: Column) -> Column:
+    """The end of line ``i`` and the start of the lines after it up to one without words: all of any template
+    that begins in the line and goes on below. Empty if nothing follows."""
+    below = F.slice(words, i + 2, F.lit(REACH))
+    stop = lambda b: F.coalesce(F.nullif(F.array_position(F.transform(b, lambda w: F.size(w) == 0), True), F.lit(0)) - 1, F.size(b))
+    after = let(below, lambda b: F.slice(F.flatten(F.transform(F.slice(b, F.lit(1), stop(b).cast("int")), lambda w: F.slice(w, 1, REACH))), 1, REACH))
+    own = F.get(words, i)
+    end = F.slice(own, F.greatest(F.size(own) - REACH, F.lit(0)) + 1, F.lit(REACH))
+    return let(after, lambda t: F.when((F.size(own) > 0) & (F.size(t) > 0), F.concat(end, t)).otherwise(F.array().cast("array<string>")))
+
+
+def tagged(line: Column) -> Column:
+    """Families of a line's SPDX tags; exceptions after WITH are no licence."""
+    tags = F.regexp_replace(F.array_join(F.regexp_extract_all(line, F.lit(SPDX), F.lit(1)), " "), rf"\bWITH\s+\(*{_ID}", "")
+    ids = F.filter(F.regexp_extract_all(tags, F.lit(_ID), F.lit(0)), lambda s: ~s.isin("AND", "OR"))
+
+    def family(name: Column) -> Column:
+        named = name
+        for own, pattern in SPDX_FAMILIES.items():
+            named = F.when(name.rlike(f"(?i)^{pattern}$"), own).otherwise(named)
+        return named
+
+    return F.when(line.rlike(SPDX), F.array_distinct(F.transform(ids, family))).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text", into: str = "_licences") -> DataFrame:
     """``docs`` with the notices of each whole text: array of (paragraph, family, probability, coverage).
 
-    Paragraphs are numbered from 0. Null and empty texts have no notice.
+    Paragraphs are numbered from 0; a notice over several lines has the number of the first. It counts where no
+    line it starts in is a notice by itself, and where neither the line before begins a better one of its family
+    nor the next as good a one. Null and empty texts have no notice.
     """
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    rated = F.transform(lines, lambda line, i: let(classify(line, model), lambda r: F.struct(
-        i.alias("paragraph"), r["family"].alias("family"), r["probability"].alias("probability"), r["coverage"].alias("coverage"))))
-    return docs.withColumn(into, F.filter(rated, lambda r: r["family"] != UNKNOWN))
+    rated = lambda words: F.transform(words, lambda w, i: F.struct(
+        classify(w, model).alias("one"), classify(joined(words, i), model).alias("more")))
+
+    def notice(r: Column, before: Column, after: Column) -> Column:
+        found = lambda x: x["family"] != UNKNOWN
+        again = lambda x: (x["family"] == r["more"]["family"]) & (x["coverage"] >= r["more"]["coverage"])
+        earlier = (before["more"]["family"] == r["more"]["family"]) & (before["more"]["coverage"] > r["more"]["coverage"])
+        later = (after["one"]["family"] == r["more"]["family"]) | again(after["more"])
+        return F.when(found(r["one"]), r["one"]).when(found(r["more"]) & ~F.coalesce(earlier, F.lit(False)) & ~F.coalesce(later, F.lit(False)), r["more"])
+
+    def of_line(r: Column, i: Column, all_: Column, line: Column) -> Column:
+        as_notice = lambda n: F.struct(i.alias("paragraph"), n["family"].alias("family"), n["probability"].alias("probability"), n["coverage"].alias("coverage"))
+        tags = F.transform(tagged(line), lambda t: F.struct(
+            i.alias("paragraph"), t.alias("family"), F.lit(1.0).alias("probability"), F.lit(1.0).alias("coverage")))
+        said = let(notice(r, F.get(all_, i - 1), F.get(all_, i + 1)), lambda n: F.when(n.isNotNull(), F.array(as_notice(n))).otherwise(
+            F.slice(F.array(as_notice(r["one"])), 1, 0)))
+        return F.when(F.size(tags) > 0, tags).otherwise(said)
+
+    notices = let(lines, lambda ls: let(F.transform(ls, words_of), lambda words: let(rated(words), lambda all_: F.flatten(
+        F.transform(all_, lambda r, i: of_line(r, i, all_, F.get(ls, i)))))))
+    return docs.withColumn(into, notices)

@@ -372,6 +372,23 @@ def test_licences(odd, empty):
     assert licenses.scan(empty, licenses.fit(empty)).count() == 0
 
 
+def test_wrapped_notices_and_spdx_tags(spark, empty):
+    model = licenses.fit(empty)
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+    narrow = "Permission is hereby\ngranted, free of charge,\nto any person obtaining\na copy of this software\nand associated\ndocumentation files"
+    texts = {
+        f"Some title here\n\n{bsd}\n\nmore": [(2, "BSD")], "\n".join(f" * {x}" for x in bsd.split("\n")): [(0, "BSD")], narrow: [(0, "MIT")],
+        "x\n// SPDX-License-Identifier: (MIT OR EPL-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0 */": [(1, "MIT"), (1, "EPL-2.0"), (1, "GPL")],
+        "Redistributions of source code must retain the above copyright notice,\nthis list of conditions and the following disclaimer.": [(0, "BSD")],
+        "the forms of use are\nwith the following in\nsource and binary\nconditions met": [], "a line\nand another": [],
+    }
+    rows = [(i, t, "en", "s", 0, "") for i, t in enumerate(texts)]
+    got = by_id(licenses.scan(spark.createDataFrame(rows, SCHEMA), model))
+    for i, wanted in enumerate(texts.values()):
+        assert [(n["paragraph"], n["family"]) for n in got[i]["_licences"]] == wanted, i
+
+
 def test_byte_pair_encoding(spark, sf, odd):
     from tokenizers import Tokenizer
 
