@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language_model, licenses, neardup, packing, pii, quality, secret_scan, toxicity
+from . import bpe, fingerprints, language_model, licenses, merkle, neardup, packing, pii, quality, secret_scan, toxicity
 from .common import documents, held_out, span_text
 from .native import let
 
@@ -169,3 +169,60 @@ def op8(spark, sf):
     return found.select("doc_id", F.size("_licences").cast("long").alias("n_notices"),
                         F.array_join(F.array_sort(F.array_distinct(F.col("_licences.family"))), ",").alias("families"),
                         F.array_join(told, ",").alias("notices"))
+
+
+#: DuckDB has no crc32: the checksum of a decimal number ``{0}``, bit by bit.
+CRC32 = """xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+  lambda r, b: list_reduce(list_concat([xor(r, b)], list_transform(range(8), lambda z: 0)),
+    lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(CAST(octet_length(encode(CAST({value} AS VARCHAR))) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+_HEAD = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_UP = "list_transform(range(0, len({0}), 3), lambda i: sha256(array_to_string({0}[i + 1:i + 3], '')))"
+
+
+@query("op13_merkle_manifest", f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, sha256({_HEAD} || {_field("text")}) AS leaf,
+    sha256({_HEAD} || {_field(f"CASE WHEN {CRC32.format('doc_id')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")}) AS changed FROM documents),
+up(source, level, nodes) AS (
+  SELECT source, 0, list(leaf ORDER BY doc_id NULLS FIRST, leaf) FROM leaves GROUP BY source
+  UNION ALL SELECT source, level + 1, {_UP.format("nodes")} FROM up WHERE len(nodes) > 1),
+subroots AS (SELECT source, nodes[1] AS subroot FROM up WHERE len(nodes) = 1),
+over(level, nodes) AS (
+  SELECT 0, list(subroot ORDER BY encode(source) NULLS FIRST) FROM subroots
+  UNION ALL SELECT level + 1, {_UP.format("nodes")} FROM over WHERE len(nodes) > 1),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS g FROM leaves),
+levels AS (
+  SELECT source, list(nodes ORDER BY level) AS levels FROM up WHERE len(nodes) > 1 GROUP BY source),
+paths AS (
+  SELECT p.doc_id, p.leaf, p.changed, s.subroot, t.nodes[1] AS root,
+    list_concat(
+      list_transform(range(1, len(coalesce(l.levels, [])) + 1), lambda j: [
+        array_to_string(l.levels[j][p.i // (3 ** (j - 1))::BIGINT // 3 * 3 + 1 : p.i // (3 ** (j - 1))::BIGINT], ''),
+        array_to_string(l.levels[j][p.i // (3 ** (j - 1))::BIGINT + 2 : p.i // (3 ** (j - 1))::BIGINT // 3 * 3 + 3], '')]),
+      list_transform(range(1, len(coalesce(o.levels, [])) + 1), lambda j: [
+        array_to_string(o.levels[j][p.g // (3 ** (j - 1))::BIGINT // 3 * 3 + 1 : p.g // (3 ** (j - 1))::BIGINT], ''),
+        array_to_string(o.levels[j][p.g // (3 ** (j - 1))::BIGINT + 2 : p.g // (3 ** (j - 1))::BIGINT // 3 * 3 + 3], '')])) AS path
+  FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN levels l ON l.source IS NOT DISTINCT FROM p.source
+  CROSS JOIN (SELECT list(nodes ORDER BY level) AS levels FROM over WHERE len(nodes) > 1) o
+  CROSS JOIN (SELECT nodes FROM over WHERE len(nodes) = 1) t),
+told AS (
+  SELECT *, list_reduce(list_concat([[changed, '']], path), lambda a, s: [sha256(s[1] || a[1] || s[2]), ''])[1] AS folded FROM paths)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(flatten(path), '')) AS proof_sha256, folded AS folded_root,
+  folded = root AS verified FROM told
+""")
+def op13(spark, sf):
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(even, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    told = merkle.documents_manifest(documents(spark, sf), tampered).withColumn(
+        "folded", F.when(F.col("row.changed").isNull(), F.col("root")).otherwise(merkle.fold(F.col("row.changed"), F.col("path"))))
+    return told.select(
+        "row.doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"),
+        F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
