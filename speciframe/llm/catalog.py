@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language_model, licenses, merkle, neardup, packing, pii, quality, secret_scan, toxicity
+from speciframe.session import cut_lineage
+
+from . import (
+    bpe, conversation_trie, fingerprints, language_model, licenses, merkle, neardup, packing, partition_index, pii,
+    quality, secret_scan, toxicity,
+)
 from .common import documents, held_out, span_text
 from .native import let
 
@@ -226,3 +231,57 @@ def op13(spark, sf):
     return told.select(
         "row.doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"),
         F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+@query("op12_conversation_trie", f"""
+WITH RECURSIVE own AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST,
+    md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(l.turns[1:o.h], []), o.turns[o.h + 1:]) AS turns
+  FROM (SELECT *, {CRC32.format('conv_id')} % 6 AS h FROM own) o LEFT JOIN own l ON l.conv_id = o.conv_id - o.conv_id % 100),
+passing AS (SELECT conv_id, unnest(range(0, len(turns) + 1)) AS depth, turns FROM rebuilt),
+nodes AS (
+  SELECT turns[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(turns) = depth), '')) AS ends_sha256
+  FROM passing GROUP BY turns[1:depth], depth),
+linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, count(c.conv_id) AS n_children FROM nodes n
+  LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]
+  LEFT JOIN nodes c ON c.depth = n.depth + 1 AND c.path[1:n.depth] = n.path GROUP BY ALL),
+upward AS (
+  SELECT path[1:d] AS path, d AS depth, CASE WHEN n_children = 0 THEN 1 ELSE 0 END AS leaf,
+    CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(path[depth].t) END AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM linked)),
+below AS (SELECT path, depth, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM upward GROUP BY path, depth)
+SELECT l.conv_id, l.depth, l.parent_conv_id, l.n_convs, l.n_children, b.n_leaves, b.saved_tokens, l.ends_sha256
+FROM linked l JOIN below b ON b.depth = l.depth AND b.path = l.path
+""")
+def op12(spark, sf):
+    conversations = spark.read.parquet(f"{sf.rstrip('/')}/conversations.parquet")
+    own = cut_lineage(conversation_trie.ordered_turns(conversations))
+    grafted = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    heads = own.filter(F.col("conv_id") % 100 == 0).select(F.col("conv_id").alias("leader"), F.slice("turns", 1, 5).alias("head"))
+    joined = own.withColumn("leader", F.col("conv_id") - F.col("conv_id") % 100).withColumn("h", grafted.cast("int")).join(heads, "leader", "left")
+    head = F.coalesce(F.slice("head", F.lit(1), F.col("h")), F.slice("turns", 1, 0))
+    rest = F.slice("turns", F.col("h") + 1, F.size("turns"))
+    return conversation_trie.trie(joined.select("conv_id", *conversation_trie.path_of(F.concat(head, rest))))
+
+
+@query("op11_partition_index", """
+WITH good AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+apart AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.v) + 1),
+    lambda i: (c.v[i] - q.v[i]) * (c.v[i] - q.v[i])), lambda a, b: a + b)) AS score
+  FROM good q JOIN good c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM apart)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+""")
+def op11(spark, sf):
+    vectors = spark.read.parquet(f"{sf.rstrip('/')}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
+    index = partition_index.fit(vectors)
+    return partition_index.search(index, index.rows.filter(F.col("vec_id") % 100 == 0))
