@@ -509,42 +509,66 @@ def best_restart(spark, sf):
     return clustering.best_restart(runs, "value", ["event_type"])
 
 
-SEMI = (
-    DOUBLES
-    + f""", pts AS (SELECT id, v, target, CASE WHEN target < 9 AND substr(md5(concat_ws(':', 'l', id)), 1, 1) < '8' THEN target END AS lab FROM f),
- base AS (SELECT CAST(row_number() OVER (ORDER BY lab) - 1 AS BIGINT) AS cluster, lab, m AS v FROM ({mean_sql('lab', '(SELECT lab, v FROM pts WHERE lab IS NOT NULL)')})),
- q AS (SELECT p.id, min(round(list_distance(p.v, c.v) ** 2, 9)) AS q FROM pts p CROSS JOIN base c WHERE p.lab IS NULL GROUP BY p.id),
- cum AS (SELECT id, q, sum(q) OVER (ORDER BY md5(concat_ws(':', '2', id)), id) AS cum, sum(q) OVER () AS total FROM q),
- seed AS (SELECT arg_min(id, cum) AS id FROM cum WHERE cum >= ('0x' || substr(md5('2:d2:9'), 1, 8))::BIGINT / 4294967296.0 * total),
- c0 AS (SELECT cluster, v FROM base UNION ALL SELECT 9, v FROM pts JOIN seed USING (id)),
- pin AS (SELECT p.id, b.cluster AS pin FROM pts p JOIN base b ON b.lab = p.lab)"""
-)
-
-
-def _semi_round(i):
-    return f"""g{i} AS (SELECT p.id, arg_min(c.cluster, (round(list_distance(p.v, c.v) ** 2, 9), c.cluster)) AS cluster FROM pts p CROSS JOIN c{i} c GROUP BY p.id),
- a{i} AS (SELECT g.id, coalesce(pin, g.cluster) AS cluster FROM g{i} g LEFT JOIN pin USING (id)),
- m{i} AS ({mean_sql('cluster', f'(SELECT cluster, v FROM a{i} JOIN pts USING (id))')}),
- c{i + 1} AS (SELECT c.cluster, coalesce(m, c.v) AS v FROM c{i} c LEFT JOIN m{i} USING (cluster)),
- t{i} AS (SELECT sum(list_distance(p.v, c.v) ** 2) AS inertia FROM a{i} a JOIN pts p USING (id) JOIN c{i} c ON c.cluster = a.cluster)"""
+def _semi_sql(seeds, n_base, k, rounds=10):
+    """Runs of k-means from ``pts`` (id, v, target, lab): means of the labelled classes, drawn centres, pinned rounds."""
+    runs = ", ".join(f"({r}, '{s}')" for r, s in enumerate(seeds))
+    share = lambda c: f"('0x' || substr(md5(concat_ws(':', seed, 'd2', '{c}')), 1, 8))::BIGINT / 4294967296.0"
+    near = "round(list_distance({a}, {b}) ** 2, 9)"
+    parts = [f"""runs(run, seed) AS (VALUES {runs}),
+ base AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY lab) - 1 AS BIGINT) AS cluster, lab, m AS v FROM ({mean_sql('lab', '(SELECT lab, v FROM pts WHERE lab IS NOT NULL)')})),
+ q{n_base} AS MATERIALIZED (SELECT run, seed, id, v, q FROM runs CROSS JOIN (SELECT p.id, p.v, min({near.format(a='p.v', b='c.v')}) AS q FROM pts p CROSS JOIN base c WHERE p.lab IS NULL GROUP BY p.id, p.v))"""]
+    for c in range(n_base, k):
+        parts.append(f"""cum{c} AS (SELECT *, sum(q) OVER o AS cum, row_number() OVER o AS rn, sum(q) OVER (PARTITION BY run) AS total FROM q{c} WINDOW o AS (PARTITION BY run ORDER BY md5(concat_ws(':', seed, id)), id ROWS UNBOUNDED PRECEDING)),
+ new{c} AS MATERIALIZED (SELECT run, arg_min(v, rn) AS v FROM cum{c} WHERE cum >= {share(c)} * total GROUP BY run),
+ q{c + 1} AS MATERIALIZED (SELECT q.run, q.seed, q.id, q.v, least(q.q, {near.format(a='q.v', b='n.v')}) AS q FROM q{c} q JOIN new{c} n ON n.run = q.run)""")
+    drawn = " ".join(f"UNION ALL SELECT run, {c}, v FROM new{c}" for c in range(n_base, k))
+    parts.append(f"""c0 AS MATERIALIZED (SELECT run, cluster, v FROM base CROSS JOIN runs {drawn}),
+ pin AS (SELECT p.id, b.cluster AS pin FROM pts p JOIN base b ON b.lab = p.lab)""")
+    for i in range(rounds):
+        parts.append(f"""g{i} AS (SELECT c.run, p.id, arg_min(c.cluster, ({near.format(a='p.v', b='c.v')}, c.cluster)) AS cluster FROM pts p CROSS JOIN c{i} c GROUP BY c.run, p.id),
+ a{i} AS MATERIALIZED (SELECT g.run, g.id, coalesce(pin, g.cluster) AS cluster FROM g{i} g LEFT JOIN pin USING (id)),
+ m{i} AS ({mean_sql('run, cluster', f'(SELECT run, cluster, v FROM a{i} JOIN pts USING (id))')}),
+ c{i + 1} AS MATERIALIZED (SELECT c.run, c.cluster, coalesce(m, c.v) AS v FROM c{i} c LEFT JOIN m{i} USING (run, cluster))""")
+    return ", ".join(parts)
+
+
+SEMI = DOUBLES + ", pts AS (SELECT id, v, target, CASE WHEN target < 9 AND substr(md5(concat_ws(':', 'l', id)), 1, 1) < '8' THEN target END AS lab FROM f), "
 
 
 @query(
     "semi_kmeans",
-    SEMI + ", " + ", ".join(_semi_round(i) for i in range(3)) + " SELECT cluster, count(*) AS n, round((SELECT inertia FROM t2), 5) AS inertia FROM a2 GROUP BY cluster",
+    SEMI + _semi_sql((2, 3, 4), 9, 10) + """, t AS (SELECT a.run, sum(list_distance(p.v, c.v) ** 2) AS inertia FROM a9 a JOIN pts p USING (id) JOIN c9 c ON c.run = a.run AND c.cluster = a.cluster GROUP BY a.run),
+ best AS (SELECT arg_min(run, (round(inertia, 9), run)) AS run, min(inertia) AS inertia FROM t)
+ SELECT cluster, count(*) AS n, round(any_value(inertia), 5) AS inertia FROM a9 JOIN best USING (run) GROUP BY cluster""",
 )
 def semi_kmeans(spark, sf):
     known = (F.col("target") < 9) & (F.substring(seeded_key("l", "id"), 1, 1) < "8")
     points = features(spark, sf).withColumn("label", F.when(known, F.col("target")))
-    fitted = clustering.semi_kmeans(points, "features", "id", "label", 10, max_iterations=3, tolerance=0.0, n_init=1, seed=2)
+    fitted = clustering.semi_kmeans(points, "features", "id", "label", 10, max_iterations=10, tolerance=0.0, n_init=3, seed=2)
     counts = fitted.labels().groupBy("cluster").agg(F.count("*").alias("n"))
     return counts.withColumn("inertia", F.round(F.lit(fitted.inertia), 5))
 
 
-@query("category_discovery")
+def _discovery_sql():
+    """Old classes are 0 to 5, so classes keep their numbers."""
+    parts = [DOUBLES + """, o AS (SELECT id, row_number() OVER (ORDER BY md5(concat_ws(':', '0', id)), id) <= floor(0.8 * count(*) OVER ()) AS is_labelled FROM f WHERE target < 6),
+ pts AS MATERIALIZED (SELECT f.id, f.v, f.target, CASE WHEN coalesce(is_labelled, FALSE) THEN f.target END AS lab FROM f LEFT JOIN o USING (id))""",
+             _semi_sql((0, 1, 2), 6, 10),
+             """k AS MATERIALIZED (SELECT a.run, p.target < 6 AS is_old, a.cluster, p.target FROM a9 a JOIN pts p USING (id) WHERE p.lab IS NULL),
+ c AS MATERIALIZED (SELECT run, is_old, cluster, target, count(*) AS n FROM k GROUP BY ALL), s0 AS (SELECT DISTINCT run, is_old, 0 AS used, 0 AS total FROM k)"""]
+    for i in range(10):
+        parts.append(f"""s{i + 1} AS MATERIALIZED (SELECT run, is_old, used, max(total) AS total FROM (SELECT run, is_old, used, total FROM s{i}
+ UNION ALL SELECT s.run, s.is_old, s.used + (1 << c.target) AS used, s.total + c.n FROM s{i} s JOIN c ON c.run = s.run AND c.is_old = s.is_old AND c.cluster = {i} AND (s.used >> c.target) % 2 = 0) GROUP BY 1, 2, 3)""")
+    parts.append("""t AS (SELECT run, is_old, n, n_right FROM (SELECT run, is_old, count(*) AS n FROM k GROUP BY 1, 2) JOIN (SELECT run, is_old, max(total) AS n_right FROM s10 GROUP BY 1, 2) USING (run, is_old)),
+ r AS (SELECT CAST(run AS INTEGER) AS run, sum(n)::BIGINT AS n_rows, sum(n_right) / sum(n) AS accuracy, max(n_right / n) FILTER (WHERE is_old) AS old_accuracy, max(n_right / n) FILTER (WHERE NOT is_old) AS new_accuracy FROM t GROUP BY run)
+ SELECT run, n_rows, round(accuracy, 6) AS accuracy, round(old_accuracy, 6) AS old_accuracy, round(new_accuracy, 6) AS new_accuracy, round(avg(accuracy) OVER (), 6) AS mean, round(stddev_pop(accuracy) OVER (), 6) AS std FROM r""")
+    return ", ".join(parts)
+
+
+@query("category_discovery", _discovery_sql())
 def category_discovery(spark, sf):
-    out = discovery.category_discovery(features(spark, sf), list(range(6)), seeds=(0, 1, 2), max_iterations=4)
-    return out.select("seed", "n_rows", "n_right", r6("accuracy", "accuracy"))
+    out = discovery.category_discovery(features(spark, sf), list(range(6)), seeds=(0, 1, 2), tolerance=0.0)
+    return out.select("run", "n_rows", *[r6(c, c) for c in ("accuracy", "old_accuracy", "new_accuracy", "mean", "std")])
 
 
 # -- models ------------------------------------------------------------------------------------
@@ -566,18 +590,53 @@ def task_splits(spark, sf):
 @query("task_probe")
 def task_probe(spark, sf):
     vectors = features(spark, sf).withColumnRenamed("id", "row_idx").drop("target")
-    predicted = probes.task_probe(vectors, tasks(spark, sf), n_draws=1, folds=2, max_iter=5)
-    return metrics.label_accuracy(predicted, "pred", "label", ["task"]).select("task", "n", r6("accuracy", "accuracy"))
-
-
-@query("multilabel_probe")
+    told = probes.task_probe_eval(vectors, tasks(spark, sf))
+    return told.select("run", "n", r6("accuracy", "accuracy"), r6("mean", "mean"), r6("std", "std"))
+
+
+N_TRAITS, N_STEPS, RIDGE = 9, 20, 1e-3
+
+
+def _multilabel_sql():
+    """The same steps on lists: products per run, their inverse by elimination, gradients, new coefficients."""
+    size = "(SELECT n FROM size)"
+    parts = [DOUBLES + f""", split AS (SELECT id, v, list_transform(range(9), lambda i: CASE WHEN target = i THEN 1 ELSE 0 END) AS y, substr(md5(concat_ws(':', 't', id)), 1, 1) >= '8' AS is_test FROM f),
+ runs AS (SELECT unnest(range(3)) AS run),
+ x AS MATERIALIZED (SELECT run, id, y, list_concat([1.0], list_transform(v, lambda z, j: 2 * z *
+   (((strpos('0123456789abcdef', substr(md5(concat_ws(':', run, '0', id)), (j - 1) // 4 + 1, 1)) - 1) >> (3 - (j - 1) % 4)) & 1))) AS x
+   FROM split CROSS JOIN runs WHERE NOT is_test),
+ e AS MATERIALIZED (SELECT run, id, unnest(x) AS x, generate_subscripts(x, 1) AS j FROM x),
+ size AS MATERIALIZED (SELECT count(*) AS n FROM split WHERE NOT is_test),
+ gram AS (SELECT a.run, a.j AS i, list(a.g ORDER BY a.k) AS g FROM (SELECT a.run, a.j, b.j AS k, sum(a.x * b.x) / 4 + CASE WHEN a.j = b.j THEN {RIDGE} * {size} ELSE 0 END AS g
+   FROM e a JOIN e b ON a.run = b.run AND a.id = b.id GROUP BY a.run, a.j, b.j) a GROUP BY a.run, a.j),
+ wide AS (SELECT run, list(list_concat(g, list_transform(range(1, len(g) + 1), lambda c: CASE WHEN c = i THEN 1.0 ELSE 0.0 END)) ORDER BY i) AS m FROM gram GROUP BY run),
+ gone(run, k, m) AS (SELECT run, 0, m FROM wide UNION ALL
+   SELECT run, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda z: z / r[k + 1])
+     ELSE list_transform(r, lambda z, c: z - r[k + 1] * m[k + 1][c] / m[k + 1][k + 1]) END) FROM gone WHERE k < len(m)),
+ inv AS MATERIALIZED (SELECT run, list_transform(m, lambda r: r[len(m) + 1:]) AS inv FROM gone WHERE k = len(m)),
+ w0 AS MATERIALIZED (SELECT run, label, list_transform(inv, lambda r: 0.0) AS w FROM inv CROSS JOIN (SELECT unnest(range(1, {N_TRAITS + 1})) AS label))"""]
+    for i in range(N_STEPS):
+        parts.append(f"""r{i} AS (SELECT x.run, x.id, w.label, x.y[w.label] - 1 / (1 + exp(-list_inner_product(x.x, w.w))) AS r FROM x JOIN w{i} w ON w.run = x.run),
+ g{i} AS (SELECT run, label, list(g ORDER BY j) AS g FROM (SELECT r.run, r.label, e.j, sum(r.r * e.x) AS g FROM r{i} r JOIN e ON e.run = r.run AND e.id = r.id GROUP BY ALL) GROUP BY run, label),
+ d{i} AS (SELECT w.run, w.label, w.w, list_transform(g.g, lambda z, j: z - {RIDGE} * n * w.w[j]) AS d FROM size CROSS JOIN w{i} w JOIN g{i} g ON g.run = w.run AND g.label = w.label),
+ w{i + 1} AS MATERIALIZED (SELECT d.run, d.label, list_transform(inv, lambda r, j: d.w[j] + list_inner_product(r, d.d)) AS w FROM d{i} d JOIN inv ON inv.run = d.run)""")
+    tail = f"""told AS (SELECT w.run, s.id, w.label, s.y[w.label] AS y, CASE WHEN round(list_inner_product(list_concat([1.0], s.v), w.w), 9) > 0.5 THEN 1 ELSE 0 END AS p
+   FROM split s CROSS JOIN w{N_STEPS} w WHERE s.is_test),
+ ex AS (SELECT run, count(*) AS n, avg(hit) AS exact FROM (SELECT run, id, min(CASE WHEN y = p THEN 1.0 ELSE 0 END) AS hit FROM told GROUP BY run, id) GROUP BY run),
+ f1 AS (SELECT run, avg(CASE WHEN t > 0 THEN 2.0 * tp / t ELSE 0 END) AS macro_f1 FROM (SELECT run, label, sum(y * p) AS tp, sum(y) + sum(p) AS t FROM told GROUP BY run, label) GROUP BY run),
+ s AS (SELECT CAST(run AS INTEGER) AS run, n, exact, macro_f1 FROM ex JOIN f1 USING (run))
+ SELECT run, n, round(exact, 6) AS exact, round(macro_f1, 6) AS macro_f1, round(avg(exact) OVER (), 6) AS exact_mean, round(stddev_pop(exact) OVER (), 6) AS exact_std,
+  round(avg(macro_f1) OVER (), 6) AS macro_f1_mean, round(stddev_pop(macro_f1) OVER (), 6) AS macro_f1_std FROM s"""
+    return ", ".join([*parts, tail]).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("multilabel_probe", _multilabel_sql())
 def multilabel_probe(spark, sf):
-    bits = F.array(*[F.expr(f"cast(shiftright(target, {i}) & 1 as int)") for i in range(3)])
+    bits = F.array(*[(F.col("target") == i).cast("int") for i in range(N_TRAITS)])
     train, test = _train_test(spark, sf)
-    predicted = probes.multilabel_probe(train.withColumn("labels", bits), test.withColumn("labels", bits), 3, max_iter=10)
-    f1 = metrics.macro_f1(predicted, "pred", "labels").withColumn("_k", F.lit(0))
-    exact = metrics.exact_match(predicted, "pred", "labels").withColumn("_k", F.lit(0))
-    return f1.join(exact, "_k").select("n", r6("accuracy", "accuracy"), "n_labels", r6("macro_f1", "macro_f1"))
+    told = probes.multilabel_eval(train.withColumn("labels", bits), test.withColumn("labels", bits), N_TRAITS, ridge=RIDGE, steps=N_STEPS)
+    scores = [c for c in told.columns if c not in ("run", "n")]
+    return told.select("run", "n", *[r6(c, c) for c in scores])
 
 
 # A model that SQL can follow: how often each of some letters occurs.

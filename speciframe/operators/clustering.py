@@ -6,6 +6,7 @@ beyond it they are a table in the shared folder and points are matched to it blo
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -19,11 +20,13 @@ from ..functions.hashing import seeded_key, seeded_uniform
 from ..functions.vectors import euclidean_distance
 from ..session import SHIP_LIMIT_BYTES, cut_lineage
 from .aggregates import PartialSums, merge_partials, vector_mean, vector_sums
-from .dense import best_hits, matrix, own_closeness, vectors
+from .dense import best_hits, closeness, matrix, own_closeness, vectors
 from .metrics import contingency
-from .ranking import BUCKET_DIGITS, row_index
+from .ranking import row_index
 from .scoring import match_prototypes, ship
 
+# Rows that are put in order at the end of a search by running share.
+FEW = 4096
 # Largest number of clusters whose assignment is solved inside one task.
 ASSIGN_LIMIT = 2048
 
@@ -58,13 +61,20 @@ def assign(points: DataFrame, centers: DataFrame | dict, vec: str, keep: Sequenc
     return matched.select(*keep, near.alias("cluster"), (dist * dist).alias("sq_dist"))
 
 
+def _pinnable(points: DataFrame, vec: str, pinned: str | None, *keep: str) -> DataFrame:
+    pin = F.lit(None) if pinned is None else F.col(pinned)
+    return points.select(*keep, F.col(vec).cast("array<double>").alias("_v"), pin.cast("bigint").alias("_pin"))
+
+
+def _run_sums(points: DataFrame, runs: dict[int, tuple[np.ndarray, np.ndarray]], vec: str, pinned: str | None = None) -> DataFrame:
+    rows = _pinnable(points, vec, pinned)
+    return merge_partials(rows.mapInArrow(_assign_kernel(runs), "run bigint, cluster bigint, _n bigint, _s array<double>"), ["run", "cluster"])
+
+
 def cluster_sums(points: DataFrame, centers: dict, vec: str, pinned: str | None = None) -> DataFrame:
     """(cluster, n, total) in one map-side pass; the last number of ``total`` is the sum of the
     squared distances, the others are the coordinates."""
-    labels, w = centers[()]
-    pin = F.lit(None) if pinned is None else F.col(pinned)
-    rows = points.select(F.col(vec).cast("array<double>").alias("_v"), pin.cast("bigint").alias("_pin"))
-    return merge_partials(rows.mapInArrow(_assign_kernel(labels, w), "cluster bigint, _n bigint, _s array<double>"), ["cluster"])
+    return _run_sums(points, {0: centers[()]}, vec, pinned).drop("run")
 
 
 def shift_of(old: np.ndarray, new: np.ndarray) -> float:
@@ -104,28 +114,35 @@ def centers_table(spark, centers: dict) -> DataFrame:
     return spark.createDataFrame(rows, "cluster bigint, center array<double>")
 
 
-def _assign_kernel(labels: np.ndarray, w: np.ndarray):
-    """Nearest centre and the sums per centre in one pass over a task's batches."""
+def _nearest(batch: pa.RecordBatch, x: np.ndarray, labels: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cluster and squared distance of a batch's rows; pinned rows stay in theirs."""
+    top, score, _ = best_hits(x, labels, w, 1, "l2")
+    cluster, dist = top[:, 0], -score[:, 0]
+    pin = batch.column("_pin")
+    if pin.null_count < len(pin):
+        is_pinned = pin.is_valid().to_numpy(zero_copy_only=False)
+        to = pin.fill_null(0).to_numpy()[is_pinned]
+        cluster[is_pinned] = to
+        dist[is_pinned] = -own_closeness(x[is_pinned], w[np.searchsorted(labels, to)], "l2")
+    return cluster, dist
+
+
+def _assign_kernel(runs: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """Nearest centre and the sums per (run, centre) in one pass over a task's batches."""
     def run(batches):
-        sums = PartialSums(["cluster"])
-        sums.types = [pa.int64()]
+        sums = PartialSums(["run", "cluster"])
+        sums.types = [pa.int64(), pa.int64()]
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             x = matrix(batch.column("_v"))
-            top, score, _ = best_hits(x, labels, w, 1, "l2")
-            cluster, dist = top[:, 0], -score[:, 0]
-            pin = batch.column("_pin")
-            if pin.null_count < len(pin):
-                is_pinned = pin.is_valid().to_numpy(zero_copy_only=False)
-                to = pin.fill_null(0).to_numpy()[is_pinned]
-                cluster[is_pinned] = to
-                dist[is_pinned] = -own_closeness(x[is_pinned], w[np.searchsorted(labels, to)], "l2")
-            measured = np.column_stack([x, dist])
-            order = np.argsort(cluster, kind="stable")
-            names, starts = np.unique(cluster[order], return_index=True)
-            for name, rows in zip(names, np.split(order, starts[1:])):
-                sums.add((int(name),), measured[rows])
+            for r, (labels, w) in runs.items():
+                cluster, dist = _nearest(batch, x, labels, w)
+                measured = np.column_stack([x, dist])
+                order = np.argsort(cluster, kind="stable")
+                names, starts = np.unique(cluster[order], return_index=True)
+                for name, rows in zip(names, np.split(order, starts[1:])):
+                    sums.add((r, int(name)), measured[rows])
             if sums.full():
                 yield from sums.flush()
         yield from sums.flush()
@@ -133,6 +150,32 @@ def _assign_kernel(labels: np.ndarray, w: np.ndarray):
     return run
 
 
+def lloyd_runs(points: DataFrame, starts: Sequence[dict | DataFrame], vec: str, key: str, max_iterations: int = 100, tolerance: float = 1e-4,
+               pinned: str | None = None, ship_limit: int = SHIP_LIMIT_BYTES) -> list[tuple[dict | DataFrame, float, int]]:
+    """``lloyd`` from several starts: one pass over the points a round moves the centres of all that have not settled."""
+    if not all(isinstance(c, dict) for c in starts):
+        return [lloyd(points, c, vec, key, max_iterations, tolerance, pinned, ship_limit) for c in starts]
+    centers, best = [c[()] for c in starts], [(c, None, 0) for c in starts]
+    going = set(range(len(starts)))
+    for rounds in range(1, max_iterations + 1):
+        if not going:
+            break
+        sums = _run_sums(points, {r: centers[r] for r in sorted(going)}, vec, pinned).toArrow()
+        run, cluster, n = (sums.column(c).to_numpy() for c in ("run", "cluster", "n"))
+        total = matrix(sums.column("total"))
+        for r in sorted(going):
+            mine, (labels, old) = run == r, centers[r]
+            inertia, new = float(total[mine, -1].sum()) if mine.any() else 0.0, old.copy()
+            new[np.searchsorted(labels, cluster[mine])] = total[mine, :-1] / n[mine, None] if mine.any() else new[:0]
+            if best[r][1] is None or inertia < best[r][1]:
+                best[r] = ({(): (labels, old)}, inertia, rounds)
+            best[r] = (*best[r][:2], rounds)
+            centers[r] = (labels, new)
+            if shift_of(old, new) ** 2 < tolerance:
+                going.discard(r)
+    return best
+
+
 def lloyd(points: DataFrame, centers: DataFrame | dict, vec: str, key: str, max_iterations: int = 100, tolerance: float = 1e-4,
           pinned: str | None = None, ship_limit: int = SHIP_LIMIT_BYTES):
     """Rounds until the squared total shift is below ``tolerance``. Returns the centres of lowest
@@ -170,72 +213,154 @@ def random_k(points: DataFrame, vec: str, key: str, k: int, seed) -> DataFrame:
     return head.withColumn("cluster", (F.row_number().over(Window.orderBy("_h", key)) - 1).cast("bigint")).select("cluster", "center")
 
 
+def _share_picks(rows: DataFrame, key: str, goals: Sequence[float], seeds: Sequence) -> DataFrame:
+    """Per run, the first of ``rows`` (columns, and ``_best``: an array with a weight per run) in seeded order whose
+    running share of the weights reaches the run's goal; the last one if rounding leaves it short.
+
+    Sums by the first digits of the seeded hash tell where the row lies, two digits more at a time, until at
+    most ``FEW`` rows are left; only those are put in order.
+    """
+    hashed = F.explode(F.array(*[F.struct(F.lit(r).alias("run"), seeded_key(s, key).alias("_h")) for r, s in enumerate(seeds)]))
+    lines = rows.withColumn("_line", hashed).select("*", "_line.*").drop("_line").withColumn("_w", F.element_at("_best", F.col("run") + 1)).drop("_best")
+    place: dict[int, tuple[str, float, float]] = {}  # run: digits so far, weight before them, weight to reach
+    open_runs = set(range(len(seeds)))
+
+    def inside(runs) -> DataFrame:
+        if not place:
+            return lines
+        keep = F.lit(False)
+        for r in runs:
+            keep = keep | ((F.col("run") == r) & F.col("_h").startswith(place[r][0]))
+        return lines.filter(keep)
+
+    while open_runs:
+        digits = len(place[min(open_runs)][0]) if place else 0  # the same for all that go on
+        found: dict[int, list] = {}
+        cells = inside(open_runs).groupBy("run", F.substring("_h", 1, digits + 2).alias("_p")).agg(F.sum("_w").alias("w"), F.count("*").alias("n"))
+        for run, prefix, weight, n in cells.collect():
+            found.setdefault(run, []).append((prefix, weight, n))
+        for r in list(open_runs):
+            held = sorted(found.get(r, []))
+            if not held:
+                open_runs.discard(r)
+                continue
+            _, before, goal = place.get(r, ("", 0.0, None))
+            upto = before + np.cumsum([w for _, w, _ in held])
+            goal = goals[r] * upto[-1] if goal is None else goal
+            # Rounding may leave the last running sum a hair below the goal.
+            at = min(int(np.searchsorted(upto, goal)), len(held) - 1)
+            place[r] = (held[at][0], float(upto[at - 1]) if at else before, goal)
+            if held[at][2] <= FEW or len(held[at][0]) >= 32:
+                open_runs.discard(r)
+    if not place:
+        return lines.drop("_h", "_w")
+    order = Window.partitionBy("run").orderBy("_h", key).rowsBetween(Window.unboundedPreceding, 0)
+    left = F.element_at(F.create_map(*[x for r, (_, before, goal) in place.items() for x in (F.lit(r), F.lit(float(goal - before)))]), F.col("run"))
+    summed = inside(list(place)).withColumn("_cum", F.sum("_w").over(order)).withColumn("_reached", F.col("_cum") >= left)
+    first = Window.partitionBy("run").orderBy(F.desc("_reached"), F.when(F.col("_reached"), F.col("_h")).asc(), F.desc("_h"), key)
+    return summed.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_h", "_w", "_cum", "_reached", "_r")
+
+
 def d2_pick(distances: DataFrame, key: str, sq_dist: str, r: float, seed) -> DataFrame:
-    """The first row, in seeded order, whose running share of the squared distance reaches ``r``.
+    """The first row, in seeded order, whose running share of the squared distance reaches ``r``."""
+    return _share_picks(distances.withColumn("_best", F.array(sq_dist)), key, [r], [seed]).drop("run")
+
+
+def _closer(rows: DataFrame, key: str, fresh: np.ndarray) -> DataFrame:
+    """Best squared distance of every run after one more centre each."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, best = matrix(batch.column("_v")), matrix(batch.column("_best"))
+                gap = np.column_stack([-closeness(x, c[None, :], "l2")[:, 0] for c in fresh])
+                yield pa.record_batch([batch.column(key), batch.column("_v"), vectors(np.minimum(best, gap))], [key, "_v", "_best"])
+
+    return rows.select(key, "_v", "_best").mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, _v array<double>, _best array<double>")
+
 
-    Sums per hash bucket (at most 16^BUCKET_DIGITS numbers) tell which bucket holds the point;
-    only that bucket is sorted.
+def d2_seeds_runs(points: DataFrame, vec: str, key: str, k: int, seeds: Sequence, centers: DataFrame | None = None,
+                  ship_limit: int = SHIP_LIMIT_BYTES) -> list[DataFrame | dict]:
+    """Centres grown to ``k`` for every seed at once, by drawing points with probability proportional to their
+    squared distance from the run's centres so far (or from one random point).
+
+    The distances are a kept table that only the newest centre of each run meets, so k centres take k passes.
     """
-    keyed = distances.withColumn("_h", seeded_key(seed, key)).withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
-    sums = sorted(keyed.groupBy("_b").agg(F.sum(sq_dist)).collect())
-    upto = np.cumsum([s for _, s in sums])
-    goal = r * upto[-1]
-    # Rounding may leave the last running sum a hair below the goal.
-    at = min(int(np.searchsorted(upto, goal)), len(sums) - 1)
-    order = Window.partitionBy("_b").orderBy("_h", key).rowsBetween(Window.unboundedPreceding, 0)
-    inside = keyed.filter(F.col("_b") == sums[at][0]).withColumn("_cum", F.sum(sq_dist).over(order))
-    reached = F.col("_cum") >= float(goal - (upto[at - 1] if at else 0.0))
-    chosen = inside.orderBy(F.desc(reached), F.when(reached, F.col("_h")).asc(), F.desc("_h"), key).limit(1)
-    return chosen.drop("_h", "_b", "_cum")
+    spark = points.sparkSession
+    runs = len(seeds)
+    rows = points.select(key, F.col(vec).cast("array<double>").alias("_v"))
+    if centers is None:
+        far = F.array(*[F.lit(float("inf"))] * runs)
+        heads = rows.agg(*[F.min(F.struct(seeded_key(s, key).alias("h"), F.col(key).alias("k"), F.col("_v").alias("v"))).alias(f"r{r}") for r, s in enumerate(seeds)]).first()
+        if heads[0] is None:
+            return [centers_table(spark, {(): (np.zeros(0, "i8"), np.zeros((0, 0)))}) for _ in seeds]
+        grown = [np.array([h["v"]]) for h in heads]
+        kept = cut_lineage(_closer(rows.withColumn("_best", far), key, np.stack([g[0] for g in grown])))
+        names = np.arange(1)
+    else:
+        table = cut_lineage(centers.select(F.col("cluster").cast("bigint").alias("cluster"), F.col("center").cast("array<double>").alias("center")))
+        near = assign(points, ship(table, [], "cluster", "center", ship_limit) or table, vec, [key, vec], ship_limit=ship_limit)
+        kept = cut_lineage(near.select(key, F.col(vec).cast("array<double>").alias("_v"), F.array_repeat("sq_dist", runs).alias("_best")))
+        grown = None
+    first = table.count() if centers is not None else 1
+    added = [[] for _ in seeds]
+    shares = {r: [x[0] for x in spark.range(first, k).select(seeded_uniform(s, F.lit("d2"), "id")).collect()] if first < k else [] for r, s in enumerate(seeds)}
+    for number in range(first, k):
+        picked = {r["run"]: r["_v"] for r in _share_picks(kept, key, [shares[r][number - first] for r in range(runs)], seeds).select("run", "_v").collect()}
+        if not picked:
+            break
+        for r in range(runs):
+            added[r].append(picked[r])
+        if number + 1 < k:
+            kept = cut_lineage(_closer(kept, key, np.array([picked[r] for r in range(runs)])))
+    out = []
+    for r in range(runs):
+        if centers is None:
+            w = np.vstack([grown[r], *[np.array(v)[None, :] for v in added[r]]])
+            held = {(): (np.arange(len(w)), w)}
+            out.append(held if w.nbytes <= ship_limit else centers_table(spark, held))
+            continue
+        fresh = spark.createDataFrame([(first + i, [float(x) for x in v]) for i, v in enumerate(added[r])], "cluster bigint, center array<double>")
+        whole = table.unionByName(fresh)
+        out.append(ship(whole, [], "cluster", "center", ship_limit) or cut_lineage(whole))
+    return out
 
 
 def d2_seeds(points: DataFrame, vec: str, key: str, k: int, seed, centers: DataFrame | None = None,
              ship_limit: int = SHIP_LIMIT_BYTES) -> DataFrame | dict:
-    """Centres grown to ``k`` by drawing points with probability proportional to their squared
-    distance from the centres so far (or from one random point)."""
-    spark = points.sparkSession
-    if centers is None:
-        centers = random_k(points, vec, key, 1, seed)
-    table = cut_lineage(centers.select(F.col("cluster").cast("bigint").alias("cluster"), F.col("center").cast("array<double>").alias("center")))
-    have = table.count()
-    shares = spark.range(have, k).select(seeded_uniform(seed, F.lit("d2"), "id")).collect() if have < k else []
-    grown = ship(table, [], "cluster", "center", ship_limit) or table
-    for number, (share,) in enumerate(shares, have):
-        near = assign(points, grown, vec, [key], ship_limit=ship_limit)
-        pick = d2_pick(near, key, "sq_dist", share, seed)
-        # One row, found by its key.
-        fresh = points.join(F.broadcast(pick.select(key)), key).select(F.lit(number).cast("bigint").alias("cluster"), F.col(vec).cast("array<double>").alias("center"))
-        if isinstance(grown, dict):
-            labels, w = grown[()]
-            grown = {(): (np.append(labels, number), np.vstack([w, fresh.first()["center"]]))}
-            if grown[()][1].nbytes > ship_limit:
-                grown = centers_table(spark, grown)
-        else:
-            grown = cut_lineage(grown.unionByName(fresh))
-    return grown
+    """``d2_seeds_runs`` for one seed."""
+    return d2_seeds_runs(points, vec, key, k, [seed], centers, ship_limit)[0]
+
+
+def _best_of(fitted: list[tuple[dict | DataFrame, float, int]], points: DataFrame, vec: str, key: str, pinned: str | None) -> Clustering:
+    centers, inertia, rounds = min(fitted, key=lambda f: f[1])  # the first of equal ones
+    return Clustering(centers, inertia, rounds, points, vec, key, pinned)
 
 
 def kmeans(points: DataFrame, vec: str, key: str, k: int, init: str = "k-means++", max_iterations: int = 100,
            tolerance: float = 1e-4, n_init: int = 10, seed: int = 0) -> Clustering:
     """The restart with the lowest inertia. ``init``: ``k-means++``, ``random`` or ``first``."""
+    seeds = [seed + i for i in range(n_init)]
     starts = {
-        "k-means++": lambda s: d2_seeds(points, vec, key, k, s),
-        "random": lambda s: random_k(points, vec, key, k, s),
-        "first": lambda s: first_k(points, vec, key, k),
+        "k-means++": lambda: d2_seeds_runs(points, vec, key, k, seeds),
+        "random": lambda: [random_k(points, vec, key, k, s) for s in seeds],
+        "first": lambda: [first_k(points, vec, key, k)],
     }
     if init not in starts:
         raise ValueError(f"init must be one of {', '.join(starts)}, not {init!r}")
-    best = None
-    for restart in range(1 if init == "first" else n_init):
-        centers, inertia, rounds = lloyd(points, starts[init](seed + restart), vec, key, max_iterations, tolerance)
-        if best is None or inertia < best.inertia:
-            best = Clustering(centers, inertia, rounds, points, vec, key, None)
-    return best
+    return _best_of(lloyd_runs(points, [_shipped(c) for c in starts[init]()], vec, key, max_iterations, tolerance), points, vec, key, None)
 
 
-def semi_kmeans(points: DataFrame, vec: str, key: str, label: str, k: int, max_iterations: int = 100,
-                tolerance: float = 1e-4, n_init: int = 10, seed: int = 0) -> Clustering:
-    """K-means with labelled rows held in the cluster of their class.
+def _shipped(centers: dict | DataFrame, ship_limit: int = SHIP_LIMIT_BYTES) -> dict | DataFrame:
+    if isinstance(centers, dict):
+        return centers
+    table = cut_lineage(centers.select(F.col("cluster").cast("bigint").alias("cluster"), "center"))
+    return ship(table, [], "cluster", "center", ship_limit) or table
+
+
+def semi_kmeans_runs(points: DataFrame, vec: str, key: str, label: str, k: int, seeds: Sequence[int], max_iterations: int = 100,
+                     tolerance: float = 1e-4) -> list[Clustering]:
+    """K-means with labelled rows held in the cluster of their class, from every seed, all in the same passes.
 
     ``label`` is NULL for unlabelled rows. Clusters 0.. are the labelled classes in ascending
     order, started at the class means; further centres come from the unlabelled rows.
@@ -246,13 +371,36 @@ def semi_kmeans(points: DataFrame, vec: str, key: str, label: str, k: int, max_i
     classes = row_index(means, [label], "cluster")
     # One row per class: joined by size, the adaptive skew join splits a hot class.
     pinned = points.join(classes.select(label, F.col("cluster").alias("_pin")), label, "left")
-    best = None
-    for restart in range(n_init):
-        start = d2_seeds(free, vec, key, k, seed + restart, classes.select("cluster", "center"))
-        centers, inertia, rounds = lloyd(pinned, start, vec, key, max_iterations, tolerance, "_pin")
-        if best is None or inertia < best.inertia:
-            best = Clustering(centers, inertia, rounds, pinned, vec, key, "_pin")
-    return best
+    starts = d2_seeds_runs(free, vec, key, k, seeds, classes.select("cluster", "center"))
+    fitted = lloyd_runs(pinned, starts, vec, key, max_iterations, tolerance, "_pin")
+    return [Clustering(*f, pinned, vec, key, "_pin") for f in fitted]
+
+
+def semi_kmeans(points: DataFrame, vec: str, key: str, label: str, k: int, max_iterations: int = 100,
+                tolerance: float = 1e-4, n_init: int = 10, seed: int = 0) -> Clustering:
+    """The restart of ``semi_kmeans_runs`` with the lowest inertia."""
+    runs = semi_kmeans_runs(points, vec, key, label, k, [seed + i for i in range(n_init)], max_iterations, tolerance)
+    return min(runs, key=lambda c: c.inertia)
+
+
+def label_runs(fitted: Sequence[Clustering]) -> DataFrame:
+    """(key, run, cluster) of clusterings of the same points, in one pass over them."""
+    one = fitted[0]
+    if not all(isinstance(c.centers, dict) for c in fitted):
+        told = [c.labels().withColumn("run", F.lit(r)) for r, c in enumerate(fitted)]
+        return functools.reduce(DataFrame.unionByName, told).select(one.key, "run", "cluster")
+    centers, key = [c.centers[()] for c in fitted], one.key
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column("_v"))
+                found = np.column_stack([_nearest(batch, x, *c)[0] for c in centers])
+                yield pa.record_batch([batch.column(key), pa.array(found.tolist(), pa.list_(pa.int64()))], [key, "_c"])
+
+    rows = _pinnable(one.points, one.vec, one.pinned, key)
+    told = rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, _c array<bigint>")
+    return told.select(key, F.posexplode("_c").alias("run", "cluster"))
 
 
 def best_restart(runs: DataFrame, inertia: str, by: Sequence[str] = ()) -> DataFrame:

@@ -30,18 +30,18 @@ def exact_match(df: DataFrame, pred: str, true: str) -> DataFrame:
     return label_accuracy(df, pred, true)
 
 
-def macro_f1(df: DataFrame, pred: str, true: str, label_ids: Sequence[int] | None = None) -> DataFrame:
+def macro_f1(df: DataFrame, pred: str, true: str, label_ids: Sequence[int] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """F1 per label, averaged; a label without any positive scores 0. All labels by default."""
-    rows = df.select(F.posexplode(F.arrays_zip(F.col(pred).alias("p"), F.col(true).alias("t"))).alias("label_id", "v"))
+    rows = df.select(*by, F.posexplode(F.arrays_zip(F.col(pred).alias("p"), F.col(true).alias("t"))).alias("label_id", "v"))
     if label_ids is not None:
         rows = rows.filter(F.col("label_id").isin(list(label_ids)))
     p, t = F.col("v.p"), F.col("v.t")
-    per_label = rows.groupBy("label_id").agg(
+    per_label = rows.groupBy(*by, "label_id").agg(
         F.sum(p * t).alias("tp"), F.sum(p * (1 - t)).alias("fp"), F.sum((1 - p) * t).alias("fn")
     )
     total = 2 * F.col("tp") + F.col("fp") + F.col("fn")
     f1 = F.when(total > 0, 2 * F.col("tp") / total).otherwise(0.0)
-    return per_label.agg(F.count("*").alias("n_labels"), F.avg(f1).alias("macro_f1"))
+    return per_label.groupBy(*by).agg(F.count("*").alias("n_labels"), F.avg(f1).alias("macro_f1"))
 
 
 def fold_summary(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -51,6 +51,12 @@ def fold_summary(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     )
 
 
+def run_summary(scores: DataFrame, value: str) -> DataFrame:
+    """Scores of the runs with their mean and population deviation beside them."""
+    total = fold_summary(scores.withColumn("_k", F.lit(0)), value, ["_k"]).select("_k", "mean", "std")
+    return scores.withColumn("_k", F.lit(0)).join(total, "_k").drop("_k")
+
+
 def average_meter(df: DataFrame, value: str, weight: str, by: Sequence[str]) -> DataFrame:
     """Weighted mean, total and weight of each metric."""
     total, n = F.sum(F.col(value) * F.col(weight)), F.sum(weight)

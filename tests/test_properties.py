@@ -50,8 +50,38 @@ def test_pinned_rows_never_move(spark):
 
 
 def test_category_discovery_on_blobs(spark):
-    out = discovery.category_discovery(blobs(spark), [0, 1], 0.8, seeds=(0,), max_iterations=10, n_init=2).first()
-    assert out["n_rows"] == 500 - int(0.8 * 250) and out["accuracy"] >= 0.95
+    out = discovery.category_discovery(blobs(spark), [0, 1], 0.8, seeds=(0, 5)).collect()
+    assert [r["run"] for r in sorted(out)] == [0, 1]
+    for r in out:
+        assert r["n_rows"] == 500 - int(0.8 * 250) and min(r["accuracy"], r["old_accuracy"], r["new_accuracy"]) >= 0.95
+    assert abs(out[0]["mean"] - np.mean([r["accuracy"] for r in out])) < 1e-12
+
+
+def test_runs_together_equal_runs_alone(spark, points):
+    rows = points.withColumnRenamed("v", "features").withColumn("known", F.when((F.col("label") < 2) & (F.col("id") % 2 == 0), F.col("label")))
+    together = C.semi_kmeans_runs(rows, "features", "id", "known", 5, [3, 8, 9], max_iterations=6, tolerance=0.0)
+    told = {}
+    for r in C.label_runs(together).collect():
+        told.setdefault(r["run"], {})[r["id"]] = r["cluster"]
+    for run, seed in enumerate([3, 8, 9]):
+        alone = C.semi_kmeans_runs(rows, "features", "id", "known", 5, [seed], max_iterations=6, tolerance=0.0)[0]
+        assert abs(alone.inertia - together[run].inertia) < 1e-9
+        assert {r["id"]: r["cluster"] for r in alone.labels().collect()} == told[run]
+
+
+def test_share_picks_at_any_depth(spark, monkeypatch):
+    import hashlib
+
+    weights = {i: float((i * 37) % 11) for i in range(400)}
+    df = spark.createDataFrame([(i, w) for i, w in weights.items()], "id bigint, sq double")
+    for few in (1, 20, 4096):
+        monkeypatch.setattr(C, "FEW", few)
+        for share in (0.0, 0.3, 0.999999, 1.0):
+            order = sorted(weights, key=lambda i: hashlib.md5(f"7:{i}".encode()).hexdigest())
+            upto = np.cumsum([weights[i] for i in order])
+            want = order[int(np.searchsorted(upto, share * upto[-1]))]
+            assert C.d2_pick(df, "id", "sq", share, 7).select("id").collect() == [(want,)]
+    assert C.d2_pick(df.filter("id < 0"), "id", "sq", 0.5, 7).collect() == []
 
 
 def test_few_shot_on_blobs(spark):
@@ -101,17 +131,122 @@ def test_top_k_grows_with_k(spark, points):
     assert abs(r["top4"] - table.filter("target > 0").count() / r["n"]) < 1e-12
 
 
-def test_probe_searches_and_separates(spark):
-    points = blobs(spark).select(F.col("id").alias("row_idx"), "features", "target")
-    tasks = points.select(
-        F.lit("left").alias("task"), "row_idx", (F.col("target") % 2).alias("label"),
-        F.when(F.col("row_idx") % 3 == 0, "test").otherwise("train").alias("split"),
-    )
-    out = probes.task_probe(points.drop("target"), tasks, n_draws=2, folds=2, kernels=("linear", "rbf"), rff_dim=32, max_iter=10)
-    assert metrics.label_accuracy(out, "pred", "label").first()["accuracy"] > 0.9
+def probe_rows(n=240, dim=5):
+    """Three tasks: a line, a ring and a product of signs; a row may serve two."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(0, 1, (n, dim))
+    labels = {"line": x[:, 0] + 0.3 * x[:, 1] > 0, "ring": (x[:, :2] ** 2).sum(1) > 1.4, "signs": x[:, 0] * x[:, 1] * x[:, 2] > 0}
+    rows = [(t, i, int(y[i]), "test" if i % 4 == 0 else "train") for t, y in labels.items() for i in range(n) if (i + len(t)) % 5]
+    return x, rows
 
 
-def test_multilabel_probe(spark):
-    points = blobs(spark).withColumn("labels", F.array((F.col("target") % 2), (F.col("target") > 1).cast("int")))
-    out = probes.multilabel_probe(points.filter("id % 2 = 0"), points.filter("id % 2 = 1"), 2)
-    assert out.count() == 250
+def reference_probe(x, rows, n_draws, seeds, folds, steps, width):
+    """One machine after the other."""
+    import hashlib
+
+    def fold_of(i):
+        return int(int(hashlib.md5(f"fold:{i}".encode()).hexdigest()[:8], 16) / 2**32 * folds)
+
+    draws, out = probes.search_draws(n_draws, seeds), {}
+    expand = probes.Expansion(x.shape[1], width)
+    weight = expand.weights(draws)
+
+    def fit(f, y, m):
+        s, c = weight[m], draws.c[m]
+        on = s > 0
+        a = (f * s)[:, on]
+        ridge = np.eye(on.sum())
+        ridge[0, 0] = 1e-9
+        target = y.copy()
+        for _ in range(steps):
+            v = np.linalg.solve(2 * c * a.T @ a + ridge, 2 * c * a.T @ target)
+            target = y * np.maximum(1, y * (a @ v))
+        return lambda g: (g * s)[:, on] @ v
+
+    for task in sorted({r[0] for r in rows}):
+        ids = {split: [r for r in rows if r[0] == task and r[3] == split] for split in ("train", "test")}
+        mean = x[[r[1] for r in ids["train"]]].mean(0)
+        cut = lambda part: ((x[[r[1] for r in part]] - mean) / np.linalg.norm(x[[r[1] for r in part]] - mean, axis=1)[:, None], np.array([2.0 * r[2] - 1 for r in part]))
+
+        def machine(train, test, m):
+            (z, y), (t, _) = cut(train), cut(test)
+            centre, spread = z.mean(0), z.std(0)
+            return fit(expand.of((z - centre) / spread), y, m)(expand.of((t - centre) / spread)) > 0
+
+        scores = np.zeros(len(draws.c))
+        for h in range(folds):
+            inner = [r for r in ids["train"] if fold_of(r[1]) != h]
+            held = [r for r in ids["train"] if fold_of(r[1]) == h]
+            for m in range(len(scores)):
+                scores[m] += np.mean(machine(inner, held, m) == np.array([r[2] == 1 for r in held])) / folds
+        for run in range(len(seeds)):
+            mine = np.flatnonzero(draws.run == run)
+            best = mine[np.argmax(np.round(scores[mine], 12))]
+            for r, p in zip(ids["test"], machine(ids["train"], ids["test"], best)):
+                out[run, task, r[1]] = (r[2], int(p))
+    return out
+
+
+def test_probe_against_one_machine_after_the_other(spark, monkeypatch):
+    x, rows = probe_rows()
+    features = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "row_idx bigint, features array<double>")
+    tasks = spark.createDataFrame(rows, "task string, row_idx bigint, label int, split string").repartition(5)
+    how = dict(n_draws=9, seeds=(1, 4), folds=3, steps=3, width=8)
+    want = reference_probe(x, rows, **how)
+    for group in (8192, 50):  # a task in one share, and in several
+        monkeypatch.setattr(probes, "GROUP", group)
+        got = {(r["run"], r["task"], r["row_idx"]): (r["label"], r["pred"]) for r in probes.task_probe(features, tasks, **how).collect()}
+        assert got == want
+
+
+def test_probe_search_separates_lines_and_rings(spark):
+    x, rows = probe_rows(600)
+    features = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "row_idx bigint, features array<double>")
+    tasks = spark.createDataFrame([r for r in rows if r[0] == "line"], "task string, row_idx bigint, label int, split string")
+    out = probes.task_probe_eval(features, tasks, n_draws=20, seeds=(0, 1)).collect()
+    assert len(out) == 2 and all(r["accuracy"] > 0.9 for r in out) and out[0]["std"] == out[1]["std"]
+
+
+def test_probe_without_rows(spark):
+    features = spark.createDataFrame([], "row_idx bigint, features array<double>")
+    tasks = spark.createDataFrame([], "task string, row_idx bigint, label int, split string")
+    assert probes.task_probe(features, tasks, n_draws=2).collect() == []
+
+
+def test_expansion_estimates_the_kernels():
+    rng = np.random.default_rng(3)
+    z = rng.normal(0, 1, (40, 24))
+    expand = probes.Expansion(24, 40_000)
+    f, dots = expand.of(z), z @ z.T
+    draws = probes.Draws(np.zeros(4, int), np.array(probes.KERNELS), np.ones(4), np.full(4, 8e-4))
+    want = {"linear": dots, "sigmoid": np.tanh(8e-4 * dots), "poly": (8e-4 * dots) ** 3,
+            "rbf": np.exp(-8e-4 * ((z[:, None] - z[None]) ** 2).sum(2))}
+    for kernel, s in zip(draws.kernel, expand.weights(draws)):
+        s[0] = 1.0 * (kernel == "rbf") * np.exp(-8e-4 * 24)  # the constant term, which the machines leave free
+        got = (f * s) @ (f * s).T
+        assert np.abs(got - want[kernel]).max() < 0.06 * np.abs(want[kernel]).max()
+
+
+def test_steps_lower_the_squared_hinge_loss():
+    rng = np.random.default_rng(8)
+    f = np.hstack([np.ones((150, 1)), rng.normal(0, 1, (150, 6))])
+    y = np.sign(f[:, 1] + 0.4 * rng.normal(0, 1, 150))
+    one = np.ones((1, 7))
+    target, seen = y.copy(), []
+    for _ in range(12):
+        w = probes.solve_all(f.T @ f, (f.T @ target)[:, None], np.array([0.7]), one)[:, 0]
+        seen.append((w[1:] ** 2).sum() / 2 + 0.7 * (np.maximum(0, 1 - y * (f @ w)) ** 2).sum())
+        target = y * np.maximum(1, y * (f @ w))
+    assert all(a >= b - 1e-9 for a, b in zip(seen, seen[1:])) and seen[-2] - seen[-1] < 0.05 * (seen[0] - seen[1])
+
+
+def test_multilabel_probe_finds_two_labels(spark):
+    sides = F.array((F.col("target") % 2), F.col("target").isin(1, 2).cast("int"))
+    points = blobs(spark).withColumn("labels", sides).withColumn("half", F.floor(F.col("id") / 4) % 2)
+    out = probes.multilabel_eval(points.filter("half = 0"), points.filter("half = 1"), 2, seeds=(0, 1)).collect()
+    assert all(r["n"] == 248 and r["macro_f1"] > 0.95 and r["exact"] > 0.95 for r in out)
+
+
+def test_multilabel_probe_without_train_rows(spark):
+    points = blobs(spark).withColumn("labels", F.array(F.lit(1)))
+    assert probes.multilabel_probe(points.filter("id < 0"), points, 1).collect() == []
