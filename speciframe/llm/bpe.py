@@ -15,6 +15,7 @@ import json
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +27,8 @@ from .common import in_small_batches
 
 #: Distinct chunks a task remembers; when it is full the memory starts anew, with the same results.
 REMEMBERED = 250_000
+#: Symbols of a fragment up to which looking at all pairs again is quicker than a heap; the ids are the same.
+SHORT = 24
 _LATIN = re.compile("[!-~\u00a1-\u012f\u0132-\u024f]*")
 
 
@@ -53,6 +56,9 @@ class Merges:
         ids = [vocab[c] for c in fragment]
         if closes and self.suffix:
             ids[-1] = vocab[fragment[-1] + self.suffix]
+        return self._merged(ids) if len(ids) > SHORT else self._merged_short(ids)
+
+    def _merged_short(self, ids: list[int]) -> list[int]:
         steps = self.steps
         while len(ids) > 1:
             found = None
@@ -65,6 +71,28 @@ class Merges:
             ids[at : at + 2] = [found[1]]
         return ids
 
+    def _merged(self, ids: list[int]) -> list[int]:
+        """The same for a fragment of any length, in n log n: pairs wait in a heap by rank and place, symbols
+        are linked to their neighbours, and a pair that has changed since it was put there is passed over."""
+        steps, n = self.steps, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting = [(step[0], i, step[1], ids[i], ids[i + 1]) for i in range(n - 1) if (step := steps.get((ids[i], ids[i + 1])))]
+        heapify(waiting)
+        while waiting:
+            _, i, made, left, right = heappop(waiting)
+            j = after[i]
+            if ids[i] != left or j >= n or ids[j] != right:
+                continue
+            ids[i], ids[j] = made, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if step := steps.get((made, ids[k])):
+                    heappush(waiting, (step[0], i, step[1], made, ids[k]))
+            if (k := before[i]) >= 0 and (step := steps.get((ids[k], made))):
+                heappush(waiting, (step[0], k, step[1], ids[k], made))
+        return [x for x in ids if x >= 0]
+
     def encode_word(self, word: bytes) -> list[int]:
         """Ids of a pre-token: fragments between forced cuts are encoded independently, then joined."""
         symbol = self.symbol

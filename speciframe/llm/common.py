@@ -27,6 +27,12 @@ def in_small_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def carried(docs: DataFrame, *needed: str) -> DataFrame:
+    """``row``, a struct of all columns, and the ``needed`` ones beside it: no name that an operator gives can
+    meet a column of the user's, and ``row.*`` gives them back."""
+    return docs.select(F.struct("*").alias("row"), *[F.col(f"`{c}`") for c in needed])
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words of the whole text in UTF-8. ``bytes.split`` cuts at exactly the ASCII white space."""
     return text.encode().split() if text else []

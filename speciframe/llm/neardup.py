@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from speciframe.session import cut_lineage
 
-from .common import in_small_batches, lowered_words_of
+from .common import carried, in_small_batches, lowered_words_of
 
 # the values of op7; callers with another rule give their own
 SIZE = 3
@@ -339,9 +339,8 @@ def groups(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) -> Dat
 def keep_one(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) -> DataFrame:
     """One document of each group: the one with the least id. Rows that repeat an id count as copies of
     it, and the first in the order of their texts stays; rows without an id all stay."""
-    kept = groups(docs, size, threshold).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.filter(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    columns = docs.columns
-    first = rows.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.min_by(F.struct(*columns), F.struct(F.col("text").isNull(), F.col("text"))).alias("_row"))
-    return first.select("_row.*").unionByName(docs.filter(F.col("doc_id").isNull()))
+    kept = groups(docs, size, threshold).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept")).distinct()
+    every = carried(docs, "doc_id", "text")
+    rows = every.filter(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("kept"), "left_semi")
+    first = rows.groupBy("doc_id").agg(F.min_by("row", F.struct(F.col("text").isNull(), F.col("text"))).alias("row"))
+    return first.select("row.*").unionByName(every.filter(F.col("doc_id").isNull()).select("row.*"))

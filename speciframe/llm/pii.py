@@ -6,7 +6,7 @@ chunks of text that may belong to one entity. In a window a segmentation into en
 segment look like an address, how many digits has it, does its check sum hold, what stands before and
 after) and by the types of neighbouring segments; dynamic programming finds the best one, boundaries and
 types together. The weights maximise the conditional likelihood of windows whose base spans serve as
-labels; windows come from at most ``MAX_WINDOWS`` documents, smallest hash first. Segments found are added
+labels; at most ``MAX_WINDOWS`` windows are used, smallest hash first. Segments found are added
 to the base spans, which always stay.
 """
 
@@ -17,27 +17,31 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches
+from .common import carried, in_small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 24
 MAX_WINDOWS = 1_000
+#: Characters of a window that the weights are learned from; windows of any length are searched.
+MAX_WINDOW = 400
 EPOCHS = 4
 
 # fixed values: what the base patterns accept
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-_WINDOW = re.compile(r"[^\s0-9@]*+[0-9@]\S*(?:\x20[^\s0-9@]{0,8}[0-9@]\S*)*")
+# both begin where a run begins: a search that fails there fails in the rest of the run
+_WINDOW = re.compile(r"(?<![^\s0-9@])[^\s0-9@]*+[0-9@]\S*(?:\x20[^\s0-9@]{0,8}[0-9@]\S*)*")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
 _ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _OUT = ""
@@ -108,8 +112,12 @@ def windows(text: str) -> Iterator[tuple[int, str]]:
         yield m.start(), m.group()
 
 
-@lru_cache(maxsize=200_000)
 def shape(segment: str) -> tuple[str, ...]:
+    return _shape(segment) if len(segment) <= 64 else _shape.__wrapped__(segment)
+
+
+@lru_cache(maxsize=200_000)
+def _shape(segment: str) -> tuple[str, ...]:
     """Whole-span features that do not depend on the type or the neighbours."""
     digits = _digits(segment)
     n = len(digits)
@@ -135,24 +143,39 @@ def shape(segment: str) -> tuple[str, ...]:
 def candidates(window: str) -> tuple[list[tuple[int, int]], list[list[tuple[int, tuple[str, ...]]]]]:
     """Tokens as (start, end), and for each end token the segments that may end there: (first, features).
 
-    A segment holds a digit or ``@`` and begins and ends with neither white space nor closing marks."""
+    A segment holds a digit or ``@`` and begins and ends with neither white space nor closing marks. One with
+    letters and no ``@`` has no shape but its number of digits, which running counts tell without looking at it."""
     tokens = [m.span() for m in _TOKEN.finditer(window)]
     ends: list[list[tuple[int, tuple[str, ...]]]] = []
-    for j, (_, stop) in enumerate(tokens):
+    opens, marks, digits = [], [], [0]
+    at, letter = -1, -1  # the last tokens so far that are an @, and that are letters
+    mixed: dict[tuple[int, str, str], tuple[str, ...]] = {}
+    for j, (start, stop) in enumerate(tokens):
+        lead, final = window[start], window[stop - 1]
+        if lead == "@":
+            at = j
+        elif lead.isalnum() and not lead.isdecimal():
+            letter = j
+        opens.append(lead.isalnum() or lead in "+%_.(-")
+        marks.append("<^" if start == 0 else "<a" if window[start - 1].isalnum() else f"<{window[start - 1]}")
+        digits.append(digits[-1] + (stop - start if "0" <= lead <= "9" else 0))
         here = []
-        if window[stop - 1].isalnum() or window[stop - 1] in "%_":
+        if final.isalnum() or final in "%_":
+            after = ">$" if stop == len(window) else ">a" if window[stop].isalnum() else f">{window[stop]}"
             for i in range(j, max(-1, j - LONGEST), -1):
-                begin = tokens[i][0]
-                if not (window[begin].isalnum() or window[begin] in "+%_.(-"):
+                if not opens[i]:
                     continue
-                segment = window[begin:stop]
-                if "\n" in segment:
-                    break
-                if not ("@" in segment or _DIGIT.search(segment)):
+                n = digits[j + 1] - digits[i]
+                if at < i <= letter and n:
+                    key = (min(n, 20), marks[i], after)
+                    found = mixed.get(key)
+                    if found is None:
+                        found = mixed[key] = (f"digits{min(n // 2, 10)}", *(("chain",) if n == 1 else ()), "letters", marks[i], after)
+                elif n or at >= i:
+                    found = (*shape(window[tokens[i][0] : stop]), marks[i], after)
+                else:
                     continue
-                before = "^" if begin == 0 else ("a" if window[begin - 1].isalnum() else window[begin - 1])
-                after = "$" if stop == len(window) else ("a" if window[stop].isalnum() else window[stop])
-                here.append((i, (*shape(segment), f"<{before}", f">{after}")))
+                here.append((i, found))
         ends.append(here)
     return tokens, ends
 
@@ -162,6 +185,7 @@ class Model:
     """Weights of (feature, type) and of (type before, type)."""
 
     weights: dict[tuple[str, str], float] = field(default_factory=dict)
+    known: dict[tuple[str, ...], tuple[tuple[str, float], ...]] = field(default_factory=dict)
 
     def span_score(self, features: tuple[str, ...], kind: str) -> float:
         get = self.weights.get
@@ -171,25 +195,31 @@ class Model:
         return self.weights.get((f"after{before}", kind), 0.0)
 
     def decode(self, window: str) -> list[Span]:
-        """The best segmentation's entities, as offsets in the window."""
+        """The best segmentation's entities, as offsets in the window. What a state gains from the best state
+        before it is worked out once per place, not per segment."""
         tokens, ends = candidates(window)
         states = (_OUT, *KINDS)
+        step = {(a, b): self.step_score(a, b) for a in states for b in states}
         best: list[dict[str, tuple[float, int, str]]] = [{_OUT: (0.0, -1, _OUT)}]
+        entry: list[dict[str, tuple[float, str]]] = []
         for j in range(len(tokens)):
-            row: dict[str, tuple[float, int, str]] = {}
-
-            def offer(kind: str, first: int, own: float) -> None:
+            row, enter = best[j], {}
+            for kind in states:
                 for before in states:
-                    if before in best[first]:
-                        value = best[first][before][0] + own + self.step_score(before, kind)
-                        if kind not in row or value > row[kind][0]:
-                            row[kind] = (value, first, before)
-
-            offer(_OUT, j, 0.0)
+                    if before in row:
+                        value = row[before][0] + step[before, kind]
+                        if kind not in enter or value > enter[kind][0]:
+                            enter[kind] = (value, before)
+            entry.append(enter)
+            value, before = enter[_OUT]
+            new = {_OUT: (value, j, before)}
             for first, features in ends[j]:
-                for kind in KINDS:
-                    offer(kind, first, self.span_score(features, kind))
-            best.append(row)
+                for kind, own in self.kind_scores(features):
+                    value, before = entry[first][kind]
+                    value += own
+                    if kind not in new or value > new[kind][0]:
+                        new[kind] = (value, first, before)
+            best.append(new)
         kind, at, found = max(best[-1], key=lambda k: best[-1][k][0]), len(tokens), []
         while at > 0:
             _, first, before = best[at][kind]
@@ -198,6 +228,19 @@ class Model:
             at, kind = first, before
         return found[::-1]
 
+    def kind_scores(self, features: tuple[str, ...]) -> tuple[tuple[str, float], ...]:
+        """``span_score`` by kind, remembered: there are few sets of features. Kinds are left out that score less
+        than the same tokens outside entities, whatever stands before and after."""
+        known = self.known.get(features)
+        if known is None:
+            step, states = self.step_score, (_OUT, *KINDS)
+            outside = min(step(s, _OUT) for s in states) + min(step(_OUT, s) for s in states) + min(0.0, LONGEST * step(_OUT, _OUT))
+            rated = [(kind, self.span_score(features, kind)) for kind in KINDS]
+            known = self.known[features] = tuple(
+                (kind, own) for kind, own in rated
+                if own + max(step(s, kind) for s in states) + max(step(kind, s) for s in states) >= outside)
+        return known
+
     def learn(self, window: str, spans: list[Span], rate: float) -> None:
         """One ascent step on the log-likelihood of a window: observed less expected features."""
         tokens, ends = candidates(window)
@@ -250,6 +293,7 @@ class Model:
         for features, kind in reversed(walk):
             add(features, before, kind, 1.0)
             before = kind
+        self.known = {}
         for key, amount in change.items():
             self.weights[key] = self.weights.get(key, 0.0) * (1 - rate * 1e-3) + rate * amount
 
@@ -275,8 +319,6 @@ def _labelled(text: str) -> list[tuple[str, list[Span]]]:
     base = sorted(base_spans(text), key=lambda s: s[1] - s[2])
     rows = []
     for start, window in windows(text):
-        if len(window) > 400:
-            continue
         own: list[Span] = []
         for kind, a, b in base:
             if start <= a and b <= start + len(window) and all(b <= x or y <= a for _, x, y in own):
@@ -286,22 +328,34 @@ def _labelled(text: str) -> list[tuple[str, list[Span]]]:
 
 
 def fit(docs: DataFrame, text: str = "text") -> Model:
-    """Weights from the windows of at most ``MAX_WINDOWS`` texts with a digit or ``@`` (smallest hash
-    first); an empty sample leaves all weights 0, and then nothing is added to the base spans."""
+    """Weights from the ``MAX_WINDOWS`` distinct windows of smallest hash among all of at most ``MAX_WINDOW``
+    characters in all texts; an empty sample leaves all weights 0, and then nothing is added to the base spans."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the windows in a task's texts, those that may be among the ``MAX_WINDOWS`` of smallest hash."""
+        held: dict[str, tuple[bytes, list[Span]]] = {}
+
+        def least() -> dict:
+            return dict(sorted(held.items(), key=lambda w: (w[1][0], w[0]))[:MAX_WINDOWS])
+
         for batch in batches:
-            rows = [r for t in batch.column(0).to_pylist() for r in _labelled(t)[:8]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()),
-                 pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in r[1]] for r in rows], pa.list_(_SPAN))],
-                names=["window", "spans"],
-            )
+            for t in batch.column(0).to_pylist():
+                for window, spans in _labelled(t):
+                    if len(window) <= MAX_WINDOW and window not in held:
+                        held[window] = (blake2b(window.encode(), digest_size=8).digest(), spans)
+            if len(held) > 20 * MAX_WINDOWS:
+                held = least()
+        rows = [(w, h, s) for w, (h, s) in least().items()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()),
+             pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in r[2]] for r in rows], pa.list_(_SPAN))],
+            names=["window", "hash", "spans"],
+        )
 
     rows = (
         in_small_batches(docs).select(text).filter(F.col(text).rlike("[0-9@]"))
-        .mapInArrow(cut, "window string, spans array<struct<kind:string,start:int,end:int>>").distinct()
-        .orderBy(F.xxhash64("window"), "window").limit(MAX_WINDOWS).collect()
+        .mapInArrow(cut, "window string, hash binary, spans array<struct<kind:string,start:int,end:int>>").distinct()
+        .orderBy("hash", "window").limit(MAX_WINDOWS).collect()
     )
     model = Model()
     for epoch in range(EPOCHS):
@@ -338,7 +392,8 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def redact(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
-    """The documents with personal data replaced; ``length`` follows the new text where it changed."""
+    """The documents with personal data replaced; ``length``, where there is such a column, follows the new text
+    where it changed. Null and empty texts stay as they are; other columns, of any name, are left alone."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, text))
 
     @F.arrow_udf("string")
@@ -347,6 +402,10 @@ def redact(docs: DataFrame, text: str = "text", length: str = "n_chars") -> Data
         for batch in texts:
             yield pa.array([redacted(t, own.find(t)[1]) if t else t for t in batch.to_pylist()], pa.string())
 
-    done = docs.withColumn("_cleaned", cleaned(F.col(text)))
-    new = F.when(F.col("_cleaned") != F.col(text), F.char_length("_cleaned").cast(docs.schema[length].dataType)).otherwise(F.col(length))
-    return done.withColumn(length, new).withColumn(text, F.col("_cleaned")).select(*docs.columns)
+    done = in_small_batches(carried(docs, text)).withColumn("cleaned", cleaned(F.col(f"`{text}`")))
+    row = F.col("row").withField(f"`{text}`", F.col("cleaned"))
+    if length in docs.columns:
+        changed = F.col("cleaned") != F.col(f"row.`{text}`")
+        size = F.char_length("cleaned").cast(docs.schema[length].dataType)
+        row = row.withField(f"`{length}`", F.when(changed, size).otherwise(F.col(f"row.`{length}`")))
+    return done.select(row.alias("row")).select("row.*").select(*[F.col(f"`{c}`") for c in docs.columns])

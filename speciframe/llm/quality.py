@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from speciframe.session import cut_lineage
 
-from .common import in_small_batches, words_of
+from .common import carried, in_small_batches, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Measures with a cutoff: name -> (judged from below too, allowance beyond the fence).
@@ -167,7 +167,8 @@ def cutoffs(measured: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_measures``, ``_base_failed`` and ``_kept``.
+    """``docs`` (text, lang, source, and columns of other names than those given here) with ``_measures``,
+    ``_base_failed`` and ``_kept``.
 
     Defined cases: null or empty text has no words and fails; null languages and sources are groups of
     their own; equal rows get equal verdicts; an empty table gives an empty table.
@@ -189,5 +190,5 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns only."""
-    return judge(docs).filter("_kept").select(*docs.columns)
+    """The documents that pass, with their own columns only, whatever these are called."""
+    return judge(carried(docs, "text", "lang", "source")).filter("_kept").select("row.*")

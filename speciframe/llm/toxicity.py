@@ -25,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches
+from speciframe.session import cut_lineage
+
+from .common import carried, in_small_batches
 
 MAX_LABELLED = 20_000
 MAX_TOKENS = 20_000
@@ -57,26 +59,28 @@ def stem_of(token: str) -> str:
 def maximal_segments(scores: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments of (position, score) pairs in order, in linear time.
 
-    Keeps a list of candidates with the cumulative sums before and after each. A new positive score
-    joins the latest candidate that starts lower, when that one also ends lower; otherwise it stands alone.
+    Keeps a list of candidates with the cumulative sums before and after each, and with each the place of
+    the last candidate before it that starts lower, so that a search passes over any candidate once. A new
+    positive score joins the latest candidate that starts lower, when that one also ends lower; otherwise it
+    stands alone.
     """
-    kept: list[list] = []  # first, last, sum before, sum after
+    kept: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum after, last one that starts lower
     total = 0.0
     for at, score in scores:
         before, total = total, total + score
         if score <= 0:
             continue
-        new = [at, at, before, total]
-        while kept:
+        first, low = at, before
+        while True:
             j = len(kept) - 1
-            while j >= 0 and kept[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or kept[j][3] >= new[3]:
+            while j >= 0 and kept[j][2] >= low:
+                j = kept[j][4]
+            if j < 0 or kept[j][3] >= total:
                 break
-            new[0], new[2] = kept[j][0], kept[j][2]
+            first, low = kept[j][0], kept[j][2]
             del kept[j:]
-        kept.append(new)
-    return [(a, b, high - low) for a, b, low, high in kept]
+        kept.append((first, at, low, total, j))
+    return [(a, b, high - low) for a, b, low, high, _ in kept]
 
 
 @dataclass
@@ -188,35 +192,27 @@ def log_odds(texts: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Callable[[Column], Column]) -> Model:
     """Without labels of both kinds the model scores every text alike, below 0.5."""
-    texts = sample(in_small_batches(docs), labels, allowed)
+    texts = cut_lineage(sample(in_small_batches(docs), labels, allowed))  # read three times
     top = log_odds(texts).filter((F.abs("z") >= MIN_Z) & (F.abs("delta") >= MIN_ODDS) & (F.col("texts") >= MIN_TEXTS)).orderBy(F.desc(F.abs("z")), "token").limit(MAX_TOKENS).collect()
     model = Model({r["token"]: float(r["delta"]) for r in top})
     if not any(w > 0 for w in model.weights.values()):
         return model
 
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, flat, sums = [], [], []
-            for text in batch.column(0).to_pylist():
-                size, segments = model.segments(text)
-                n.append(size)
-                flat.append([s for _, _, s in segments])
-                sums.append(max((s for _, _, s in segments), default=0.0))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1).cast(pa.int32()), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(flat, pa.list_(pa.float64()))],
-                names=["toxic", "n", "best", "scores"],
-            )
-
-    # at most MAX_LABELLED short rows: segments are found in texts with listed tokens alone
-    rows = texts.mapInArrow(measured, "toxic int, n bigint, best double, scores array<double>").select(
-        "toxic", "n", "best", F.slice(F.sort_array("scores", asc=False), 1, 64).alias("scores")).collect()
-    model.rate, model.size = extreme_value([(r["n"], r["best"]) for r in rows if not r["toxic"]])
-    x, y = [], []
-    for r in rows:
-        best, total, _ = model.evidence(r["n"], [(0, 0, s) for s in r["scores"]])
-        x.append((1.0, _bend(best), _bend(total)))
-        y.append(1.0 if r["toxic"] else 0.0)
-    model.curve = tuple(_logistic(np.array(x), np.array(y)))
+    def measured(told: Callable[[int, list], tuple[float, float]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [told(*model.segments(t)) for t in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1).cast(pa.int32()), *[pa.array([r[i] for r in rows], pa.float64()) for i in (0, 1)]], names=["toxic", "a", "b"])
+
+        # at most MAX_LABELLED rows of three numbers
+        return texts.mapInArrow(run, "toxic int, a double, b double").collect()
+
+    best_of = measured(lambda n, segments: (float(n), max((s for _, _, s in segments), default=0.0)))
+    model.rate, model.size = extreme_value([(r["a"], r["b"]) for r in best_of if not r["toxic"]])
+    rows = measured(lambda n, segments: model.evidence(n, segments)[:2])
+    x = np.array([(1.0, _bend(r["a"]), _bend(r["b"])) for r in rows])
+    model.curve = tuple(_logistic(x, np.array([1.0 if r["toxic"] else 0.0 for r in rows])))
     return model
 
 
@@ -262,6 +258,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "_toxic
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, allowed: Callable[[Column], Column]) -> DataFrame:
-    """The documents scored below 0.5, with their own columns only."""
+    """The documents scored below 0.5, with their own columns only, whatever these are called.
+
+    Null and empty texts score as texts without evidence; equal texts stay or go together; an empty table, or
+    labels of one kind only, drop nothing.
+    """
     model = fit(docs, labels, allowed)
-    return score(docs, model).filter(F.col("_toxicity.score") < 0.5).select(*docs.columns)
+    return score(carried(docs, "text"), model).filter(F.col("_toxicity.score") < 0.5).select("row.*")
