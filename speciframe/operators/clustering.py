@@ -9,9 +9,9 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,8 +27,6 @@ from .scoring import match_prototypes, ship
 
 # Rows that are put in order at the end of a search by running share.
 FEW = 4096
-# Largest number of clusters whose assignment is solved inside one task.
-ASSIGN_LIMIT = 2048
 
 
 @dataclass
@@ -413,121 +411,87 @@ def best_restart(runs: DataFrame, inertia: str, by: Sequence[str] = ()) -> DataF
 # -- cluster accuracy --------------------------------------------------------------------------
 
 
-def _max_matching(weight: np.ndarray) -> np.ndarray:
-    """Column of each row in a one-to-one assignment of largest total (square matrix): rows are
-    inserted one by one along the cheapest augmenting path under dual prices."""
-    n = len(weight)
-    cost = weight.max() - weight if n else weight
-    row_price, col_price = np.zeros(n), np.zeros(n)
-    row_of = np.full(n, -1)
-    for r in range(n):
-        slack, parent = np.full(n, np.inf), np.full(n, -1)
-        done = np.zeros(n, dtype=bool)
-        row, via = r, -1
+def assignment(person: Sequence, thing: Sequence, gain: Sequence[int]) -> dict:
+    """{person: thing} of largest total gain, one to one, from the cells (person, thing, gain > 0) of a sparse table.
+
+    People are placed one after the other, each along the cheapest chain of moves that ends at a free thing or
+    leaves someone without one. Whole prices keep every move's cost from falling below 0, so the search stops
+    at the first such end, and after as many searches as there are people the total is the largest possible.
+    """
+    cells: dict = {}
+    for p, t, g in zip(person, thing, gain):
+        cells.setdefault(p, []).append((t, -int(g)))
+    level = {p: min(c for _, c in own) for p, own in cells.items()}
+    price: dict = {}
+    owner: dict = {}
+    placed: dict = {}
+    for start in sorted(cells):
+        near, via, settled, people = {}, {}, {}, [(start, 0)]
+        heap: list = []
+        end, last, at = -level[start], None, start  # so far cheapest: the starter goes without
+        here, d = start, 0
         while True:
-            reach = cost[row] - row_price[row] - col_price + (slack[via] if via >= 0 else 0.0)
-            closer = ~done & (reach < slack)
-            slack[closer], parent[closer] = reach[closer], via
-            via = int(np.argmin(np.where(done, np.inf, slack)))
-            done[via] = True
-            if row_of[via] < 0:
+            offset = d - level[here]
+            for t, c in cells[here]:
+                if t not in settled:
+                    reach = offset + c - price.get(t, 0)
+                    if reach < near.get(t, reach + 1):
+                        near[t], via[t] = reach, here
+                        heappush(heap, (reach, t))
+            if offset < end:
+                end, last, at = offset, None, here
+            while heap and (heap[0][1] in settled or heap[0][0] > near[heap[0][1]]):
+                heappop(heap)
+            if not heap or heap[0][0] >= end:
                 break
-            row = row_of[via]
-        short = slack[via]
-        settled = done & (slack < short)
-        row_price[r] += short
-        row_price[row_of[settled]] += short - slack[settled]
-        col_price[settled] -= short - slack[settled]
-        while via >= 0:
-            before = parent[via]
-            row_of[via] = row_of[before] if before >= 0 else r
-            via = before
-    out = np.empty(n, dtype=int)
-    out[row_of] = np.arange(n)
-    return out
+            d, t = heappop(heap)
+            if t not in owner:
+                end, last, at = d, t, via[t]
+                break
+            settled[t] = d
+            here = owner[t]
+            people.append((here, d))
+        for p, reach in people:
+            level[p] += end - reach
+        for t, reach in settled.items():
+            price[t] = price.get(t, 0) - (end - reach)
+        while True:  # back along the chain: each one takes what the next has left
+            left = placed.get(at)
+            if last is None:
+                placed.pop(at, None)
+            else:
+                placed[at], owner[last] = last, at
+            if at == start:
+                break
+            last, at = left, via[left]
+    return placed
 
 
 def best_mapping(counts: DataFrame, pred: str, true: str, by: Sequence[str]) -> DataFrame:
-    """(by..., pred, true): the one-to-one mapping of clusters to classes with most rows."""
+    """(by..., pred, true): the one-to-one mapping of clusters to classes with most rows, per subset. What is
+    brought together is the counts of a subset, which grow with clusters and classes, not with rows."""
     by = list(by)
     schema = ", ".join(f"`{c}` {counts.schema[c].dataType.simpleString()}" for c in [*by, pred, true])
 
-    def solve(table: pd.DataFrame) -> pd.DataFrame:
-        clusters, classes = np.unique(table[pred]), np.unique(table[true])
-        size = max(len(clusters), len(classes))
-        weight = np.zeros((size, size))
-        weight[np.searchsorted(clusters, table[pred]), np.searchsorted(classes, table[true])] = table["n"]
-        to = _max_matching(weight)
-        rows = [(clusters[i], classes[j]) for i, j in enumerate(to) if i < len(clusters) and j < len(classes)]
-        out = pd.DataFrame(rows, columns=[pred, true])
-        for i, c in enumerate(by):
-            out.insert(i, c, table[c].iloc[0])
-        return out
-
-    small = counts.select(*by, pred, true, "n")
-    return small.groupBy(*by).applyInPandas(solve, schema)
-
-
-def auction_mapping(counts: DataFrame, pred: str, true: str, by: Sequence[str], max_rounds: int = 100_000) -> DataFrame:
-    """The same mapping by parallel bidding, for more clusters than fit one task.
-
-    Clusters without a class bid for the class of best value (rows minus price), raising its
-    price to what makes it as good as their second choice, plus a step below 1 / size; the
-    highest bid wins and the former holder bids again. With whole-number counts that step makes
-    the result the exact optimum. Only the non-zero cells of the table are stored: a cluster whose
-    best value is not positive would gain nothing and stays unmatched.
-    """
-    by = list(by)
-    cells = cut_lineage(counts.select(*by, F.col(pred).alias("_p"), F.col(true).alias("_t"), F.col("n").cast("double").alias("_n")))
-    sizes = cells.groupBy(*by).agg(
-        (F.lit(0.5) / (F.countDistinct("_p") + F.countDistinct("_t"))).alias("_eps")
-    )
-    cells = cut_lineage(cells.join(sizes, by))
-    prices = cut_lineage(cells.select(*by, "_t").distinct().select(*by, "_t", F.lit(0.0).alias("_price"), F.lit(None).cast(counts.schema[pred].dataType).alias("_holder")))
-    retired = None
-    for _ in range(max_rounds):
-        held = prices.filter("_holder IS NOT NULL").select(*by, F.col("_holder").alias("_p"))
-        idle = cells.join(held, [*by, "_p"], "left_anti")
-        valued = idle.join(prices.select(*by, "_t", "_price"), [*by, "_t"]).withColumn("_v", F.col("_n") - F.col("_price"))
-        order = Window.partitionBy(*by, "_p").orderBy(F.desc("_v"), "_t")
-        top = valued.withColumn("_r", F.row_number().over(order)).filter("_r <= 2")
-        offers = top.groupBy(*by, "_p").agg(
-            F.max(F.when(F.col("_r") == 1, F.col("_t"))).alias("_t"),
-            F.max(F.when(F.col("_r") == 1, F.col("_v"))).alias("_v1"),
-            F.coalesce(F.max(F.when(F.col("_r") == 2, F.col("_v"))), F.lit(0.0)).alias("_v2"),
-            F.max("_eps").alias("_eps"),
-            F.max(F.when(F.col("_r") == 1, F.col("_price"))).alias("_price"),
-        )
-        # Staying unmatched has value 0, so it is always the other choice.
-        bids = offers.filter("_v1 > 0").select(
-            *by, "_t", "_p", (F.col("_price") + F.col("_v1") - F.greatest("_v2", F.lit(0.0)) + F.col("_eps")).alias("_bid")
-        )
-        won = bids.groupBy(*by, "_t").agg(F.max(F.struct("_bid", "_p")).alias("_w"))
-        won = cut_lineage(won)
-        if won.isEmpty():
-            retired = True
-            break
-        prices = cut_lineage(
-            prices.join(won, [*by, "_t"], "left").select(
-                *by, "_t", F.coalesce("_w._bid", "_price").alias("_price"), F.coalesce("_w._p", "_holder").alias("_holder")
-            )
-        )
-    if not retired:
-        raise RuntimeError(f"no assignment after {max_rounds} rounds")
-    return prices.filter("_holder IS NOT NULL").select(*by, F.col("_holder").alias(pred), F.col("_t").alias(true))
+    def solve(table: pa.Table) -> pa.Table:
+        found = assignment(*[table.column(c).to_pylist() for c in (pred, true, "n")])
+        keys = [pa.array([table.column(c)[0].as_py()] * len(found), table.schema.field(c).type) for c in by]
+        sides = [pa.array(list(side), table.schema.field(c).type) for c, side in ((pred, found.keys()), (true, found.values()))]
+        return pa.table([*keys, *sides], [*by, pred, true])
+
+    small = counts.filter("n > 0").select(*by, pred, true, "n")
+    return small.groupBy(*by).applyInArrow(solve, schema)
 
 
-def cluster_accuracy(df: DataFrame, pred: str, true: str, by: Sequence[str] = (), assign_limit: int = ASSIGN_LIMIT) -> DataFrame:
+def cluster_accuracy(df: DataFrame, pred: str, true: str, by: Sequence[str] = ()) -> DataFrame:
     """Share of rows that are right under the best one-to-one mapping of clusters to classes,
-    found separately in every subset given by ``by``."""
+    found separately in every subset given by ``by``. Rows without cluster or class are never right."""
     by = list(by)
     work = df if by else df.withColumn("_whole", F.lit(0))
     keys = by or ["_whole"]
     counts = cut_lineage(contingency(work, pred, true, keys))
-    sizes = counts.groupBy(*keys).agg(F.countDistinct(pred).alias("_p"), F.countDistinct(true).alias("_t"))
-    largest = sizes.agg(F.max(F.greatest("_p", "_t"))).first()[0] or 0
-    solve = best_mapping if largest <= assign_limit else auction_mapping
-    mapping = solve(counts, pred, true, keys).withColumn("_ok", F.lit(1))
+    known = counts.filter(F.col(pred).isNotNull() & F.col(true).isNotNull())
+    mapping = best_mapping(known, pred, true, keys).withColumn("_ok", F.lit(1))
     scored = counts.join(mapping, [*keys, pred, true], "left")
     out = scored.groupBy(*keys).agg(
         F.sum("n").alias("n_rows"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,69 +12,93 @@ from pyspark.sql import functions as F
 from ..functions.hashing import seeded_key
 from ..session import cut_lineage
 
-# A hash bucket is this many leading hex digits of the seeded key: 4096 even buckets.
-BUCKET_DIGITS = 3
+# Rows of a hash bucket that are aimed at, and rows that are put in order when a cut is searched.
+BUCKET_ROWS, FEW = 16_384, 4_096
 _OFFSET_BITS = 33
 
 
-def _hash_buckets(keyed: DataFrame) -> DataFrame:
-    """Per bucket: rows, rows in earlier buckets, all rows. At most 16^BUCKET_DIGITS rows."""
-    counts = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    return counts.select(
-        "_b",
-        "_n",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_lo"),
-        F.sum("_n").over(whole).alias("_all"),
-    )
+def bucket_digits(n: int) -> int:
+    """Leading hex digits of a hash that deal ``n`` rows into buckets of about ``BUCKET_ROWS``."""
+    digits = 1
+    while n > BUCKET_ROWS * 16**digits:
+        digits += 1
+    return min(digits, 32)
 
 
-def _with_hash(df: DataFrame, seed, keys: Sequence[str]) -> DataFrame:
-    hashed = df.withColumn("_h", seeded_key(seed, *keys))
-    return hashed.withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
+def prefix_offsets(counts: DataFrame, digits: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., _b, _lo): rows before each hash prefix of (by..., _b, _n), ``_b`` having that many digits.
+
+    Two digits at a time: sums of shorter prefixes come before those of longer ones, so a window never holds
+    more than 256 rows, however many buckets there are.
+    """
+    by, found = list(by), None
+    for length in [*range(2, digits, 2), digits]:
+        here = counts.groupBy(*by, F.substring("_b", 1, length).alias("_b")).agg(F.sum("_n").alias("_n"))
+        here = here.withColumn("_parent", F.substring("_b", 1, max(0, (length - 1) // 2 * 2)))
+        before = Window.partitionBy(*by, "_parent").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        here = here.select(*by, "_b", "_parent", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_lo"))
+        if found is None:
+            found = here.drop("_parent")
+            continue
+        upper = found.select(*by, F.col("_b").alias("_parent"), F.col("_lo").alias("_up"))
+        found = here.join(upper, [*by, "_parent"]).select(*by, "_b", (F.col("_lo") + F.col("_up")).alias("_lo"))
+    return found
 
 
 def rank_by_hash(df: DataFrame, seed, keys: Sequence[str], rank: str = "rank") -> DataFrame:
     """0-based position of every row in the seeded order of ``keys`` (a full shuffle order).
 
-    Rows are numbered inside even hash buckets; bucket offsets come from a count by bucket.
+    Rows are numbered inside hash buckets, whose number follows that of the rows; a bucket's offset comes
+    from counts on the keys alone. The rows themselves are shuffled once and not written.
     """
-    keyed = _with_hash(df, seed, keys)
-    offsets = _hash_buckets(_with_hash(df.select(*keys), seed, keys))
+    narrow = df.select(seeded_key(seed, *keys).alias("_h"))
+    digits = bucket_digits(narrow.count())
+    counts = narrow.groupBy(F.substring("_h", 1, digits).alias("_b")).agg(F.count("*").alias("_n"))
+    keyed = df.withColumn("_h", seeded_key(seed, *keys)).withColumn("_b", F.substring("_h", 1, digits))
     inside = Window.partitionBy("_b").orderBy("_h", *keys)
-    return (
-        keyed.join(F.broadcast(offsets.select("_b", "_lo")), "_b")
-        .withColumn(rank, F.col("_lo") + F.row_number().over(inside) - 1)
-        .drop("_b", "_h", "_lo")
-    )
+    numbered = keyed.withColumn("_o", F.row_number().over(inside) - 1)
+    return numbered.join(prefix_offsets(counts, digits), "_b").withColumn(rank, F.col("_lo") + F.col("_o")).drop("_b", "_h", "_lo", "_o")
 
 
 def exact_fraction(df: DataFrame, fraction: float, seed, keys: Sequence[str]) -> DataFrame:
     """Exactly ``int(fraction * N)`` rows, without replacement, by seeded order.
 
-    Buckets wholly inside the sample are kept by a filter; only the bucket holding the cut is
-    sorted.
+    The cut is searched on the hashes alone: counts by the first digits tell where it lies, two digits more at
+    a time until few rows are left. The rows are then kept by a filter, without a shuffle; only where equal
+    keys lie on both sides of the cut are these counted out.
     """
-    keyed = _with_hash(df, seed, keys)
-    buckets = _hash_buckets(_with_hash(df.select(*keys), seed, keys)).withColumn(
-        "_want", F.floor(F.lit(fraction) * F.col("_all"))
-    )
-    marked = keyed.join(F.broadcast(buckets), "_b").filter("_lo < _want")
-    inside = marked.filter("_lo + _n <= _want")
-    at_cut = marked.filter("_lo + _n > _want").withColumn(
-        "_rn", F.row_number().over(Window.partitionBy("_b").orderBy("_h", *keys))
-    )
-    kept = at_cut.filter("_rn <= _want - _lo").drop("_rn")
-    return inside.unionByName(kept).drop("_b", "_h", "_n", "_lo", "_all", "_want")
+    hashes = df.select(seeded_key(seed, *keys).alias("_h"))
+
+    def counted(place: str, digits: int) -> list:
+        return sorted(hashes.filter(F.col("_h").startswith(place)).groupBy(F.substring("_h", 1, digits).alias("p")).count().collect())
+
+    cells = counted("", 2)
+    left = math.floor(fraction * sum(n for _, n in cells))
+    if left <= 0:
+        return df.filter(F.lit(False))
+    while True:
+        for place, n in cells:
+            if n >= left:
+                break
+            left -= n
+        if n <= FEW or len(place) >= 32:
+            break
+        cells = counted(place, len(place) + 2)
+    for cut, equal in counted(place, 32):
+        if equal >= left:
+            break
+        left -= equal
+    hashed = df.withColumn("_h", seeded_key(seed, *keys))
+    if equal == left:
+        return hashed.filter(F.col("_h") <= cut).drop("_h")
+    tied = hashed.filter(F.col("_h") == cut).withColumn("_r", F.row_number().over(Window.partitionBy("_h").orderBy(*keys)))
+    return hashed.filter(F.col("_h") < cut).unionByName(tied.filter(F.col("_r") <= left).drop("_r")).drop("_h")
 
 
 def _range_sorted(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """Range-partitioned sort written to the shared folder, with the sort partition ``_p`` and the
     place inside it ``_o``. Written once, so that both passes over it see the same ranges."""
-    mono = F.monotonically_increasing_id()
-    placed = df.orderBy(*order).select("*", mono.alias("_m"))
-    fixed = cut_lineage(placed)
+    fixed = cut_lineage(df.orderBy(*order).select("*", F.monotonically_increasing_id().alias("_m")))
     return fixed.select(
         "*",
         F.shiftright("_m", _OFFSET_BITS).alias("_p"),
@@ -87,30 +113,38 @@ def _offsets(placed: DataFrame, amount: Column) -> DataFrame:
     return totals.select("_p", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
 
 
-def row_index(df: DataFrame, order: Sequence[str | Column], index: str = "row_idx") -> DataFrame:
-    """0-based position in the natural order of the given columns."""
-    placed = _range_sorted(df, order)
-    return (
-        placed.join(F.broadcast(_offsets(placed, F.lit(1))), "_p")
-        .withColumn(index, F.col("_before") + F.col("_o"))
-        .drop("_p", "_o", "_before")
-    )
-
+def _started(df: DataFrame, order: Sequence[str], amount: Column) -> tuple[DataFrame, bool]:
+    """``df`` with ``_start``, the sum of ``amount`` over all rows before those with these values (null is one),
+    and whether every row has values of its own.
 
-def running_sum(
-    df: DataFrame, order: Sequence[str | Column], value: str, low: str = "lo", high: str = "hi"
-) -> DataFrame:
-    """Sum of ``value`` before (``low``) and up to and including (``high``) every row."""
-    placed = _range_sorted(df, order)
-    rows = Window.partitionBy("_p").orderBy("_o")
-    until = rows.rowsBetween(Window.unboundedPreceding, -1)
-    upto = rows.rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        placed.join(F.broadcast(_offsets(placed, F.col(value))), "_p")
-        .withColumn(low, F.col("_before") + F.coalesce(F.sum(value).over(until), F.lit(0)))
-        .withColumn(high, F.col("_before") + F.sum(value).over(upto))
-        .drop("_p", "_o", "_before")
-    )
+    Rows are first added up by their order columns; these narrow sums are sorted by range and written once.
+    Offsets of whole ranges are added to running sums inside a range, and the rows joined by the columns: they
+    are shuffled once and not written.
+    """
+    sums = df.groupBy(*order).agg(F.sum(amount).alias("_n"), F.count("*").alias("_c"))
+    fixed = _range_sorted(sums, order)
+    inside = Window.partitionBy("_p").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    line = fixed.join(_offsets(fixed, F.col("_n")), "_p").select(*[F.col(o).alias(f"_j{i}") for i, o in enumerate(order)], start.alias("_start"))
+    same = functools.reduce(lambda a, b: a & b, [df[o].eqNullSafe(line[f"_j{i}"]) for i, o in enumerate(order)])
+    single = (fixed.agg(F.max("_c")).first()[0] or 0) <= 1
+    return df.join(line, same).drop(*[f"_j{i}" for i in range(len(order))]), single
+
+
+def row_index(df: DataFrame, order: Sequence[str], index: str = "row_idx") -> DataFrame:
+    """0-based position in the natural order of the given columns. Rows that are equal in these are numbered in
+    any order, by one task for each such group."""
+    started, single = _started(df, order, F.lit(1))
+    more = F.lit(0) if single else F.row_number().over(Window.partitionBy(*order).orderBy(F.lit(0))) - 1
+    return started.withColumn(index, F.col("_start") + more).drop("_start")
+
+
+def running_sum(df: DataFrame, order: Sequence[str], value: str, low: str = "lo", high: str = "hi") -> DataFrame:
+    """Sum of ``value`` before (``low``) and up to and including (``high``) every row; equal rows as in ``row_index``."""
+    started, single = _started(df, order, F.col(value))
+    rows = Window.partitionBy(*order).orderBy(F.lit(0))
+    inside = F.lit(0) if single else F.coalesce(F.sum(value).over(rows.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return started.withColumn(low, F.col("_start") + inside).withColumn(high, F.col(low) + F.col(value)).drop("_start")
 
 
 def assign_batches(

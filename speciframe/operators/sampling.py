@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_key, seeded_uniform
-from .ranking import BUCKET_DIGITS, rank_by_hash, row_index, running_sum
+from ..session import cut_lineage
+from .ranking import bucket_digits, prefix_offsets, rank_by_hash, row_index, running_sum
 
 
 # Largest k for which Spark cuts a ranking window before the shuffle (its own default).
@@ -28,10 +29,10 @@ def first_per_class(
     if k <= window_limit:
         order = Window.partitionBy(*cls).orderBy(order_key, key)
         return df.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= k)
-    keyed = df.withColumn("_h", order_key).withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
-    before = Window.partitionBy(*cls).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = keyed.groupBy(*cls, "_b").agg(F.count("*").alias("_n"))
-    buckets = buckets.withColumn("_lo", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter(F.col("_lo") < k).drop("_n")
+    digits = bucket_digits(df.count())
+    keyed = df.withColumn("_h", order_key).withColumn("_b", F.substring("_h", 1, digits))
+    counts = keyed.groupBy(*cls, "_b").agg(F.count("*").alias("_n"))
+    buckets = prefix_offsets(counts, digits, cls).filter(F.col("_lo") < k)
     inside = Window.partitionBy(*cls, "_b").orderBy("_h", key)
     ranked = keyed.join(buckets, [*cls, "_b"]).withColumn(rank, F.col("_lo") + F.row_number().over(inside))
     return ranked.filter(F.col(rank) <= k).select(*df.columns, F.col(rank).cast("int").alias(rank))
@@ -78,13 +79,13 @@ def kshot_picks(df: DataFrame, k: int, folds: Sequence[int], cls: str, key: str)
 
 
 def balanced_validation(df: DataFrame, per_class: int, seed, cls: str, key: str) -> DataFrame:
-    """Exactly ``per_class`` validation rows per class, the rest train; a smaller class fails."""
+    """Exactly ``per_class`` validation rows per class, the rest train; a smaller class fails when it is read."""
     picks = first_per_class(df.select(cls, key), per_class, seed, [cls], key)
-    least = picks.groupBy(cls).agg(F.max("pick").alias("n")).agg(F.min("n")).first()[0]
-    if least is not None and least < per_class:
-        raise ValueError(f"a class has only {least} rows, {per_class} are needed for validation")
-    marked = df.join(picks.select(key, "pick"), key, "left")
-    return marked.withColumn("role", F.when(F.col("pick").isNotNull(), "val").otherwise("train")).drop("pick")
+    sizes = picks.groupBy(cls).agg(F.max("pick").alias("_n"))
+    message = F.concat(F.col(cls).cast("string"), F.lit(" has only "), F.col("_n").cast("string"), F.lit(f" rows, {per_class} are needed for validation"))
+    enough = F.when(F.col("_n") >= per_class, "val").otherwise(F.raise_error(message).cast("string"))
+    marked = picks.join(sizes, cls).select(key, enough.alias("_role"))
+    return df.join(marked, key, "left").withColumn("role", F.coalesce("_role", F.lit("train"))).drop("_role")
 
 
 # -- class numbering ---------------------------------------------------------------------------
@@ -135,24 +136,27 @@ def weighted_resample(
 ) -> DataFrame:
     """``draws`` shards with replacement, uniform or by weight, repeatable for an epoch.
 
-    A draw is a uniform point on the line of cumulative weights. The line is cut into equal
-    cells, about one per shard; an interval is listed under each cell it touches, so the lookup
-    is an equi-join on the cell plus the interval test, never a scan of all shards per draw.
+    A draw is a uniform point on the line of cumulative weights. Points and the starts of the shards'
+    intervals are sorted together by range and written once; every point takes the last start before it, in
+    its own range or, where a range has none before it, from the ranges before. A shard with nearly all the
+    weight has its points in as many ranges as they fill. Shards without weight are never drawn.
     """
     weighted = shards.withColumn("_w", F.lit(1.0) if weight is None else F.col(weight).cast("double"))
-    line = running_sum(weighted, order, "_w", "_lo", "_hi")
+    line = cut_lineage(running_sum(weighted, order, "_w", "_lo", "_hi"))
     total, n = line.agg(F.max("_hi"), F.count("*")).first()
     if not n:
         raise ValueError("no shards to draw from")
-    cells = n
-
-    def cell(point: Column) -> Column:
-        return F.least(F.floor(point * F.lit(cells / total)), F.lit(cells - 1))
-
-    spread = line.filter("_hi > _lo").withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))))
-    points = spark.range(draws).withColumnRenamed("id", "draw").withColumn(
-        "_u", seeded_uniform(seed + epoch, "draw") * F.lit(float(total))
-    )
-    points = points.withColumn("_cell", cell(F.col("_u")))
-    hit = (F.col("_lo") <= F.col("_u")) & (F.col("_u") < F.col("_hi"))
-    return points.join(spread, "_cell").filter(hit).drop("_cell", "_u", "_lo", "_hi", "_w")
+    starts = line.filter("_hi > _lo").select(
+        F.col("_lo").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("draw"), F.struct(*shards.columns).alias("_shard"))
+    points = spark.range(draws).select(
+        (seeded_uniform(seed + epoch, "id") * F.lit(float(total))).alias("_at"), F.lit(1).alias("_kind"), F.col("id").alias("draw"))
+    sort = ("_at", "_kind", "draw")
+    both = cut_lineage(
+        starts.unionByName(points, allowMissingColumns=True).orderBy(*sort)
+        .withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
+    last = F.last("_shard", ignorenulls=True)
+    inside = last.over(Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0))
+    ends = both.groupBy("_p").agg(F.max_by("_shard", F.when(F.col("_kind") == 0, F.col("_m"))).alias("_shard"))
+    carried = ends.select("_p", last.over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))  # a row per range
+    drawn = both.withColumn("_own", inside).filter("_kind = 1").join(carried, "_p")
+    return drawn.select("draw", F.coalesce("_own", "_carried").alias("_shard")).select("draw", "_shard.*")

@@ -89,17 +89,53 @@ def test_assignment_is_optimal(spark, seed):
     cells = [("s", int(i), int(j), int(weight[i, j])) for i, j in zip(*np.nonzero(weight))]
     counts = spark.createDataFrame(cells, "part string, p int, t int, n bigint")
     value = {(i, j): n for _, i, j, n in cells}
-    for solve in (C.best_mapping, C.auction_mapping):
-        pairs = [(r["p"], r["t"]) for r in solve(counts, "p", "t", ["part"]).collect()]
-        assert len({p for p, _ in pairs}) == len(pairs) == len({t for _, t in pairs})
-        assert sum(value.get(x, 0) for x in pairs) == brute_force_best(weight)
+    pairs = [(r["p"], r["t"]) for r in C.best_mapping(counts, "p", "t", ["part"]).collect()]
+    assert len({p for p, _ in pairs}) == len(pairs) == len({t for _, t in pairs})
+    assert sum(value.get(x, 0) for x in pairs) == brute_force_best(weight)
+
+
+def test_assignment_of_5000_clusters_with_large_counts():
+    import time
+
+    rng = np.random.default_rng(11)
+    n = 5_000
+    hidden = rng.permutation(n)
+    # each cluster mostly one class, with strays of every size, and some clusters that want the same class
+    own = np.where(rng.random(n) < 0.8, hidden, rng.integers(0, n, n))
+    i = np.concatenate([np.arange(n), rng.integers(0, n, 40_000)])
+    j = np.concatenate([own, rng.integers(0, n, 40_000)])
+    keep = np.unique(i * n + j, return_index=True)[1]
+    i, j = i[keep], j[keep]
+    gain = rng.integers(1, 10**9, len(i))
+    start = time.time()
+    found = C.assignment(i, j, gain)
+    assert time.time() - start < 120 and len(set(found.values())) == len(found)
+    value = dict(zip(zip(i.tolist(), j.tolist()), gain.tolist()))
+    total = sum(value[x] for x in found.items())
+    # no change along a cycle or chain of up to three clusters is better
+    by_class = {c: p for p, c in found.items()}
+    for (p, c), v in value.items():
+        if found.get(p) != c:
+            other = by_class.get(c)
+            lost = value.get((p, found.get(p)), 0) + (value[other, c] if other is not None else 0)
+            back = value.get((other, found.get(p)), 0) if other is not None else 0
+            assert v + back <= lost
+    assert total > 0.7 * gain[:n].sum() / 2
+
+
+def test_assignment_beyond_one_billion_against_all_permutations():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        weight = rng.integers(0, 10**9, (5, 5)) * (rng.random((5, 5)) < 0.7)
+        i, j = np.nonzero(weight)
+        found = C.assignment(i, j, weight[i, j])
+        assert sum(int(weight[p, t]) for p, t in found.items()) == brute_force_best(weight)
 
 
-def test_cluster_accuracy_by_bidding(spark):
-    rng = np.random.default_rng(9)
-    rows = [(int(rng.integers(0, 7)), int(rng.integers(0, 7)), bool(rng.integers(0, 2))) for _ in range(400)]
-    df = spark.createDataFrame(rows, "c int, y int, old boolean")
-    assert collected(C.cluster_accuracy(df, "c", "y", ["old"])) == collected(C.cluster_accuracy(df, "c", "y", ["old"], assign_limit=1))
+def test_cluster_accuracy_counts_rows_without_cluster(spark):
+    df = spark.createDataFrame([(1, 5), (1, 5), (2, 5), (None, 6), (3, None)], "c int, y int")
+    assert tuple(C.cluster_accuracy(df, "c", "y").first()) == (5, 2, 0.4)
+    assert C.cluster_accuracy(df.filter("c > 9"), "c", "y").collect() == []
 
 
 def greedy(members):
@@ -165,8 +201,23 @@ def test_order_does_not_depend_on_partitions(spark, parts):
     assert [r["rank"] for r in ranks] == list(range(2000))
     base = ranking.rank_by_hash(spark.range(2000), 3, ["id"]).orderBy("rank").collect()
     assert [r["id"] for r in ranks] == [r["id"] for r in base]
-    index = ranking.row_index(df, [F.desc("id")], "i").collect()
+    index = ranking.row_index(df.withColumn("back", -F.col("id")), ["back"], "i").collect()
     assert all(r["i"] == 1999 - r["id"] for r in index)
+    equal = ranking.row_index(df.withColumn("third", F.when(F.col("id") % 3 > 0, F.col("id") % 3)), ["third"], "i").orderBy("i").collect()
+    assert [r["i"] for r in equal] == list(range(2000)) and [r["third"] for r in equal] == [None] * 667 + [1] * 667 + [2] * 666
+
+
+def test_numbering_over_many_levels_of_buckets(spark, monkeypatch):
+    plain = [r["id"] for r in ranking.rank_by_hash(spark.range(3000), 5, ["id"]).orderBy("rank").collect()]
+    for rows in (200, 10, 1):  # two, three and four digits
+        monkeypatch.setattr(ranking, "BUCKET_ROWS", rows)
+        assert [(r["rank"], r["id"]) for r in ranking.rank_by_hash(spark.range(3000), 5, ["id"]).orderBy("rank").collect()] == list(enumerate(plain))
+    monkeypatch.setattr(ranking, "FEW", 3)
+    for p in (0.0001, 0.25, 0.6181, 1.0):
+        kept = ranking.exact_fraction(spark.range(3000), p, 5, ["id"]).collect()
+        assert {r["id"] for r in kept} == set(plain[: int(p * 3000)])
+    repeated = spark.range(3000).withColumn("g", F.col("id") % 4)
+    assert ranking.exact_fraction(repeated, 0.4, 5, ["g"]).count() == 1200
 
 
 def test_running_sum(spark):
@@ -188,6 +239,8 @@ def test_resample_follows_weights(spark):
     drawn = sampling.weighted_resample(spark, shards, 4000, 1, 0, "w", ["url"])
     counts = {r["url"]: r["count"] for r in drawn.groupBy("url").count().collect()}
     assert sum(counts.values()) == 4000 and "b" not in counts
+    spread = sampling.weighted_resample(spark, shards.withColumn("w", F.when(F.col("url") == "c", 990.0).otherwise(F.col("w"))), 4000, 1, 0, "w", ["url"])
+    assert {r["draw"] for r in spread.collect()} == set(range(4000))
     assert abs(counts["c"] - 2400) < 150 and abs(counts["d"] - 1200) < 150
 
 

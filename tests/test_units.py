@@ -276,8 +276,8 @@ def test_guards(spark):
     assert flags == {0: (False, True), 1: (True, False)}
     with pytest.raises(PySparkException):
         sampling.kshot_guard(df, "c", 5, strict=True).collect()
-    with pytest.raises(ValueError):
-        sampling.balanced_validation(df, 4, 0, "c", "id")
+    with pytest.raises(PySparkException):
+        sampling.balanced_validation(df, 4, 0, "c", "id").collect()
     feats = df.select("id", F.array(F.lit(1.0), F.col("id").cast("double")).alias("features"), F.col("c").alias("target"))
     with pytest.raises(ValueError):
         few_shot.few_shot_accuracy(feats, ks=[5], folds=1)
