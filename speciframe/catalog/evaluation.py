@@ -415,15 +415,13 @@ def distill_loss(spark, sf):
 
 # -- clustering --------------------------------------------------------------------------------
 
-# Predicted cluster of a row: the place of the largest of its first ten coordinates.
-CLUSTERED = DOUBLES + ", k AS (SELECT id, target, target < 5 AS is_old, list_position(v[1:10], list_max(v[1:10])) - 1 AS cluster FROM f)"
+# Predicted cluster of a row: the place of its largest coordinate.
+CLUSTERED = DOUBLES + ", k AS (SELECT id, target, target < 5 AS is_old, list_position(v, list_max(v)) - 1 AS cluster FROM f)"
 
 
 def _clustered(spark, sf):
-    head = F.slice("features", 1, 10)
-    return features(spark, sf).select(
-        "id", "target", (F.col("target") < 5).alias("is_old"), (F.array_position(head, F.array_max(head)) - 1).cast("int").alias("cluster")
-    )
+    top = F.array_position("features", F.array_max("features")) - 1
+    return features(spark, sf).select("id", "target", (F.col("target") < 5).alias("is_old"), top.cast("int").alias("cluster"))
 
 
 @query("contingency", CLUSTERED + " SELECT CAST(cluster AS INT) AS cluster, target, count(*) AS n FROM k GROUP BY 1, 2")
@@ -439,13 +437,13 @@ def cluster_purity(spark, sf):
 def _assignment_sql():
     """Best one-to-one total by dynamic programming over the set of used classes, per subset."""
     parts = [CLUSTERED + ", c AS (SELECT is_old, cluster, target, count(*) AS n FROM k GROUP BY 1, 2, 3), s0 AS (SELECT DISTINCT is_old, 0 AS used, 0 AS total FROM k)"]
-    for i in range(10):
+    for i in range(64):
         parts.append(
-            f"""s{i + 1} AS (SELECT is_old, used, max(total) AS total FROM (SELECT is_old, used, total FROM s{i}
+            f"""s{i + 1} AS MATERIALIZED (SELECT is_old, used, max(total) AS total FROM (SELECT is_old, used, total FROM s{i}
  UNION ALL SELECT s.is_old, s.used + (1 << c.target) AS used, s.total + c.n FROM s{i} s JOIN c ON c.is_old = s.is_old AND c.cluster = {i} AND (s.used >> c.target) % 2 = 0) GROUP BY 1, 2)"""
         )
     tail = """ SELECT b.is_old, b.n AS n_rows, t.n_right::BIGINT AS n_right, round(t.n_right / b.n, 6) AS accuracy FROM (SELECT is_old, count(*) AS n FROM k GROUP BY 1) b
- JOIN (SELECT is_old, max(total) AS n_right FROM s10 GROUP BY 1) t USING (is_old)"""
+ JOIN (SELECT is_old, max(total) AS n_right FROM s64 GROUP BY 1) t USING (is_old)"""
     return ", ".join(parts) + tail
 
 
@@ -574,11 +572,12 @@ def category_discovery(spark, sf):
 # -- models ------------------------------------------------------------------------------------
 
 
-@query("task_features", ctes("tasks", "features") + " SELECT task, row_idx, label, split, round(features[1]::DOUBLE, 6) AS first FROM tasks JOIN features ON id = row_idx")
+@query("task_features", ctes("tasks", "features") + " SELECT task, row_idx, label, split, CAST(pos - 1 AS INT) AS pos, round(x::DOUBLE, 6) AS x FROM tasks JOIN (SELECT id, unnest(features) AS x, generate_subscripts(features, 1) AS pos FROM features) ON id = row_idx")
 def task_features(spark, sf):
     vectors = features(spark, sf).withColumnRenamed("id", "row_idx")
     joined = tasks(spark, sf).join(vectors, "row_idx")
-    return joined.select("task", "row_idx", "label", "split", r6(F.col("features")[0].cast("double"), "first"))
+    spread_out = joined.select("task", "row_idx", "label", "split", F.posexplode("features").alias("pos", "x"))
+    return spread_out.withColumn("x", F.round(F.col("x").cast("double"), 6))
 
 
 @query("task_splits", ctes("tasks") + " SELECT task, count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split <> 'train') AS n_test FROM tasks GROUP BY task")

@@ -96,6 +96,20 @@ def prompt_expand(spark, sf):
     return P.expand_prompts(names, "name")
 
 
+@query(
+    "prompt_templates",
+    ctes("taxa")
+    + f""", names AS (SELECT DISTINCT {SCI} AS name FROM taxa)
+ SELECT name, 0 AS template_id, 'a photo of ' || name || '.' AS prompt FROM names WHERE name IS NOT NULL
+ UNION ALL SELECT name, 1, lower(name) || ' (' || length(name) || ')' FROM names WHERE name IS NOT NULL""",
+)
+def prompt_templates(spark, sf):
+    """A format string and a function from the name to the prompt side by side."""
+    names = taxa(spark, sf).select(N.scientific_name(TAXON).alias("name")).distinct().filter("name IS NOT NULL")
+    own = lambda name: F.concat(F.lower(name), F.lit(" ("), F.length(name).cast("string"), F.lit(")"))
+    return P.expand_prompts(names, "name", ["a photo of {}.", own])
+
+
 @query(
     "random_text_type",
     ctes("taxa")

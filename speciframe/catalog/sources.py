@@ -203,19 +203,22 @@ def expand_shards(spark, sf):
 
 @query(
     "dataset_size",
-    ctes("shards") + " SELECT CAST(sum(CASE WHEN weight > 1 THEN shard_no * 10 ELSE 0 END) AS BIGINT) AS num_samples, count(*) AS num_shards FROM shards",
+    ctes("shards") + """ SELECT 'part' || (shard_no % 4) AS folder, CAST(CASE min(shard_no % 4) WHEN 0 THEN sum(shard_no * 10) WHEN 1 THEN sum(CASE WHEN weight > 1 THEN shard_no * 10 ELSE 0 END)
+  WHEN 2 THEN 4321 END AS BIGINT) AS num_samples, count(*) AS num_shards FROM shards GROUP BY 1""",
 )
 def dataset_size(spark, sf):
-    listed = shards(spark, sf)
-    path = scratch_path(spark, "sizes")
-    thousand = F.floor(F.col("shard_no") / 1000).alias("thousand")
-    entries = listed.filter("weight > 1").select("weight", thousand, F.struct("url", F.col("shard_no") * 10).alias("e"))
-    # One size file per weight and thousand shards, in either layout.
-    maps = entries.groupBy("weight", "thousand").agg(F.map_from_entries(F.collect_list("e")).alias("m"))
-    text = F.when(F.col("weight") == 2, F.to_json(F.struct(F.col("m").alias("per_shard")))).otherwise(F.to_json("m"))
-    maps.select(text.alias("value")).write.text(path)
-    sizes = H.parse_sizes(spark.read.text(path))
-    return H.dataset_size(listed.select(F.concat(F.lit("/data/"), "url").alias("url")), sizes)
+    """Four folders: sizes of all shards, nested sizes of some, a length, and nothing beside the shards."""
+    root = scratch_path(spark, "sizes")
+    listed = shards(spark, sf).withColumn("part", F.col("shard_no") % 4)
+    entry = F.struct("url", F.col("shard_no") * 10)
+    maps = listed.filter("part = 0 OR (part = 1 AND weight > 1)").groupBy("part").agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
+    nested = F.to_json(F.struct(F.col("m").alias("per_shard")))
+    beside = maps.select(F.concat(F.lit("part"), "part", F.lit("/sizes.json")).alias("path"), F.when(F.col("part") == 1, nested).otherwise(F.to_json("m")).alias("content"))
+    others = listed.select("part").distinct().filter("part > 1").select(
+        F.concat(F.lit("part"), "part", F.when(F.col("part") == 2, "/__len__").otherwise("/readme.txt")).alias("path"), F.lit("4321\n").alias("content"))
+    sinks.write_files(beside.unionByName(others), root)
+    told = H.probed_sizes(listed.select(F.concat(F.lit(f"{root}/part"), "part", F.lit("/"), "url").alias("url")))
+    return told.select(paths.file_name("folder").alias("folder"), "num_samples", "num_shards")
 
 
 @query("existing_shards", ctes("shards") + " SELECT url, weight FROM shards WHERE shard_no IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
@@ -284,6 +287,22 @@ def group_samples(spark, sf):
     return grouped.select("url", "sample", "key", _described("parts").alias("parts"))
 
 
+# A key function of the caller's own: samples are runs with one first letter; two suffixes are kept.
+OWN_KEYS = (
+    POSITIONED.replace(_KEYS, "substr(fname, 1, 1) AS key, lower(substr(fname, strpos(fname, '.') + 1)) AS suffix")
+    .replace("1 AS sample, [suffix] AS seen", "1 AS sample, CASE WHEN suffix IN ('jpg', 'txt') THEN [suffix] ELSE [] END AS seen")
+    .replace("THEN [m.suffix] ELSE list_append(w.seen, m.suffix) END", "THEN CASE WHEN m.suffix IN ('jpg', 'txt') THEN [m.suffix] ELSE [] END WHEN m.suffix IN ('jpg', 'txt') THEN list_append(w.seen, m.suffix) ELSE w.seen END")
+    .replace("string_agg(suffix || '=' || md5(text), ',' ORDER BY suffix)", "coalesce(string_agg(suffix || '=' || md5(text), ',' ORDER BY suffix) FILTER (WHERE suffix IN ('jpg', 'txt')), '')")
+)
+
+
+@query("group_samples_by_key", OWN_KEYS)
+def group_samples_by_key(spark, sf):
+    own = lambda fname: (F.substring(fname, 1, 1), S.split_member_name(fname)[1])
+    grouped = S.group_samples(members(spark, sf), "text", keys=own, suffixes=["jpg", "txt"])
+    return grouped.select("url", "sample", "key", _described("parts").alias("parts"))
+
+
 def _pack(rows: pd.DataFrame) -> pd.DataFrame:
     buffer = io.BytesIO()
     with tarfile.open(fileobj=buffer, mode="w") as out:
@@ -318,6 +337,22 @@ def scan_tar_shards(spark, sf):
     return found.select(paths.file_name("url").alias("url"), "sample_no", "key", _described("parts").alias("parts"))
 
 
+@query(
+    "rejected_shards",
+    ctes("members") + """ SELECT url || '-' || lpad(CAST(CAST(floor(member_no / 2000) AS BIGINT) AS VARCHAR), 6, '0') || '.tar' AS url, CAST(substr(url, 4) AS BIGINT) % 2 = 1 AS rejected
+ FROM members GROUP BY 1, url""",
+)
+def rejected_shards(spark, sf):
+    """Every other shard ends within its first member; what is wrong with it comes as a row, and the others are read."""
+    root = scratch_path(spark, "shards")
+    write_shards(spark, members(spark, sf), root)
+    number = F.regexp_extract(paths.file_name("path"), "src([0-9]+)", 1).cast("bigint")
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(root).select("path", "content")
+    damaged = whole.withColumn("content", F.when(number % 2 == 1, F.substring("content", 1, 514)).otherwise(F.col("content")))
+    told = tar.tar_samples(damaged, with_rejects=True)
+    return told.groupBy(paths.file_name("url").alias("url")).agg(F.bool_or(F.col("error").isNotNull()).alias("rejected"))
+
+
 @query(
     "scan_tar_members",
     "SELECT source AS shard, doc_id AS member, strlen(text) AS n_bytes FROM documents",

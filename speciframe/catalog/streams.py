@@ -39,13 +39,8 @@ def stream_shards(spark, sf):
 def stream_meter(spark, sf):
     out, checkpoint = _paths(spark, "stream-meter")
     log = _stream(spark, sf, "events").selectExpr("event_id AS step", "event_type AS metric", "value AS val", "1 + event_id % 8 AS n")
-    metered = streams.stream_meter(log, "val", "n", ["metric"], "step", 100)
-    write = sinks.idempotent_parquet(out)
-    streams.foreach_batch(metered, write, checkpoint, mode="complete")
-    # Complete mode: the last batch holds the whole result.
-    batches = spark.read.parquet(out)
-    last = batches.agg(F.max("batch_id")).first()[0]
-    return _metered(batches.filter(F.col("batch_id") == last), "metric", "window_no")
+    streams.stream_meter(log, "val", "n", ["metric"], "step", 100, out, checkpoint)
+    return _metered(streams.read_meter(spark, out, ["metric"]), "metric", "window_no")
 
 
 @query(

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .tar import open_stream
+
 _RANGE = r"^(.*?)\{(-?[0-9]+)\.\.(-?[0-9]+)(?:\.\.(-?[0-9]+))?\}(.*)$"
 _LETTERS = r"^(.*?)\{([A-Za-z])\.\.([A-Za-z])(?:\.\.(-?[0-9]+))?\}(.*)$"
 _CHOICE = r"^(.*?)\{([^{},]*(?:,[^{},]*)+)\}(.*)$"
@@ -80,9 +84,12 @@ def existing_shards(shards: DataFrame, listing: DataFrame, url: str = "url") ->
 
 def parse_sizes(sizes: DataFrame, text: str = "value") -> DataFrame:
     """(name, size) from a JSON object of sizes, possibly below ``per_shard``."""
+    return sizes.select(F.explode(_size_map(text)).alias("name", "size"))
+
+
+def _size_map(text: str) -> Column:
     kind = "map<string,bigint>"
-    nested = F.from_json(F.get_json_object(text, "$.per_shard"), kind)
-    return sizes.select(F.explode(F.coalesce(nested, F.from_json(text, kind))).alias("name", "size"))
+    return F.coalesce(F.from_json(F.get_json_object(text, "$.per_shard"), kind), F.from_json(text, kind))
 
 
 def dataset_size(shards: DataFrame, sizes: DataFrame | None = None, total: int | None = None, url: str = "url") -> DataFrame:
@@ -96,6 +103,44 @@ def dataset_size(shards: DataFrame, sizes: DataFrame | None = None, total: int |
     )
 
 
+def _sidecars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(folder, kind, text) of the size file of each folder that has one. Tasks open the files themselves, as Spark's
+    readers pass over names that begin with an underscore."""
+    for batch in batches:
+        rows = []
+        for folder in batch.column("folder").to_pylist():
+            for kind in ("sizes.json", "__len__"):
+                try:
+                    with open_stream(f"{folder}/{kind}") as file:
+                        rows.append({"folder": folder, "kind": kind, "text": file.read().decode()})
+                    break
+                except FileNotFoundError:
+                    continue
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("folder", pa.string()), ("kind", pa.string()), ("text", pa.string())]))
+
+
+def probed_sizes(shards: DataFrame, url: str = "url") -> DataFrame:
+    """(folder, num_samples, num_shards): what the files beside the shards say about each folder's shards.
+
+    ``sizes.json``, in either layout, counts the shards it names, and those it does not name count nothing;
+    without it ``__len__`` counts the folder; without either the number is NULL. Repeated shards count each time.
+    """
+    listed = shards.select(F.regexp_replace(url, "/[^/]*$", "").alias("folder"), F.element_at(F.split(url, "/"), -1).alias("name"))
+    counts = listed.groupBy("folder").agg(F.count("*").alias("num_shards"))
+    beside = cut_lineage(counts.select("folder").mapInArrow(_sidecars, "folder string, kind string, text string"))
+    entries = beside.filter("kind = 'sizes.json'").select("folder", F.explode(_size_map("text")).alias("name", "size"))
+    named = listed.join(entries, ["folder", "name"]).groupBy("folder").agg(F.sum("size").alias("_sum"))
+    told = counts.join(beside, "folder", "left").join(named, "folder", "left")
+    total = F.when(F.col("kind") == "sizes.json", F.coalesce("_sum", F.lit(0))).otherwise(F.regexp_replace("text", "[\\s_]+", "").cast("bigint"))
+    return told.select("folder", total.cast("bigint").alias("num_samples"), "num_shards")
+
+
+def probed_size(shards: DataFrame, url: str = "url") -> DataFrame:
+    """(num_samples, num_shards) over all folders of ``probed_sizes``; NULL as soon as one folder's number is unknown."""
+    known = F.when(F.count("num_samples") == F.count("*"), F.sum("num_samples"))
+    return probed_sizes(shards, url).agg(known.alias("num_samples"), F.coalesce(F.sum("num_shards"), F.lit(0)).alias("num_shards"))
+
+
 def mirror_diff(local: DataFrame, remote: DataFrame, skip: Sequence[str] = ("%epoch_latest%",)) -> DataFrame:
     """Files to copy: absent from the mirror or of another length there, except skipped names.
     Both sides are (path, length) with paths relative to their roots."""

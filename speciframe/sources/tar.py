@@ -28,7 +28,7 @@ def split_name(name: str) -> tuple[str | None, str | None]:
     return match.groups() if match else (None, None)
 
 
-def _open(path: str):
+def open_stream(path: str):
     if path.startswith("file:"):
         system, inner = fs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
     else:
@@ -88,7 +88,7 @@ def _read(open_rows, produce, schema: pa.Schema, on_error: str):
 
 def _paths(batch):
     for path in batch.column("path").to_pylist():
-        yield path, lambda path=path: _open(path)
+        yield path, lambda path=path: open_stream(path)
 
 
 def _contents(batch):

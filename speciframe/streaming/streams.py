@@ -34,11 +34,25 @@ def stream_table(spark: SparkSession, path: str, schema: T.StructType, pattern:
     return reader.parquet(path)
 
 
-def stream_meter(stream: DataFrame, value: str, weight: str, by: Sequence[str], step: str, every: int) -> DataFrame:
-    """Weighted running mean per log window of steps."""
-    total, n = F.sum(F.col(value) * F.col(weight)), F.sum(weight)
+def stream_meter(
+    stream: DataFrame, value: str, weight: str, by: Sequence[str], step: str, every: int, path: str, checkpoint: str
+) -> StreamingQuery:
+    """Weighted running mean per log window of steps, kept as sums below ``path``, a folder per micro-batch.
+
+    The sums of a batch are worked out from its rows alone, so the stream holds no state however many windows
+    there are or how late a row comes; a batch that is repeated replaces its folder. ``read_meter`` gives the
+    windows so far, those that are still open too.
+    """
     windowed = stream.withColumn("window_no", F.floor(F.col(step) / every))
-    return windowed.groupBy(*by, "window_no").agg(total.alias("total"), n.alias("weight"), (total / n).alias("avg"))
+    write, total = idempotent_parquet(path), F.sum(F.col(value) * F.col(weight))
+    return foreach_batch(
+        windowed, lambda batch, number: write(batch.groupBy(*by, "window_no").agg(total.alias("total"), F.sum(weight).alias("weight")), number), checkpoint)
+
+
+def read_meter(spark: SparkSession, path: str, by: Sequence[str]) -> DataFrame:
+    """(by..., window_no, total, weight, avg) of the batches written so far."""
+    total, n = F.sum("total"), F.sum("weight")
+    return spark.read.parquet(path).groupBy(*by, "window_no").agg(total.alias("total"), n.alias("weight"), (total / n).alias("avg"))
 
 
 def stream_meter_by_time(stream: DataFrame, value: str, weight: str, by: Sequence[str], ts: str, width: str, lateness: str = "10 minutes") -> DataFrame:

@@ -192,6 +192,22 @@ def test_expand_shards(spark):
         H.expand_shards(spark.createDataFrame([("a::b", "1")], "u string, w string"), "u", "w").collect()
 
 
+def test_sizes_beside_the_shards(spark, tmp_path):
+    files = {"a/sizes.json": '{"x.tar": 3, "y.tar": 4, "z.tar": 9}', "b/sizes.json": '{"per_shard": {"x.tar": 5}}', "b/__len__": "77",
+             "c/__len__": " 1234\n", "d/readme": "-"}
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    shards = spark.createDataFrame([(f"{tmp_path}/{u}",) for u in ("a/x.tar", "a/y.tar", "b/x.tar", "b/y.tar", "c/x.tar", "d/x.tar")], "url string")
+    told = {r["folder"].rsplit("/", 1)[1]: (r["num_samples"], r["num_shards"]) for r in H.probed_sizes(shards).collect()}
+    assert told == {"a": (7, 2), "b": (5, 2), "c": (1234, 1), "d": (None, 1)}
+    assert tuple(H.probed_size(shards).first()) == (None, 6)
+    assert tuple(H.probed_size(shards.filter("url NOT LIKE '%/d/%'")).first()) == (1246, 5)
+    assert tuple(H.probed_size(shards.limit(0)).first()) == (None, 0)
+    local = shards.select(F.concat(F.lit("file:"), "url").alias("url"))
+    assert tuple(H.probed_size(local.filter("url LIKE '%/a/%'")).first()) == (7, 2)
+
+
 def test_dataset_size(spark):
     shards = spark.createDataFrame([("/d/a.tar",), ("/d/b.tar",)], "url string")
     for text in ('{"a.tar": 3, "b.tar": 4, "z.tar": 9}', '{"per_shard": {"a.tar": 3, "b.tar": 4}}'):
