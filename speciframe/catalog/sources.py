@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..functions.tokens import Vocabulary
 from ..operators import joins
 from ..operators import samples as S
 from ..operators.ranking import row_index
@@ -18,6 +17,7 @@ from ..plans import training_mix as M
 from ..session import scratch_path
 from ..sources import shards as H
 from ..sources import sinks, tables, tar
+from . import text
 from .base import ctes, features, members, query, r6, samples, shards, table, taxa
 
 _TAXON_COLUMNS = ("kingdom", "phylum", "cls", "ord", "family", "genus", "species", "subspecies", "common_name")
@@ -437,27 +437,41 @@ def latest_by_natural_key(spark, sf):
 
 # -- from shards to batches --------------------------------------------------------------------
 
-MIX = (
-    ctes("samples")
-    + """, ok AS (SELECT id, url, CAST(id AS VARCHAR) AS key, id AS sample FROM samples WHERE txt IS NOT NULL AND coalesce(jpg, png) IS NOT NULL),
- main AS (SELECT key, (row_number() OVER (ORDER BY md5(concat_ws(':', '11', url, key, sample)), url, key, sample) - 1) // 32 AS b, count(*) OVER () AS n FROM ok WHERE url > 'src15'),
- rep AS (SELECT key, (row_number() OVER (ORDER BY md5(concat_ws(':', '11', url, key, sample)), url, key, sample) - 1) // 8 AS b, count(*) OVER () AS n FROM ok WHERE url <= 'src15'),
- m AS (SELECT * FROM main WHERE b < n // 32), r AS (SELECT * FROM rep WHERE b < n // 8)
- SELECT key, b AS batch_no, 'main' AS segment, 16 AS n_tokens FROM m
- UNION ALL SELECT r.key, x.b, 'replay', 16 FROM (SELECT DISTINCT b FROM m) x, (SELECT max(b) + 1 AS n FROM r) c, r WHERE r.b = x.b % c.n"""
+# Shards hold four members per sample, numbered from the sample's id; tokens come from the shared vocabulary.
+SHARD_MIX = (
+    ctes("samples").replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, listed AS (SELECT id, url, CAST(id AS VARCHAR) AS key, txt, coalesce(jpg, png) AS image, url || '-' || lpad(CAST(id * 4 // 2000 AS VARCHAR), 6, '0') || '.tar' AS shard
+   FROM samples WHERE txt IS NOT NULL AND coalesce(jpg, png) IS NOT NULL),
+ main AS (SELECT *, (row_number() OVER (ORDER BY md5(concat_ws(':', '11', shard, key, sample_no)), shard, key, sample_no) - 1) // 32 AS b, count(*) OVER () AS n FROM ok WHERE url > 'src15'),
+ rep AS (SELECT *, (row_number() OVER (ORDER BY md5(concat_ws(':', '11', shard, key, sample_no)), shard, key, sample_no) - 1) // 8 AS b, count(*) OVER () AS n FROM ok WHERE url <= 'src15'),
+ m AS (SELECT * FROM main WHERE b < n // 32), r AS (SELECT * FROM rep WHERE b < n // 8),
+ mixed AS (SELECT m.*, b AS batch_no, 'main' AS segment FROM m
+  UNION ALL SELECT r.*, x.b, 'replay' FROM (SELECT DISTINCT b FROM m) x, (SELECT max(b) + 1 AS n FROM r) c, r WHERE r.b = x.b % c.n)
+ SELECT shard, key, CAST(batch_no AS BIGINT) AS batch_no, segment, md5(array_to_string(tokens, ' ')) AS tokens, md5(image) AS image, md5(txt) AS caption FROM mixed JOIN framed USING (id)"""
 )
 
 
-@query("training_mix", MIX)
+def _shard_mix_sql():
+    """Sample numbers count the samples of a shard, complete or not; every sample has at least the member of its language."""
+    numbered = """ ok AS (SELECT listed.*, s.sample_no FROM listed JOIN (SELECT id, row_number() OVER (PARTITION BY url, id * 4 // 2000 ORDER BY id) - 1 AS sample_no FROM samples) s USING (id)),
+ """ + text.framed_sql("listed", "id", "txt", 16) + ","
+    return SHARD_MIX.replace(" main AS (", numbered + " main AS (", 1)
+
+
+@query("training_mix", _shard_mix_sql())
 def training_mix(spark, sf):
-    rows = samples(spark, sf).select(
-        "url", F.col("id").cast("string").alias("key"), F.col("id").alias("sample"), "parts"
-    )
-    mixed = M.training_mix(
-        rows.filter("url > 'src15'"), rows.filter("url <= 'src15'"), Vocabulary(), 32, 8, 10, 1, length=16,
-        path=scratch_path(spark, "mix"),
-    )
-    return mixed.select("key", "batch_no", "segment", F.size("tokens").alias("n_tokens"))
+    """From a folder of shards to batches: listed, read, filtered, tokenised, mixed, contents attached."""
+    root = scratch_path(spark, "mix-shards")
+    entry = F.posexplode(F.array(*[F.struct(F.lit(s).alias("suffix"), F.col("parts")[s].alias("text")) for s in ("txt", "jpg", "png")],
+                                 F.struct(F.concat("lang", F.lit(".meta")).alias("suffix"), F.col("lang").alias("text")))).alias("i", "e")
+    rows = samples(spark, sf).select("url", "id", entry).filter("e.text IS NOT NULL").select(
+        "url", (F.col("id") * 4 + F.col("i")).alias("member_no"), F.concat(F.col("id").cast("string"), F.lit("."), "e.suffix").alias("fname"), "e.text")
+    write_shards(spark, rows, root)
+    found = tar.list_shards(spark, root)
+    late = paths.file_name("path") > "src15."
+    mixed = M.mix_from_shards(spark, found.filter(late), found.filter(~late), text.VOCABULARY, 32, 8, 10, 1, length=16)
+    told = F.md5(F.array_join(F.transform("tokens", lambda t: t.cast("string")), " "))
+    return mixed.select("shard", "key", "batch_no", "segment", told.alias("tokens"), F.md5("image").alias("image"), F.md5("caption").alias("caption"))
 
 
 @query(

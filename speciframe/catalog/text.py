@@ -117,6 +117,17 @@ _ENCODE_SQL = f"""WITH words AS (SELECT doc_id, unnest(w) AS word, generate_subs
  FROM words JOIN ids USING (word) GROUP BY doc_id"""
 
 
+def framed_sql(source, key, column, length):
+    """CTEs up to ``framed`` (key, tokens): texts of ``source`` encoded as above, between start and end marks, cut and padded."""
+    inner = _ENCODE_SQL.replace("WITH words AS", "words AS", 1).replace("FROM documents", f"FROM {source}").replace("doc_id", key)
+    inner = inner.replace(unescape(unescape("text")), unescape(unescape(column)))
+    upto = inner[: inner.rindex(f" SELECT {key}, sum(len(ids))")]
+    start, end = VOCABULARY.start_id, VOCABULARY.end_id
+    body = f"([{start}] || flatten(list(ids ORDER BY pos))[1:{length - 2}] || [{end}])"
+    return f"""{upto}, coded AS (SELECT {key}, {body} AS t FROM words JOIN ids USING (word) GROUP BY {key}),
+ framed AS (SELECT s.{key}, {_pad_sql(f"coalesce(t, [{start}, {end}])", length, 0)} AS tokens FROM {source} s LEFT JOIN coded USING ({key}))"""
+
+
 def _encoded(spark, sf):
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return docs.select("doc_id", K.encode_text("text", VOCABULARY).alias("t"))

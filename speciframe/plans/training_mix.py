@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.paths import IMAGE_SUFFIXES, file_name, image_part, text_part
 from ..functions.templates import random_text_type
 from ..functions.tokens import CONTEXT_LENGTH, Vocabulary, encode_text, frame_tokens
 from ..operators.joins import replay_pairing
@@ -14,6 +15,7 @@ from ..operators.ranking import assign_batches, assign_workers, epoch_shuffle
 from ..operators.samples import complete_samples, pick_parts
 from ..operators.sampling import weighted_resample
 from ..session import cut_lineage
+from ..sources.tar import tar_samples
 
 
 def shards_for_epoch(
@@ -80,3 +82,35 @@ def training_mix(
         return batches
     batches.repartitionByRange("batch_no").sortWithinPartitions("batch_no").write.mode("overwrite").parquet(path)
     return batches.sparkSession.read.parquet(path)
+
+
+def mix_from_shards(
+    spark: SparkSession, main: DataFrame, replay: DataFrame | None, vocabulary: Vocabulary, size: int, replay_size: int, seed: int, epoch: int,
+    text_type: str = "", length: int = CONTEXT_LENGTH, resample: int | None = None, weight: str | None = None,
+) -> DataFrame:
+    """From tables of shards (path[, weight]) to batches with contents: (url, shard, key, sample_no[, draw], tokens,
+    batch_no, segment, image, caption).
+
+    Shards are read twice. The first reading leaves images out: samples are filtered, tokenised, put in the order
+    of the epoch and cut into batches, each followed by its replay batch. The second gives image and caption,
+    which meet their batches by shard and sample in a hash join whose held side has no contents, so no
+    content is ever sorted or numbered. With ``resample``, shards are drawn with replacement and a shard's samples
+    come once per draw. With the text type ``random`` there is no caption beside the tokens. Shards of one name in different folders are told apart by their path in the result, and
+    ordered by name.
+    """
+    keys = ["shard", "key", "sample_no"] + (["draw"] if resample is not None else [])
+
+    def samples(shards: DataFrame) -> DataFrame:
+        read = tar_samples(shards.select("path").distinct(), hollow=IMAGE_SUFFIXES).withColumn("shard", file_name("url"))
+        if resample is None:
+            return read
+        drawn = weighted_resample(spark, shards.withColumn("url", F.col("path")), resample, seed, epoch, weight, ["url"])
+        return read.join(drawn.select("url", "draw"), "url")
+
+    batches = training_mix(samples(main), None if replay is None else samples(replay), vocabulary, size, replay_size, seed, epoch, keys, text_type, None, length)
+    every = main.select("path") if replay is None else main.select("path").union(replay.select("path"))
+    texts = TEXT_TYPES if text_type == "random" else [text_type]
+    contents = tar_samples(every.distinct(), suffixes=[*IMAGE_SUFFIXES, *[f"{t}.txt" if t else "txt" for t in texts]])
+    caption = F.lit(None).cast("binary") if text_type == "random" else text_part("parts", text_type)
+    contents = contents.select("url", "sample_no", image_part("parts").alias("image"), caption.alias("caption"))
+    return contents.join(batches.drop("image").hint("shuffle_hash"), ["url", "sample_no"])

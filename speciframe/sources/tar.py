@@ -36,13 +36,14 @@ def open_stream(path: str):
     return system.open_input_stream(inner)
 
 
-def _members(stream) -> Iterator[tuple[int, str, bytes]]:
-    """Regular members in order, one at a time; nothing but the current one is held."""
+def _members(stream, wanted: Callable[[str], bool] | None = None) -> Iterator[tuple[int, str, bytes]]:
+    """Regular members in order, one at a time; nothing but the current one is held, and the contents of those
+    that are not ``wanted`` are passed over."""
     number = 0
     with tarfile.open(fileobj=stream, mode="r|*") as tar:
         for info in tar:
             if info.isreg() and not META_NAME.match(info.name):
-                yield number, info.name, tar.extractfile(info).read()
+                yield number, info.name, tar.extractfile(info).read() if wanted is None or wanted(info.name) else b""
                 number += 1
             tar.members = []
 
@@ -109,8 +110,9 @@ def tar_samples(
     suffixes: Sequence[str] | None = None,
     on_error: str = "skip",
     with_rejects: bool = False,
+    hollow: Sequence[str] = (),
 ) -> DataFrame:
-    """(url, key, sample_no, parts) for a table of shards.
+    """(url, key, sample_no, parts) for a table of shards. Parts with a ``hollow`` suffix are there, but empty.
 
     Shards are streamed by the tasks that hold their path; with a ``content`` column (a stream of
     files) the bytes come from the row. ``with_rejects`` keeps one row with ``error`` for each
@@ -122,8 +124,12 @@ def tar_samples(
         ("parts", pa.map_(pa.string(), pa.binary())), ("error", pa.string()),
     ])
 
+    def wanted(name: str) -> bool:
+        suffix = keys(name)[1]
+        return suffix is None or (suffix.lower() if lower else suffix) not in hollow
+
     def produce(url, stream):
-        for i, (key, parts) in enumerate(_samples(_members(stream), keys, lower, suffixes)):
+        for i, (key, parts) in enumerate(_samples(_members(stream, wanted if hollow else None), keys, lower, suffixes)):
             row = {"url": url, "key": key, "sample_no": i, "parts": list(parts.items())}
             yield row, sum(map(len, parts.values())) + 64
 

@@ -408,3 +408,32 @@ def test_vector_means(spark):
     assert [tuple(r) for r in aggregates.vector_mean(df, "v").collect()] == [(12, [4.0, 5.0])]
     assert aggregates.vector_mean(df.limit(0), "v").collect() == []
     assert aggregates.vector_mean(df.limit(0), "v", ["g"]).collect() == []
+
+
+def test_mix_from_shards_draws_shards_and_attaches_contents(spark, tmp_path):
+    for shard in "ab":
+        with tarfile.open(tmp_path / f"{shard}.tar", "w") as out:
+            for i in range(6):
+                for suffix, data in (("txt", f"text {shard}{i}"), ("jpg", f"image {shard}{i}"), ("PNG", "other")):
+                    info = tarfile.TarInfo(f"k{i}.{suffix}")
+                    info.size = len(data)
+                    out.addfile(info, io.BytesIO(data.encode()))
+    shards = tar.list_shards(spark, str(tmp_path))
+    rows = training_mix.mix_from_shards(spark, shards, None, K.Vocabulary(), 4, 1, 3, 0, length=12, resample=3).collect()
+    assert len(rows) == 16 and len({(r["url"], r["key"], r["draw"]) for r in rows}) == 16
+    assert {r["batch_no"] for r in rows} == set(range(4)) and {r["draw"] for r in rows} <= {0, 1, 2}
+    for r in rows:
+        name = f"{r['shard'][0]}{r['key'][1]}"
+        assert (bytes(r["image"]), bytes(r["caption"]), len(r["tokens"])) == (f"image {name}".encode(), f"text {name}".encode(), 12)
+    once = training_mix.mix_from_shards(spark, shards, shards, K.Vocabulary(), 5, 3, 3, 0, length=12).collect()
+    assert sorted(r["segment"] for r in once) == ["main"] * 10 + ["replay"] * 6
+
+
+def test_hollow_parts_are_there_but_empty(spark, tmp_path):
+    with tarfile.open(tmp_path / "x.tar", "w") as out:
+        for suffix in ("txt", "JPG"):
+            info = tarfile.TarInfo(f"k.{suffix}")
+            info.size = 5
+            out.addfile(info, io.BytesIO(b"12345"))
+    row = tar.tar_samples(tar.list_shards(spark, str(tmp_path)), hollow=["jpg"]).first()
+    assert {k: bytes(v) for k, v in row["parts"].items()} == {"txt": b"12345", "jpg": b""}
