@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,10 +26,12 @@ from speciframe.functions.tokens import byte_symbols
 
 from .common import in_small_batches
 
-#: Distinct chunks a task remembers; when it is full the memory starts anew, with the same results.
-REMEMBERED = 250_000
+#: Distinct chunks a task remembers; what is forgotten is encoded anew, with the same results.
+REMEMBERED = 500_000
 #: Symbols of a fragment up to which looking at all pairs again is quicker than a heap; the ids are the same.
 SHORT = 24
+NONE = 1 << 60
+_FIRST, _SECOND = itemgetter(0), itemgetter(1)
 _LATIN = re.compile("[!-~\u00a1-\u012f\u0132-\u024f]*")
 
 
@@ -42,6 +45,8 @@ class Merges:
         self.steps = {
             (self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)
         }
+        self.rank = {pair: rank for pair, (rank, _) in self.steps.items()}
+        self.made = {rank: made for rank, made in self.steps.values()}
         self.symbol = byte_symbols()
         self.joined = _joined_pairs(self.vocab, self.suffix)
 
@@ -59,16 +64,19 @@ class Merges:
         return self._merged(ids) if len(ids) > SHORT else self._merged_short(ids)
 
     def _merged_short(self, ids: list[int]) -> list[int]:
-        steps = self.steps
-        while len(ids) > 1:
-            found = None
-            for i, pair in enumerate(zip(ids, ids[1:])):
-                step = steps.get(pair)
-                if step is not None and (found is None or step[0] < found[0]):
-                    found, at = step, i
-            if found is None:
+        rank, made = self.rank, self.made
+        ranks = [rank.get(pair, NONE) for pair in zip(ids, ids[1:])]
+        while ranks:
+            low = min(ranks)
+            if low == NONE:
                 break
-            ids[at : at + 2] = [found[1]]
+            i = ranks.index(low)
+            ids[i : i + 2] = [made[low]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank.get((ids[i], ids[i + 1]), NONE)
+            if i:
+                ranks[i - 1] = rank.get((ids[i - 1], ids[i]), NONE)
         return ids
 
     def _merged(self, ids: list[int]) -> list[int]:
@@ -121,7 +129,8 @@ class Encoder:
         self.marks = re.compile("(" + "|".join(pieces) + ")") if pieces else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
-        self.pairs: dict[str, tuple[bytes, str]] = {}
+        self.pairs: dict[str, tuple[bytes, str]] = {"": (b"", "")}
+        self.older: dict[str, tuple[bytes, str]] = {}
         self.known: dict[str, list[int]] = {}
 
     def word(self, word: str) -> list[int]:
@@ -149,22 +158,30 @@ class Encoder:
 
     def encode(self, text: str | None) -> tuple[list[bytes], list[str]]:
         """Ids as little-endian 32-bit numbers, and their tokens, chunk by chunk."""
-        found: list[tuple[bytes, str]] = []
+        ids: list[bytes] = []
+        tokens: list[str] = []
         if text:
             marked = self.marks.split(text) if self.marks and any(m in text for m in self.special) else (text,)
             for part in marked:
                 if part in self.special:
-                    found.append((self.special[part].to_bytes(4, "little"), part))
+                    ids.append(self.special[part].to_bytes(4, "little"))
+                    tokens.append(part)
                     continue
-                known = self.pairs
-                for chunk in part.replace("\n", " ").split(" "):
-                    pair = known.get(chunk)
-                    if pair is None:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        pair = known[chunk] = self.chunk(chunk) if chunk else (b"", "")
-                    found.append(pair)
-        return [p[0] for p in found if p[0]], [p[1] for p in found if p[0]]
+                chunks = part.replace("\n", " ").split(" ")
+                found = list(map(self.pairs.get, chunks))
+                if None in found:
+                    found = [self.pair(c) if f is None else f for c, f in zip(chunks, found)]
+                ids += map(_FIRST, found)
+                tokens += filter(None, map(_SECOND, found))
+        return ids, tokens
+
+    def pair(self, chunk: str) -> tuple[bytes, str]:
+        """``chunk``, remembered. When the memory is full, what was not met since it was half full is forgotten."""
+        pair = self.pairs.get(chunk) or self.older.get(chunk) or self.chunk(chunk)
+        if len(self.pairs) >= REMEMBERED // 2:
+            self.older, self.pairs = self.pairs, {"": (b"", "")}
+        self.pairs[chunk] = pair
+        return pair
 
 
 def _joined_pairs(vocab: dict[str, int], suffix: str) -> set[str]:
