@@ -66,14 +66,16 @@ def candidates(docs: DataFrame) -> DataFrame:
     base = F.sort_array(F.concat("a", "k", "h"))
     inside = lambda s: F.exists(F.col("base"), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
     some = (F.size("base") > 0) | (F.size("free") > 0)
+    # what is written from here on holds digests of the values, never a secret itself
+    hidden = lambda spans: F.transform(spans, lambda s: s.withField("value", F.sha2(s["value"], 256)))
     return found.withColumn("base", base).withColumn("free", F.filter("free", lambda s: ~inside(s))).select(
-        "row", "doc_id", "source", F.when(some, F.sha2("text", 256)).alias("print"), "base", "free")
+        "row", "doc_id", "source", F.when(some, F.sha2("text", 256)).alias("print"), hidden("base").alias("base"), hidden("free").alias("free"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
     """(value, repositories, owners): in how many distinct texts and in how many distinct sources a value
     occurs. Both are told apart by one exchange, then added up in the tasks before they go to the value."""
-    values = F.array_distinct(F.transform(F.concat("base", "free"), lambda s: F.sha2(s["value"], 256)))
+    values = F.array_distinct(F.transform(F.concat("base", "free"), lambda s: s["value"]))
     holders = F.array(F.struct(F.lit("text").alias("kind"), F.col("print").alias("name")),
                       F.struct(F.lit("source").alias("kind"), F.coalesce("source", F.lit("")).alias("name")))
     held = found.select(F.explode(values).alias("value"), holders.alias("holders"))
@@ -93,7 +95,7 @@ def scan(docs: DataFrame) -> DataFrame:
     row each. Null sources are one owner. An empty table gives an empty table."""
     found = cut_lineage(candidates(docs))
     some = found.filter((F.size("base") > 0) | (F.size("free") > 0))
-    spans = some.select("row", F.explode(F.concat("base", "free")).alias("s")).withColumn("value", F.sha2(F.col("s.value"), 256))
+    spans = some.select("row", F.explode(F.concat("base", "free")).alias("s")).withColumn("value", F.col("s.value"))
     judged = spans.join(ownership(some), "value").withColumn("live", ~example(F.col("repositories"), F.col("owners")))
     rows = judged.filter((F.col("s.rank") < 3) | F.col("live")).groupBy("row").agg(
         F.sort_array(F.collect_list("s")).alias("spans"), F.count(F.when(F.col("live"), 1)).alias("n_live"),

@@ -142,3 +142,19 @@ def test_redaction_without_a_length(spark):
 
 def test_stages_of_the_pipeline_are_documented():
     assert all(stage.__doc__ for _, stage in corpus_pipeline.STAGES)
+
+
+def test_secrets_are_not_written_in_clear(spark, tmp_path):
+    from pathlib import Path
+
+    from speciframe.llm import secret_scan
+    from speciframe.session import shared_dir
+
+    value = "Zq81KxPv0LmN72TrWb5Yc3Hd"
+    docs = spark.createDataFrame([(1, f"token = {value} end", "s")], "doc_id long, text string, source string")
+    root = Path(shared_dir(spark).replace("file:", "", 1))
+    before = set(root.rglob("*.parquet"))
+    rows = secret_scan.scan(docs).collect()
+    assert rows[0]["n_live"] >= 1 and [(s["start"], s["end"]) for s in rows[0]["base"]]
+    assert not [f for f in set(root.rglob("*.parquet")) - before if value.encode() in f.read_bytes()]
+    assert value not in str(rows)
