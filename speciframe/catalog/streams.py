@@ -14,8 +14,10 @@ from .sources import TAR_SQL, _described, write_shards
 
 
 def _stream(spark, sf, name):
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return streams.stream_table(spark, sf, schema, f"{name}.parquet")
+    # A table is a file or a folder of files. A file stream takes a single file only as a match of a pattern.
+    base = sf.rstrip("/")
+    schema = spark.read.parquet(f"{base}/{name}.parquet").schema
+    return streams.stream_table(spark, f"{base}/{name}.[p]arquet", schema, "*")
 
 
 def _paths(spark, name):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from speciframe import catalog
 from speciframe.functions import naming as N
 from speciframe.functions import paths, templates
 from speciframe.functions import text as X
@@ -347,6 +348,18 @@ def test_stream_scores_at_any_size(spark, tmp_path, limit):
     assert found == {5: [1], 6: []}
 
 
+def test_streams_read_tables_of_several_files(spark, tmp_path):
+    vectors = [(i, [1.0 if j == i % 3 else 0.0 for j in range(3)], i % 3) for i in range(30)]
+    vectors = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int")
+    vectors.repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    lines = spark.createDataFrame([(i, 0, "user", "x" * i) for i in range(20)], "conv_id bigint, turn bigint, role string, text string")
+    lines.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    found = catalog.load()[0]["stream_scores"](spark, str(tmp_path)).collect()
+    assert sorted((r["id"], r["pred"]) for r in found) == [(i, i % 3) for i in range(30)]
+    found = catalog.load()[0]["stream_results"](spark, f"{tmp_path}/").collect()
+    assert sorted((r["conv_id"], r["n"]) for r in found) == [(i, i) for i in range(20)]
+
+
 def test_retried_batch_replaces_itself(spark, tmp_path):
     write = sinks.idempotent_parquet(str(tmp_path / "out"))
     write(spark.range(3), 0)
