@@ -226,8 +226,7 @@ SELECT doc_id, leaf, subroot, root, sha256(array_to_string(flatten(path), '')) A
 def op13(spark, sf):
     even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
     tampered = F.when(even, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
-    told = merkle.documents_manifest(documents(spark, sf), tampered).withColumn(
-        "folded", F.when(F.col("row.changed").isNull(), F.col("root")).otherwise(merkle.fold(F.col("row.changed"), F.col("path"))))
+    told = merkle.documents_manifest(documents(spark, sf), tampered).withColumn("folded", merkle.fold(F.col("row.changed"), F.col("path")))
     return told.select(
         "row.doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"),
         F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))

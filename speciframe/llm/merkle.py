@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from speciframe.session import cut_lineage
 
-from .native import let
 
 ARITY = 3
 #: Levels of a block: 3 ** 5 leaves, 15.5 kB of digests.
@@ -145,12 +144,11 @@ def manifest(rows: DataFrame, group: Column, order: Column, digest: Column, carr
 def documents_manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     """``manifest`` of documents by source and ``doc_id``; ``row`` is (doc_id, changed).
 
-    ``tampered`` is a text to check against the manifest: ``changed`` is the leaf a row has with it, null where
-    the text is the same. Null and empty texts are different leaves. Columns other than the five are ignored.
+    ``tampered`` is a text to check against the manifest: ``changed`` is the leaf a row has with it, worked out anew
+    for every row, also where the text is the same. Null and empty texts are different leaves. Columns other than
+    the five are ignored.
     """
     told = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
     text = F.col("text")
-    changed = F.lit(None).cast("string")
-    if tampered is not None:
-        changed = let(tampered, lambda t: F.when(~t.eqNullSafe(text), leaf(*told, t)))
+    changed = F.lit(None).cast("string") if tampered is None else leaf(*told, tampered)
     return manifest(docs, F.col("source"), F.col("doc_id"), leaf(*told, text), F.struct(F.col("doc_id"), changed.alias("changed")))

@@ -104,6 +104,13 @@ def test_path_folds_to_the_root_and_any_change_shows(spark):
     assert [tuple(r) for r in checked] == [(True, False)]
 
 
+def test_every_row_is_folded_from_its_leaf(spark, tmp_path, monkeypatch):
+    # a fold that always ends elsewhere must show on all rows, not only on those whose text was changed
+    monkeypatch.setattr(merkle, "fold", lambda digest, path: F.sha2(digest.cast("binary"), 256))
+    rows = [row(k, f"line {k}\n" if k % 4 else f"line {k}", "s") for k in range(30)]
+    assert not any(r[-1] for r in answer(spark, rows, tmp_path))
+
+
 @pytest.mark.parametrize("values", [(None, ""), ("", None), ("1:a", "b"), ("1", ":ab")])
 def test_fields_are_told_apart(spark, values):
     one = spark.range(1).select(merkle.leaf(*[F.lit(v).cast("string") for v in values])).first()[0]
