@@ -5,8 +5,11 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,9 +84,28 @@ def repair(text: str) -> str:
 UNUSUAL = r"[^\t\n\x20-\x7e]|&"
 
 
-@F.pandas_udf(T.StringType())
-def _clean(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: html.unescape(html.unescape(repair(t))).strip(), na_action="ignore")
+# Bytes of text that a Python task turns into objects at a time; a batch from Spark may be many times larger.
+PORTION_BYTES = 1 << 20
+
+
+def portions(sizes: np.ndarray, limit: int = PORTION_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, length) of consecutive rows of at most ``limit`` bytes together; a larger row stands alone."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(int(np.searchsorted(ends, before + limit, side="right")), start + 1)
+        yield start, stop - start
+        start = stop
+
+
+@F.arrow_udf(T.StringType())
+def _clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        if not len(batch):
+            yield batch
+        for start, n in portions(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False)):
+            texts = (t.as_py() for t in batch.slice(start, n))
+            yield pa.array([None if t is None else html.unescape(html.unescape(repair(t))).strip() for t in texts], pa.string())
 
 
 def basic_clean(text) -> Column:

@@ -6,17 +6,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import seeded_int, seeded_key
-from .text import SPECIAL_TOKENS, cleaner, pretokenize
+from .text import SPECIAL_TOKENS, cleaner, portions, pretokenize
 
 # End-of-word mark, default context length, priority of tag prefixes.
 WORD_END = "</w>"
 CONTEXT_LENGTH = 77
 TAG_PRIORITY = (("NN", 1), ("JJ", 2), ("VB", 3))
 OTHER_PRIORITY = 4
+# Words whose ids are put together at a time.
+_STEP = 1 << 17
 
 
 def byte_symbols() -> list[str]:
@@ -83,28 +86,43 @@ class Vocabulary:
         return [bytes(to_byte[ch] for ch in entry) for entry in self.entries]
 
 
+def _coded(words: pa.ListArray, encode) -> pa.ListArray:
+    """Lists of words as lists of ids: distinct words are encoded once and put together by index."""
+    coded = words.flatten().dictionary_encode()
+    pieces = [np.asarray(encode(w), dtype=np.int32) for w in coded.dictionary.to_pylist()]
+    sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+    word = coded.indices.to_numpy()
+    if len(word):
+        starts, parts = np.cumsum(sizes) - sizes, np.concatenate(pieces)
+        ends = np.cumsum(sizes[word])
+        ids = np.empty(ends[-1], np.int32)
+        for at in range(0, len(word), _STEP):
+            here, first = word[at : at + _STEP], ends[at - 1] if at else 0
+            shift = np.repeat(starts[here] - (ends[at : at + _STEP] - sizes[here]), sizes[here])
+            last = first + len(shift)
+            ids[first:last] = parts[np.arange(first, last) + shift]
+    else:
+        ends, ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
+    last_word = np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    offsets = np.concatenate([[0], np.concatenate([[0], ends])[last_word]]).astype(np.int32)
+    missing = pa.array(words.is_null()) if words.null_count else None
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=missing)
+
+
 def encode_words(words, vocabulary: Vocabulary) -> Column:
-    """Array of words to array of token ids. Map-side: no shuffle of word occurrences; each batch
-    encodes its distinct words once and puts the ids together by index."""
+    """Array of words to array of token ids. Map-side: no shuffle of word occurrences. A batch is worked on in
+    portions of bounded bytes, so that its size does not set the memory of a task."""
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = vocabulary.encoder()
         for batch in batches:
-            coded = batch.flatten().dictionary_encode()
-            pieces = [np.asarray(encode(w), dtype=np.int32) for w in coded.dictionary.to_pylist()]
-            sizes = np.array([len(p) for p in pieces], dtype=np.int64)
-            word = coded.indices.to_numpy()
-            if len(word):
-                starts = np.cumsum(sizes) - sizes
-                ends = np.cumsum(sizes[word])
-                shift = np.repeat(starts[word] - (ends - sizes[word]), sizes[word])
-                ids = np.concatenate(pieces)[np.arange(ends[-1]) + shift]
-            else:
-                ends, ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
-            last_word = np.cumsum(batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            offsets = np.concatenate([[0], np.concatenate([[0], ends])[last_word]]).astype(np.int32)
-            missing = pa.array(batch.is_null()) if batch.null_count else None
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=missing)
+            n_words = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            n_bytes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.flatten()), 0).to_numpy(zero_copy_only=False))])
+            ends = n_bytes[np.cumsum(n_words)]
+            if not len(batch):
+                yield _coded(batch, encode)
+            for start, n in portions(np.diff(ends, prepend=0)):
+                yield _coded(batch.slice(start, n), encode)
 
     return run(F.col(words) if isinstance(words, str) else words)
 

@@ -360,6 +360,37 @@ def test_streams_read_tables_of_several_files(spark, tmp_path):
     assert sorted((r["conv_id"], r["n"]) for r in found) == [(i, i) for i in range(20)]
 
 
+def test_portions_are_bounded_and_whole():
+    import numpy as np
+
+    sizes = np.array([3, 0, 4, 20, 1, 9, 0])
+    cut = list(X.portions(sizes, 10))
+    assert cut == [(0, 3), (3, 1), (4, 3)] and list(X.portions(sizes[:0])) == []
+
+
+def test_encoding_memory_follows_the_portion():
+    # ids are put together a step at a time: less than the three index arrays of 8 bytes a token of one go
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = pa.array([["abcdefgh"] * 400_000, None, [], ["xy"]])
+    tracemalloc.start()
+    out = K._coded(words, K.Vocabulary().encoder())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(x) if x is not None else None for x in out.to_pylist()] == [3_200_000, None, 0, 2]
+    assert peak < 12 * 3_200_000
+
+
+def test_texts_beyond_a_portion(spark):
+    v = K.Vocabulary([("t", "h")])
+    rows = [(0, "thé &amp; " * 200_000), (1, None), (2, ""), (3, "th"), (4, "é&lt;")]
+    df = spark.createDataFrame(rows, "id int, t string").coalesce(1)
+    found = {r["id"]: r["text"] for r in df.select("id", K.decode_tokens(K.encode_text("t", v), v).alias("text")).collect()}
+    assert found == {0: "thé & " * 200_000, 1: None, 2: "", 3: "th ", 4: "é < "}
+
+
 def test_retried_batch_replaces_itself(spark, tmp_path):
     write = sinks.idempotent_parquet(str(tmp_path / "out"))
     write(spark.range(3), 0)
