@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import io
 import tarfile
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..functions.text import portions
 from ..operators import joins
 from ..operators import samples as S
 from ..operators.ranking import row_index
@@ -303,21 +304,26 @@ def group_samples_by_key(spark, sf):
     return grouped.select("url", "sample", "key", _described("parts").alias("parts"))
 
 
-def _pack(rows: pd.DataFrame) -> pd.DataFrame:
-    buffer = io.BytesIO()
-    with tarfile.open(fileobj=buffer, mode="w") as out:
-        for name, text in rows.sort_values("member_no")[["fname", "text"]].itertuples(index=False):
-            data = text.encode("utf-8")
-            info = tarfile.TarInfo(name)
-            info.size = len(data)
-            out.addfile(info, io.BytesIO(data))
-    return pd.DataFrame({"path": [f"{rows['url'].iloc[0]}.tar"], "content": [buffer.getvalue()]})
+def _tar_entries(batches):
+    """Each member as its entry in a tar file: header, contents, zeros up to a full block."""
+    for batch in batches:
+        data = batch.column("content")
+        for start, n in portions(pc.fill_null(pc.binary_length(data), 0).to_numpy(zero_copy_only=False)):
+            some, entries = batch.slice(start, n), []
+            for name, content in zip(some.column("fname").to_pylist(), some.column("content").to_pylist()):
+                info = tarfile.TarInfo(name)
+                info.size = len(content)
+                entries.append(info.tobuf() + content + bytes(-len(content) % tarfile.BLOCKSIZE))
+            yield pa.RecordBatch.from_arrays([some.column("path"), some.column("member_no"), pa.array(entries, pa.binary())], ["path", "member_no", "content"])
 
 
 def write_shards(spark, rows, root):
-    """Tar files from member rows; a source is cut into shards of at most 2000 consecutive members."""
-    cut = rows.withColumn("url", F.concat_ws("-", "url", F.lpad(F.floor(F.col("member_no") / 2000).cast("string"), 6, "0")))
-    sinks.write_files(cut.groupBy("url").applyInPandas(_pack, "path string, content binary"), root)
+    """Tar files from member rows; a source is cut into shards of at most 2000 consecutive members. Entries are
+    made where the rows are, and meet in their file one after the other."""
+    shard = F.concat_ws("-", "url", F.lpad(F.floor(F.col("member_no") / 2000).cast("string"), 6, "0"))
+    cut = rows.select(F.concat(shard, F.lit(".tar")).alias("path"), F.col("member_no").cast("bigint").alias("member_no"), "fname", F.col("text").cast("binary").alias("content"))
+    entries = cut.mapInArrow(_tar_entries, "path string, member_no bigint, content binary")
+    sinks.write_files(entries, root, part="member_no", end=bytes(2 * tarfile.BLOCKSIZE))
 
 
 TAR_SQL = (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import operator
 import time
 from collections.abc import Callable
 
@@ -74,21 +76,41 @@ def retried_jdbc(url: str, table: str, attempts: int = 5, first_wait: float = 0.
     return write
 
 
-def write_files(files: DataFrame, root: str) -> int:
+def write_files(files: DataFrame, root: str, part: str | None = None, end: bytes = b"") -> int:
     """Write (path, content) rows as files below ``root``; the number written. The tasks write
-    through the file system of ``root``, a file at a time."""
+    through the file system of ``root``, a row at a time.
+
+    With ``part``, the rows of a path are one file, put together in the order of that column (nulls last), and
+    ``end`` follows; a task holds no more of it than the rows of a batch.
+    """
+    def rows(batches):
+        n = 0
+        for batch in batches:
+            contents = batch.column("content")
+            for path, content in zip(batch.column("path"), contents):
+                yield (path.as_py() if part else n), path.as_py(), content.as_buffer()
+                n += 1
+
     def run(batches):
         if root.startswith("file:"):
             system, base = fs.LocalFileSystem(), "/" + root[len("file:") :].lstrip("/")
         else:
             system, base = fs.FileSystem.from_uri(root)
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                target = f"{base}/{path}"
-                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                with system.open_output_stream(target) as out:
-                    out.write(content)
-            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
-
-    rows = files.select("path", F.col("content").cast("binary").alias("content"))
-    return rows.mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        n = 0
+        for _, pieces in itertools.groupby(rows(batches), key=operator.itemgetter(0)):
+            out = None
+            for _, path, content in pieces:
+                if out is None:
+                    target = f"{base}/{path}"
+                    system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                    out = system.open_output_stream(target)
+                out.write(content)
+            out.write(end)
+            out.close()
+            n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    content = F.col("content").cast("binary").alias("content")
+    if part:
+        files = files.repartition("path").sortWithinPartitions("path", F.asc_nulls_last(part))
+    return files.select("path", content).mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -19,7 +19,7 @@ MEMBER_NAME = re.compile(r"^((?:.*/|)[^.]+)[.]([^/]*)$", re.DOTALL)
 META_NAME = re.compile(r"__[^/]*__($|/)")
 SAMPLE_SCHEMA = "url string, key string, sample_no bigint, parts map<string,binary>, error string"
 MEMBER_SCHEMA = "url string, member_no bigint, fname string, content binary, error string"
-FLUSH_BYTES = 32 * 1024 * 1024
+FLUSH_BYTES = 8 * 1024 * 1024
 
 
 def split_name(name: str) -> tuple[str | None, str | None]:

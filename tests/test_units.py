@@ -391,6 +391,25 @@ def test_texts_beyond_a_portion(spark):
     assert found == {0: "thé & " * 200_000, 1: None, 2: "", 3: "th ", 4: "é < "}
 
 
+def test_pieces_of_files_meet_in_order(spark, tmp_path):
+    rows = [("a/x", 2, "c"), ("b", 0, "z"), ("a/x", 0, "a"), ("a/x", 1, "b"), ("a/x", None, "d")]
+    pieces = spark.createDataFrame(rows, "path string, no int, content string").repartition(4)
+    assert sinks.write_files(pieces, f"file:{tmp_path}", part="no", end=b"!") == 2
+    assert (tmp_path / "a" / "x").read_bytes() == b"abcd!" and (tmp_path / "b").read_bytes() == b"z!"
+
+
+def test_shards_hold_their_members_in_order(spark, tmp_path):
+    from speciframe.catalog.sources import write_shards
+
+    rows = [("s", i, f"{'n' * (i % 130)}{i}.txt", "é" * (i % 700)) for i in range(3000)]
+    write_shards(spark, spark.createDataFrame(rows, "url string, member_no bigint, fname string, text string").repartition(5), f"file:{tmp_path}")
+    found = []
+    for name in ("s-000000.tar", "s-000001.tar"):
+        with tarfile.open(tmp_path / name) as shard:
+            found += [(m.name, shard.extractfile(m).read().decode()) for m in shard]
+    assert found == [(f, t) for _, _, f, t in rows]
+
+
 def test_retried_batch_replaces_itself(spark, tmp_path):
     write = sinks.idempotent_parquet(str(tmp_path / "out"))
     write(spark.range(3), 0)
