@@ -10,6 +10,10 @@ BLOCK_CELLS = 1 << 21
 # Scores are compared after rounding to this many digits, so that equal vectors tie whatever
 # block they were multiplied in; ties go to the smaller label.
 SCORE_DIGITS = 9
+# Prototypes of a score block, neighbours that are found by a product first, and pairs worked out again at a time.
+WIDE = 4096
+FEW = 64
+_PAIRS = 1 << 16
 
 
 def matrix(column) -> np.ndarray:
@@ -71,10 +75,13 @@ def best_hits(x, labels, w, k, metric, own=None, truth=None):
     """
     n, c = len(x), len(labels)
     k = min(k, c)
+    plain = np.isfinite(x).all() and np.isfinite(w).all()
+    if plain and metric == "l2" and own is None and 0 < k <= FEW and c > WIDE:
+        return (*_nearest(x, labels, w, k), np.zeros(n, dtype=np.int64))
     top_l = np.zeros((n, k), dtype=np.int64)
     top_s = np.zeros((n, k))
     better = np.zeros(n, dtype=np.int64)
-    wide = min(max(c, 1), 4096)
+    wide = min(max(c, 1), WIDE)
     tall = max(1, BLOCK_CELLS // (wide + k))
     for r in range(0, n, tall):
         rows = slice(r, min(r + tall, n))
@@ -82,6 +89,9 @@ def best_hits(x, labels, w, k, metric, own=None, truth=None):
         have_s = np.zeros((rows.stop - r, 0))
         for start in range(0, c, wide):
             names = labels[start : start + wide]
+            if k == 0 and own is not None and plain and metric != "l2":
+                better[rows] += _ahead(x[rows] @ w[start : start + wide].T, own[rows], truth[rows], names)
+                continue
             s = closeness(x[rows], w[start : start + wide], metric)
             if own is not None:
                 t, y = own[rows, None], truth[rows, None]
@@ -95,6 +105,77 @@ def best_hits(x, labels, w, k, metric, own=None, truth=None):
     return top_l, top_s, better
 
 
+def _ahead(s, own, truth, names):
+    """How many columns rank before the own one, as on rounded scores: only those about as good are rounded."""
+    own_column = np.minimum(np.searchsorted(names, truth), len(names) - 1)
+    if not np.isfinite(own).all() or (names[1:] == names[:-1]).any():
+        s, t, y = np.round(s, SCORE_DIGITS), own[:, None], truth[:, None]
+        return (((s > t) | ((s == t) & (names[None, :] < y))) & (names[None, :] != y)).sum(axis=1)
+    slack = 2 * 10.0**-SCORE_DIGITS + 1e-14 * np.abs(own)
+    above = s > (own + slack)[:, None]
+    count = np.count_nonzero(above, axis=1)
+    count -= above[np.arange(len(s)), own_column] & (names[own_column] == truth)
+    near = s >= (own - slack)[:, None]
+    near ^= above
+    i, j = np.divmod(np.flatnonzero(near), len(names))
+    close = np.round(s[i, j], SCORE_DIGITS)
+    counts = ((close > own[i]) | ((close == own[i]) & (names[j] < truth[i]))) & (names[j] != truth[i])
+    return count + np.bincount(i[counts], minlength=len(s))
+
+
+def _nearest(x, labels, w, k):
+    """The ``k`` nearest labels and their scores, those of ``closeness``. A product gives all distances up to a known
+    error; the pairs that may be among the nearest by it are worked out coordinate by coordinate."""
+    n, c = len(x), len(labels)
+    centre = w.mean(axis=0)
+    top_l, top_s = np.empty((n, k), dtype=np.int64), np.empty((n, k))
+    w_near = w - centre
+    w_square = np.einsum("ij,ij->i", w_near, w_near)
+    error = 8 * (w.shape[1] + 8) * np.finfo(float).eps
+    tall = max(1, BLOCK_CELLS // WIDE)
+    for r in range(0, n, tall):
+        part = x[r : r + tall]
+        x_near = part - centre
+        x_square = np.einsum("ij,ij->i", x_near, x_near)
+        slack = 2 * 10.0**-SCORE_DIGITS + error * (np.sqrt(x_square) + np.sqrt(w_square.max())) ** 2
+        x_near *= -2
+        row, score, at = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        limit = np.full(len(part), np.inf)
+        for start in range(0, c, WIDE):
+            far = x_near @ w_near[start : start + WIDE].T
+            far += w_square[start : start + WIDE]
+            wide = far.shape[1]
+            near = far <= limit[:, None]
+            if np.count_nonzero(near) > 8 * k * len(part) and wide >= k:
+                kth = np.partition(far, k - 1, axis=1)[:, k - 1]
+                near = far <= np.minimum(limit, kth + 2 * slack)[:, None]
+            many = np.flatnonzero(np.count_nonzero(near, axis=1) > max(wide // 16, k))
+            if len(many):
+                # copies and near ties: all pairs of these rows, of which the best k go on
+                every = closeness(part[many], w[start : start + WIDE], "l2")
+                best = _leaders(every, np.broadcast_to(np.arange(wide), every.shape), k)[1]
+                near[many] = False
+                near[many[:, None], best] = True
+            found = np.flatnonzero(near)
+            if not len(found):
+                continue
+            for some in np.array_split(found, -(-len(found) // _PAIRS)):
+                i, j = np.divmod(some, wide)
+                j += start
+                row, at = np.concatenate([row, i]), np.concatenate([at, j])
+                score = np.concatenate([score, own_closeness(part[i], w[j], "l2")])
+                order = np.lexsort((at, -score, row))
+                row, score, at = row[order], score[order], at[order]
+                first = np.searchsorted(row, np.arange(len(part)))
+                kept = np.arange(len(row)) - first[row] < k
+                row, score, at = row[kept], score[kept], at[kept]
+            full = np.bincount(row, minlength=len(part)) == k
+            last = np.cumsum(np.bincount(row, minlength=len(part))) - 1
+            limit[full] = (-score[last[full]] - x_square[full]) + slack[full]
+        top_l[r : r + tall], top_s[r : r + tall] = labels[at].reshape(-1, k), score.reshape(-1, k)
+    return top_l, top_s
+
+
 def _leaders(scores, names, k):
     """First k columns in (score descending, position ascending) order; k passes of arg-max."""
     if k <= 8:

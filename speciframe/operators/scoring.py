@@ -22,8 +22,10 @@ from ..session import SHIP_LIMIT_BYTES, cut_lineage
 from .dense import best_hits, centred, matrix, own_closeness, row_groups, vectors
 
 HITS = "array<struct<label:bigint,score:double>>"
-# Rows per side of a grid cell.
-CELL_ROWS = 8192
+# Rows per side of a grid cell; those of long vectors have fewer, down to 8,192. The vectors are sent once for every
+# block of the other side, so larger cells mean fewer copies.
+CELL_ROWS = 32768
+CELL_NUMBERS = 1 << 21
 # Rows of a prototype table that are read before its size is known: a few megabytes at most.
 HEAD_ROWS = 1024
 
@@ -122,6 +124,9 @@ def match_prototypes(
         shipped = ship(protos, group, label, proto_vec, ship_limit)
     if shipped is not None:
         run = _shipped_kernel(shipped, out_columns, group, k, metric, scale, truth, means)
+        if sum(len(labels) for labels, _ in shipped.values()) > HEAD_ROWS:
+            # much work for each row: a table of few files is dealt to all cores
+            rows = rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
         return rows.mapInArrow(run, schema)
     return _grid_match(rows, protos, proto_vec, label, group, k, metric, scale, truth, out_columns, means, schema)
 
@@ -181,7 +186,11 @@ def _grid_match(rows, protos, proto_vec, label, group, k, metric, scale, truth,
         rows = _own_scores(rows, metric)
     # The numbers of rows only steer how finely the grid is cut.
     n_rows, count = rows.count(), protos.count()
-    s_blocks, p_blocks = -(-n_rows // CELL_ROWS) or 1, -(-count // CELL_ROWS) or 1
+    length = (protos.select(F.max(F.size(F.col(proto_vec)))).first()[0] or 1) if count else 1
+    side = min(CELL_ROWS, max(8192, CELL_NUMBERS // max(length, 1)))
+    s_blocks, p_blocks = -(-n_rows // side) or 1, -(-count // side) or 1
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    s_blocks = max(s_blocks, min(-(-4 * cores // p_blocks), -(-n_rows // 1024)))
     zero = F.lit(0).cast("bigint")
     left = rows.select(
         "*",
@@ -191,7 +200,7 @@ def _grid_match(rows, protos, proto_vec, label, group, k, metric, scale, truth,
     right = protos.select(
         *[F.col(g).alias(f"_g_{g}") for g in group],
         F.col(label).alias("_label"),
-        F.col(proto_vec).cast("array<double>").alias("_w"),
+        (F.col(proto_vec) if _type(protos, proto_vec) == "array<float>" else F.col(proto_vec).cast("array<double>")).alias("_w"),
         F.pmod(F.xxhash64(label), F.lit(p_blocks)).alias("_pb"),
         F.explode(F.sequence(zero, F.lit(s_blocks - 1).cast("bigint"))).alias("_sb"),
     )
@@ -233,7 +242,7 @@ def _grid_match(rows, protos, proto_vec, label, group, k, metric, scale, truth,
     if truth:
         own_shown = F.sqrt(-F.max("own_score")) if metric == "l2" else F.max("own_score") * scale
         better = cells.groupBy(*columns).agg(own_shown.alias("own_score"), F.sum("n_better").alias("n_better"))
-        lists = lists.join(better, columns)
+        lists = lists.join(better, columns) if k else better.withColumn("hits", F.array().cast(HITS))
     out = every.join(lists, columns, "left")
     return out.withColumn("hits", F.coalesce("hits", F.array().cast(HITS)))
 

@@ -52,6 +52,37 @@ def test_hits_against_brute_force(spark, points):
         assert [h["label"] for h in row["hits"]] == [i for _, i in want]
 
 
+@pytest.mark.parametrize("digits,far", [(1, 0.0), (9, 0.0), (9, 1e6)])
+def test_product_first_gives_the_neighbours_of_all_pairs(digits, far, monkeypatch):
+    from speciframe.operators import dense
+
+    rng = np.random.default_rng(3)
+    w = rng.normal(size=(900, 5)).round(digits) + far
+    w[300:600] = w[7]
+    x, labels = np.concatenate([w[::3], w[:9] + 0.1]), np.sort(rng.permutation(3000)[:900])
+    truth = np.arange(len(x)) * 2 % 900
+    own = dense.own_closeness(x, w[truth], "dot")
+    every = dense.closeness(x, w, "l2")
+    order = np.argsort(-every, axis=1, kind="stable")[:, :4]
+    monkeypatch.setattr(dense, "WIDE", 128)
+    told, pairs = dense.closeness, []
+    monkeypatch.setattr(dense, "closeness", lambda x, w, metric: pairs.append(len(x) * len(w)) or told(x, w, metric))
+    top_l, top_s, _ = dense.best_hits(x, labels, w, 4, "l2")
+    assert (top_l == labels[order]).all() and (top_s == np.take_along_axis(every, order, 1)).all()
+    assert digits == 1 or sum(pairs) < x.shape[0] * w.shape[0] / 2
+    score = told(x, w, "dot")
+    before = (score > own[:, None]) | ((score == own[:, None]) & (labels[None, :] < labels[truth][:, None]))
+    want = (before & (labels[None, :] != labels[truth][:, None])).sum(axis=1)
+    assert (dense.best_hits(x, labels, w, 0, "dot", own, labels[truth])[2] == want).all()
+
+
+def test_ranks_on_the_grid_need_no_hits(spark, points, monkeypatch):
+    monkeypatch.setattr(scoring, "CELL_ROWS", 70)
+    pairs = points.select("id", F.col("v").alias("image"), F.transform("v", lambda x: x + 0.5).alias("text"))
+    short = retrieval.match_rank(pairs, "image", "text")
+    assert collected(short) == collected(retrieval.match_rank(pairs, "image", "text", ship_limit=0)) and short.count() == 300
+
+
 def test_ties_go_to_the_smaller_label(spark, points):
     near = scoring.match_prototypes(points.filter("id = 7"), points, vec="v", proto_vec="v", label="id", k=2, metric="l2", keep=["id"])
     assert [h["label"] for h in near.first()["hits"]] == [5, 7]
