@@ -20,7 +20,7 @@ def match_rank(pairs: DataFrame, query: str, target: str, key: str = "id", **how
         label="_target",
         truth="_own_id",
         keep=[key],
-        **how,
+        **{"k": 0, **how},
     )
     return ranked.select(key, "n_better")
 
